@@ -306,11 +306,13 @@ def selection_summary(stations: DataFrame, criteria: StationCriteria) -> DataFra
     )
 
 
-def best_stations(stations: DataFrame, country: str | None = "US", n: int = 10) -> DataFrame:
-    """The ``n`` most complete stations with 80 % temperature, ten years and valid coordinates."""
+def best_stations(
+    stations: DataFrame, country: str | None = "US", n: int = 10, min_completeness: float = 80.0, min_years: int = 10
+) -> DataFrame:
+    """The ``n`` most complete stations with enough temperature data, enough years and valid coordinates."""
     good = select_stations(
         stations,
-        StationCriteria(min_temperature_completeness_pct=80.0, min_years=10, require_valid_coordinates=True),
+        StationCriteria(min_temperature_completeness_pct=min_completeness, min_years=min_years, require_valid_coordinates=True),
     )
     if country is not None:
         good = good.where(F.col("country_code") == country)
