@@ -1,0 +1,339 @@
+"""Scoring on hidden cells, paired tests, ensembles and climate indices."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import downstream, ensembles, score, significance
+from ..plans import evaluate as plan
+from .fill_queries import AROUND, CURVE, LINE, MASKED, akima_sql, with_ends
+from .registry import query
+from .series_queries import EMPIRICAL, MCAR, SEED, mask_sql
+from .views import OBS, PANEL, VARIABLES
+
+GAP_LENGTH = """lengths AS (SELECT station_id, variable, t, count(*) OVER (PARTITION BY station_id, variable, is_synthetic, island) AS gap_length
+  FROM (SELECT *, t - row_number() OVER (PARTITION BY station_id, variable, is_synthetic ORDER BY t) AS island FROM hidden) WHERE is_synthetic)"""
+
+
+def cells_sql(masked: str = MASKED, inner: str = LINE, around: str = AROUND.format(src="hidden"), src: str = "around") -> str:
+    """Hidden cells with estimate and gap length."""
+    return f"""{masked}, {around}, {GAP_LENGTH},
+hidden_cells AS (SELECT a.station_id, a.variable, a.t, a.ts, a.truth, {with_ends(inner)} AS estimate, l.gap_length
+  FROM {src} a JOIN lengths l USING (station_id, variable, t) WHERE a.is_eval)"""
+
+
+METRICS = """round(sqrt(avg((estimate - truth) ** 2)), 4) AS rmse, round(avg(abs(estimate - truth)), 4) AS mae, round(avg((estimate - truth) ** 2), 2) AS mse,
+  round(avg(estimate - truth), 4) AS bias, round(1 - sum((estimate - truth) ** 2) / nullif(count(*) * var_pop(truth), 0), 6) AS r2, count(*) AS n"""
+BINS = """CASE WHEN gap_length < 6 THEN '1-6h' WHEN gap_length < 24 THEN '6-24h' WHEN gap_length < 72 THEN '24-72h'
+  WHEN gap_length < 168 THEN '72-168h' ELSE '>168h' END"""
+SEASON = "CASE WHEN month(ts) IN (12, 1, 2) THEN 'winter' WHEN month(ts) IN (3, 4, 5) THEN 'spring' WHEN month(ts) IN (6, 7, 8) THEN 'summer' ELSE 'fall' END"
+LIMITS = "limits AS (SELECT quantile_cont(truth, 0.05::DOUBLE) AS q0, quantile_cont(truth, 0.95::DOUBLE) AS q1 FROM hidden_cells)"
+EXTREME = "CASE WHEN truth < q0 THEN 'extreme_low' WHEN truth > q1 THEN 'extreme_high' ELSE 'normal' END"
+LINEAR = cells_sql()
+REALISTIC = cells_sql(MASKED.replace(mask_sql(MCAR), mask_sql(EMPIRICAL)))
+AKIMA = cells_sql(around=akima_sql("hidden"), inner=CURVE, src="joined")
+
+
+def rounded(table):
+    return table.withColumns({c: F.round(c, p) for c, p in (("rmse", 4), ("mae", 4), ("mse", 2), ("bias", 4), ("r2", 6))})
+
+
+def scored(v, spec=MCAR, method="linear"):
+    hidden = plan.hide(v.panel(), VARIABLES, spec, SEED)
+    return plan.estimate(hidden, method, VARIABLES)
+
+
+def _by(name, stratum, sql=LINEAR, extra="", source="hidden_cells"):
+    return f"WITH {sql}{extra} SELECT '{name}' AS stratification, {stratum} AS stratum, {METRICS} FROM {source} GROUP BY 2"
+
+
+@query(
+    "hidden_cells",
+    f"""WITH {MASKED}, {GAP_LENGTH} SELECT h.station_id, h.variable, h.t, h.truth, h.value, h.is_synthetic, h.is_eval, coalesce(l.gap_length, 0) AS gap_length
+        FROM hidden h LEFT JOIN lengths l USING (station_id, variable, t)""",
+)
+def _(v):
+    return plan.hide(v.panel(), VARIABLES, MCAR, SEED).drop("ts")
+
+
+@query("metrics_overall", f"WITH {LINEAR} SELECT {METRICS} FROM hidden_cells")
+def _(v):
+    return rounded(score.all_metrics(scored(v)))
+
+
+@query("metrics_by_gap_length", _by("gap_length", BINS, REALISTIC))
+def _(v):
+    return rounded(score.by_gap_length(scored(v, EMPIRICAL)))
+
+
+@query("metrics_by_variable", _by("variable", "variable"))
+def _(v):
+    return rounded(score.by_variable(scored(v)))
+
+
+@query("metrics_by_season", _by("season", SEASON))
+def _(v):
+    return rounded(score.by_season(scored(v)))
+
+
+@query("metrics_by_extremes", _by("extremes", EXTREME, extra=f", {LIMITS}", source="hidden_cells, limits"))
+def _(v):
+    return rounded(score.by_extremes(scored(v)))
+
+
+@query(
+    "metrics_by_extremes_per_variable",
+    f"""WITH {LINEAR}, limits AS (SELECT variable, quantile_cont(truth, 0.05::DOUBLE) AS q0, quantile_cont(truth, 0.95::DOUBLE) AS q1 FROM hidden_cells GROUP BY 1)
+        SELECT 'extremes' AS stratification, {EXTREME} AS stratum, {METRICS} FROM hidden_cells JOIN limits USING (variable) GROUP BY 2""",
+)
+def _(v):
+    return rounded(score.by_extremes(scored(v), by="variable"))
+
+
+_STRATA = {"gap_length": BINS, "variable": "variable", "extremes": EXTREME, "season": SEASON}
+
+
+@query(
+    "stratified_metrics",
+    f"WITH {REALISTIC}, {LIMITS} "
+    + " UNION ALL ".join(f"SELECT '{n}' AS stratification, {s} AS stratum, {METRICS} FROM hidden_cells, limits GROUP BY 2" for n, s in _STRATA.items()),
+)
+def _(v):
+    return rounded(score.stratified_metrics(scored(v, EMPIRICAL)))
+
+
+def _evaluation(sql):
+    strata = {"overall": "'all'", "gap_length": BINS, "variable": "variable", "season": SEASON}
+    return f"WITH {sql} " + " UNION ALL ".join(
+        f"SELECT '{n}' AS stratification, {s} AS stratum, {METRICS} FROM hidden_cells GROUP BY 2" for n, s in strata.items()
+    )
+
+
+@query("evaluate_linear", _evaluation(LINEAR))
+def _(v):
+    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "linear", SEED))
+
+
+@query("evaluate_akima", _evaluation(AKIMA))
+def _(v):
+    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "akima", SEED))
+
+
+@query("evaluate_chained")
+def _(v):
+    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "chained", SEED))
+
+
+# --- paired tests -------------------------------------------------------------
+
+ERRORS = f"""{MASKED}, {akima_sql('hidden')},
+errors AS (SELECT station_id, t, variable, {with_ends(LINE)} - truth AS err_a, {with_ends('lv')} - truth AS err_b, {with_ends(CURVE)} - truth AS err_c FROM joined WHERE is_eval)"""
+
+
+def errors(v, methods=("linear", "carry_forward")):
+    return plan.method_errors(v.panel(), VARIABLES, MCAR, methods, SEED)
+
+
+@query(
+    "method_errors",
+    f"WITH {ERRORS} SELECT station_id, t, variable, round(err_a + 1e-9::DOUBLE, 5) AS err_a, round(err_b + 1e-9::DOUBLE, 5) AS err_b FROM errors",
+)
+def _(v):
+    return errors(v).select("station_id", "t", "variable", F.round(F.col("err_a") + 1e-9, 5).alias("err_a"), F.round(F.col("err_b") + 1e-9, 5).alias("err_b"))
+
+
+@query(
+    "paired_t_test",
+    f"""WITH {ERRORS}, s AS (SELECT variable, count(*) AS n, avg(err_a - err_b) AS d, stddev_samp(err_a - err_b) AS sd FROM errors GROUP BY 1)
+        SELECT variable, 'paired_t_test' AS test_name, n, round(d, 4) AS mean_diff, round(d / (sd / sqrt(n)), 4) AS statistic, round(d / sd, 6) AS effect_size FROM s""",
+)
+def _(v):
+    tests = significance.paired_t_test(errors(v), ["variable"])
+    return tests.select(
+        "variable",
+        "test_name",
+        "n",
+        F.round("mean_diff", 4).alias("mean_diff"),
+        F.round("statistic", 4).alias("statistic"),
+        F.round("effect_size", 6).alias("effect_size"),
+    )
+
+
+def _dm(loss):
+    return f"""WITH {ERRORS}, s AS (SELECT variable, count(*) AS n, avg({loss}) AS d, var_samp({loss}) AS va FROM errors GROUP BY 1)
+        SELECT variable, 'diebold_mariano' AS test_name, n, round(d / sqrt(va / n), 4) AS statistic FROM s"""
+
+
+@query("diebold_mariano_squared", _dm("err_a * err_a - err_b * err_b"))
+def _(v):
+    tests = significance.diebold_mariano_test(errors(v), ["variable"])
+    return tests.select("variable", "test_name", "n", F.round("statistic", 4).alias("statistic"))
+
+
+@query("diebold_mariano_absolute", _dm("abs(err_a) - abs(err_b)"))
+def _(v):
+    tests = significance.diebold_mariano_test(errors(v), ["variable"], loss="absolute")
+    return tests.select("variable", "test_name", "n", F.round("statistic", 4).alias("statistic"))
+
+
+_SIGNED = """signed AS (SELECT variable, round(err_a - err_b, 4) AS d FROM errors WHERE round(err_a - err_b, 4) <> 0),
+ranked AS (SELECT variable, d, rank() OVER (PARTITION BY variable ORDER BY abs(d)) + (count(*) OVER (PARTITION BY variable, abs(d)) - 1) / 2.0::DOUBLE AS r FROM signed),
+ties AS (SELECT variable, sum(c::DOUBLE * c * c - c) AS ties FROM (SELECT variable, count(*) AS c FROM signed GROUP BY variable, abs(d)) GROUP BY 1),
+sums AS (SELECT variable, count(*) AS n, sum(r) FILTER (d > 0) AS w_plus, sum(r) FILTER (d < 0) AS w_minus FROM ranked GROUP BY 1)"""
+
+
+@query(
+    "wilcoxon_signed_rank",
+    f"""WITH {ERRORS}, {_SIGNED} SELECT variable, 'wilcoxon_signed_rank' AS test_name, n, w_plus, w_minus, least(w_plus, w_minus) AS statistic,
+          round((w_plus - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE), 6) AS z FROM sums JOIN ties USING (variable)""",
+)
+def _(v):
+    """Differences are rounded so that equal ones tie on both engines."""
+    pairs = errors(v).withColumn("err_a", F.round(F.col("err_a") - F.col("err_b"), 4)).withColumn("err_b", F.lit(0.0))
+    tests = significance.wilcoxon_signed_rank_test(pairs, ["variable"])
+    return tests.select("variable", "test_name", "n", "w_plus", "w_minus", "statistic", F.round("z", 6).alias("z"))
+
+
+@query("paired_tests_with_p_values")
+def _(v):
+    pairs = errors(v, ("linear", "akima"))
+    common = ["variable", "test_name", "n", "statistic", "p_value", "interpretation"]
+    tests = [
+        significance.paired_t_test(pairs, ["variable"]).select(*common),
+        significance.diebold_mariano_test(pairs, ["variable"]).select(*common),
+        significance.wilcoxon_signed_rank_test(pairs, ["variable"]).select(*common),
+    ]
+    return significance.bonferroni(tests[0].unionByName(tests[1]).unionByName(tests[2]))
+
+
+@query(
+    "bonferroni_adjustment",
+    f"""WITH {PANEL}, p AS (SELECT station_id, variable, round(avg(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0 END) / 100.0::DOUBLE, 8) AS p_value FROM panel GROUP BY 1, 2)
+        SELECT station_id, variable, p_value, round(least(p_value * (SELECT count(*) FROM p), 1.0::DOUBLE), 6) AS p_adjusted FROM p""",
+)
+def _(v):
+    share = F.round(F.avg(F.when(F.col("value").isNull(), 1.0).otherwise(0.0)) / 100.0, 8)
+    tests = v.panel().groupBy("station_id", "variable").agg(share.alias("p_value"))
+    return significance.bonferroni(tests).select("station_id", "variable", "p_value", F.round("p_adjusted", 6).alias("p_adjusted"))
+
+
+_WEIGHT = " + ".join(
+    f"CASE WHEN u >= {step!r}::DOUBLE THEN 1 ELSE 0 END" for step in significance.POISSON_STEPS
+)
+
+
+@query(
+    "bootstrap_intervals",
+    f"""WITH {ERRORS}, s AS (SELECT variable, station_id, count(*) AS c, sum(err_a) AS s, sum(abs(err_a)) AS a, sum(err_a * err_a) AS q FROM errors GROUP BY 1, 2),
+        d AS (SELECT s.*, r, ('0x' || substr(md5(concat_ws('|', '{SEED}', r, station_id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM s, (SELECT unnest(generate_series(0, 199)) AS r)),
+        w AS (SELECT *, {_WEIGHT} AS w FROM d),
+        t AS (SELECT variable, r, sqrt(sum(w * q) / sum(w * c)) AS rmse, sum(w * a) / sum(w * c) AS mae, sum(w * s) / sum(w * c) AS bias FROM w WHERE w > 0 GROUP BY 1, 2)
+        SELECT variable, count(*) AS replicas, """
+    + ", ".join(
+        f"round(quantile_cont({m}, {p}::DOUBLE), 4) AS {m}_{side}" for m in ("rmse", "mae", "bias") for side, p in (("low", 0.025), ("high", 0.975))
+    )
+    + " FROM t GROUP BY 1",
+)
+def _(v):
+    limits = significance.bootstrap_intervals(errors(v), ["variable"], replicas=200, seed=SEED)
+    return limits.withColumns({c: F.round(c, 4) for c in limits.columns if c not in ("variable", "replicas")})
+
+
+# --- ensembles ----------------------------------------------------------------
+
+_SHIFTS = (-3.0, -1.0, 0.0, 0.5, 2.0, 4.0)
+
+
+def ensemble(v):
+    """Six shifted linear fills per hidden cell."""
+    cells = scored(v).where("is_eval")
+    shifted = F.inline(F.array(*[F.struct(F.lit(i).alias("imputation"), (F.col("estimate") + x).alias("value")) for i, x in enumerate(_SHIFTS)]))
+    samples = ensembles.collect_samples(cells.select("station_id", "t", "variable", shifted))
+    truth = cells.select("station_id", "t", "variable", "truth", "is_eval")
+    return truth.join(samples, ["station_id", "t", "variable"])
+
+
+_ENSEMBLE = f"""{LINEAR}, members AS (SELECT station_id, t, variable, truth, estimate + x AS value FROM hidden_cells, (VALUES {', '.join(f'({x}::DOUBLE)' for x in _SHIFTS)}) s(x))"""
+
+
+@query(
+    "mean_crps",
+    f"""WITH {_ENSEMBLE}, near AS (SELECT station_id, t, variable, avg(abs(value - truth)) AS d FROM members GROUP BY 1, 2, 3),
+        spread AS (SELECT a.station_id, a.t, a.variable, avg(abs(a.value - b.value)) AS d FROM members a JOIN members b USING (station_id, t, variable) GROUP BY 1, 2, 3)
+        SELECT variable, round(avg(n.d - 0.5::DOUBLE * s.d), 4) AS crps, count(*) AS n FROM near n JOIN spread s USING (station_id, t, variable) GROUP BY 1""",
+)
+def _(v):
+    return ensembles.mean_crps(ensemble(v)).withColumn("crps", F.round("crps", 4))
+
+
+@query(
+    "interval_coverage",
+    f"""WITH {_ENSEMBLE}, l AS (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.95::DOUBLE]) AS level),
+        band AS (SELECT station_id, t, variable, level, any_value(truth) AS truth, quantile_cont(value, 0.25::DOUBLE) AS l50, quantile_cont(value, 0.75::DOUBLE) AS h50,
+            quantile_cont(value, 0.05::DOUBLE) AS l90, quantile_cont(value, 0.95::DOUBLE) AS h90, quantile_cont(value, 0.025::DOUBLE) AS l95, quantile_cont(value, 0.975::DOUBLE) AS h95
+          FROM members, l GROUP BY 1, 2, 3, 4),
+        edge AS (SELECT variable, level, truth, CASE level WHEN 0.5 THEN l50 WHEN 0.9 THEN l90 ELSE l95 END AS lo, CASE level WHEN 0.5 THEN h50 WHEN 0.9 THEN h90 ELSE h95 END AS hi FROM band)
+        SELECT variable, level, round(avg(CASE WHEN truth BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, round(avg(hi - lo), 4) AS mean_width, count(*) AS n FROM edge GROUP BY 1, 2""",
+)
+def _(v):
+    table = ensembles.interval_coverage(ensemble(v))
+    return table.withColumn("coverage", F.round("coverage", 6)).withColumn("mean_width", F.round("mean_width", 4))
+
+
+# --- climate indices ----------------------------------------------------------
+
+
+def climate_cells(v):
+    """Reports with a truth and an estimate that is off by a known rule."""
+    return v.obs().select(
+        F.col("source").alias("station_id"),
+        "ts",
+        F.col("temperature").alias("truth"),
+        (F.col("temperature") * 0.9 + 1.0).alias("estimate"),
+    )
+
+
+_DAILY = f"""{OBS}, climate AS (SELECT source AS station_id, ts, temperature AS truth, temperature * 0.9::DOUBLE + 1.0::DOUBLE AS estimate FROM obs),
+daily AS (SELECT station_id, CAST(ts AS DATE) AS day, 'truth' AS source, avg(truth) AS mean, min(truth) AS lo, max(truth) AS hi FROM climate GROUP BY 1, 2 HAVING avg(truth) IS NOT NULL
+  UNION ALL SELECT station_id, CAST(ts AS DATE), 'estimate', avg(estimate), min(estimate), max(estimate) FROM climate GROUP BY 1, 2 HAVING avg(estimate) IS NOT NULL)"""
+
+
+@query(
+    "degree_days",
+    f"""WITH {_DAILY} SELECT station_id, CAST(year(day) AS INTEGER) AS year, source, round(sum(greatest(18 - mean, 0)), 4) AS heating, round(sum(greatest(mean - 18, 0)), 4) AS cooling,
+          round(sum(greatest(mean - 10, 0)), 4) AS growing, count(*) AS n_days FROM daily GROUP BY 1, 2, 3""",
+)
+def _(v):
+    table = downstream.degree_days(climate_cells(v))
+    return table.withColumns({c: F.round(c, 4) for c in ("heating", "cooling", "growing")})
+
+
+@query(
+    "degree_days_compared",
+    f"""WITH {_DAILY}, d AS (SELECT station_id, CAST(year(day) AS INTEGER) AS year, source, sum(greatest(18 - mean, 0)) AS heating, sum(greatest(mean - 18, 0)) AS cooling FROM daily GROUP BY 1, 2, 3),
+        w AS (SELECT station_id, year, max(heating) FILTER (source = 'truth') AS ht, max(heating) FILTER (source = 'estimate') AS he, max(cooling) FILTER (source = 'truth') AS ct, max(cooling) FILTER (source = 'estimate') AS ce FROM d GROUP BY 1, 2)
+        SELECT station_id, year, round(ht, 4) AS heating_truth, round(he, 4) AS heating_estimate, round(ct, 4) AS cooling_truth, round(ce, 4) AS cooling_estimate,
+          round(he - ht, 4) AS heating_diff, round(ce - ct, 4) AS cooling_diff FROM w""",
+)
+def _(v):
+    table = downstream.compare_sources(downstream.degree_days(climate_cells(v)), ["station_id", "year"], ["heating", "cooling"])
+    return table.withColumns({c: F.round(c, 4) for c in table.columns if c not in ("station_id", "year")})
+
+
+_HOT, _COLD = 60.0, 0.5
+_SPELLS = f"""{_DAILY}, flagged AS (SELECT station_id, source, 'heat' AS kind, day FROM daily WHERE hi > {_HOT}::DOUBLE UNION ALL SELECT station_id, source, 'cold', day FROM daily WHERE lo < {_COLD}::DOUBLE),
+isl AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY station_id, source, kind ORDER BY day) AS INTEGER) AS island FROM flagged),
+spells AS (SELECT station_id, source, kind, min(day) AS start, count(*) AS n_days FROM isl GROUP BY station_id, source, kind, island HAVING count(*) >= 3)"""
+
+
+@query("extreme_spells", f"WITH {_SPELLS} SELECT station_id, source, kind, CAST(start AS VARCHAR) AS start, n_days FROM spells")
+def _(v):
+    return downstream.extreme_spells(climate_cells(v), _HOT, _COLD).withColumn("start", F.col("start").cast("string"))
+
+
+@query(
+    "spell_totals",
+    f"WITH {_SPELLS} SELECT station_id, kind, source, count(*) AS n_spells, sum(n_days)::BIGINT AS spell_days FROM spells GROUP BY 1, 2, 3",
+)
+def _(v):
+    return downstream.spell_totals(downstream.extreme_spells(climate_cells(v), _HOT, _COLD))

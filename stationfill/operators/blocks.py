@@ -43,12 +43,12 @@ def _extend(chain: Column, outer: Column, depth: int) -> Column:
 
 def _chains(df: DataFrame, name: str, window, depth: int) -> DataFrame:
     """Grow ``name`` (nearest first, NULL where no point) to ``depth`` points along ``window``."""
+    df = df.withColumn("__own", F.col(name))
     for _ in range(depth - 1):
-        earlier = F.last(name, ignorenulls=True).over(window)
-        df = df.withColumn("__earlier", earlier).withColumn(
-            name, F.when(F.col(name).isNotNull(), _extend(F.col(name), F.col("__earlier"), depth))
+        df = df.withColumn("__earlier", F.last(name, ignorenulls=True).over(window)).withColumn(
+            name, F.when(F.col("__own").isNotNull(), _extend(F.col("__own"), F.col("__earlier"), depth))
         )
-    return df.drop("__earlier")
+    return df.drop("__own", "__earlier")
 
 
 def nearest_points(
