@@ -100,8 +100,7 @@ def _(v):
 
 
 def masked_wide(v, variables=VARIABLES, seed=SEED):
-    panel = v.panel()
-    hidden = masks.apply_mask(panel, masks.synthetic_mask(panel, VARIABLES, MCAR, seed))
+    hidden = masks.apply_mask(v.panel(), masks.synthetic_mask(v.samples(), VARIABLES, MCAR, seed))
     return chained.to_wide(hidden.where(F.col("variable").isin(*variables)), variables)
 
 

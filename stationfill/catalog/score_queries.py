@@ -39,8 +39,8 @@ def rounded(table):
 
 
 def scored(v, spec=MCAR, method="linear"):
-    hidden = plan.hide(v.panel(), VARIABLES, spec, SEED)
-    return plan.estimate(hidden, method, VARIABLES)
+    hidden = plan.hide(v.panel(), VARIABLES, spec, SEED, v.samples())
+    return plan.estimate(hidden, {"estimate": method}, VARIABLES)
 
 
 def _by(name, stratum, sql=LINEAR, extra="", source="hidden_cells"):
@@ -53,7 +53,8 @@ def _by(name, stratum, sql=LINEAR, extra="", source="hidden_cells"):
         FROM hidden h LEFT JOIN lengths l USING (station_id, variable, t)""",
 )
 def _(v):
-    return plan.hide(v.panel(), VARIABLES, MCAR, SEED).drop("ts")
+    hidden = plan.hide(v.panel(), VARIABLES, MCAR, SEED, v.samples())
+    return plan.estimate(hidden, {}, VARIABLES).drop("ts")
 
 
 @query("metrics_overall", f"WITH {LINEAR} SELECT {METRICS} FROM hidden_cells")
@@ -111,17 +112,17 @@ def _evaluation(sql):
 
 @query("evaluate_linear", _evaluation(LINEAR))
 def _(v):
-    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "linear", SEED))
+    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "linear", SEED, samples=v.samples()))
 
 
 @query("evaluate_akima", _evaluation(AKIMA))
 def _(v):
-    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "akima", SEED))
+    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "akima", SEED, samples=v.samples()))
 
 
 @query("evaluate_chained")
 def _(v):
-    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "chained", SEED))
+    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "chained", SEED, samples=v.samples()))
 
 
 # --- paired tests -------------------------------------------------------------
@@ -131,7 +132,7 @@ errors AS (SELECT station_id, t, variable, {with_ends(LINE)} - truth AS err_a, {
 
 
 def errors(v, methods=("linear", "carry_forward")):
-    return plan.method_errors(v.panel(), VARIABLES, MCAR, methods, SEED)
+    return plan.method_errors(v.panel(), VARIABLES, MCAR, methods, SEED, v.samples())
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import masks, metadata, ranks, reports, scale, series, splits
+from ..operators import masks, metadata, ranks, scale, series, splits
 from ..plans import windows as window_plan
 from .registry import query
 from .views import OBS, PANEL, VARIABLES, WEEKS
@@ -30,8 +30,7 @@ def _(v):
 def _(v):
     """Irregular reports of one event type on an hourly grid."""
     obs = v.obs().withColumn("station_id", F.col("source")).withColumn("t", series.hour_index(F.col("ts")).cast("int"))
-    long = reports.to_long(obs, ["temperature"], ("station_id", "ts", "t"))
-    return series.regular_grid(series.first_per_step(long), ["temperature"])
+    return series.regular_grid(series.first_per_step(obs, ["temperature"]), ["temperature"])
 
 
 @query("gap_runs", f"WITH {PANEL}, {RUNS.format(k='station_id, variable', src='panel')} SELECT * FROM runs")
@@ -277,7 +276,7 @@ LOGNORMAL = masks.MaskSpec("realistic", 0.2, gap_distribution="lognormal")
 def _register_mask(name, spec):
     @query(name, f"WITH {PANEL}, {mask_sql(spec)} SELECT station_id, t, variable, k FROM mask")
     def _(v):
-        return masks.synthetic_mask(v.panel(), VARIABLES, spec, SEED)
+        return masks.synthetic_mask(v.samples(), VARIABLES, spec, SEED, v.panel())
 
 
 for _name, _spec in {
@@ -296,8 +295,8 @@ for _name, _spec in {
         FROM (SELECT DISTINCT station_id FROM panel) p LEFT JOIN (SELECT station_id, count(*) AS n FROM mask GROUP BY 1) m USING (station_id)""",
 )
 def _(v):
-    panel = v.panel()
-    return masks.mask_totals(panel, masks.synthetic_mask(panel, VARIABLES, MCAR, SEED), len(VARIABLES), MCAR.missing_ratio)
+    samples = v.samples()
+    return masks.mask_totals(samples, masks.synthetic_mask(samples, VARIABLES, MCAR, SEED), len(VARIABLES), MCAR.missing_ratio)
 
 
 @query(
@@ -307,8 +306,7 @@ def _(v):
         FROM panel p LEFT JOIN mask m ON m.station_id = p.station_id AND m.t = p.t AND m.variable = p.variable""",
 )
 def _(v):
-    panel = v.panel()
-    return masks.apply_mask(panel, masks.synthetic_mask(panel, VARIABLES, MCAR, SEED)).drop("ts")
+    return masks.apply_mask(v.panel(), masks.synthetic_mask(v.samples(), VARIABLES, MCAR, SEED)).drop("ts")
 
 
 @query(
@@ -316,7 +314,7 @@ def _(v):
     f"WITH {PANEL}, {mask_sql(MCAR)} SELECT station_id, t, variable, CASE WHEN k % 2 = 0 THEN 'val' ELSE 'test' END AS holdout FROM mask",
 )
 def _(v):
-    mask = masks.synthetic_mask(v.panel(), VARIABLES, MCAR, SEED)
+    mask = masks.synthetic_mask(v.samples(), VARIABLES, MCAR, SEED)
     return masks.holdout_masks(mask).select("station_id", "t", "variable", "holdout")
 
 
@@ -329,9 +327,9 @@ _SIMULATED = ", ".join(mask_sql(MCAR, splits.split_seed(SEED, s), f"mask_{s}") f
 )
 def _(v):
     """One mask per split over the same stations."""
-    panel = v.panel()
+    samples = v.samples()
     drawn = [
-        masks.synthetic_mask(panel, VARIABLES, MCAR, splits.split_seed(SEED, s)).select(F.lit(s).alias("split"), "station_id", "t", "variable")
+        masks.synthetic_mask(samples, VARIABLES, MCAR, splits.split_seed(SEED, s)).select(F.lit(s).alias("split"), "station_id", "t", "variable")
         for s in splits.SPLITS
     ]
     return drawn[0].unionByName(drawn[1]).unionByName(drawn[2])
@@ -353,12 +351,13 @@ _STRATEGY_CELLS = " UNION ALL ".join(
 )
 def _(v):
     panel = v.panel()
-    parts = []
-    for name, spec in _STRATEGIES.items():
-        marked = masks.apply_mask(panel, masks.synthetic_mask(panel, VARIABLES, spec, SEED))
-        value = F.when(~F.col("is_synthetic"), 1)
-        parts.append(marked.select(F.lit(name).alias("strategy"), "station_id", "variable", "t", value.alias("value")))
-    masked = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    drawn = [
+        masks.synthetic_mask(v.samples(), VARIABLES, spec, SEED, panel).select(F.lit(name).alias("strategy"), "station_id", "variable", "t")
+        for name, spec in _STRATEGIES.items()
+    ]
+    hits = drawn[0].unionByName(drawn[1]).unionByName(drawn[2]).withColumn("hit", F.lit(True))
+    cells = panel.select(F.explode(F.array(*[F.lit(n) for n in _STRATEGIES])).alias("strategy"), "station_id", "variable", "t")
+    masked = cells.join(hits, ["strategy", "station_id", "variable", "t"], "left").withColumn("value", F.when(F.col("hit").isNull(), 1)).drop("hit")
     return _rounded_gaps(series.gap_statistics(masked, ["strategy", "station_id", "variable"], ["strategy"]))
 
 

@@ -37,77 +37,101 @@ def _before(keys, order, descending=False):
     return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _extend(chain: Column, outer: Column, depth: int) -> Column:
-    return F.slice(F.when(outer.isNull(), chain).otherwise(F.concat(chain, outer)), 1, depth)
-
-
-def _chains(df: DataFrame, name: str, window, depth: int) -> DataFrame:
-    """Grow ``name`` (nearest first, NULL where no point) to ``depth`` points along ``window``."""
-    df = df.withColumn("__own", F.col(name))
-    for _ in range(depth - 1):
-        df = df.withColumn("__earlier", F.last(name, ignorenulls=True).over(window)).withColumn(
-            name, F.when(F.col("__own").isNotNull(), _extend(F.col("__own"), F.col("__earlier"), depth))
-        )
-    return df.drop("__own", "__earlier")
-
-
 def nearest_points(
     df: DataFrame,
     keys: list[str],
-    payload: Column,
+    points: dict[str, tuple[Column, int]],
     t: str = "t",
-    depth: int = 1,
     bounds: bool = False,
     width: int = BLOCK,
 ) -> DataFrame:
-    """Add ``before`` and ``after``: the ``depth`` nearest points strictly on each side.
-
-    A point is a row with a non-NULL ``payload``. Both columns are arrays of
-    ``struct<t, v>``, nearest first, NULL when there is none. ``bounds`` also adds
-    ``first_t`` and ``last_t`` of the whole series.
-
-    Rows are shuffled once, on (keys, block); summary and rows read that same
-    exchange.
+    """The nearest points strictly before and after each row, for each name in ``points``.
+
+    ``points`` gives a payload and a depth per name; a point is a row with a non-NULL
+    payload. Added are step and payload of the i-th nearest point, NULL when there is
+    none: ``{name}_bt{i}``, ``{name}_bv{i}`` before and ``{name}_at{i}``, ``{name}_av{i}``
+    after, i from 1 to the depth. ``bounds`` also adds ``first_t`` and ``last_t`` of the
+    whole series.
+
+    All names share one shuffle of the rows, on (keys, block). The block summary
+    reads that same shuffle: comparing row hashes makes both readers hold all of the
+    columns, without which the input would be computed twice. Select the needed
+    columns before calling.
     """
     columns = df.columns
     inner = [*keys, _BLK]
-    up, down = _before(inner, t), _before(inner, t, descending=True)
-    rows = (
-        _blocked(df, keys, t, width)
-        .withColumn("__payload", payload)
-        .repartition(*keys, _BLK)
-        .withColumn("__pt", F.when(F.col("__payload").isNotNull(), F.struct(F.col(t).alias("t"), F.col("__payload").alias("v"))))
-        .drop("__payload")
-    )
-    rows = rows.withColumn("__bw", F.when(F.col("__pt").isNotNull(), F.array("__pt"))).withColumn("__fw", F.col("__bw"))
-    rows = _chains(rows, "__bw", up, depth)
-    rows = _chains(rows, "__fw", down, depth)
-
-    summary = rows.groupBy(*inner).agg(
-        F.max(F.when(F.col("__pt").isNotNull(), F.struct(F.col(t).alias("at"), F.col("__bw").alias("c")))).alias("tail"),
-        F.min(F.when(F.col("__pt").isNotNull(), F.struct(F.col(t).alias("at"), F.col("__fw").alias("c")))).alias("head"),
-        *([F.min(t).alias("lo"), F.max(t).alias("hi")] if bounds else []),
-    )
-    summary = summary.withColumn("__tail", F.col("tail.c")).withColumn("__head", F.col("head.c"))
-    over_up, over_down = _before(keys, _BLK), _before(keys, _BLK, descending=True)
-    summary = _chains(summary, "__tail", over_up, depth)
-    summary = _chains(summary, "__head", over_down, depth)
+    rows = _blocked(df, keys, t, width).repartition(*inner)
+    whole_row = F.xxhash64(*columns)
+    sides = {"b": _before(inner, t), "a": _before(inner, t, descending=True)}
+
+    near = rows
+    for side, window in sides.items():
+        for name, (payload, depth) in points.items():
+            is_point = payload.isNotNull()
+            for i in range(1, depth + 1):
+                step = F.col(t) if i == 1 else F.col(f"{name}_{side}t{i - 1}")
+                held = payload if i == 1 else F.col(f"{name}_{side}v{i - 1}")
+                near = near.withColumns(
+                    {
+                        f"{name}_{side}t{i}": F.last(F.when(is_point, step), ignorenulls=True).over(window),
+                        f"{name}_{side}v{i}": F.last(F.when(is_point, held), ignorenulls=True).over(window),
+                    }
+                )
+
+    deep = any(depth > 1 for _, depth in points.values())
+    carry = _carried(near if deep else rows, keys, points, t, whole_row, bounds)
+    joined = near.join(carry, inner).where(whole_row <= F.col("__largest"))
+    merged = {}
+    for side in sides:
+        for name, (_, depth) in points.items():
+            for i in range(1, depth + 1):
+                for part in "tv":
+                    merged[f"{name}_{side}{part}{i}"] = _from_both(name, side, part, i)
+    return joined.withColumns(merged).select(*columns, *merged, *(["first_t", "last_t"] if bounds else []))
+
+
+def _from_both(name: str, side: str, part: str, i: int) -> Column:
+    """i-th nearest point: those of the own block first, then those carried in."""
+    outer = lambda j: F.get(f"__{name}_{side}", F.lit(j - 1))[part]
+    value = outer(i)
+    for found in range(1, i + 1):
+        inside = F.col(f"{name}_{side}t{found}").isNotNull()
+        value = F.when(inside, F.col(f"{name}_{side}{part}{i}") if found == i else outer(i - found)).otherwise(value)
+    return value
+
+
+def _carried(rows: DataFrame, keys, points, t: str, whole_row: Column, bounds: bool) -> DataFrame:
+    """One row per block: for every name and side, an array of the points that lie beyond the block."""
+    aggregates = [F.max(whole_row).alias("__largest")]
+    for name, (payload, depth) in points.items():
+        at = F.when(payload.isNotNull(), F.col(t))
+        for side, pick in (("b", F.max_by), ("a", F.min_by)):
+            aggregates += [
+                (F.max if side == "b" else F.min)(at).alias(f"{name}_{side}_t1"),
+                pick(payload, at).alias(f"{name}_{side}_v1"),
+            ]
+            for i in range(2, depth + 1):
+                aggregates += [
+                    pick(F.when(at.isNotNull(), F.col(f"{name}_{side}{part}{i - 1}")), at).alias(f"{name}_{side}_{part}{i}")
+                    for part in "tv"
+                ]
+    if bounds:
+        aggregates += [F.min(t).alias("__lo"), F.max(t).alias("__hi")]
+    summary = rows.groupBy(*keys, _BLK).agg(*aggregates)
+    windows = {"b": _before(keys, _BLK), "a": _before(keys, _BLK, descending=True)}
+    for name, (_, depth) in points.items():
+        for side, window in windows.items():
+            slots = [F.struct(F.col(f"{name}_{side}_t{i}").alias("t"), F.col(f"{name}_{side}_v{i}").alias("v")) for i in range(1, depth + 1)]
+            own = F.filter(F.array(*slots), lambda p: p["t"].isNotNull())
+            summary = summary.withColumn("__own", F.when(F.size(own) > 0, own)).withColumn("__run", F.col("__own"))
+            for _ in range(depth - 1):
+                earlier = F.last("__run", ignorenulls=True).over(window)
+                longer = F.slice(F.concat("__own", F.coalesce(F.col("__earlier"), F.array())), 1, depth)
+                summary = summary.withColumn("__earlier", earlier).withColumn("__run", F.when(F.col("__own").isNotNull(), longer))
+            summary = summary.withColumn(f"__{name}_{side}", F.last("__run", ignorenulls=True).over(window))
     whole = Window.partitionBy(*keys)
-    carry = summary.select(
-        *inner,
-        F.last("__tail", ignorenulls=True).over(over_up).alias("__before"),
-        F.last("__head", ignorenulls=True).over(over_down).alias("__after"),
-        *([F.min("lo").over(whole).alias("first_t"), F.max("hi").over(whole).alias("last_t")] if bounds else []),
-    )
-    out = rows.join(carry, inner)
-    near_up, near_down = F.last("__bw", ignorenulls=True).over(up), F.last("__fw", ignorenulls=True).over(down)
-    out = out.withColumn("before", near_up).withColumn("after", near_down)
-    for name in ("before", "after"):
-        own, outer = F.col(name), F.col(f"__{name}")
-        out = out.withColumn(name, F.when(own.isNull(), outer).otherwise(_extend(own, outer, depth)))
-    extra = ["first_t", "last_t"] if bounds else []
-    return out.select(*columns, "before", "after", *extra)
-
+    ends = [F.min("__lo").over(whole).alias("first_t"), F.max("__hi").over(whole).alias("last_t")] if bounds else []
+    return summary.select(*keys, _BLK, "__largest", *[f"__{name}_{side}" for name in points for side in "ba"], *ends)
 
 
 def running_sum(

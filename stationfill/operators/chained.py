@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import standard_normal
 from ..session import checkpointed
+from .series import unfold
 
 MAX_VARIABLES = 12
 
@@ -31,7 +32,7 @@ def to_wide(panel: DataFrame, variables, value: str = "value") -> DataFrame:
 
 
 def to_long(wide: DataFrame, variables, name: str = "value", extra=()) -> DataFrame:
-    return wide.unpivot(["station_id", "t", *extra], list(variables), "variable", name)
+    return unfold(wide, variables, ["station_id", "t", *extra], name)
 
 
 def _missing_set(variables) -> Column:

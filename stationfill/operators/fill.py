@@ -14,9 +14,11 @@ from .blocks import nearest_points
 from .series import SERIES
 
 
+POINTS = "obs"
+
+
 def _side(side: str, i: int) -> tuple[Column, Column]:
-    point = F.get(side, F.lit(i))
-    return point["t"], point["v"]
+    return F.col(f"{POINTS}_{side[0]}t{i + 1}"), F.col(f"{POINTS}_{side[0]}v{i + 1}")
 
 
 def _with_ends(inner: Column, max_gap: int | None) -> Column:
@@ -32,17 +34,14 @@ def _with_ends(inner: Column, max_gap: int | None) -> Column:
     )
 
 
-def linear_fill(panel: DataFrame, max_gap: int | None = None, keys: list[str] = SERIES) -> DataFrame:
-    around = nearest_points(panel, keys, F.col("value"))
+def add_line(around: DataFrame, name: str, max_gap: int | None = None) -> DataFrame:
     (lt, lv), (rt, rv) = _side("before", 0), _side("after", 0)
     line = lv + (rv - lv) * ((F.col("t") - lt) / (rt - lt))
-    return around.select(*panel.columns, _with_ends(line, max_gap).alias("filled"))
+    return around.withColumn(name, _with_ends(line, max_gap))
 
 
-def carry_forward(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """Last observed value (first one at the start): the comparison baseline of the paired tests."""
-    around = nearest_points(panel, keys, F.col("value"))
-    return around.select(*panel.columns, _with_ends(_side("before", 0)[1], None).alias("filled"))
+def add_carried(around: DataFrame, name: str, max_gap: int | None = None) -> DataFrame:
+    return around.withColumn(name, _with_ends(_side("before", 0)[1], max_gap))
 
 
 def _akima_slope(l2: Column, l1: Column, r1: Column, r2: Column) -> Column:
@@ -52,38 +51,54 @@ def _akima_slope(l2: Column, l1: Column, r1: Column, r2: Column) -> Column:
     return F.when(total > 1e-12, (w_left * l1 + w_right * r1) / total).otherwise((l1 + r1) / 2.0)
 
 
-def akima_fill(panel: DataFrame, max_gap: int | None = None, keys: list[str] = SERIES) -> DataFrame:
+def add_akima(around: DataFrame, name: str, max_gap: int | None = None) -> DataFrame:
     """Akima (1970): local cubic through three observed points on each side of the gap."""
-    around = nearest_points(panel, keys, F.col("value"), depth=3)
     # p2 p1 p0 | gap | n0 n1 n2
     (p0t, p0v), (p1t, p1v), (p2t, p2v) = (_side("before", i) for i in range(3))
     (n0t, n0v), (n1t, n1v), (n2t, n2v) = (_side("after", i) for i in range(3))
     slope = lambda ta, va, tb, vb: F.try_divide(vb - va, (tb - ta).cast("double"))
-    slopes = around.select(
-        *panel.columns,
-        "before",
-        "after",
-        slope(p2t, p2v, p1t, p1v).alias("a2"),
-        slope(p1t, p1v, p0t, p0v).alias("a1"),
-        slope(p0t, p0v, n0t, n0v).alias("m"),
-        slope(n0t, n0v, n1t, n1v).alias("b1"),
-        slope(n1t, n1v, n2t, n2v).alias("b2"),
+    m, a1, a2, b1, b2 = (F.col(f"__{c}") for c in ("m", "a1", "a2", "b1", "b2"))
+    slopes = around.withColumns(
+        {
+            "__a2": slope(p2t, p2v, p1t, p1v),
+            "__a1": slope(p1t, p1v, p0t, p0v),
+            "__m": slope(p0t, p0v, n0t, n0v),
+            "__b1": slope(n0t, n0v, n1t, n1v),
+            "__b2": slope(n1t, n1v, n2t, n2v),
+        }
     )
-    m = F.col("m")
-    # Missing slopes are extended from the inner ones: the next is 2·first − second.
-    a1 = F.coalesce("a1", 2 * m - F.col("b1"), m)
-    b1 = F.coalesce("b1", 2 * m - F.col("a1"), m)
-    extended = slopes.withColumn("x1", a1).withColumn("y1", b1)
-    a2 = F.coalesce("a2", 2 * F.col("x1") - m)
-    b2 = F.coalesce("b2", 2 * F.col("y1") - m)
-    left = _akima_slope(a2, F.col("x1"), m, F.col("y1"))
-    right = _akima_slope(F.col("x1"), m, F.col("y1"), b2)
+    # A slope missing at an end of the series continues the two next to it: 2 · first − second.
+    inner = slopes.withColumns({"__a1": F.coalesce(a1, 2 * m - b1, m), "__b1": F.coalesce(b1, 2 * m - a1, m)})
+    outer = inner.withColumns({"__a2": F.coalesce(a2, 2 * a1 - m), "__b2": F.coalesce(b2, 2 * b1 - m)})
     h = (n0t - p0t).cast("double")
     s = (F.col("t") - p0t) / h
     curve = (
         (2 * s * s * s - 3 * s * s + 1) * p0v
-        + (s * s * s - 2 * s * s + s) * h * left
+        + (s * s * s - 2 * s * s + s) * h * _akima_slope(a2, a1, m, b1)
         + (-2 * s * s * s + 3 * s * s) * n0v
-        + (s * s * s - s * s) * h * right
+        + (s * s * s - s * s) * h * _akima_slope(a1, m, b1, b2)
     )
-    return extended.select(*panel.columns, _with_ends(curve, max_gap).alias("filled"))
+    return outer.withColumn(name, _with_ends(curve, max_gap)).drop("__a1", "__a2", "__m", "__b1", "__b2")
+
+
+# Method along time -> observed points needed on each side, and the step that uses them.
+ALONG_TIME = {"linear": (1, add_line), "carry_forward": (1, add_carried), "akima": (3, add_akima)}
+
+
+def _fill(panel: DataFrame, method: str, max_gap: int | None, keys: list[str]) -> DataFrame:
+    depth, add = ALONG_TIME[method]
+    around = nearest_points(panel, keys, {POINTS: (F.col("value"), depth)})
+    return add(around, "filled", max_gap).select(*panel.columns, "filled")
+
+
+def linear_fill(panel: DataFrame, max_gap: int | None = None, keys: list[str] = SERIES) -> DataFrame:
+    return _fill(panel, "linear", max_gap, keys)
+
+
+def carry_forward(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """Last observed value (first one at the start): the comparison baseline of the paired tests."""
+    return _fill(panel, "carry_forward", None, keys)
+
+
+def akima_fill(panel: DataFrame, max_gap: int | None = None, keys: list[str] = SERIES) -> DataFrame:
+    return _fill(panel, "akima", max_gap, keys)

@@ -73,7 +73,8 @@ class MaskSpec:
 
 
 def sample_sizes(panel: DataFrame) -> DataFrame:
-    """One row per sample: first step and number of steps."""
+    """One row per sample: first step and number of steps. Where the grid's range is
+    known, building this table from the station list saves reading the panel."""
     return panel.groupBy(SAMPLE).agg(
         F.min("t").alias("first_t"), (F.max("t") - F.min("t") + 1).cast("bigint").alias("n_steps")
     )
@@ -95,8 +96,8 @@ def _gap_length(spec: MaskSpec, seed) -> Column:
     )
 
 
-def _targets(panel: DataFrame, n_variables: int, ratio: float) -> DataFrame:
-    return sample_sizes(panel).withColumn("target", F.floor(F.col("n_steps") * n_variables * ratio).cast("bigint"))
+def _targets(samples: DataFrame, n_variables: int, ratio: float) -> DataFrame:
+    return samples.withColumn("target", F.floor(F.col("n_steps") * n_variables * ratio).cast("bigint"))
 
 
 def _candidates(sized: DataFrame, n_variables: int, spec: MaskSpec, seed) -> DataFrame:
@@ -113,19 +114,19 @@ def _uniform_starts(candidates: DataFrame, seed) -> DataFrame:
     return candidates.withColumn("start", uniform_int(F.lit(0), F.col("n_steps") - 1, *label, "start"))
 
 
-def _extreme_steps(panel: DataFrame, spec: MaskSpec) -> DataFrame:
-    """Steps of the condition variable, flagged, numbered inside (sample, flag)."""
+def _flagged_steps(panel: DataFrame, spec: MaskSpec) -> DataFrame:
+    """Steps of the condition variable with ``is_extreme``; thresholds are over all samples."""
     condition = panel.where(F.col("variable") == spec.condition_variable).select(SAMPLE, "t", "value")
     limits = exact_quantiles(condition, "value", [spec.extreme_percentile, 1.0 - spec.extreme_percentile])
     outside = F.coalesce((F.col("value") < F.col("q0")) | (F.col("value") > F.col("q1")), F.lit(False))
-    flagged = condition.crossJoin(F.broadcast(limits)).select(SAMPLE, "t", outside.alias("is_extreme"))
-    return running_sum(flagged, [SAMPLE, "is_extreme"], F.lit(1), name="place")
+    return condition.crossJoin(F.broadcast(limits)).select(SAMPLE, "t", outside.alias("is_extreme"))
 
 
 def _biased_starts(candidates: DataFrame, panel: DataFrame, spec: MaskSpec, seed) -> DataFrame:
     """Starts drawn from the extreme steps with a raised probability, else from the normal ones."""
-    steps = _extreme_steps(panel, spec)
-    shares = steps.groupBy(SAMPLE).agg(
+    flagged = _flagged_steps(panel, spec)
+    steps = running_sum(flagged, [SAMPLE, "is_extreme"], F.lit(1), name="place")
+    shares = flagged.groupBy(SAMPLE).agg(
         F.count_if("is_extreme").alias("n_extreme"), F.count_if(~F.col("is_extreme")).alias("n_normal")
     )
     if spec.kind == "mar":
@@ -180,13 +181,19 @@ def _cells_in_order(candidates: DataFrame, sized: DataFrame, variables) -> DataF
     )
 
 
-def synthetic_mask(panel: DataFrame, variables, spec: MaskSpec, seed) -> DataFrame:
-    """The masked cells of a dense panel: ``(station_id, t, variable, k)``, each once."""
-    sized = _targets(panel, len(variables), spec.missing_ratio)
+def synthetic_mask(samples: DataFrame, variables, spec: MaskSpec, seed, panel: DataFrame | None = None) -> DataFrame:
+    """The masked cells: ``(station_id, t, variable, k)``, each once.
+
+    ``samples`` is laid out as by :func:`sample_sizes`. The panel itself is needed
+    only for kinds whose gaps depend on values.
+    """
+    sized = _targets(samples, len(variables), spec.missing_ratio)
     candidates = _candidates(sized, len(variables), spec, seed)
     if spec.kind in ("mar", "mnar"):
         if spec.condition_variable not in variables:
             raise ValueError(f"condition_variable must be one of {tuple(variables)}")
+        if panel is None:
+            raise ValueError(f"{spec.kind} masks need the panel")
         placed = _biased_starts(candidates, panel, spec, seed)
     else:
         placed = _uniform_starts(candidates, seed)
@@ -208,9 +215,9 @@ def apply_mask(panel: DataFrame, mask: DataFrame) -> DataFrame:
     )
 
 
-def mask_totals(panel: DataFrame, mask: DataFrame, n_variables: int, ratio: float) -> DataFrame:
+def mask_totals(samples: DataFrame, mask: DataFrame, n_variables: int, ratio: float) -> DataFrame:
     """Per sample: target and reached number of cells."""
-    wanted = _targets(panel, n_variables, ratio).select(SAMPLE, "target")
+    wanted = _targets(samples, n_variables, ratio).select(SAMPLE, "target")
     reached = mask.groupBy(SAMPLE).agg(F.count("*").alias("masked"))
     return wanted.join(reached, SAMPLE, "left").select(SAMPLE, "target", F.coalesce("masked", F.lit(0)).alias("masked"))
 

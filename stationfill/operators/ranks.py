@@ -77,7 +77,8 @@ def exact_quantiles(
         raise ValueError(f"{by} has more than 10,000 groups; quantiles are meant for strata")
     if max((row["count"] for row in sizes), default=0) <= direct_rows:
         wanted = [F.percentile("v", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probabilities)]
-        return present.groupBy(by).agg(*wanted) if by else present.agg(*wanted)
+        rows = [list(row) for row in (present.groupBy(by).agg(*wanted) if by else present.agg(*wanted)).collect()]
+        return _small_table(df, rows, len(probabilities), by)
     rows = []
     for size in sizes:
         group = present.where(F.col(by).eqNullSafe(F.lit(size[by]))) if by else present
@@ -90,7 +91,11 @@ def exact_quantiles(
             low, high = found[int(spot)], found[min(int(spot) + 1, n - 1)]
             quantiles.append(low + (high - low) * (spot - int(spot)))
         rows.append(([size[by]] if by else []) + quantiles)
-    names = ", ".join(f"q{i} double" for i in range(len(probabilities)))
+    return _small_table(df, rows, len(probabilities), by)
+
+
+def _small_table(df: DataFrame, rows, n: int, by: str | None) -> DataFrame:
+    names = ", ".join(f"q{i} double" for i in range(n))
     kind = f"{by} {df.schema[by].dataType.simpleString()}, " if by else ""
     return df.sparkSession.createDataFrame(rows, kind + names)
 

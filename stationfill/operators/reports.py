@@ -75,8 +75,3 @@ def keep_prefixes(df: DataFrame, prefixes=C.NORTH_AMERICA_PREFIXES, id_column: s
     rule = reduce(lambda a, b: a | b, [F.col(id_column).startswith(p) for p in prefixes])
     return df.where(rule)
 
-
-def to_long(df: DataFrame, variables, keys=("station_id", "ts")) -> DataFrame:
-    """One row per report and variable: ``(keys, variable, value)``."""
-    values = [F.col(v).cast("double").alias(v) for v in variables]
-    return df.select(*keys, *values).unpivot(list(keys), list(variables), "variable", "value")

@@ -100,14 +100,15 @@ def by_extremes(cells: DataFrame, percentiles=C.EXTREME_PERCENTILES, by: str | N
 def stratified_metrics(
     cells: DataFrame, strata=("gap_length", "variable", "extremes", "season"), bins=C.GAP_LENGTH_BINS, percentiles=C.EXTREME_PERCENTILES
 ) -> DataFrame:
-    """Any of the four stratifications from one pass: a cell counts once in each."""
-    unknown = set(strata) - {"gap_length", "variable", "extremes", "season"}
+    """Any of the four stratifications, and ``overall``, from one pass: a cell counts once in each."""
+    unknown = set(strata) - {"gap_length", "variable", "extremes", "season", "overall"}
     if unknown:
         raise ValueError(f"unknown strata {sorted(unknown)}")
     scored = _scored(cells)
     if "extremes" in strata:
         scored = _with_extremes(scored, percentiles, None)
     rules = {
+        "overall": lambda: F.lit("all"),
         "gap_length": lambda: gap_length_label(F.col("gap_length"), bins),
         "variable": lambda: F.col("variable"),
         "extremes": lambda: F.col("extreme_label"),

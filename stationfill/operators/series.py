@@ -22,38 +22,53 @@ def hour_index(ts: Column, origin: str = "1970-01-01 00:00:00") -> Column:
     return F.floor(micros / F.lit(3_600_000_000)).cast("bigint")
 
 
-def first_per_step(reports: DataFrame) -> DataFrame:
-    """One cell per (station, step, variable): the earliest report with a value.
+def first_per_step(reports: DataFrame, variables) -> DataFrame:
+    """One row per (station, step): of each variable the earliest reported value.
 
     Copies of one report fold together before the shuffle.
     """
-    reported = F.when(F.col("value").isNotNull(), F.struct("ts", "value"))
-    return reports.groupBy("station_id", "t", "variable").agg(F.min(reported)["value"].alias("value"))
+    earliest = [F.min(F.when(F.col(v).isNotNull(), F.struct("ts", F.col(v).cast("double").alias("x"))))["x"].alias(v) for v in variables]
+    return reports.groupBy("station_id", "t").agg(*earliest)
 
 
-def regular_grid(cells: DataFrame, variables, first: int | None = None, last: int | None = None) -> DataFrame:
+def unfold(wide: DataFrame, variables, keys, name: str = "value") -> DataFrame:
+    """One row per variable. Keys pass through unchanged, so filters on them still reach the source."""
+    cells = [F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias(name)) for v in variables]
+    return wide.select(*keys, F.inline(F.array(*cells)))
+
+
+def regular_grid(
+    cells: DataFrame, variables, first: int | None = None, last: int | None = None, stations: DataFrame | None = None
+) -> DataFrame:
     """Every step of every station and variable, missing ones with a NULL value.
 
-    The range is the station's own, or ``first``..``last`` when given. Cells must
-    be unique (see :func:`first_per_step`).
+    ``cells`` has one row per station and step and one column per variable (see
+    :func:`first_per_step`); variables are unfolded only after the join. The range
+    is the station's own, or ``first``..``last`` when given; ``stations`` then
+    names the stations if listing them from the cells is not wanted.
     """
     if (first is None) != (last is None):
         raise ValueError("give both first and last, or neither")
     if first is None:
         ends = cells.groupBy("station_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     else:
-        ends = cells.select("station_id").distinct().withColumn("lo", F.lit(first)).withColumn("hi", F.lit(last))
+        listed = cells if stations is None else stations
+        ends = listed.select("station_id").distinct().withColumn("lo", F.lit(first)).withColumn("hi", F.lit(last))
     steps = explode_range(ends, ["station_id"], F.col("lo"), F.col("hi")).select("station_id", F.col("t").cast("int").alias("t"))
-    skeleton = steps.withColumn("variable", F.explode(F.array(*[F.lit(v) for v in variables])))
-    return skeleton.join(cells.select("station_id", "t", "variable", "value"), ["station_id", "t", "variable"], "left")
+    wide = steps.join(cells.select("station_id", "t", *variables), ["station_id", "t"], "left")
+    return unfold(wide, variables, ["station_id", "t"])
+
+
+def gap_columns(df: DataFrame, points: str) -> DataFrame:
+    """``gap_start`` and ``gap_length`` of the run a cell lies in, from its neighbours and the series' ends."""
+    start = F.coalesce(F.col(f"{points}_bt1") + 1, F.col("first_t"))
+    end = F.coalesce(F.col(f"{points}_at1") - 1, F.col("last_t"))
+    return df.withColumn("gap_start", start).withColumn("gap_length", (end - start + 1).cast("bigint"))
 
 
 def _around(panel: DataFrame, keys: list[str]) -> DataFrame:
-    """Each cell with the steps of the observed cells around it and of its series' ends."""
-    with_points = nearest_points(panel, keys, F.when(F.col("value").isNotNull(), F.lit(True)), bounds=True)
-    start = F.coalesce(F.get("before", F.lit(0))["t"] + 1, F.col("first_t"))
-    end = F.coalesce(F.get("after", F.lit(0))["t"] - 1, F.col("last_t"))
-    return with_points.withColumn("gap_start", start).withColumn("gap_length", (end - start + 1).cast("bigint"))
+    observed = F.when(F.col("value").isNotNull(), F.lit(True))
+    return gap_columns(nearest_points(panel, keys, {"obs": (observed, 1)}, bounds=True), "obs")
 
 
 def gap_runs(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
@@ -71,30 +86,27 @@ def gap_lengths(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
 def gap_statistics(panel: DataFrame, keys: list[str] = SERIES, by: list[str] | None = None) -> DataFrame:
     """Cells, missing share and run lengths per group.
 
-    Equal lengths are counted before the median, whose state then holds distinct
-    lengths only.
+    One pass counts cells by the length of the run that starts there, so the
+    median's state holds distinct lengths only.
     """
     by = keys if by is None else by
-    cells = panel.groupBy(*by).agg(
-        F.count("*").alias("n_cells"), F.count_if(F.col("value").isNull()).alias("n_missing")
+    starts = F.col("value").isNull() & (F.col("t") == F.col("gap_start"))
+    counted = (
+        _around(panel, keys)
+        .groupBy(*by, F.when(starts, F.col("gap_length")).alias("length"))
+        .agg(F.count("*").alias("k"), F.count_if(F.col("value").isNull()).alias("m"))
     )
-    lengths = gap_runs(panel, keys).groupBy(*by, "length").agg(F.count("*").alias("k"))
-    runs = lengths.groupBy(*by).agg(
-        F.sum("k").alias("n_gaps"),
-        (F.sum(F.col("length") * F.col("k")) / F.sum("k")).alias("mean_length"),
+    runs = F.when(F.col("length").isNotNull(), F.col("k"))
+    stats = counted.groupBy(*by).agg(
+        F.sum("k").alias("n_cells"),
+        F.sum("m").alias("n_missing"),
+        F.coalesce(F.sum(runs), F.lit(0)).alias("n_gaps"),
+        F.try_divide(F.sum(F.col("length") * F.col("k")), F.sum(runs)).alias("mean_length"),
         F.percentile("length", F.lit(0.5), F.col("k")).alias("median_length"),
         F.max("length").alias("max_length"),
     )
-    return cells.join(runs, by, "left").select(
-        *by,
-        "n_cells",
-        "n_missing",
-        (F.col("n_missing") * F.lit(100.0) / F.col("n_cells")).alias("missing_pct"),
-        F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"),
-        "mean_length",
-        "median_length",
-        "max_length",
-    )
+    share = (F.col("n_missing") * F.lit(100.0) / F.col("n_cells")).alias("missing_pct")
+    return stats.select(*by, "n_cells", "n_missing", share, "n_gaps", "mean_length", "median_length", "max_length")
 
 
 def gap_category(length: Column) -> Column:

@@ -6,34 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chained, fill, masks, score, series
+from ..operators.blocks import nearest_points
 
-METHODS = ("linear", "akima", "chained", "carry_forward")
+METHODS = (*fill.ALONG_TIME, "chained")
 
 
-def hide(panel: DataFrame, variables, spec: masks.MaskSpec, seed) -> DataFrame:
-    """Panel with hidden cells and the run length of every hidden cell."""
-    marked = masks.apply_mask(panel, masks.synthetic_mask(panel, variables, spec, seed))
-    hidden_runs = marked.withColumn("value", F.when(~F.col("is_synthetic"), F.lit(1.0))).withColumn(
-        "__value", F.when(~F.col("is_synthetic"), F.col("truth"))
-    )
-    return series.gap_lengths(hidden_runs).withColumn("value", F.col("__value")).drop("__value")
+def hide(panel: DataFrame, variables, spec: masks.MaskSpec, seed, samples: DataFrame | None = None) -> DataFrame:
+    """Panel with ``truth``, ``value`` (NULL where hidden), ``is_synthetic`` and ``is_eval``."""
+    samples = masks.sample_sizes(panel) if samples is None else samples
+    return masks.apply_mask(panel, masks.synthetic_mask(samples, variables, spec, seed, panel))
+
 
+def estimate(hidden: DataFrame, methods: dict[str, str], variables, max_gap: int | None = None, **options) -> DataFrame:
+    """Add the run length of every hidden cell and one estimate column per entry of ``methods``.
 
-def estimate(hidden: DataFrame, method: str, variables, max_gap: int | None = None, **options) -> DataFrame:
-    """Add ``estimate`` by the named method; only unhidden cells are seen by it."""
-    if method == "linear":
-        return fill.linear_fill(hidden, max_gap).withColumnRenamed("filled", "estimate")
-    if method == "akima":
-        return fill.akima_fill(hidden, max_gap).withColumnRenamed("filled", "estimate")
-    if method == "carry_forward":
-        return fill.carry_forward(hidden).withColumnRenamed("filled", "estimate")
-    if method == "chained":
-        wide = chained.to_wide(hidden, variables)
-        model = chained.fit_chained(wide, variables, **options)
-        done = chained.impute_chained(wide, model).drop("imputation")
-        cells = chained.to_long(done, variables, "estimate")
-        return hidden.join(cells, ["station_id", "t", "variable"])
-    raise ValueError(f"method must be one of {METHODS}")
+    ``methods`` maps column names to method names. Everything that looks along a
+    series (gap lengths and all methods along time) shares one shuffle. Only cells
+    that are not hidden are seen by the methods.
+    """
+    unknown = set(methods.values()) - set(METHODS)
+    if unknown:
+        raise ValueError(f"methods must be among {METHODS}, got {sorted(unknown)}")
+    along = {column: fill.ALONG_TIME[m] for column, m in methods.items() if m in fill.ALONG_TIME}
+    shown = F.when(~F.col("is_synthetic"), F.lit(True))
+    points = {"shown": (shown, 1)}
+    if along:
+        points[fill.POINTS] = (F.col("value"), max(depth for depth, _ in along.values()))
+    around = series.gap_columns(nearest_points(hidden, series.SERIES, points, bounds=True), "shown")
+    for column, (_, add) in along.items():
+        around = add(around, column, max_gap)
+    length = F.when(F.col("is_synthetic"), F.col("gap_length")).otherwise(F.lit(0)).cast("bigint")
+    out = around.select(*hidden.columns, length.alias("gap_length"), *along)
+    for column, method in methods.items():
+        if method == "chained":
+            wide = chained.to_wide(hidden, variables)
+            done = chained.impute_chained(wide, chained.fit_chained(wide, variables, **options)).drop("imputation")
+            out = out.join(chained.to_long(done, variables, column), ["station_id", "t", "variable"])
+    return out
 
 
 def evaluate(
@@ -44,34 +53,20 @@ def evaluate(
     seed=42,
     strata=("gap_length", "variable", "season"),
     max_gap: int | None = None,
+    samples: DataFrame | None = None,
 ) -> DataFrame:
     """Long table of metrics: one row overall and one per stratum."""
-    cells = estimate(hide(panel, variables, spec, seed), method, variables, max_gap)
-    kept = cells.select("variable", "ts", "truth", "estimate", "is_eval", "gap_length")
-    labelled = kept.where(F.col("is_eval"))
-    overall = F.struct(F.lit("overall").alias("stratification"), F.lit("all").alias("stratum"))
-    rules = {
-        "gap_length": score.gap_length_label(F.col("gap_length")),
-        "variable": F.col("variable"),
-        "season": score.season_label(F.col("ts")),
-    }
-    if "extremes" in strata:
-        labelled = score._with_extremes(labelled, (5.0, 95.0), None)
-        rules["extremes"] = F.col("extreme_label")
-    pairs = [overall] + [F.struct(F.lit(s).alias("stratification"), rules[s].alias("stratum")) for s in strata]
-    return (
-        labelled.select("truth", "estimate", F.inline(F.array(*pairs)))
-        .where(F.col("stratum").isNotNull())
-        .groupBy("stratification", "stratum")
-        .agg(*score.metric_columns(F.col("truth"), F.col("estimate")))
-    )
+    hidden = hide(panel, variables, spec, seed, samples)
+    cells = estimate(hidden, {"estimate": method}, variables, max_gap)
+    return score.stratified_metrics(cells, ("overall", *strata))
 
 
-def method_errors(panel: DataFrame, variables, spec: masks.MaskSpec, methods=("linear", "carry_forward"), seed=42) -> DataFrame:
+def method_errors(
+    panel: DataFrame, variables, spec: masks.MaskSpec, methods=("linear", "carry_forward"), seed=42, samples: DataFrame | None = None
+) -> DataFrame:
     """Signed errors of two methods side by side on the hidden cells."""
-    hidden = hide(panel, variables, spec, seed)
-    first, second = (estimate(hidden, m, variables) for m in methods)
-    keys = ["station_id", "t", "variable"]
-    a = first.where(F.col("is_eval")).select(*keys, (F.col("estimate") - F.col("truth")).alias("err_a"))
-    b = second.where(F.col("is_eval")).select(*keys, (F.col("estimate") - F.col("truth")).alias("err_b"))
-    return a.join(b, keys)
+    hidden = hide(panel, variables, spec, seed, samples)
+    cells = estimate(hidden, {"a": methods[0], "b": methods[1]}, variables).where("is_eval")
+    return cells.select(
+        "station_id", "t", "variable", (F.col("a") - F.col("truth")).alias("err_a"), (F.col("b") - F.col("truth")).alias("err_b")
+    )
