@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chained, fill, masks
+from ..session import checkpointed
 from .registry import query
 from .series_queries import MCAR, SEED, mask_sql
 from .views import PANEL, VARIABLES
@@ -101,7 +102,7 @@ def _(v):
 
 def masked_wide(v, variables=VARIABLES, seed=SEED):
     hidden = masks.apply_mask(v.panel(), masks.synthetic_mask(v.samples(), VARIABLES, MCAR, seed))
-    return chained.to_wide(hidden.where(F.col("variable").isin(*variables)), variables)
+    return checkpointed(chained.to_wide(hidden.where(F.col("variable").isin(*variables)), variables))
 
 
 MASKED = f"""{PANEL}, {mask_sql(MCAR)}, hidden AS (SELECT p.station_id, p.t, p.ts, p.variable, p.value AS truth, CASE WHEN m.k IS NULL THEN p.value END AS value,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import downstream, ensembles, score, significance
 from ..plans import evaluate as plan
+from ..session import checkpointed
 from .fill_queries import AROUND, CURVE, LINE, MASKED, akima_sql, with_ends
 from .registry import query
 from .series_queries import EMPIRICAL, MCAR, SEED, mask_sql
@@ -197,7 +198,7 @@ def _(v):
 
 @query("paired_tests_with_p_values")
 def _(v):
-    pairs = errors(v, ("linear", "akima"))
+    pairs = checkpointed(errors(v, ("linear", "akima")))
     common = ["variable", "test_name", "n", "statistic", "p_value", "interpretation"]
     tests = [
         significance.paired_t_test(pairs, ["variable"]).select(*common),

@@ -81,23 +81,32 @@ def nearest_points(
     deep = any(depth > 1 for _, depth in points.values())
     carry = _carried(near if deep else rows, keys, points, t, whole_row, bounds)
     joined = near.join(carry, inner).where(whole_row <= F.col("__largest"))
-    merged = {}
+    lists, merged = {}, {}
     for side in sides:
         for name, (_, depth) in points.items():
+            if depth == 1:
+                outer = F.get(f"__{name}_{side}", F.lit(0))
+                for part in "tv":
+                    merged[f"{name}_{side}{part}1"] = F.coalesce(F.col(f"{name}_{side}{part}1"), outer[part])
+                continue
+            lists[f"__{name}_{side}"] = _own_then_outer(name, side, depth)
             for i in range(1, depth + 1):
                 for part in "tv":
-                    merged[f"{name}_{side}{part}{i}"] = _from_both(name, side, part, i)
-    return joined.withColumns(merged).select(*columns, *merged, *(["first_t", "last_t"] if bounds else []))
+                    merged[f"{name}_{side}{part}{i}"] = F.get(f"__{name}_{side}", F.lit(i - 1))[part]
+    near_points = joined.withColumns(lists) if lists else joined
+    return near_points.withColumns(merged).select(*columns, *merged, *(["first_t", "last_t"] if bounds else []))
+
+
+def _slots(name: str, side: str, depth: int, joint: str = "") -> Column:
+    columns = [(f"{name}_{side}{joint}t{i}", f"{name}_{side}{joint}v{i}") for i in range(1, depth + 1)]
+    return F.array(*[F.struct(F.col(t).alias("t"), F.col(v).alias("v")) for t, v in columns])
 
 
-def _from_both(name: str, side: str, part: str, i: int) -> Column:
-    """i-th nearest point: those of the own block first, then those carried in."""
-    outer = lambda j: F.get(f"__{name}_{side}", F.lit(j - 1))[part]
-    value = outer(i)
-    for found in range(1, i + 1):
-        inside = F.col(f"{name}_{side}t{found}").isNotNull()
-        value = F.when(inside, F.col(f"{name}_{side}{part}{i}") if found == i else outer(i - found)).otherwise(value)
-    return value
+def _own_then_outer(name: str, side: str, depth: int) -> Column:
+    """Points of the own block, nearest first, made up to ``depth`` with those carried in."""
+    own, outer = _slots(name, side, depth), F.coalesce(F.col(f"__{name}_{side}"), F.array())
+    short = F.slice(F.concat(F.filter(own, lambda p: p["t"].isNotNull()), outer), 1, depth)
+    return F.when(F.col(f"{name}_{side}t{depth}").isNotNull(), own).otherwise(short)
 
 
 def _carried(rows: DataFrame, keys, points, t: str, whole_row: Column, bounds: bool) -> DataFrame:
@@ -121,8 +130,7 @@ def _carried(rows: DataFrame, keys, points, t: str, whole_row: Column, bounds: b
     windows = {"b": _before(keys, _BLK), "a": _before(keys, _BLK, descending=True)}
     for name, (_, depth) in points.items():
         for side, window in windows.items():
-            slots = [F.struct(F.col(f"{name}_{side}_t{i}").alias("t"), F.col(f"{name}_{side}_v{i}").alias("v")) for i in range(1, depth + 1)]
-            own = F.filter(F.array(*slots), lambda p: p["t"].isNotNull())
+            own = F.filter(_slots(name, side, depth, "_"), lambda p: p["t"].isNotNull())
             summary = summary.withColumn("__own", F.when(F.size(own) > 0, own)).withColumn("__run", F.col("__own"))
             for _ in range(depth - 1):
                 earlier = F.last("__run", ignorenulls=True).over(window)

@@ -69,9 +69,11 @@ def exact_quantiles(
     Up to ``direct_rows`` values per group go through the exact aggregate. Beyond
     that its state would hold every distinct value in one task, so sketches
     bracket each wanted rank, counts make the bracket certain, and only the last,
-    small bracket is sorted. Only counts and bracket ends reach the driver.
+    small bracket is sorted. Only counts and bracket ends reach the driver. The one
+    column is checkpointed first, so the input is computed once.
     """
     present = df.where(F.col(value).isNotNull()).select(*([by] if by else []), F.col(value).cast("double").alias("v"))
+    present = checkpointed(present)
     sizes = present.groupBy(*([by] if by else [])).count().limit(10_001).collect()
     if len(sizes) > 10_000:
         raise ValueError(f"{by} has more than 10,000 groups; quantiles are meant for strata")

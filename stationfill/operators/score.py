@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..session import checkpointed
 from .ranks import exact_quantiles
 
 
@@ -79,11 +80,13 @@ def by_season(cells: DataFrame) -> DataFrame:
 
 
 def _with_extremes(cells: DataFrame, percentiles, by: str | None) -> DataFrame:
-    """Add ``extreme_label``; thresholds come from the truth of all scored cells (per ``by``)."""
+    """Add ``extreme_label`` to scored cells; thresholds come from the truth of all of them (per ``by``)."""
     low, high = percentiles
     if not 0 <= low < high <= 100:
         raise ValueError("percentiles must be ordered and within 0..100")
-    limits = exact_quantiles(_scored(cells), "truth", [low / 100.0, high / 100.0], by=by)
+    # The thresholds need a look at all scored cells before any can be labelled.
+    cells = checkpointed(cells)
+    limits = exact_quantiles(cells, "truth", [low / 100.0, high / 100.0], by=by)
     # One row, or one per variable: exact_quantiles bounds the number of groups.
     joined = cells.join(F.broadcast(limits), by) if by else cells.crossJoin(F.broadcast(limits))
     label = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chained, fill, masks, score, series
 from ..operators.blocks import nearest_points
+from ..session import checkpointed
 
 METHODS = (*fill.ALONG_TIME, "chained")
 
@@ -39,7 +40,8 @@ def estimate(hidden: DataFrame, methods: dict[str, str], variables, max_gap: int
     out = around.select(*hidden.columns, length.alias("gap_length"), *along)
     for column, method in methods.items():
         if method == "chained":
-            wide = chained.to_wide(hidden, variables)
+            # Fitting reads the rows several times.
+            wide = checkpointed(chained.to_wide(hidden, variables))
             done = chained.impute_chained(wide, chained.fit_chained(wide, variables, **options)).drop("imputation")
             out = out.join(chained.to_long(done, variables, column), ["station_id", "t", "variable"])
     return out
