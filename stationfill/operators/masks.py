@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.draws import standard_normal, uniform, uniform_int
 from .blocks import explode_range, running_sum
-from .ranks import exact_quantiles
+from .ranks import quantile_values
 
 SAMPLE = "station_id"
 
@@ -117,9 +117,9 @@ def _uniform_starts(candidates: DataFrame, seed) -> DataFrame:
 def _flagged_steps(panel: DataFrame, spec: MaskSpec) -> DataFrame:
     """Steps of the condition variable with ``is_extreme``; thresholds are over all samples."""
     condition = panel.where(F.col("variable") == spec.condition_variable).select(SAMPLE, "t", "value")
-    limits = exact_quantiles(condition, "value", [spec.extreme_percentile, 1.0 - spec.extreme_percentile])
-    outside = F.coalesce((F.col("value") < F.col("q0")) | (F.col("value") > F.col("q1")), F.lit(False))
-    return condition.crossJoin(F.broadcast(limits)).select(SAMPLE, "t", outside.alias("is_extreme"))
+    low, high = quantile_values(condition, "value", [spec.extreme_percentile, 1.0 - spec.extreme_percentile])
+    outside = F.coalesce((F.col("value") < low) | (F.col("value") > high), F.lit(False))
+    return condition.select(SAMPLE, "t", outside.alias("is_extreme"))
 
 
 def _biased_starts(candidates: DataFrame, panel: DataFrame, spec: MaskSpec, seed) -> DataFrame:

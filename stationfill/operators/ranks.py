@@ -96,6 +96,11 @@ def exact_quantiles(
     return _small_table(df, rows, len(probabilities), by)
 
 
+def quantile_values(df: DataFrame, value: str, probabilities: list[float]) -> list[Column]:
+    """The same over the whole column, as literals: nothing has to be joined to use them."""
+    return [F.lit(x).cast("double") for x in exact_quantiles(df, value, probabilities).first()]
+
+
 def _small_table(df: DataFrame, rows, n: int, by: str | None) -> DataFrame:
     names = ", ".join(f"q{i} double" for i in range(n))
     kind = f"{by} {df.schema[by].dataType.simpleString()}, " if by else ""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..session import checkpointed
-from .ranks import exact_quantiles
+from .ranks import exact_quantiles, quantile_values
 
 
 def metric_columns(truth: Column, estimate: Column) -> list[Column]:
@@ -86,13 +86,16 @@ def _with_extremes(cells: DataFrame, percentiles, by: str | None) -> DataFrame:
         raise ValueError("percentiles must be ordered and within 0..100")
     # The thresholds need a look at all scored cells before any can be labelled.
     cells = checkpointed(cells)
-    limits = exact_quantiles(cells, "truth", [low / 100.0, high / 100.0], by=by)
-    # One row, or one per variable: exact_quantiles bounds the number of groups.
-    joined = cells.join(F.broadcast(limits), by) if by else cells.crossJoin(F.broadcast(limits))
-    label = (
-        F.when(F.col("truth") < F.col("q0"), "extreme_low").when(F.col("truth") > F.col("q1"), "extreme_high").otherwise("normal")
-    )
-    return joined.withColumn("extreme_label", label).drop("q0", "q1")
+    probabilities = [low / 100.0, high / 100.0]
+    if by is None:
+        first, second = quantile_values(cells, "truth", probabilities)
+        joined = cells
+    else:
+        # One row per group, and exact_quantiles bounds the number of groups.
+        joined = cells.join(F.broadcast(exact_quantiles(cells, "truth", probabilities, by=by)), by)
+        first, second = F.col("q0"), F.col("q1")
+    label = F.when(F.col("truth") < first, "extreme_low").when(F.col("truth") > second, "extreme_high").otherwise("normal")
+    return joined.withColumn("extreme_label", label).select(*cells.columns, "extreme_label")
 
 
 def by_extremes(cells: DataFrame, percentiles=C.EXTREME_PERCENTILES, by: str | None = None) -> DataFrame:

@@ -12,12 +12,13 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.draws import uniform
 from .ranks import tie_averaged_ranks
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """Two-sided tail of the standard normal."""
     return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2.0)))
@@ -114,7 +115,7 @@ def wilcoxon_signed_rank_test(errors: DataFrame, keys: list[str], alpha: float =
 def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Add ``p_adjusted`` over all comparisons of the table that have a p-value."""
     size = tests.agg(F.count("p_value").alias("n_comparisons"))
-    adjusted = F.least(F.col("p_value") * F.col("n_comparisons"), F.lit(1.0))
+    adjusted = F.when(F.col("p_value").isNotNull(), F.least(F.col("p_value") * F.col("n_comparisons"), F.lit(1.0)))
     return (
         tests.crossJoin(F.broadcast(size))
         .withColumn("p_adjusted", adjusted)
