@@ -153,15 +153,19 @@ def running_sum(
         .withColumn("__amount", F.coalesce(amount.cast("bigint"), F.lit(0)))
         .repartition(*keys, _BLK)
     )
-    summary = rows.groupBy(*inner).agg(F.sum("__amount").alias("__n"))
+    # As in nearest_points: both readers of the shuffle hold the same columns.
+    whole_row = F.xxhash64(*columns, "__amount")
+    summary = rows.groupBy(*inner).agg(F.sum("__amount").alias("__n"), F.max(whole_row).alias("__largest"))
     carry = summary.select(
         *inner,
+        "__largest",
         F.coalesce(F.sum("__n").over(_before(keys, _BLK)), F.lit(0)).alias("__earlier"),
         F.sum("__n").over(Window.partitionBy(*keys)).alias(f"{name}_total"),
     )
     upto = Window.partitionBy(*inner).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.join(carry, inner)
+        .where(whole_row <= F.col("__largest"))
         .withColumn(name, F.col("__earlier") + F.sum("__amount").over(upto))
         .select(*columns, name, f"{name}_total")
     )

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.draws import standard_normal, uniform, uniform_int
+from ..session import checkpointed
 from .blocks import explode_range, running_sum
 from .ranks import quantile_values
 
@@ -116,8 +117,9 @@ def _uniform_starts(candidates: DataFrame, seed) -> DataFrame:
 
 def _flagged_steps(panel: DataFrame, spec: MaskSpec) -> DataFrame:
     """Steps of the condition variable with ``is_extreme``; thresholds are over all samples."""
-    condition = panel.where(F.col("variable") == spec.condition_variable).select(SAMPLE, "t", "value")
-    low, high = quantile_values(condition, "value", [spec.extreme_percentile, 1.0 - spec.extreme_percentile])
+    # One variable of the panel, read several times below.
+    condition = checkpointed(panel.where(F.col("variable") == spec.condition_variable).select(SAMPLE, "t", "value"))
+    low, high = quantile_values(condition, "value", [spec.extreme_percentile, 1.0 - spec.extreme_percentile], stored=True)
     outside = F.coalesce((F.col("value") < low) | (F.col("value") > high), F.lit(False))
     return condition.select(SAMPLE, "t", outside.alias("is_extreme"))
 

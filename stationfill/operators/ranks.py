@@ -62,7 +62,12 @@ def tie_averaged_ranks(df: DataFrame, keys: list[str], value: str, measures: dic
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: list[float], by: str | None = None, direct_rows: int = DIRECT_ROWS
+    df: DataFrame,
+    value: str,
+    probabilities: list[float],
+    by: str | None = None,
+    direct_rows: int = DIRECT_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles ``q0``, ``q1``, … of the non-NULL values, one row (per ``by``).
 
@@ -70,10 +75,11 @@ def exact_quantiles(
     that its state would hold every distinct value in one task, so sketches
     bracket each wanted rank, counts make the bracket certain, and only the last,
     small bracket is sorted. Only counts and bracket ends reach the driver. The one
-    column is checkpointed first, so the input is computed once.
+    column is checkpointed first, so the input is computed once; ``stored`` says that
+    the input already is.
     """
     present = df.where(F.col(value).isNotNull()).select(*([by] if by else []), F.col(value).cast("double").alias("v"))
-    present = checkpointed(present)
+    present = present if stored else checkpointed(present)
     sizes = present.groupBy(*([by] if by else [])).count().limit(10_001).collect()
     if len(sizes) > 10_000:
         raise ValueError(f"{by} has more than 10,000 groups; quantiles are meant for strata")
@@ -96,9 +102,9 @@ def exact_quantiles(
     return _small_table(df, rows, len(probabilities), by)
 
 
-def quantile_values(df: DataFrame, value: str, probabilities: list[float]) -> list[Column]:
+def quantile_values(df: DataFrame, value: str, probabilities: list[float], stored: bool = False) -> list[Column]:
     """The same over the whole column, as literals: nothing has to be joined to use them."""
-    return [F.lit(x).cast("double") for x in exact_quantiles(df, value, probabilities).first()]
+    return [F.lit(x).cast("double") for x in exact_quantiles(df, value, probabilities, stored=stored).first()]
 
 
 def _small_table(df: DataFrame, rows, n: int, by: str | None) -> DataFrame:

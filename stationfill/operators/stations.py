@@ -89,34 +89,6 @@ def _preference(strategy: str) -> Column:
     return F.struct(last.alias("last"), F.when(last.isNull(), observations).alias("n"))
 
 
-def duplicate_locations(stations: DataFrame, threshold: float = 0.01, strategy: str = "prefer_longer") -> DataFrame:
-    """Pairs of places, at most ``threshold`` degrees apart, that hold stations.
-
-    Stations at one exact place are folded into that place first (their number,
-    and the station the strategy prefers), so many copies of one station make one
-    row. Places meet through grid cells slightly wider than the threshold; each
-    pair comes once, and a place is not paired with itself.
-    """
-    places = _places(stations, strategy)
-    width = F.lit(threshold * 1.0001)
-    celled = places.withColumn("cx", F.floor(F.col("latitude") / width)).withColumn("cy", F.floor(F.col("longitude") / width))
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    right = (
-        celled.select(*[F.col(c).alias(f"b_{c}") for c in places.columns], "cx", "cy")
-        .withColumn("dx", F.explode(steps))
-        .withColumn("dy", F.explode(steps))
-        .withColumn("cx", F.col("cx") + F.col("dx"))
-        .withColumn("cy", F.col("cy") + F.col("dy"))
-        .drop("dx", "dy")
-    )
-    near = (
-        (F.abs(F.col("latitude") - F.col("b_latitude")) <= threshold)
-        & (F.abs(F.col("longitude") - F.col("b_longitude")) <= threshold)
-        & (F.struct("latitude", "longitude") < F.struct("b_latitude", "b_longitude"))
-    )
-    return celled.join(right, ["cx", "cy"]).where(near).drop("cx", "cy")
-
-
 def _places(stations: DataFrame, strategy: str) -> DataFrame:
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
@@ -132,50 +104,65 @@ def _places(stations: DataFrame, strategy: str) -> DataFrame:
     return ranked.groupBy("latitude", "longitude").agg(F.count("*").alias("n_stations"), F.min(order).alias("leader"))
 
 
-def _best_within_reach(places: DataFrame, threshold: float) -> DataFrame:
-    """``best``: the most preferred station within ``threshold`` of each place.
-
-    Cells are just under half the threshold wide. Every place of the eight cells
-    around is then certainly near, so one row per cell stands for all of them.
-    Places two or three cells away need the exact distance; of those only the ones
-    preferred over the best already known to the cell take part, which leaves a
-    handful even where many places crowd into one cell.
-    """
+def _celled(places: DataFrame, threshold: float) -> tuple[DataFrame, Column]:
+    """Cells just under half the threshold wide: two places of touching cells are certainly near,
+    places more than three cells apart certainly not."""
     width = F.lit(threshold * 0.4999)
-    celled = places.withColumn("cx", F.floor(F.col("latitude") / width)).withColumn("cy", F.floor(F.col("longitude") / width))
-    cells = celled.groupBy("cx", "cy").agg(F.min("leader").alias("best"))
+    cells = {"cx": F.floor(F.col("latitude") / width), "cy": F.floor(F.col("longitude") / width)}
+    return places.withColumns(cells), width
 
-    def shifted(df: DataFrame, reach: int) -> DataFrame:
-        steps = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
-        moved = df.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-        return moved.withColumn("tx", F.col("cx") + F.col("dx")).withColumn("ty", F.col("cy") + F.col("dy"))
 
-    known = (
-        shifted(cells, 1)
-        .groupBy(F.col("tx").alias("cx"), F.col("ty").alias("cy"))
-        .agg(F.min("best").alias("known"))
-    )
+def _shifted(df: DataFrame, reach: int) -> DataFrame:
+    """Each row once per cell (tx, ty) around its own."""
+    steps = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
+    moved = df.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
+    return moved.withColumns({"tx": F.col("cx") + F.col("dx"), "ty": F.col("cy") + F.col("dy")})
+
+
+def _within_reach_of_cell(celled: DataFrame, width: Column, threshold: float, *columns: str) -> DataFrame:
+    """Places two or three cells away from a cell (cx, cy) that may still be near some place in it."""
     reach = F.lit(threshold * 1.0001)
-    outer = (
-        shifted(celled.select("latitude", "longitude", "leader", "cx", "cy"), 3)
+    return (
+        _shifted(celled.select("latitude", "longitude", *columns, "cx", "cy"), 3)
         .where(F.greatest(F.abs("dx"), F.abs("dy")) >= 2)
         .where(F.col("latitude").between(F.col("tx") * width - reach, (F.col("tx") + 1) * width + reach))
         .where(F.col("longitude").between(F.col("ty") * width - reach, (F.col("ty") + 1) * width + reach))
         .select(
             F.col("tx").alias("cx"),
             F.col("ty").alias("cy"),
-            F.col("latitude").alias("o_latitude"),
-            F.col("longitude").alias("o_longitude"),
-            F.col("leader").alias("o_leader"),
+            "dx",
+            "dy",
+            *[F.col(c).alias(f"o_{c}") for c in ("latitude", "longitude", *columns)],
         )
+    )
+
+
+def _near(threshold: float) -> Column:
+    return (F.abs(F.col("latitude") - F.col("o_latitude")) <= threshold) & (
+        F.abs(F.col("longitude") - F.col("o_longitude")) <= threshold
+    )
+
+
+def _best_within_reach(places: DataFrame, threshold: float) -> DataFrame:
+    """``best``: the most preferred station within ``threshold`` of each place.
+
+    One row per cell stands for all places of the touching cells. Of the places two
+    or three cells away only those preferred over the best already known to the cell
+    take part in exact distances, which leaves a handful even where many places
+    crowd into one cell.
+    """
+    celled, width = _celled(places, threshold)
+    cells = celled.groupBy("cx", "cy").agg(F.min("leader").alias("best"))
+    known = _shifted(cells, 1).groupBy(F.col("tx").alias("cx"), F.col("ty").alias("cy")).agg(F.min("best").alias("known"))
+    outer = (
+        _within_reach_of_cell(celled, width, threshold, "leader")
         .join(known, ["cx", "cy"])
         .where(F.col("o_leader") < F.col("known"))
         .drop("known")
     )
     farther = (
         celled.join(outer, ["cx", "cy"])
-        .where(F.abs(F.col("latitude") - F.col("o_latitude")) <= threshold)
-        .where(F.abs(F.col("longitude") - F.col("o_longitude")) <= threshold)
+        .where(_near(threshold))
         .groupBy("latitude", "longitude")
         .agg(F.min("o_leader").alias("farther"))
     )
@@ -212,14 +199,21 @@ def duplicate_stations(stations: DataFrame, threshold: float = 0.01, strategy: s
 
 
 def duplicate_pair_count(stations: DataFrame, threshold: float = 0.01) -> DataFrame:
-    """Number of station pairs within the threshold, counted without listing them."""
-    within = _places(stations, "prefer_longer").agg(
-        F.coalesce(F.sum(F.col("n_stations") * (F.col("n_stations") - 1) / 2).cast("bigint"), F.lit(0)).alias("n")
-    )
-    across = duplicate_locations(stations, threshold).agg(
-        F.coalesce(F.sum(F.col("n_stations") * F.col("b_n_stations")), F.lit(0)).alias("n")
-    )
-    return within.unionByName(across).agg(F.sum("n").alias("duplicate_pairs"))
+    """Number of station pairs within the threshold, counted without listing them.
+
+    Pairs of one cell or of touching cells follow from the cells' counts; only
+    places two or three cells apart are compared.
+    """
+    celled, width = _celled(_places(stations, "prefer_longer"), threshold)
+    cells = celled.groupBy("cx", "cy").agg(F.sum("n_stations").alias("c"))
+    half = (F.col("dx") > 0) | ((F.col("dx") == 0) & (F.col("dy") > 0))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("bigint").alias("n")
+    inside = cells.agg(total(F.col("c") * (F.col("c") - 1) / 2))
+    beside = _shifted(cells, 1).where(half).select(F.col("tx").alias("cx"), F.col("ty").alias("cy"), F.col("c").alias("o_c"))
+    touching = cells.join(beside, ["cx", "cy"]).agg(total(F.col("c") * F.col("o_c")))
+    outer = _within_reach_of_cell(celled, width, threshold, "n_stations").where(half)
+    apart = celled.join(outer, ["cx", "cy"]).where(_near(threshold)).agg(total(F.col("n_stations") * F.col("o_n_stations")))
+    return inside.unionByName(touching).unionByName(apart).agg(F.sum("n").alias("duplicate_pairs"))
 
 
 def drop_duplicates(stations: DataFrame, duplicates: DataFrame) -> DataFrame:
