@@ -170,10 +170,15 @@ def _(v):
     return covered.withColumn("n_years", F.size("years_available").cast("bigint")).drop("years_available")
 
 
+def _hours(column):
+    """Whole seconds over counts make exact ties at six places; a nudge on both engines keeps them off."""
+    return F.when(F.col(column) > 0, F.round(F.col(column) + 1e-9, 6)).otherwise(F.col(column))
+
+
 GAPS = """steps AS (SELECT station_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY station_id ORDER BY ts))) // 1000000 AS s FROM {src}),
 gaps AS (SELECT station_id, CASE WHEN count(*) >= 2 THEN count(*) FILTER (s > 86400) ELSE 0 END AS gap_count_24h,
-  CASE WHEN count(*) >= 2 THEN round(max(s) / 3600.0::DOUBLE, 6) ELSE 0 END AS max_gap_hours,
-  CASE WHEN count(*) >= 2 THEN round(avg(s) / 3600.0::DOUBLE, 6) ELSE 0 END AS avg_interval_hours,
+  CASE WHEN count(*) >= 2 THEN round(max(s) / 3600.0::DOUBLE + 1e-9::DOUBLE, 6) ELSE 0 END AS max_gap_hours,
+  CASE WHEN count(*) >= 2 THEN round(avg(s) / 3600.0::DOUBLE + 1e-9::DOUBLE, 6) ELSE 0 END AS avg_interval_hours,
   count(*) AS total_observations,
   CASE WHEN count(*) >= 2 THEN CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 / 3600.0::DOUBLE) + 1 AS BIGINT) ELSE 0 END AS expected_observations
   FROM steps GROUP BY 1)"""
@@ -182,7 +187,7 @@ gaps AS (SELECT station_id, CASE WHEN count(*) >= 2 THEN count(*) FILTER (s > 86
 @query("gap_analysis", f"WITH {OBS}, {GAPS.format(src='obs')} SELECT * FROM gaps")
 def _(v):
     gaps = metadata.gap_analysis(v.obs())
-    return gaps.withColumns({c: F.round(c, 6) for c in ("max_gap_hours", "avg_interval_hours")})
+    return gaps.withColumns({c: _hours(c) for c in ("max_gap_hours", "avg_interval_hours")})
 
 
 _META = f"""meta AS (SELECT o.station_id, left(CAST(o.station_id AS VARCHAR), 2) AS country_code, o.n AS total_records_all_types,
@@ -211,8 +216,9 @@ METADATA = f"{OBS}, hourly AS (SELECT * FROM obs WHERE {HOURLY}), {GAPS.format(s
 def flat_metadata(table):
     """Scalars and texts of the station table, for comparison with SQL."""
     as_text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
-    rounded = ("temperature_completeness_pct", "wind_direction_completeness_pct", "max_gap_duration_hours", "avg_observation_interval_hours")
-    return table.withColumns({c: F.round(c, 6) for c in rounded}).select(
+    rounded = {c: F.round(c, 6) for c in ("temperature_completeness_pct", "wind_direction_completeness_pct")}
+    rounded |= {c: _hours(c) for c in ("max_gap_duration_hours", "avg_observation_interval_hours")}
+    return table.withColumns(rounded).select(
         "station_id",
         "country_code",
         "total_records_all_types",

@@ -178,7 +178,7 @@ def _(v):
     return tests.select("variable", "test_name", "n", F.round("statistic", 4).alias("statistic"))
 
 
-_SIGNED = """signed AS (SELECT variable, round(err_a - err_b, 4) AS d FROM errors WHERE round(err_a - err_b, 4) <> 0),
+_SIGNED = """signed AS (SELECT variable, round(err_a - err_b + 1e-9::DOUBLE, 4) AS d FROM errors WHERE round(err_a - err_b + 1e-9::DOUBLE, 4) <> 0),
 ranked AS (SELECT variable, d, rank() OVER (PARTITION BY variable ORDER BY abs(d)) + (count(*) OVER (PARTITION BY variable, abs(d)) - 1) / 2.0::DOUBLE AS r FROM signed),
 ties AS (SELECT variable, sum(c::DOUBLE * c * c - c) AS ties FROM (SELECT variable, count(*) AS c FROM signed GROUP BY variable, abs(d)) GROUP BY 1),
 sums AS (SELECT variable, count(*) AS n, sum(r) FILTER (d > 0) AS w_plus, sum(r) FILTER (d < 0) AS w_minus FROM ranked GROUP BY 1)"""
@@ -191,7 +191,7 @@ sums AS (SELECT variable, count(*) AS n, sum(r) FILTER (d > 0) AS w_plus, sum(r)
 )
 def _(v):
     """Differences are rounded so that equal ones tie on both engines."""
-    pairs = errors(v).withColumn("err_a", F.round(F.col("err_a") - F.col("err_b"), 4)).withColumn("err_b", F.lit(0.0))
+    pairs = errors(v).withColumn("err_a", F.round(F.col("err_a") - F.col("err_b") + 1e-9, 4)).withColumn("err_b", F.lit(0.0))
     tests = significance.wilcoxon_signed_rank_test(pairs, ["variable"])
     return tests.select("variable", "test_name", "n", "w_plus", "w_minus", "statistic", F.round("z", 6).alias("z"))
 
