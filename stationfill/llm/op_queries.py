@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, contamination, exact, language, simhash
+from . import bpe, chat, contamination, exact, language, lines, pii, quality, simhash, substrings
 from .common import read
 
 
@@ -14,6 +14,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(read(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.duplicate_groups(read(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -23,15 +28,34 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(read(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit_text_model(read(spark, sf_dir, "documents"))
     return language.identify_pages(read(spark, sf_dir, "pages"), model)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    table = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.formatted(chat.text_messages(table)))
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -71,12 +95,37 @@ FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), f AS (
+  SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL AND l.doc_id <> f.last) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL OR l.doc_id = f.last), '')) AS kept_sha256
+FROM l LEFT JOIN f ON l.key = f.key GROUP BY l.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_simhash_near_dedup, op3_exact_dedup, op4_benchmark_decontamination, op7_language_id, op9_bpe_encode_decode)
+    ops = (
+        op1_simhash_near_dedup,
+        op2_quality_classifier,
+        op3_exact_dedup,
+        op4_benchmark_decontamination,
+        op5_pii,
+        op6_line_dedup,
+        op7_language_id,
+        op8_suffix_array_dedup,
+        op9_bpe_encode_decode,
+        op10_chat_formatting,
+    )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def sql_texts() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL}
