@@ -33,7 +33,7 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _BLANK + r"\p{L}\p{N}]+|[" + _BLANK + r"]+(?![^" + _BLANK + r"])|[" + _BLANK + "]+"
 )
 #: Pieces, and words, kept per worker before the older half is forgotten.
-CACHE = 300_000
+CACHE = 100_000
 
 
 def _byte_letters() -> dict[int, str]:
