@@ -4,8 +4,8 @@ Texts are normalised (each run of white space is one space), range-partitioned b
 splitters and sorted where they land; equal texts are then neighbours, and comparing
 neighbours in full finds the groups. Splitters are taken from the first characters, a digest
 and a salt, so what the driver samples is small and no text, however often it occurs, has to
-fit one partition: a group may lie in several salts, which a second sort of one row per text
-and salt brings together.
+fit one partition. The parts that a group has in several salts are brought together by one small
+row each, by beginning, SHA-256 and length: whole texts are shuffled once.
 
 Null text is empty. A null id comes after every other id. Of rows equal in id and text one stays.
 """
@@ -53,8 +53,8 @@ def duplicate_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         F.first("doc_id").over(neighbours.orderBy(*by_id)).alias("__first"),
         F.count(F.lit(1)).over(neighbours).alias("__n"),
     )
-    firsts = local.where("__place = 1").repartitionByRange("__head", "__digest")
-    same = Window.partitionBy(*text)
+    firsts = local.where("__place = 1").select("__head", "__digest", F.length("__norm").alias("__long"), "__salt", "__first", "__n")
+    same = Window.partitionBy("__head", "__digest", "__long")
     across = same.orderBy(F.col("__first").asc_nulls_last(), "__salt")
     groups = firsts.select(
         F.col("__digest"),
