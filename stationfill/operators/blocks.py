@@ -18,18 +18,34 @@ from ..session import fan_out
 
 BLOCK = 4096
 _BLK = "__blk"
+_PRESENT = "__present"
 
 
 def block_of(t: str, width: int = BLOCK) -> Column:
     return F.floor(F.col(t) / F.lit(width))
 
 
-def _blocked(df: DataFrame, keys, t: str, width: int) -> DataFrame:
-    """Stating that keys are present keeps both readers of the shuffle on one plan, so it is reused."""
-    df = df.withColumn(_BLK, block_of(t, width))
-    for name in (*keys, _BLK):
-        df = df.where(F.col(name).isNotNull())
-    return df
+def _blocked(df: DataFrame, keys, t: str, width: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with the columns that name a row's block, and their names.
+
+    They are never NULL, so both readers of the shuffle have one plan and it is reused. Rows
+    with a NULL key or step are kept in blocks of their own, apart from every series.
+    """
+    kinds = dict(df.dtypes)
+    present = F.col(t).isNotNull()
+    for name in keys:
+        present = present & F.col(name).isNotNull()
+    named = {
+        f"__key{i}": F.coalesce(F.col(name), F.lit("" if kinds[name] == "string" else 0).cast(kinds[name]))
+        for i, name in enumerate(keys)
+    }
+    blocked = df.withColumns({**named, _PRESENT: present, _BLK: F.coalesce(block_of(t, width), F.lit(-1))})
+    return blocked, [*named, _PRESENT, _BLK]
+
+
+def _tied(t: str, kind: str, held: str) -> Column:
+    """The step itself, worked out from ``held`` so that the optimiser keeps the column; no row depends on its value."""
+    return F.col(t) + F.coalesce(F.col(held).bitwiseAND(F.lit(0)), F.lit(0)).cast(kind)
 
 
 def _before(keys, order, descending=False):
@@ -53,14 +69,15 @@ def nearest_points(
     after, i from 1 to the depth. ``bounds`` also adds ``first_t`` and ``last_t`` of the
     whole series.
 
-    All names share one shuffle of the rows, on (keys, block). The block summary
-    reads that same shuffle: comparing row hashes makes both readers hold all of the
-    columns, without which the input would be computed twice. Select the needed
-    columns before calling.
+    All names share one shuffle of the rows, on (keys, block). The block summary reads
+    that same shuffle when both readers hold the same columns, which a hash over all of
+    them brings about; results do not depend on it, and no row is filtered. Rows with a
+    NULL key or step stay and have no neighbours. Select the needed columns before calling.
     """
     columns = df.columns
-    inner = [*keys, _BLK]
-    rows = _blocked(df, keys, t, width).repartition(*inner)
+    blocked, inner = _blocked(df, keys, t, width)
+    rows = blocked.repartition(*inner)
+    points = {name: (F.when(F.col(_PRESENT), payload), depth) for name, (payload, depth) in points.items()}
     whole_row = F.xxhash64(*columns)
     sides = {"b": _before(inner, t), "a": _before(inner, t, descending=True)}
 
@@ -79,8 +96,9 @@ def nearest_points(
                 )
 
     deep = any(depth > 1 for _, depth in points.values())
-    carry = _carried(near if deep else rows, keys, points, t, whole_row, bounds)
-    joined = near.join(carry, inner).where(whole_row <= F.col("__largest"))
+    carry = _carried(near if deep else rows, inner, points, t, whole_row, bounds)
+    joined = near.join(carry, inner, "left")
+    kind = dict(df.dtypes)[t]
     lists, merged = {}, {}
     for side in sides:
         for name, (_, depth) in points.items():
@@ -94,7 +112,8 @@ def nearest_points(
                 for part in "tv":
                     merged[f"{name}_{side}{part}{i}"] = F.get(f"__{name}_{side}", F.lit(i - 1))[part]
     near_points = joined.withColumns(lists) if lists else joined
-    return near_points.withColumns(merged).select(*columns, *merged, *(["first_t", "last_t"] if bounds else []))
+    out = near_points.withColumns(merged).withColumn(t, _tied(t, kind, "__largest"))
+    return out.select(*columns, *merged, *(["first_t", "last_t"] if bounds else []))
 
 
 def _slots(name: str, side: str, depth: int, joint: str = "") -> Column:
@@ -109,7 +128,7 @@ def _own_then_outer(name: str, side: str, depth: int) -> Column:
     return F.when(F.col(f"{name}_{side}t{depth}").isNotNull(), own).otherwise(short)
 
 
-def _carried(rows: DataFrame, keys, points, t: str, whole_row: Column, bounds: bool) -> DataFrame:
+def _carried(rows: DataFrame, inner: list[str], points, t: str, whole_row: Column, bounds: bool) -> DataFrame:
     """One row per block: for every name and side, an array of the points that lie beyond the block."""
     aggregates = [F.max(whole_row).alias("__largest")]
     for name, (payload, depth) in points.items():
@@ -126,7 +145,8 @@ def _carried(rows: DataFrame, keys, points, t: str, whole_row: Column, bounds: b
                 ]
     if bounds:
         aggregates += [F.min(t).alias("__lo"), F.max(t).alias("__hi")]
-    summary = rows.groupBy(*keys, _BLK).agg(*aggregates)
+    summary = rows.groupBy(*inner).agg(*aggregates)
+    keys = inner[:-1]
     windows = {"b": _before(keys, _BLK), "a": _before(keys, _BLK, descending=True)}
     for name, (_, depth) in points.items():
         for side, window in windows.items():
@@ -138,35 +158,35 @@ def _carried(rows: DataFrame, keys, points, t: str, whole_row: Column, bounds: b
                 summary = summary.withColumn("__earlier", earlier).withColumn("__run", F.when(F.col("__own").isNotNull(), longer))
             summary = summary.withColumn(f"__{name}_{side}", F.last("__run", ignorenulls=True).over(window))
     whole = Window.partitionBy(*keys)
-    ends = [F.min("__lo").over(whole).alias("first_t"), F.max("__hi").over(whole).alias("last_t")] if bounds else []
-    return summary.select(*keys, _BLK, "__largest", *[f"__{name}_{side}" for name in points for side in "ba"], *ends)
+    known = lambda c: F.when(F.col(_PRESENT), c)
+    ends = [known(F.min("__lo").over(whole)).alias("first_t"), known(F.max("__hi").over(whole)).alias("last_t")] if bounds else []
+    return summary.select(*inner, "__largest", *[f"__{name}_{side}" for name in points for side in "ba"], *ends)
 
 
 def running_sum(
     df: DataFrame, keys: list[str], amount: Column, t: str = "t", name: str = "position", width: int = BLOCK
 ) -> DataFrame:
-    """Add ``name``, the sum of ``amount`` up to and including this row, and ``{name}_total``."""
-    columns = df.columns
-    inner = [*keys, _BLK]
-    rows = (
-        _blocked(df, keys, t, width)
-        .withColumn("__amount", F.coalesce(amount.cast("bigint"), F.lit(0)))
-        .repartition(*keys, _BLK)
-    )
+    """Add ``name``, the sum of ``amount`` up to and including this row, and ``{name}_total``.
+
+    Both are NULL in rows with a NULL key or step.
+    """
+    columns, kind = df.columns, dict(df.dtypes)[t]
+    blocked, inner = _blocked(df, keys, t, width)
+    rows = blocked.withColumn("__amount", F.coalesce(amount.cast("bigint"), F.lit(0))).repartition(*inner)
     # As in nearest_points: both readers of the shuffle hold the same columns.
     whole_row = F.xxhash64(*columns, "__amount")
     summary = rows.groupBy(*inner).agg(F.sum("__amount").alias("__n"), F.max(whole_row).alias("__largest"))
     carry = summary.select(
         *inner,
         "__largest",
-        F.coalesce(F.sum("__n").over(_before(keys, _BLK)), F.lit(0)).alias("__earlier"),
-        F.sum("__n").over(Window.partitionBy(*keys)).alias(f"{name}_total"),
+        F.coalesce(F.sum("__n").over(_before(inner[:-1], _BLK)), F.lit(0)).alias("__earlier"),
+        F.when(F.col(_PRESENT), F.sum("__n").over(Window.partitionBy(*inner[:-1]))).alias(f"{name}_total"),
     )
     upto = Window.partitionBy(*inner).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(carry, inner)
-        .where(whole_row <= F.col("__largest"))
-        .withColumn(name, F.col("__earlier") + F.sum("__amount").over(upto))
+        rows.join(carry, inner, "left")
+        .withColumn(name, F.when(F.col(_PRESENT), F.col("__earlier") + F.sum("__amount").over(upto)))
+        .withColumn(t, _tied(t, kind, "__largest"))
         .select(*columns, name, f"{name}_total")
     )
 
@@ -175,13 +195,13 @@ def with_bounds(df: DataFrame, keys: list[str], t: str = "t", width: int = BLOCK
     """Add ``first_t`` and ``last_t`` of each series.
 
     The one-row-per-series table is repeated per block before the join, so the
-    rows of a long series meet it in many tasks.
+    rows of a long series meet it in many tasks. Rows with a NULL key stay, without bounds.
     """
     ends = df.groupBy(*keys).agg(F.min(t).alias("first_t"), F.max(t).alias("last_t"))
     per_block = ends.withColumn(
         _BLK, F.explode(F.sequence(F.floor(F.col("first_t") / F.lit(width)), F.floor(F.col("last_t") / F.lit(width))))
     )
-    return df.withColumn(_BLK, block_of(t, width)).join(per_block, [*keys, _BLK]).select(*df.columns, "first_t", "last_t")
+    return df.withColumn(_BLK, block_of(t, width)).join(per_block, [*keys, _BLK], "left").select(*df.columns, "first_t", "last_t")
 
 
 def explode_range(df: DataFrame, keys: list[str], first: Column, last: Column, t: str = "t", width: int = BLOCK) -> DataFrame:

@@ -3,7 +3,8 @@
 A sample is one series with all its variables. For every sample a list of
 candidate gaps is drawn; each cell belongs to the first candidate that covers it,
 and candidates are used in order until int(ratio · steps · variables) cells are
-masked, the last one only in part. Draws depend on (seed, sample, candidate)
+masked, the last one only in part. Samples whose candidates cover too little draw
+more, in rounds that run while the plan is made. Draws depend on (seed, sample, candidate)
 alone, so the mask is the same whatever the partitioning.
 
 Samples are spread over the cluster candidate by candidate: a long one is not
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.draws import standard_normal, uniform, uniform_int
 from ..session import checkpointed
-from .blocks import explode_range, running_sum
+from .blocks import BLOCK, explode_range, running_sum
 from .ranks import quantile_values
 
 SAMPLE = "station_id"
@@ -101,15 +102,52 @@ def _targets(samples: DataFrame, n_variables: int, ratio: float) -> DataFrame:
     return samples.withColumn("target", F.floor(F.col("n_steps") * n_variables * ratio).cast("bigint"))
 
 
-def _candidates(sized: DataFrame, n_variables: int, spec: MaskSpec, seed) -> DataFrame:
-    n_candidates = F.ceil(F.col("target") / spec.mean_gap) * spec.oversampling
-    drawn = explode_range(sized, [SAMPLE], F.lit(0), n_candidates - 1, t="k")
+def _candidates(counted: DataFrame, n_variables: int, spec: MaskSpec, seed) -> DataFrame:
+    """Candidates ``from_k`` to ``to_k`` - 1 of every sample."""
+    drawn = explode_range(counted, [SAMPLE], F.col("from_k"), F.col("to_k") - 1, t="k").drop("from_k", "to_k")
     label = (F.lit(str(seed)), F.col(SAMPLE), F.col("k"))
     return drawn.withColumn("v", uniform_int(0, n_variables - 1, *label, "variable")).withColumn(
         "length", _gap_length(spec, seed)
     )
 
 
+def _reached(placed: DataFrame) -> DataFrame:
+    """Cells that each sample's candidates cover, from their ends: gaps are cut into blocks and no cell is written out."""
+    last = F.least(F.col("start") + F.col("length"), F.col("n_steps")) - 1
+    block = F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("last") / BLOCK)))
+    pieces = placed.withColumn("last", last).select(SAMPLE, "v", "start", "last", block.alias("b")).select(
+        SAMPLE, "v", "b",
+        F.greatest("start", F.col("b") * BLOCK).alias("lo"),
+        F.least("last", F.col("b") * BLOCK + BLOCK - 1).alias("hi"),
+    )
+    earlier = Window.partitionBy(SAMPLE, "v", "b").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.col("hi") - F.greatest("lo", F.coalesce(F.max("hi").over(earlier) + 1, F.col("lo"))) + 1
+    return pieces.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy(SAMPLE).agg(F.sum("fresh").alias("reached"))
+
+
+def _enough_candidates(sized: DataFrame, n_variables: int, spec: MaskSpec, seed, place) -> DataFrame:
+    """Placed candidates that cover every sample's target, or all its cells if those are fewer.
+
+    Samples that fall short draw as many again, the others nothing. Candidates come in a fixed
+    order, so more of them never change what the earlier ones cover. Cells on which no candidate
+    can fall (steps missing from the condition variable) end the rounds once draws add nothing.
+    """
+    first = F.greatest(F.ceil(F.col("target") / spec.mean_gap) * spec.oversampling, F.lit(0)).cast("bigint")
+    counted = checkpointed(sized.withColumns({"from_k": F.lit(0).cast("bigint"), "to_k": first}))
+    placed = checkpointed(place(_candidates(counted, n_variables, spec, seed)))
+    cells = F.col("n_steps") * n_variables
+    before = None
+    while True:
+        found = counted.join(_reached(placed), SAMPLE, "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
+        short = checkpointed(found.where(F.col("reached") < F.least("target", cells)))
+        mark = short.agg(F.count(F.lit(1)), F.sum("reached"), F.min(F.col("to_k") / cells)).first()
+        if not mark[0] or (mark[:2] == before and mark[2] > 20):
+            return placed
+        before = mark[:2]
+        counted = checkpointed(short.drop("reached").withColumns({"from_k": F.col("to_k"), "to_k": F.greatest(2 * F.col("to_k"), F.lit(8))}))
+        placed = checkpointed(placed.unionByName(place(_candidates(counted, n_variables, spec, seed))))
+
+
 def _uniform_starts(candidates: DataFrame, seed) -> DataFrame:
     label = (F.lit(str(seed)), F.col(SAMPLE), F.col("k"))
     return candidates.withColumn("start", uniform_int(F.lit(0), F.col("n_steps") - 1, *label, "start"))
@@ -124,7 +162,7 @@ def _flagged_steps(panel: DataFrame, spec: MaskSpec) -> DataFrame:
     return condition.select(SAMPLE, "t", outside.alias("is_extreme"))
 
 
-def _biased_starts(candidates: DataFrame, panel: DataFrame, spec: MaskSpec, seed) -> DataFrame:
+def _biased_placement(panel: DataFrame, spec: MaskSpec, seed):
     """Starts drawn from the extreme steps with a raised probability, else from the normal ones."""
     flagged = _flagged_steps(panel, spec)
     steps = running_sum(flagged, [SAMPLE, "is_extreme"], F.lit(1), name="place")
@@ -139,14 +177,18 @@ def _biased_starts(candidates: DataFrame, panel: DataFrame, spec: MaskSpec, seed
         p = F.least(F.lit(0.95), F.greatest(F.lit(0.05), weighted / (weighted + 1.0 - f)))
     label = (F.lit(str(seed)), F.col(SAMPLE), F.col("k"))
     wants = (F.col("n_extreme") > 0) & ((uniform(*label, "class") < p) | (F.col("n_normal") == 0))
-    chosen = (
-        candidates.join(shares, SAMPLE)
-        .withColumn("is_extreme", wants)
-        .withColumn("n_class", F.when(F.col("is_extreme"), F.col("n_extreme")).otherwise(F.col("n_normal")))
-        .withColumn("place", uniform_int(F.lit(1), F.col("n_class"), *label, "start"))
-    )
-    located = chosen.join(steps.select(SAMPLE, "is_extreme", "place", "t"), [SAMPLE, "is_extreme", "place"])
-    return located.withColumn("start", (F.col("t") - F.col("first_t")).cast("bigint")).drop("t")
+
+    def place(candidates: DataFrame) -> DataFrame:
+        chosen = (
+            candidates.join(shares, SAMPLE)
+            .withColumn("is_extreme", wants)
+            .withColumn("n_class", F.when(F.col("is_extreme"), F.col("n_extreme")).otherwise(F.col("n_normal")))
+            .withColumn("place", uniform_int(F.lit(1), F.col("n_class"), *label, "start"))
+        )
+        located = chosen.join(steps.select(SAMPLE, "is_extreme", "place", "t"), [SAMPLE, "is_extreme", "place"])
+        return located.select(*candidates.columns, (F.col("t") - F.col("first_t")).cast("bigint").alias("start"))
+
+    return place
 
 
 def _cells_in_order(candidates: DataFrame, sized: DataFrame, variables) -> DataFrame:
@@ -190,15 +232,15 @@ def synthetic_mask(samples: DataFrame, variables, spec: MaskSpec, seed, panel: D
     only for kinds whose gaps depend on values.
     """
     sized = _targets(samples, len(variables), spec.missing_ratio)
-    candidates = _candidates(sized, len(variables), spec, seed)
     if spec.kind in ("mar", "mnar"):
         if spec.condition_variable not in variables:
             raise ValueError(f"condition_variable must be one of {tuple(variables)}")
         if panel is None:
             raise ValueError(f"{spec.kind} masks need the panel")
-        placed = _biased_starts(candidates, panel, spec, seed)
+        place = _biased_placement(panel, spec, seed)
     else:
-        placed = _uniform_starts(candidates, seed)
+        place = lambda candidates: _uniform_starts(candidates, seed)
+    placed = _enough_candidates(sized, len(variables), spec, seed, place)
     return _cells_in_order(placed, sized, variables)
 
 

@@ -204,3 +204,29 @@ def test_one_shuffle_is_shared(spark):
     plan = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("ReusedExchange") == 1 and plan.count("Range (0") == 1
     assert "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_no_row_is_lost_whatever_readers_see(spark, reuse):
+    """Both readers of the shuffle may see different values: rows in are rows out all the same."""
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.range(1000).selectExpr("'a' station_id", "'x' variable", "cast(id as int) t", "if(id % 3 = 0, null, rand()) value")
+        assert fill.linear_fill(df).count() == 1000
+        assert series.gap_lengths(df).count() == 1000
+        assert running_sum(df, series.SERIES, F.lit(1), width=7).count() == 1000
+        assert nearest_points(df, series.SERIES, {"v": (F.col("value"), 3)}, bounds=True, width=7).count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_rows_with_null_keys_come_through(spark):
+    rows = [("a", "x", 0, 1.0), ("a", "x", 1, None), ("a", "x", 2, 3.0), (None, "x", 0, 1.0), (None, "x", 1, None), ("a", None, 1, None), ("a", "x", None, 5.0)]
+    df = spark.createDataFrame(rows, PANEL)
+    filled = fill.linear_fill(df).collect()
+    assert len(filled) == len(rows)
+    assert sorted((str(r.station_id), r.filled) for r in filled if r.t == 1 and r.variable) == [("None", 0.0), ("a", 2.0)]
+    sums = running_sum(df, series.SERIES, F.lit(1)).collect()
+    assert sorted((r.t, r.position) for r in sums if r.station_id and r.variable and r.t is not None) == [(0, 1), (1, 2), (2, 3)]
+    assert all(r.position is None for r in sums if r.station_id is None or r.variable is None or r.t is None)
+    assert with_bounds(df, series.SERIES).count() == len(rows)

@@ -186,6 +186,32 @@ def test_masks_reach_their_target_exactly(spark, dense, name):
     assert mask.count() == mask.select("station_id", "t", "variable").distinct().count()
 
 
+@pytest.mark.parametrize(
+    "spec",
+    [
+        masks.MaskSpec("mcar", 0.2),
+        masks.MaskSpec("mcar", 0.95, 1, 24),
+        masks.MaskSpec("mcar", 1.0, 1, 24),
+        masks.MaskSpec("realistic", 0.5),
+        masks.MaskSpec("mar", 0.5, 1, 24, condition_variable="x"),
+        masks.MaskSpec("mnar", 0.9, condition_variable="y"),
+    ],
+)
+def test_short_samples_reach_their_target(spark, dense, spec):
+    short = dense.where("t < 100 + 24 + cast(station_id as int) * 12")
+    samples = masks.sample_sizes(short)
+    totals = masks.mask_totals(samples, masks.synthetic_mask(samples, NAMES, spec, 5, short), 3, spec.missing_ratio).collect()
+    assert len(totals) == 6 and all(r.masked == r.target for r in totals)
+
+
+def test_cells_without_candidates_end_the_rounds(spark):
+    """Steps 0 and 9 are there, nothing between: gaps of one step can mask two steps and no more."""
+    panel = spark.createDataFrame([("a", t, v, 1.0) for t in (0, 9) for v in NAMES], "station_id string, t int, variable string, value double")
+    samples = masks.sample_sizes(panel)
+    spec = masks.MaskSpec("mar", 0.9, 1, 1, condition_variable="x")
+    assert masks.synthetic_mask(samples, NAMES, spec, 1, panel).count() == 6
+
+
 def test_masks_do_not_depend_on_partitioning(spark, dense):
     spec = SPECS["mar"]
     draw = lambda panel, seed: {tuple(r) for r in masks.synthetic_mask(masks.sample_sizes(panel), NAMES, spec, seed, panel).collect()}
