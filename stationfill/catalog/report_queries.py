@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import circular as G
 from ..functions import reports as R
 from ..operators import metadata, reports
+from ..plans import preprocess
 from ..sources import observations as O
 from .registry import query
 from .views import OBS
@@ -16,7 +17,7 @@ VALID = "(temperature_quality_code IS NULL OR temperature_quality_code IN ('', '
 GOOD = f"(temperature IS NOT NULL AND {VALID})"
 
 
-@query("select_variables", f"WITH {OBS} SELECT temperature, temperature_quality_code, wind_direction FROM obs")
+@query("select_variables", f"WITH {OBS} SELECT station_id, ts, report_type, temperature, temperature_quality_code, wind_direction FROM obs")
 def _(v):
     return reports.select_variables(v.obs())
 
@@ -116,7 +117,8 @@ def _(v):
 @query("filter_years_and_stations", f"WITH {OBS} SELECT station_id, ts, temperature FROM obs WHERE year(ts) IN (2024) AND station_id IN (3, 7, 11)")
 def _(v):
     years, ids = O.parse_years("2010, 2023:2025, x"), O.parse_stations("3, 7,11")
-    rows = v.obs().where(F.year("ts").isin(years)).where(F.col("station_id").cast("string").isin(ids))
+    rows = v.obs()
+    rows = rows.where(O.in_years(years)).where(O.of_stations(rows, ids))
     return rows.select("station_id", "ts", "temperature")
 
 
@@ -344,3 +346,49 @@ def _(v):
         F.when(decoded == 360.0, 0.0).otherwise(decoded).alias("decoded"),
         F.round(G.angular_difference(d, F.lit(90.0)), 6).alias("turn_to_east"),
     )
+
+
+_FACTS = """ends AS (SELECT station_id, min(ts) AS lo, max(ts) AS hi FROM obs GROUP BY 1),
+  rows AS (SELECT o.station_id, o.ts, CASE WHEN temperature_quality_code IN ('3', '7') THEN NULL ELSE temperature END AS temperature
+           FROM obs o WHERE {hourly})"""
+
+
+def _prepared(v, strategy: str):
+    """Every station of the reports, with the range of its reports."""
+    table = v.obs().groupBy("station_id").agg(F.min("ts").alias("first_observation"), F.max("ts").alias("last_observation"))
+    for name in ("latitude", "longitude", "elevation"):
+        table = table.withColumn(name, F.lit(None).cast("double"))
+    done = preprocess.prepare(v.obs(), table, table, strategy, variables=("temperature",))
+    return done.select("station_id", "ts", "temperature", "split")
+
+
+@query(
+    "prepare_temporal",
+    f"""WITH {OBS}, {_FACTS.format(hourly=HOURLY)},
+  placed AS (SELECT r.*, epoch(r.ts)::BIGINT - epoch(lo)::BIGINT AS p, epoch(hi)::BIGINT - epoch(lo)::BIGINT + 1 AS n
+             FROM rows r JOIN ends e USING (station_id))
+  SELECT station_id, ts, temperature, CASE WHEN p < floor(n * 0.7::DOUBLE) THEN 'train'
+    WHEN p < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM placed""",
+)
+def _(v):
+    """Every row in exactly one split, by its place in its station's range."""
+    return _prepared(v, "temporal")
+
+
+@query("prepare_simulated", f"WITH {OBS}, {_FACTS.format(hourly=HOURLY)} SELECT station_id, ts, temperature, 'all' AS split FROM rows")
+def _(v):
+    """One copy of the rows; the splits are masks over them."""
+    return _prepared(v, "simulated")
+
+
+@query(
+    "prepare_spatial",
+    f"""WITH {OBS}, {_FACTS.format(hourly=HOURLY)},
+  drawn AS (SELECT station_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', station_id)), station_id) AS position, count(*) OVER () AS n_ids FROM ends)
+  SELECT r.station_id, r.ts, r.temperature, CASE WHEN position <= floor(n_ids * 0.7::DOUBLE) THEN 'train'
+    WHEN position <= floor(n_ids * 0.7::DOUBLE) + floor(n_ids * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split
+  FROM rows r JOIN drawn USING (station_id)""",
+)
+def _(v):
+    """Whole stations in one split each."""
+    return _prepared(v, "spatial")

@@ -14,10 +14,14 @@ from ..functions import constants as C
 from ..functions import reports as R
 
 
+KEYS = ("station_id", "ts", "year", "report_type")
+
+
 def select_variables(df: DataFrame, variables=C.TIER1_VARIABLES) -> DataFrame:
-    """Primary columns and every attribute of ``variables`` that the table has."""
+    """The keys that reading gives, primary columns and every attribute of ``variables`` that the table has."""
     present = {name.lower(): name for name in df.columns}
-    wanted = [name.lower() for name in C.PRIMARY_COLUMNS]
+    primary = [name.lower() for name in C.PRIMARY_COLUMNS]
+    wanted = [*KEYS, *(name for name in primary if name not in KEYS)]
     for variable in variables:
         wanted += [f"{variable}{suffix}".lower() for suffix in C.ATTRIBUTE_SUFFIXES]
         wanted.append(f"{variable}_report_type")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import shuffled_rank
@@ -53,6 +53,18 @@ def temporal_split(stations: DataFrame, train=0.7, val=0.15, test=0.15) -> DataF
     return every_split(stations)
 
 
+def temporal_label(ts: str, first: str, last: str, train=0.7, val=0.15, test=0.15) -> Column:
+    """The split of a row by its place between its station's first and last report, in seconds.
+
+    Rows outside of that range belong to the nearer end; rows without an instant are training rows.
+    """
+    _check(train, val, test)
+    place = F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(F.col(first).cast("timestamp"))
+    n = F.unix_seconds(F.col(last).cast("timestamp")) - F.unix_seconds(F.col(first).cast("timestamp")) + 1
+    n_train, n_val = F.floor(n * train), F.floor(n * val)
+    return F.when(place.isNull() | (place < n_train), "train").when(place < n_train + n_val, "val").otherwise("test")
+
+
 def split_seed(seed: int, split: str) -> str:
     """Label of the mask draws of one split under the simulated strategy."""
     return f"{seed}-{split}"

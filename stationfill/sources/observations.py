@@ -46,6 +46,33 @@ def parse_stations(text: str | None) -> list[str] | None:
     return [part.strip().upper() for part in text.split(",") if part.strip()]
 
 
+def in_years(years: list[int] | None, ts: str = "ts") -> Column:
+    """Reports of these years, as ranges of instants, which file formats can skip by."""
+    if years is None:
+        return F.lit(True)
+    runs: list[list[int]] = []
+    for year in sorted(set(years)):
+        if runs and runs[-1][1] == year:
+            runs[-1][1] = year + 1
+        else:
+            runs.append([year, year + 1])
+    day = lambda year: F.lit(f"{year:04d}-01-01 00:00:00").cast("timestamp_ntz")
+    chosen = F.lit(False)
+    for first, end in runs:
+        chosen = chosen | ((F.col(ts) >= day(first)) & (F.col(ts) < day(end)))
+    return chosen
+
+
+def of_stations(df: DataFrame, ids: list[str] | None, station: str = "station_id") -> Column:
+    """Reports of these stations, compared in the column's own type; ids that do not fit the type name no station."""
+    if ids is None:
+        return F.lit(True)
+    kind = dict(df.dtypes)[station]
+    if kind == "string":
+        return F.col(station).isin(ids)
+    return F.col(station).isin([int(i) for i in ids if i.lstrip("-").isdigit()])
+
+
 def list_files(spark: SparkSession, root: str, years: list[int] | None = None) -> DataFrame:
     """``file, station_id, year, size, modified_at``; contents are not read."""
     # Alternatives in one glob: years without a folder are skipped.
