@@ -38,7 +38,7 @@ from .suffixes import common_prefixes, sorted_order
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM  # bytes that a window may begin before its anchor
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Shards that may have an anchor before its windows are dealt out one by one.
 WIDE = 256
 
@@ -55,6 +55,15 @@ def _extremes(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def _hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of 16 bytes, given as two numbers."""
+    h = first * _MIX[0] ^ (second + np.uint64(1)) * _MIX[1]
+    h ^= h >> np.uint64(29)
+    h *= _MIX[0]
+    h ^= h >> np.uint64(32)
+    return h
+
+
 class Shard:
     """The documents of a shard laid end to end, and their anchors."""
 
@@ -75,10 +84,7 @@ class Shard:
         if n < LENGTH:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         words = np.ndarray(n - 7, "<u8", np.ascontiguousarray(self.data), strides=(1,))
-        h = words[: n - GRAM + 1] * _MIX[0] ^ (words[8 : n - 7] + np.uint64(1)) * _MIX[1]
-        h ^= h >> np.uint64(29)
-        h *= _MIX[0]
-        h ^= h >> np.uint64(32)
+        h = _hash(words[: n - GRAM + 1], words[8 : n - 7])
         least = _extremes(h, REACH + 1, np.minimum)
         # Windows that reach beyond their document count for nothing.
         whole = np.zeros(n + 1, np.int32)
@@ -154,48 +160,58 @@ def _told(told: pd.DataFrame, shard: Shard, bits: int) -> tuple[np.ndarray, np.n
 
 
 def _agreement(h: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray, least: np.ndarray):
-    """For each record and run of window offsets, the smallest document of equal windows, where it is not the record's own.
+    """For each record, all different, and run of window offsets, the smallest document of equal windows.
 
-    Yields (records, lowest offset, highest offset, first): windows begin that many bytes before the anchor.
+    Gives records, lowest and highest offset and first: windows begin that many bytes before the anchor.
     """
     sides = []
     for data in (around[:, REACH + GRAM :], np.ascontiguousarray(around[:, :REACH][:, ::-1])):
         order = sorted_order(h, data)
         shared = common_prefixes(h, data, order)
         sides.append((order, shared))
-    before = np.full(len(h), -2, np.int64)
-    since = np.zeros(len(h), np.int64)
-    found = []
+    def runs(side: int, need: int) -> np.ndarray:
+        order, shared = sides[side]
+        run = np.empty(len(h), np.int64)
+        run[order] = np.cumsum(shared < need)
+        return run
+
+    # Most anchors have the same around them wherever they occur: all of their windows agree.
+    whole = ((runs(0, LENGTH - GRAM) * (len(h) + 1) + runs(1, REACH)) * (LENGTH + 1) + right) * (REACH + 1) + left
+    order = np.argsort(h)
+    starts = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    sizes = np.diff(np.append(starts, len(h)))
+    alike = np.minimum.reduceat(whole[order], starts) == np.maximum.reduceat(whole[order], starts)
+    pure = np.empty(len(h), bool)
+    pure[order] = np.repeat(alike, sizes)
+    lowest = np.empty(len(h), np.int64)
+    lowest[order] = np.repeat(np.minimum.reduceat(least[order], starts), sizes)
+    low, high = np.maximum(LENGTH - right, 0), left
+    plain = np.flatnonzero(pure & (low <= high))
+    found = [(plain, low[plain], high[plain], lowest[plain])]
+
+    # For the others, each place of a window over the anchor is looked at.
+    mixed = np.flatnonzero(~pure)
+    none = np.iinfo(np.int64).max
+    before, since = np.full(len(mixed), none), np.zeros(len(mixed), np.int64)
     for back in range(REACH + 2):
-        first = least
+        now = np.full(len(mixed), none)
         if back <= REACH:
-            fits = (left >= back) & (right >= LENGTH - back)
-            key = np.zeros(len(h), np.int64)
-            for (order, shared), need in zip(sides, (LENGTH - back - GRAM, back)):
-                run = np.empty(len(h), np.int64)
-                run[order] = np.cumsum(shared < need)
-                key = key * (len(h) + 1) + run
-            rows = np.flatnonzero(fits)
-            first = np.full(len(h), -2, np.int64)
+            fits = np.flatnonzero((left[mixed] >= back) & (right[mixed] >= LENGTH - back))
+            rows = mixed[fits]
             if len(rows):
-                by = rows[np.argsort(key[rows], kind="stable")]
+                key = runs(0, LENGTH - back - GRAM)[rows] * (len(h) + 1) + runs(1, back)[rows]
+                by = np.argsort(key)
                 starts = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
-                lowest = np.minimum.reduceat(least[by], starts)
+                lowest = np.minimum.reduceat(least[rows[by]], starts)
+                first = np.empty(len(rows), np.int64)
                 first[by] = np.repeat(lowest, np.diff(np.append(starts, len(by))))
-            told = fits & (first < least)
-            now = np.where(told, first, np.iinfo(np.int64).max)
-        else:
-            now = np.full(len(h), np.iinfo(np.int64).max)
-        if back == 0:
-            before, since = now, np.zeros(len(h), np.int64)
-            continue
+                now[fits] = first
         change = np.flatnonzero(now != before)
-        over = change[before[change] != np.iinfo(np.int64).max]
-        if len(over):
-            found.append((over, since[over], np.full(len(over), back - 1), before[over]))
+        over = change[before[change] != none]
+        found.append((mixed[over], since[over], np.full(len(over), back - 1), before[over]))
         since[change] = back
         before = now
-    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+    return [np.concatenate(x) for x in zip(*found)]
 
 
 def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE) -> DataFrame:
@@ -203,7 +219,7 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(fan_out(spark), -(-total // shard_bytes))
-    bits = max(4, (2 * fan_out(spark) - 1).bit_length())
+    bits = max(4, (4 * fan_out(spark) - 1).bit_length())
     rows = keyed(docs).select(
         F.pmod(F.xxhash64("__id", "__th", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"),
         "__id", "__th", "text",
@@ -211,8 +227,11 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
 
     def tell(rows: pd.DataFrame) -> pd.DataFrame:
         shard = Shard(rows)
-        pairs = np.unique(np.stack((shard.hash, shard.doc.astype(np.uint64)), axis=1), axis=0) if len(shard.hash) else np.zeros((0, 2), np.uint64)
-        hashes, n = np.unique(pairs[:, 0], return_counts=True)
+        order = np.lexsort((shard.doc, shard.hash))
+        sorted_hash, sorted_doc = shard.hash[order], shard.doc[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (sorted_hash[1:] != sorted_hash[:-1]) | (sorted_doc[1:] != sorted_doc[:-1])
+        hashes, n = np.unique(sorted_hash[new], return_counts=True)
         names, first = _split(hashes, bits)
         return pd.DataFrame(
             {
@@ -230,14 +249,10 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
         inside = np.zeros(len(found), np.int64)
         np.add.at(inside, where, np.concatenate(several))
         is_wide, is_shared = n > wide, (n > 1) | (inside > 0)
-        narrow, broad = found[is_shared & ~is_wide], found[is_wide]
+        cuts = np.cumsum([len(x) for x in lists])[:-1]
+        chosen = lambda flag: [x[f].tobytes() for x, f in zip(lists, np.split(flag[where], cuts))]
         return pd.DataFrame(
-            {
-                "shard": rows["shard"],
-                "bucket": rows["bucket"],
-                "narrow": [x[np.isin(x, narrow)].tobytes() for x in lists],
-                "wide": [x[np.isin(x, broad)].tobytes() for x in lists],
-            }
+            {"shard": rows["shard"], "bucket": rows["bucket"], "narrow": chosen(is_shared & ~is_wide), "wide": chosen(is_wide)}
         )
 
     def send(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -250,7 +265,7 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
             for b, i, j in zip(names, first, first[1:]):
                 own = named[i:j]
                 out.append(
-                    (b, False, shard.hash[own].tobytes(), shard.around(own).tobytes(), shard.left[own].astype("u1").tobytes(),
+                    (b, False, b"", shard.around(own).tobytes(), shard.left[own].astype("u1").tobytes(),
                      shard.right[own].astype("u1").tobytes(), shard.ids[shard.doc[own]].tobytes())
                 )
             _, doc, number, distinct = shard.windows(broad)
@@ -280,7 +295,20 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
         else:
             around = np.frombuffer(joined("around"), np.uint8).reshape(-1, REACH + LENGTH)
             left, right = (np.frombuffer(joined(c), np.uint8).astype(np.int64) for c in ("left", "right"))
-            which, low, high, first = _agreement(np.frombuffer(joined("keys"), np.uint64), around, left, right, least)
+            gram = np.ascontiguousarray(around[:, REACH : REACH + GRAM]).view("<u8")
+            alike = np.concatenate((around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), axis=1)
+            _, one, group = np.unique(np.ascontiguousarray(alike).view(f"V{alike.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            lowest = np.full(len(one), np.iinfo(np.int64).max)
+            np.minimum.at(lowest, group, least)
+            told = _agreement(_hash(gram[one, 0], gram[one, 1]), around[one], left[one], right[one], lowest)
+            # Back to the shards that sent them, wherever a smaller document than their own was found.
+            members = np.argsort(group, kind="stable")
+            ends = np.searchsorted(group[members], np.arange(len(one) + 1))
+            size = ends[told[0] + 1] - ends[told[0]]
+            which = members[np.repeat(ends[told[0]] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            low, high, first = (np.repeat(x, size) for x in told[1:])
+            use = first < least[which]
+            which, low, high, first = which[use], low[use], high[use], first[use]
         order = np.argsort(of_row[which], kind="stable")
         which, low, high, first = which[order], low[order], high[order], first[order]
         cuts = np.searchsorted(of_row[which], np.arange(len(rows) + 1))

@@ -84,8 +84,11 @@ def sorted_order(groups: np.ndarray, data: np.ndarray) -> np.ndarray:
     starts = np.append(np.flatnonzero(new), n)
     for k in np.unique(np.searchsorted(starts, np.flatnonzero(differs), side="right") - 1):
         rows = order[starts[k] : starts[k + 1]]
-        strings = [x.tobytes() for x in padded[rows, 8 * SHALLOW :]]
-        order[starts[k] : starts[k + 1]] = rows[BlindTrie(strings).order()]
+        same: dict[bytes, list[int]] = {}
+        for i, x in enumerate(padded[rows, 8 * SHALLOW :]):
+            same.setdefault(x.tobytes(), []).append(i)
+        strings = list(same)
+        order[starts[k] : starts[k + 1]] = rows[[i for x in BlindTrie(strings).order() for i in same[strings[x]]]]
     return order
 
 
