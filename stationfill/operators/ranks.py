@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.draws import digest
 from ..session import checkpointed, fan_out
 
-DIRECT_ROWS = 1_000_000
-SKETCH_ACCURACY = 10_000
 
 
 def shuffled_rank(ids: DataFrame, id_column: str, seed) -> DataFrame:
@@ -37,13 +35,16 @@ def shuffled_rank(ids: DataFrame, id_column: str, seed) -> DataFrame:
     )
 
 
-def tie_averaged_ranks(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column]) -> DataFrame:
-    """Per key and distinct value: ``n`` rows, their mean rank, and ``measures``.
+def _counted_in_order(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column] | None = None) -> DataFrame:
+    """Per key and distinct value: ``n`` rows, ``upto`` (rows at or below it) and ``measures``.
 
     Equal values are counted before the shuffle. The distinct values are range
-    partitioned and that layout is checkpointed, so both readers see the same cuts.
+    partitioned and that layout is checkpointed, so both readers see the same cuts;
+    a key of any size is spread over partitions, and only counts are summed across them.
     """
-    distinct = df.groupBy(*keys, value).agg(F.count("*").alias("n"), *[m.alias(k) for k, m in measures.items()])
+    distinct = df.groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in (measures or {}).items()]
+    )
     ranged = checkpointed(
         distinct.repartitionByRange(fan_out(df.sparkSession), *keys, value).withColumn("__part", F.spark_partition_id())
     )
@@ -51,113 +52,60 @@ def tie_averaged_ranks(df: DataFrame, keys: list[str], value: str, measures: dic
     offsets = (
         ranged.groupBy(*keys, "__part")
         .agg(F.sum("n").alias("__n"))
-        .select(*keys, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+        .select(
+            *[F.col(k).alias(f"__{k}") for k in keys],
+            F.col("__part").alias("__at"),
+            F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"),
+        )
     )
+    same = F.col("__part") == F.col("__at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
     upto = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ranged.join(offsets, [*keys, "__part"])
-        .withColumn("mean_rank", F.col("__offset") + F.sum("n").over(upto) - (F.col("n") - 1) / 2.0)
-        .drop("__part", "__offset")
+        ranged.join(offsets, same)
+        .withColumn("upto", F.col("__offset") + F.sum("n").over(upto))
+        .drop("__part", "__at", "__offset", *[f"__{k}" for k in keys])
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probabilities: list[float],
-    by: str | None = None,
-    direct_rows: int = DIRECT_ROWS,
-    stored: bool = False,
-) -> DataFrame:
+def tie_averaged_ranks(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column]) -> DataFrame:
+    """Per key and distinct value: ``n`` rows, their mean rank, and ``measures``."""
+    counted = _counted_in_order(df, keys, value, measures)
+    return counted.withColumn("mean_rank", F.col("upto") - (F.col("n") - 1) / 2.0).drop("upto")
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], by: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles ``q0``, ``q1``, … of the non-NULL values, one row (per ``by``).
 
-    Up to ``direct_rows`` values per group go through the exact aggregate. Beyond
-    that its state would hold every distinct value in one task, so sketches
-    bracket each wanted rank, counts make the bracket certain, and only the last,
-    small bracket is sorted. Only counts and bracket ends reach the driver. The one
-    column is checkpointed first, so the input is computed once; ``stored`` says that
-    the input already is.
+    Distinct values are counted and laid out in order once, for all groups together, and
+    the wanted ranks are looked up there: one way of working and one arithmetic at every
+    size, with any number of groups. A NULL group is a group. Without values there is no
+    row per group, and one row of NULLs without ``by``.
     """
-    present = df.where(F.col(value).isNotNull()).select(*([by] if by else []), F.col(value).cast("double").alias("v"))
-    present = present if stored else checkpointed(present)
-    sizes = present.groupBy(*([by] if by else [])).count().limit(10_001).collect()
-    if len(sizes) > 10_000:
-        raise ValueError(f"{by} has more than 10,000 groups; quantiles are meant for strata")
-    if max((row["count"] for row in sizes), default=0) <= direct_rows:
-        wanted = [F.percentile("v", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probabilities)]
-        rows = [list(row) for row in (present.groupBy(by).agg(*wanted) if by else present.agg(*wanted)).collect()]
-        return _small_table(df, rows, len(probabilities), by)
-    rows = []
-    for size in sizes:
-        group = present.where(F.col(by).eqNullSafe(F.lit(size[by]))) if by else present
-        n = size["count"]
-        spots = [p * (n - 1) for p in probabilities]
-        ranks = sorted({int(s) for s in spots} | {min(int(s) + 1, n - 1) for s in spots})
-        found = _values_at(group, ranks, n, direct_rows)
-        quantiles = []
-        for spot in spots:
-            low, high = found[int(spot)], found[min(int(spot) + 1, n - 1)]
-            quantiles.append(low + (high - low) * (spot - int(spot)))
-        rows.append(([size[by]] if by else []) + quantiles)
-    return _small_table(df, rows, len(probabilities), by)
-
-
-def quantile_values(df: DataFrame, value: str, probabilities: list[float], stored: bool = False) -> list[Column]:
-    """The same over the whole column, as literals: nothing has to be joined to use them."""
-    return [F.lit(x).cast("double") for x in exact_quantiles(df, value, probabilities, stored=stored).first()]
-
-
-def _small_table(df: DataFrame, rows, n: int, by: str | None) -> DataFrame:
-    names = ", ".join(f"q{i} double" for i in range(n))
-    kind = f"{by} {df.schema[by].dataType.simpleString()}, " if by else ""
-    return df.sparkSession.createDataFrame(rows, kind + names)
-
-
-def _values_at(group: DataFrame, ranks: list[int], n: int, direct_rows: int) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the sorted column ``v``."""
-    v = F.col("v")
-    # rank -> (low, high, rows at or below low, rows in the bracket), bracket = low < v <= high
-    open_ranks = {rank: (None, None, 0, n) for rank in ranks}
-    found: dict[int, float] = {}
-
-    def inside(low, high):
-        keep = F.lit(True)
-        if low is not None:
-            keep = keep & (v > low)
-        return keep & (v <= high) if high is not None else keep
-
-    while open_ranks:
-        for rank, (low, high, below, size) in list(open_ranks.items()):
-            if size <= direct_rows:
-                values = F.sort_array(F.collect_list("v"))
-                found[rank] = group.where(inside(low, high)).agg(F.get(values, F.lit(rank - below)).alias("x")).first()["x"]
-                del open_ranks[rank]
-        if not open_ranks:
-            break
-        sketches = []
-        for rank, (low, high, below, size) in open_ranks.items():
-            share, slack = (rank - below) / size, 2.0 / SKETCH_ACCURACY
-            around = F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack)))
-            sketches.append(F.percentile_approx(F.when(inside(low, high), v), around, SKETCH_ACCURACY).alias(f"r{rank}"))
-        cuts = group.agg(*sketches).first()
-        tallies = []
-        for rank, (low, high, _, _) in open_ranks.items():
-            for side, cut in enumerate(cuts[f"r{rank}"]):
-                tallies.append(F.count_if(inside(low, high) & (v <= cut)).alias(f"le{side}_{rank}"))
-                tallies.append(F.count_if(inside(low, high) & (v < cut)).alias(f"lt{side}_{rank}"))
-        tally = group.agg(*tallies).first()
-        for rank, (low, high, below, size) in list(open_ranks.items()):
-            new = [low, high, below, below + size]
-            for side, cut in enumerate(cuts[f"r{rank}"]):
-                at_most, under = below + tally[f"le{side}_{rank}"], below + tally[f"lt{side}_{rank}"]
-                if under <= rank < at_most:
-                    found[rank] = cut
-                elif at_most <= rank and at_most >= new[2]:
-                    new[0], new[2] = cut, at_most
-                elif rank < at_most <= new[3]:
-                    new[1], new[3] = cut, at_most
-            if rank in found:
-                del open_ranks[rank]
-            else:
-                open_ranks[rank] = (new[0], new[1], new[2], new[3] - new[2])
-    return found
+    keys = [by] if by else []
+    present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    counted = _counted_in_order(present, keys, "v")
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("__total"))
+    if by:
+        totals = totals.withColumnRenamed(by, "__by")
+        counted = counted.join(totals, F.col(by).eqNullSafe(F.col("__by")))
+    else:
+        counted = counted.crossJoin(totals)  # with one row
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("v")))
+
+    last = F.col("__total") - 1
+    ends, quantiles = [F.max("__total").alias("__total")], []
+    for i, p in enumerate(probabilities):
+        low = F.floor(last * float(p))
+        ends += [at(low).alias(f"__low{i}"), at(F.least(low + 1, last)).alias(f"__high{i}")]
+        spot = last * float(p)
+        quantiles.append((F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * (spot - F.floor(spot))).alias(f"q{i}"))
+    return counted.groupBy(*keys).agg(*ends).select(*keys, *quantiles)
+
+
+def quantile_values(df: DataFrame, value: str, probabilities: list[float]) -> list[Column]:
+    """The same over the whole column, as literals: nothing has to be joined to use them. This runs a job."""
+    return [F.lit(x).cast("double") for x in exact_quantiles(df, value, probabilities).first()]

@@ -31,18 +31,9 @@ def fit_scale(panel: DataFrame, keys=("variable",)) -> DataFrame:
     )
 
 
-MAX_BROADCAST_ROWS = 10_000
-
-
 def _joined(panel: DataFrame, stats: DataFrame, keys) -> DataFrame:
-    """Attach the statistics. Per variable they are a few rows, which is checked before they are
-    broadcast; a larger table, or one per station, is joined as Spark sees fit."""
-    wanted = stats.select(*keys, "mean", "std", "min_val", "max_val")
-    if tuple(keys) == ("variable",):
-        rows = wanted.limit(MAX_BROADCAST_ROWS + 1).collect()
-        if len(rows) <= MAX_BROADCAST_ROWS:
-            wanted = F.broadcast(panel.sparkSession.createDataFrame(rows, wanted.schema))
-    return panel.join(wanted, list(keys))
+    """Attach the statistics, a row per key; Spark broadcasts them where their size allows."""
+    return panel.join(stats.select(*keys, "mean", "std", "min_val", "max_val"), list(keys), "left")
 
 
 def scale(panel: DataFrame, stats: DataFrame, method="zscore", clip: float | None = None, keys=("variable",)) -> DataFrame:

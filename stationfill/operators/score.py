@@ -88,11 +88,12 @@ def _with_extremes(cells: DataFrame, percentiles, by: str | None) -> DataFrame:
     cells = checkpointed(cells)
     probabilities = [low / 100.0, high / 100.0]
     if by is None:
-        first, second = quantile_values(cells, "truth", probabilities, stored=True)
+        first, second = quantile_values(cells, "truth", probabilities)
         joined = cells
     else:
-        # One row per group, and exact_quantiles bounds the number of groups.
-        joined = cells.join(F.broadcast(exact_quantiles(cells, "truth", probabilities, by=by, stored=True)), by)
+        # One row per group; Spark broadcasts it where its size allows.
+        cuts = exact_quantiles(cells, "truth", probabilities, by=by).withColumnRenamed(by, "__by")
+        joined = cells.join(cuts, F.col(by).eqNullSafe(F.col("__by")), "left")
         first, second = F.col("q0"), F.col("q1")
     label = F.when(F.col("truth") < first, "extreme_low").when(F.col("truth") > second, "extreme_high").otherwise("normal")
     return joined.withColumn("extreme_label", label).select(*cells.columns, "extreme_label")
