@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .common import NO_ID, rows_of, text_of
 
 #: Parts that one text's rows are dealt to before they meet.
@@ -44,8 +45,11 @@ def duplicate_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     text = ["__head", "__digest", "__norm"]
     neighbours = Window.partitionBy(*text, "__salt")
     by_id = [F.col("doc_id").asc_nulls_last(), "__th"]
-    local = rows.repartitionByRange("__head", "__digest", "__salt").select(
-        *text,
+    # Without the texts these rows are small; they are read twice below, so they are stored.
+    found = rows.repartitionByRange("__head", "__digest", "__salt").select(
+        "__head",
+        "__digest",
+        F.length("__norm").alias("__long"),
         "__salt",
         "doc_id",
         "__th",
@@ -53,7 +57,8 @@ def duplicate_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         F.first("doc_id").over(neighbours.orderBy(*by_id)).alias("__first"),
         F.count(F.lit(1)).over(neighbours).alias("__n"),
     )
-    firsts = local.where("__place = 1").select("__head", "__digest", F.length("__norm").alias("__long"), "__salt", "__first", "__n")
+    local = checkpointed(found)
+    firsts = local.where("__place = 1")
     same = Window.partitionBy("__head", "__digest", "__long")
     across = same.orderBy(F.col("__first").asc_nulls_last(), "__salt")
     groups = firsts.select(
