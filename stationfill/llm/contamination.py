@@ -270,15 +270,14 @@ def contaminated():
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items."""
-    return overlaps(docs, benchmark).select(
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return overlaps(docs, benchmark, near=False).select(
         F.when(F.col("__id") != NO_ID, F.col("__id")).alias("doc_id"),
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 

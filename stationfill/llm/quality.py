@@ -103,7 +103,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     width = BUCKETS + STATISTICS
     draw = np.random.default_rng(seed)
     share = labels.mean() if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Machine(float(np.log(share / (1 - share))), np.zeros(width), np.zeros((width, RANK)))
     values = [np.array([np.log(share / (1 - share))]), np.zeros(width), draw.normal(0, 0.05, (width, RANK))]
