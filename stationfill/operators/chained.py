@@ -4,11 +4,14 @@ Linear predictors need no rows between rounds. A row with a given set of missing
 variables is completed by an affine map of its observed values, the same for all
 rows with that set, so the cross products every regression needs follow from one
 table of moments per set. The data is read once to get those moments, whatever
-the number of rounds; the maps (at most 2^V, each V × V) are then applied as a
-join on the set of missing variables.
+the number of rounds; the maps, each V × V, are then applied as a join on the set
+of missing variables. Moments and maps exist for sets that occur in the data, and
+these are what the driver holds: any number of variables, as long as the sets they
+are missing in are not as many as the rows.
 
 The forest predictor cannot be reduced that way: it fits with Spark ML and writes
-each round to the checkpoint folder.
+each round to the checkpoint folder. Its model is a list of forests, kept apart from
+the data it was fitted on.
 """
 
 from __future__ import annotations
@@ -23,9 +26,6 @@ from ..functions.draws import standard_normal
 from ..session import checkpointed
 from .series import unfold
 
-MAX_VARIABLES = 12
-
-
 def to_wide(panel: DataFrame, variables, value: str = "value") -> DataFrame:
     """One row per station and step, one column per variable."""
     return panel.groupBy("station_id", "t").pivot("variable", list(variables)).agg(F.first(value))
@@ -36,12 +36,21 @@ def to_long(wide: DataFrame, variables, name: str = "value", extra=()) -> DataFr
 
 
 def _missing_set(variables) -> Column:
-    """Bit i is set where variable i is missing."""
-    bits = [F.when(F.col(v).isNull(), 1 << i).otherwise(0) for i, v in enumerate(variables)]
-    total = bits[0]
-    for bit in bits[1:]:
-        total = total + bit
-    return total.cast("int").alias("missing_set")
+    """A letter per variable: 1 where it is missing, else 0."""
+    return F.concat(*[F.when(F.col(v).isNull(), "1").otherwise("0") for v in variables]).alias("missing_set")
+
+
+def _bits(name: str) -> int:
+    """The same set as a number: bit i is set where variable i is missing."""
+    return int(name[::-1], 2)
+
+
+def _name(bits: int, k: int) -> str:
+    return format(bits, f"0{k}b")[::-1]
+
+
+def _occurring(wide: DataFrame, variables) -> list[int]:
+    return sorted(_bits(r[0]) for r in wide.select(_missing_set(variables)).distinct().collect())
 
 
 def moments_by_missing_set(wide: DataFrame, variables, centers: dict[str, float], spreads: dict[str, float]) -> DataFrame:
@@ -57,18 +66,19 @@ def moments_by_missing_set(wide: DataFrame, variables, centers: dict[str, float]
 
 @dataclass
 class ChainedModel:
-    """Fitted regressions in visiting order: round, target, intercept, slopes, noise (standardised units)."""
+    """Fitted regressions in visiting order: round, target, intercept, slopes, noise, spread of the
+    slopes, rows they were fitted on and means of the other variables there (standardised units)."""
 
     variables: tuple[str, ...]
     centers: dict[str, float]
     spreads: dict[str, float]
-    steps: list[tuple[int, int, float, list[float], float, list[list[float]]]]
+    steps: list[tuple[int, int, float, list[float], float, list[list[float]], float, list[float]]]
     predictor: str
 
     def to_frame(self, spark) -> DataFrame:
         """The fitted coefficients as a table, for writing and reading back."""
         rows = []
-        for order, (rnd, target, intercept, slopes, noise, spread) in enumerate(self.steps):
+        for order, (rnd, target, intercept, slopes, noise, spread, n, means) in enumerate(self.steps):
             rows.append(
                 (
                     order,
@@ -78,6 +88,8 @@ class ChainedModel:
                     [float(s) for s in slopes],
                     float(noise),
                     [[float(x) for x in row] for row in spread],
+                    float(n),
+                    [float(x) for x in means],
                     list(self.variables),
                     [float(self.centers[v]) for v in self.variables],
                     [float(self.spreads[v]) for v in self.variables],
@@ -86,7 +98,7 @@ class ChainedModel:
             )
         kind = (
             "step int, round int, target string, intercept double, slopes array<double>, noise double, "
-            "coef_spread array<array<double>>, variables array<string>, centers array<double>, "
+            "coef_spread array<array<double>>, n_fitted double, means array<double>, variables array<string>, centers array<double>, "
             "spreads array<double>, predictor string"
         )
         return spark.createDataFrame(rows, kind)
@@ -97,7 +109,7 @@ class ChainedModel:
         rows = sorted(frame.collect(), key=lambda r: r["step"])
         names = tuple(rows[0]["variables"])
         steps = [
-            (r["round"], names.index(r["target"]), r["intercept"], list(r["slopes"]), r["noise"], [list(x) for x in r["coef_spread"]])
+            (r["round"], names.index(r["target"]), r["intercept"], list(r["slopes"]), r["noise"], [list(x) for x in r["coef_spread"]], r["n_fitted"], list(r["means"]))
             for r in rows
         ]
         return cls(names, dict(zip(names, rows[0]["centers"])), dict(zip(names, rows[0]["spreads"])), steps, rows[0]["predictor"])
@@ -146,7 +158,7 @@ def _start_maps(sets, n_variables: int) -> dict[int, np.ndarray]:
 
 def _replay(steps, sets, n_variables: int) -> dict[int, np.ndarray]:
     maps = _start_maps(sets, n_variables)
-    for _, target, intercept, slopes, _, _ in steps:
+    for _, target, intercept, slopes, *_ in steps:
         others = [i for i in range(n_variables) if i != target]
         for s, m in maps.items():
             if s >> target & 1:
@@ -165,10 +177,10 @@ def fit_chained(
     Every variable is visited each round, those with fewer missing cells first.
     """
     variables = tuple(variables)
-    if not 2 <= len(variables) <= MAX_VARIABLES:
-        raise ValueError(f"chained equations take 2 to {MAX_VARIABLES} variables, got {len(variables)}")
+    if len(variables) < 2:
+        raise ValueError("chained equations take two variables or more")
     if predictor not in ("bayesian_ridge", "linear"):
-        raise ValueError("predictor must be bayesian_ridge or linear; use forest_chained for forests")
+        raise ValueError("predictor must be bayesian_ridge or linear; use fit_forest for forests")
     basic = wide.agg(
         *[F.avg(v).alias(f"m_{i}") for i, v in enumerate(variables)],
         *[F.stddev_samp(v).alias(f"d_{i}") for i, v in enumerate(variables)],
@@ -180,7 +192,7 @@ def fit_chained(
         raise ValueError(f"no observed value for {empty}")
     centers = {v: basic[f"m_{i}"] for i, v in enumerate(variables)}
     spreads = {v: basic[f"d_{i}"] or 1.0 for i, v in enumerate(variables)}
-    # At most 2^V rows of V² numbers, whatever the size of the table.
+    # V² numbers per set of missing variables that occurs, whatever the number of rows.
     moments = moments_by_missing_set(wide, variables, centers, spreads).collect()
     k = len(variables)
     grams = {}
@@ -191,7 +203,7 @@ def fit_chained(
             g[0, i + 1] = g[i + 1, 0] = row[f"s_{i}"]
             for j in range(i, k):
                 g[i + 1, j + 1] = g[j + 1, i + 1] = row[f"p_{i}_{j}"]
-        grams[row["missing_set"]] = g
+        grams[_bits(row["missing_set"])] = g
     order = sorted(range(k), key=lambda i: (-basic[f"c_{i}"], i))
     steps = []
     maps = _start_maps(grams, k)
@@ -210,7 +222,7 @@ def fit_chained(
                 centred[np.ix_(others, others)], centred[others, target], centred[target, target], n, predictor == "bayesian_ridge"
             )
             intercept = mean[target] - coef @ mean[others]
-            steps.append((rnd, target, float(intercept), list(coef), float(noise), spread.tolist()))
+            steps.append((rnd, target, float(intercept), list(coef), float(noise), spread.tolist(), float(n), mean[others].tolist()))
             for s, m in maps.items():
                 if s >> target & 1:
                     row = coef @ m[others]
@@ -219,18 +231,17 @@ def fit_chained(
     model = ChainedModel(variables, centers, spreads, steps, predictor)
     if tolerance > 0:
         largest = max(basic[f"x_{i}"] for i in range(k))
-        model.steps = _until_stable(wide, model, rounds, tolerance * largest)
+        model.steps = _until_stable(wide, model, rounds, tolerance * largest, sorted(grams))
     return model
 
 
-def _until_stable(wide: DataFrame, model: ChainedModel, rounds: int, limit: float):
+def _until_stable(wide: DataFrame, model: ChainedModel, rounds: int, limit: float, sets: list[int]):
     """Drop the rounds after the first whose largest change stays below ``limit``.
 
     The change of a row is the sum over its cells. One pass finds the largest row
     change of every round at once.
     """
     k = len(model.variables)
-    sets = range(1 << k)
     per_round = [len([s for s in model.steps if s[0] <= r]) for r in range(rounds)]
     maps = [_start_maps(sets, k)] + [_replay(model.steps[:end], sets, k) for end in per_round]
     tables = []
@@ -240,12 +251,12 @@ def _until_stable(wide: DataFrame, model: ChainedModel, rounds: int, limit: floa
             difference = after[s] - before[s]
             changes.append([[float(x) for x in difference[i]] for i in range(k) if s >> i & 1])
         scales = [float(model.spreads[v]) for i, v in enumerate(model.variables) if s >> i & 1]
-        tables.append((s, changes, scales))
+        tables.append((_name(s, k), changes, scales))
     lookup = wide.sparkSession.createDataFrame(
-        tables, "missing_set int, changes array<array<array<double>>>, scales array<double>"
+        tables, "missing_set string, changes array<array<array<double>>>, scales array<double>"
     )
     observed = F.array(F.lit(1.0), *[_standardised(model, v) for v in model.variables])
-    moved = wide.select(_missing_set(model.variables), observed.alias("x")).join(F.broadcast(lookup), "missing_set")
+    moved = wide.select(_missing_set(model.variables), observed.alias("x")).join(lookup, "missing_set")
     size = lambda change: F.aggregate(
         F.zip_with(change, F.col("scales"), lambda row, spread: F.abs(_dot(row, F.col("x"))) * spread),
         F.lit(0.0),
@@ -271,68 +282,148 @@ def impute_chained(wide: DataFrame, model: ChainedModel, n_imputations: int = 1,
     """Completed rows with a key ``imputation``; observed values are kept as they are.
 
     ``posterior=False`` gives every imputation the same expected values.
-    ``posterior=True`` draws coefficients per imputation and residuals per cell.
+    ``posterior=True`` draws slopes and intercepts per imputation, and residuals per row. A
+    residual of one visit goes on into the visits after it, so cells that are missing together
+    have the joint spread that the chain gives them.
     """
     variables, k = model.variables, len(model.variables)
     spark = wide.sparkSession
     rng = np.random.default_rng(seed)
+    sets = _occurring(wide, variables)
     tables = []
     for m in range(n_imputations):
         steps = model.steps
         if posterior:
             steps = []
-            for rnd, target, intercept, slopes, noise, spread in model.steps:
+            for rnd, target, intercept, slopes, noise, spread, n, means in model.steps:
                 drawn = rng.multivariate_normal(slopes, np.asarray(spread), method="svd")
-                steps.append((rnd, target, intercept, drawn, noise, spread))
-        last_noise = {target: noise for _, target, _, _, noise, _ in steps}
-        for s, matrix in _replay(steps, range(1 << k), k).items():
-            rows = [[float(x) for x in matrix[i]] for i in range(k)]
-            tables.append((m, s, rows, [float(last_noise.get(i, 0.0)) ** 0.5 for i in range(k)]))
-    # 2^V maps per imputation: its size depends on the number of variables only.
+                # The intercept goes with the slopes through the centre of the data, itself uncertain.
+                shift = np.dot(np.asarray(slopes) - drawn, means) + rng.normal(0.0, (noise / max(n, 1.0)) ** 0.5)
+                steps.append((rnd, target, intercept + shift, drawn, noise, spread, n, means))
+        roots = _noise_roots(steps, sets, k) if posterior else {}
+        for s, matrix in _replay(steps, sets, k).items():
+            tables.append((m, _name(s, k), matrix.tolist(), roots[s].tolist() if posterior else []))
+    # A map per occurring set and imputation; Spark broadcasts them where their size allows.
     lookup = spark.createDataFrame(
-        tables, "imputation int, missing_set int, maps array<array<double>>, noise array<double>"
+        tables, "imputation int, missing_set string, maps array<array<double>>, noise array<array<double>>"
     )
     observed = F.array(F.lit(1.0), *[_standardised(model, v) for v in variables])
-    joined = wide.select("*", _missing_set(variables), observed.alias("__x")).join(F.broadcast(lookup), "missing_set")
+    joined = wide.select("*", _missing_set(variables), observed.alias("__x")).join(lookup, "missing_set")
+    if posterior:
+        draw = [standard_normal(F.lit(str(seed)), F.col("imputation"), F.col("station_id"), F.col("t"), v) for v in variables]
+        joined = joined.withColumn("__z", F.array(*draw))
     filled = {}
     for i, v in enumerate(variables):
         z = _dot(F.get("maps", F.lit(i)), F.col("__x"))
         if posterior:
-            z = z + F.get("noise", F.lit(i)) * standard_normal(F.lit(str(seed)), F.col("imputation"), F.col("station_id"), F.col("t"), v)
+            z = z + _dot(F.get("noise", F.lit(i)), F.col("__z"))
         filled[v] = F.coalesce(F.col(v), z * model.spreads[v] + model.centers[v])
     rest = [c for c in wide.columns if c not in variables]
     return joined.select(*rest, "imputation", *[filled[v].alias(v) for v in variables])
 
 
+def _noise_roots(steps, sets, k: int) -> dict[int, np.ndarray]:
+    """For each set a V × V matrix that turns V independent normals into the residuals at the end of the chain."""
+    roots = {}
+    for s in sets:
+        carried = np.zeros((k, len(steps)))  # of every visit's own residual, what is in each variable by now
+        for j, (_, target, _, slopes, noise, *_) in enumerate(steps):
+            if s >> target & 1:
+                others = [i for i in range(k) if i != target]
+                carried[target] = np.asarray(slopes) @ carried[others]
+                carried[target, j] = noise**0.5
+        values, vectors = np.linalg.eigh(carried @ carried.T)
+        roots[s] = vectors @ np.diag(np.sqrt(np.clip(values, 0.0, None))) @ vectors.T
+    return roots
+
+
 def mean_imputation(completed: DataFrame, variables, keys=("station_id", "t")) -> DataFrame:
     """Average over the imputations of each cell."""
     return completed.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in variables])
 
 
-def forest_chained(wide: DataFrame, variables, rounds: int = 10, trees: int = 10, depth: int = 10, seed: int = 0) -> DataFrame:
+@dataclass
+class ForestModel:
+    """Forests in visiting order, round by round, and the means that missing values start from."""
+
+    variables: tuple[str, ...]
+    means: dict[str, float]
+    order: tuple[str, ...]
+    rounds: list[list]
+
+    def impute(self, wide: DataFrame) -> DataFrame:
+        """Completed rows of any table with these variables; a checkpoint per round keeps the plan short."""
+        state = _forest_start(wide, self.variables, self.means)
+        for forests in self.rounds:
+            for target, forest in zip(self.order, forests):
+                state = _forest_visit(state, self.variables, target, forest)
+            state = checkpointed(state)
+        return state.select(*wide.columns)
+
+    def save(self, spark, path: str) -> None:
+        """A folder per forest and a table of what goes with them."""
+        means = [float(self.means[v]) for v in self.variables]
+        row = (list(self.variables), means, list(self.order), len(self.rounds))
+        spark.createDataFrame([row], "variables array<string>, means array<double>, order array<string>, rounds int").write.parquet(f"{path}/chain")
+        for r, forests in enumerate(self.rounds):
+            for target, forest in zip(self.order, forests):
+                forest.save(f"{path}/forests/{r}/{self.order.index(target)}")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "ForestModel":
+        from pyspark.ml.regression import RandomForestRegressionModel
+
+        row = spark.read.parquet(f"{path}/chain").first()
+        rounds = [
+            [RandomForestRegressionModel.load(f"{path}/forests/{r}/{i}") for i in range(len(row["order"]))] for r in range(row["rounds"])
+        ]
+        return cls(tuple(row["variables"]), dict(zip(row["variables"], row["means"])), tuple(row["order"]), rounds)
+
+
+def _forest_start(wide: DataFrame, variables, means) -> DataFrame:
+    flags = {f"__miss_{v}": F.col(v).isNull() for v in variables}
+    return wide.withColumns(flags).withColumns({v: F.coalesce(F.col(v), F.lit(means[v])) for v in variables})
+
+
+def _with_features(state: DataFrame, variables, target: str) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=[v for v in variables if v != target], outputCol="__features").transform(state)
+
+
+def _forest_visit(state: DataFrame, variables, target: str, forest) -> DataFrame:
+    guess = F.when(F.col(f"__miss_{target}"), F.col("__guess")).otherwise(F.col(target))
+    return forest.transform(_with_features(state, variables, target)).withColumn(target, guess).drop("__features", "__guess")
+
+
+def fit_forest(wide: DataFrame, variables, rounds: int = 10, trees: int = 10, depth: int = 10, seed: int = 0) -> ForestModel:
     """Chained equations with a random forest per variable (Spark ML).
 
     Every visit trains on the rows where the variable is observed; each round is
     checkpointed so the plan does not grow.
     """
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     variables = tuple(variables)
     basic = wide.agg(*[F.avg(v).alias(f"m_{v}") for v in variables], *[F.count(v).alias(f"c_{v}") for v in variables]).first()
-    order = sorted(variables, key=lambda v: (-basic[f"c_{v}"], variables.index(v)))
-    flags = {f"__miss_{v}": F.col(v).isNull() for v in variables}
-    state = wide.withColumns(flags).withColumns({v: F.coalesce(F.col(v), F.lit(basic[f"m_{v}"])) for v in variables})
-    state = checkpointed(state)
+    order = tuple(sorted(variables, key=lambda v: (-basic[f"c_{v}"], variables.index(v))))
+    means = {v: basic[f"m_{v}"] for v in variables}
+    state = checkpointed(_forest_start(wide, variables, means))
+    fitted = []
     for _ in range(rounds):
+        forests = []
         for target in order:
-            features = VectorAssembler(inputCols=[v for v in variables if v != target], outputCol="__features")
-            table = features.transform(state)
-            forest = RandomForestRegressor(
+            regressor = RandomForestRegressor(
                 featuresCol="__features", labelCol=target, predictionCol="__guess", numTrees=trees, maxDepth=depth, seed=seed
             )
-            model = forest.fit(table.where(~F.col(f"__miss_{target}")))
-            guess = F.when(F.col(f"__miss_{target}"), F.col("__guess")).otherwise(F.col(target))
-            state = model.transform(table).withColumn(target, guess).drop("__features", "__guess")
+            forest = regressor.fit(_with_features(state.where(~F.col(f"__miss_{target}")), variables, target))
+            state = _forest_visit(state, variables, target, forest)
+            forests.append(forest)
+        fitted.append(forests)
         state = checkpointed(state)
-    return state.select(*wide.columns)
+    return ForestModel(variables, means, order, fitted)
+
+
+def forest_chained(wide: DataFrame, variables, rounds: int = 10, trees: int = 10, depth: int = 10, seed: int = 0) -> DataFrame:
+    """Fit forests on a table and complete that table with them."""
+    return fit_forest(wide, variables, rounds, trees, depth, seed).impute(wide)

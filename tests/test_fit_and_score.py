@@ -110,6 +110,39 @@ def test_forest_keeps_observed_cells(spark):
     assert np.array_equal(got[~np.isnan(x)], x[~np.isnan(x)]) and not np.isnan(got).any()
 
 
+def test_forest_is_fitted_apart_saved_and_loaded(spark, tmp_path):
+    model = chained.fit_forest(wide(spark, correlated(2, 120)), V, rounds=2, trees=3, depth=4)
+    fresh = wide(spark, correlated(9, 60))
+    model.save(spark, f"{tmp_path}/forest")
+    again = chained.ForestModel.load(spark, f"{tmp_path}/forest")
+    assert filled(model.impute(fresh)) == pytest.approx(filled(again.impute(fresh)))
+
+
+def test_any_number_of_variables(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 1)) + 0.1 * rng.normal(size=(200, 20))
+    for i in range(40):
+        x[i, [i % 20, (i + 7) % 20]] = np.nan
+    names = [f"v{i}" for i in range(20)]
+    df = spark.createDataFrame([("a", t, *[None if np.isnan(c) else float(c) for c in row]) for t, row in enumerate(x)], ["station_id", "t", *names])
+    model = chained.fit_chained(df, names, rounds=2, predictor="linear", tolerance=0)
+    done = chained.impute_chained(df, model)
+    assert done.count() == 200 and done.where(" or ".join(f"{n} is null" for n in names)).count() == 0
+
+
+def test_residuals_of_one_row_go_together(spark):
+    """Two variables that are nearly equal stay so when both are drawn."""
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=400)
+    x = np.stack((a, a + 0.01 * rng.normal(size=400), rng.normal(size=400)), axis=1)
+    x[:150, :2] = np.nan
+    df = wide(spark, x)
+    model = chained.fit_chained(df, V, rounds=3, predictor="linear", tolerance=0)
+    drawn = chained.impute_chained(df, model, 2, posterior=True, seed=1).where("t < 150")
+    row = drawn.select(F.corr("a", "b").alias("r"), F.stddev("a").alias("s")).first()
+    assert row.r > 0.9 and row.s > 0.001
+
+
 def test_chained_limits(spark):
     df = wide(spark, np.array([[1.0, np.nan, 2.0], [2.0, np.nan, 3.0]]))
     with pytest.raises(ValueError, match="no observed value"):
