@@ -227,7 +227,7 @@ _WEIGHT = " + ".join(
 @query(
     "bootstrap_intervals",
     f"""WITH {ERRORS}, s AS (SELECT variable, station_id, count(*) AS c, sum(err_a) AS s, sum(abs(err_a)) AS a, sum(err_a * err_a) AS q FROM errors GROUP BY 1, 2),
-        d AS (SELECT s.*, r, ('0x' || substr(md5(concat_ws('|', '{SEED}', r, station_id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM s, (SELECT unnest(generate_series(0, 199)) AS r)),
+        d AS (SELECT s.*, r, ('0x' || substr(md5(concat_ws('|', '{SEED}', r, station_id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM s, (SELECT unnest(generate_series(0, 999)) AS r)),
         w AS (SELECT *, {_WEIGHT} AS w FROM d),
         t AS (SELECT variable, r, sqrt(sum(w * q) / sum(w * c)) AS rmse, sum(w * a) / sum(w * c) AS mae, sum(w * s) / sum(w * c) AS bias FROM w WHERE w > 0 GROUP BY 1, 2)
         SELECT variable, count(*) AS replicas, """
@@ -237,7 +237,7 @@ _WEIGHT = " + ".join(
     + " FROM t GROUP BY 1",
 )
 def _(v):
-    limits = significance.bootstrap_intervals(errors(v), ["variable"], replicas=200, seed=SEED)
+    limits = significance.bootstrap_intervals(errors(v), ["variable"], replicas=1000, seed=SEED)
     return limits.withColumns({c: F.round(c, 4) for c in limits.columns if c not in ("variable", "replicas")})
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import masks, metadata, ranks, scale, series, splits
@@ -335,7 +338,7 @@ def _(v):
     return drawn[0].unionByName(drawn[1]).unionByName(drawn[2])
 
 
-_STRATEGIES = {"mcar": MCAR, "mar": MAR, "realistic": EMPIRICAL}
+_STRATEGIES = {"mcar": MCAR, "mar": MAR, "mnar": MNAR, "realistic": EMPIRICAL}
 _STRATEGY_SQL = ", ".join(mask_sql(spec, SEED, f"m_{name}") for name, spec in _STRATEGIES.items())
 _STRATEGY_CELLS = " UNION ALL ".join(
     f"SELECT '{n}' AS strategy, p.station_id, p.variable, p.t, CASE WHEN m.k IS NULL THEN 1 END AS value FROM panel p "
@@ -355,7 +358,7 @@ def _(v):
         masks.synthetic_mask(v.samples(), VARIABLES, spec, SEED, panel).select(F.lit(name).alias("strategy"), "station_id", "variable", "t")
         for name, spec in _STRATEGIES.items()
     ]
-    hits = drawn[0].unionByName(drawn[1]).unionByName(drawn[2]).withColumn("hit", F.lit(True))
+    hits = reduce(DataFrame.unionByName, drawn).withColumn("hit", F.lit(True))
     cells = panel.select(F.explode(F.array(*[F.lit(n) for n in _STRATEGIES])).alias("strategy"), "station_id", "variable", "t")
     masked = cells.join(hits, ["strategy", "station_id", "variable", "t"], "left").withColumn("value", F.when(F.col("hit").isNull(), 1)).drop("hit")
     return _rounded_gaps(series.gap_statistics(masked, ["strategy", "station_id", "variable"], ["strategy"]))

@@ -53,40 +53,6 @@ SUMMARY_REPORT_TYPES = (
     "AERO",
 )
 
-# Report types that hold hourly or finer instrument readings.
-HOURLY_REPORT_TYPES = (
-    "FM15-METAR",
-    "FM-15",
-    "FM16-SPECI",
-    "FM-16",
-    "AUTO",
-    "SAO",
-    "SAO-Airway",
-    "SAOSP",
-    "SA-AU",
-    "S-S-A",
-    "SOD",
-    "SOM",
-    "SMARS",
-    "WBO",
-    "WNO",
-    "EC DATABAS",
-    "EnvCan",
-    "AUST",
-    "BRAZ",
-    "GREEN",
-    "MEXIC",
-    "CRN05",
-    "CRN15",
-    "COOPD",
-    "MESOH",
-    "MESOS",
-    "MESOW",
-    "SHEF",
-    "PCP15",
-    "PCP60",
-)
-
 # Quality codes, by how a file stores them.
 VALID_CODES_INTEGER = (1, 5)
 VALID_CODES_TEXT = ("", "1", "5", "A", "C")

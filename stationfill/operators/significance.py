@@ -1,7 +1,7 @@
 """Paired comparisons of two methods' errors, one row per comparison.
 
 ``keys`` names the comparison (for example two method labels and a variable).
-Statistics are grouped aggregates; the normal tail runs on the aggregated rows.
+Statistics are grouped aggregates; everything else is built-in functions of the aggregated rows.
 Undefined numbers are NULL.
 """
 
@@ -9,32 +9,47 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.draws import uniform
 from .ranks import tie_averaged_ranks
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_tail(z: pd.Series) -> pd.Series:
-    """Two-sided tail of the standard normal."""
-    return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2.0)))
+# Below this the series of the error function is summed, above it the continued fraction of its complement.
+_TURN, _TERMS = 2.5, 80
+
+
+def normal_tail(z: str | Column) -> Column:
+    """Two-sided tail of the standard normal, from built-in functions."""
+    x = F.abs(F.col(z) if isinstance(z, str) else z) / math.sqrt(2.0)
+    # erf = 2/sqrt(pi) exp(-x^2) (x + 2x^3/3 + 4x^5/15 + ...), all terms positive
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(_TERMS)),
+        F.struct(x.alias("term"), x.alias("total")),
+        lambda s, n: F.struct(
+            (s["term"] * 2.0 * x * x / (2.0 * n + 1.0)).alias("term"),
+            (s["total"] + s["term"] * 2.0 * x * x / (2.0 * n + 1.0)).alias("total"),
+        ),
+        lambda s: s["total"],
+    )
+    fraction = F.aggregate(
+        F.sequence(F.lit(_TERMS), F.lit(1), F.lit(-1)), F.lit(0.0), lambda f, n: n / 2.0 / (x + f), lambda f: 1.0 / (x + f)
+    )
+    scale = F.exp(-x * x) / math.sqrt(math.pi)
+    return F.when(x < _TURN, 1.0 - 2.0 * scale * series).when(x.isNotNull(), scale * fraction)
 
 
 def _pairs(errors: DataFrame) -> DataFrame:
     return errors.where(F.col("err_a").isNotNull() & F.col("err_b").isNotNull())
 
 
-def _verdict(difference: Column, alpha: float, better: str, otherwise: str) -> list[Column]:
+def _verdict(difference: Column, alpha: float) -> list[Column]:
     significant = F.coalesce(F.col("p_value") < alpha, F.lit(False))
-    name = F.when(difference < 0, "A").otherwise("B")
     text = (
-        F.when(F.col("statistic").isNull(), "Insufficient data or no variance")
-        .when(significant, F.concat(F.lit("Method "), name, F.lit(better)))
-        .otherwise(otherwise)
+        F.when(F.col("statistic").isNull(), "undecided: too few pairs, or all alike")
+        .when(significant, F.when(difference < 0, "A has the smaller errors").otherwise("B has the smaller errors"))
+        .otherwise("no difference shown")
     )
     return [significant.alias("significant"), text.alias("interpretation")]
 
@@ -55,7 +70,7 @@ def paired_t_test(errors: DataFrame, keys: list[str], alpha: float = 0.05) -> Da
         "statistic",
         "p_value",
         "effect_size",
-        *_verdict(F.col("mean_diff"), alpha, " is significantly better", "No significant difference"),
+        *_verdict(F.col("mean_diff"), alpha),
     )
 
 
@@ -75,9 +90,7 @@ def diebold_mariano_test(errors: DataFrame, keys: list[str], loss: str = "square
         "mean_diff",
         "statistic",
         "p_value",
-        *_verdict(
-            F.col("mean_diff"), alpha, f" has significantly lower {loss} error", "No significant difference in predictive accuracy"
-        ),
+        *_verdict(F.col("mean_diff"), alpha),
     )
 
 
@@ -108,7 +121,7 @@ def wilcoxon_signed_rank_test(errors: DataFrame, keys: list[str], alpha: float =
         "statistic",
         "z",
         "p_value",
-        *_verdict(F.col("z"), alpha, " has significantly lower error", "No significant difference"),
+        *_verdict(F.col("z"), alpha),
     )
 
 
@@ -123,8 +136,10 @@ def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     )
 
 
-# Cumulative probabilities of Poisson(1) up to 9.
-POISSON_STEPS = [sum(math.exp(-1.0) / math.factorial(j) for j in range(i + 1)) for i in range(10)]
+#: Cumulative probabilities of Poisson(1), as far as a draw of 32 bits can tell them from one.
+POISSON_STEPS = [
+    step for step in (sum(math.exp(-1.0) / math.factorial(j) for j in range(i + 1)) for i in range(20)) if step <= 1.0 - 2.0**-32
+]
 
 
 def poisson_weight(u: Column) -> Column:

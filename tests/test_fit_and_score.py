@@ -208,7 +208,7 @@ def test_paired_tests(spark):
 
     loss = a**2 - b**2
     dm = significance.diebold_mariano_test(df, ["k"]).first()
-    assert dm.statistic == pytest.approx(loss.mean() / math.sqrt(loss.var(ddof=1) / 80)) and dm.interpretation.startswith("Method A")
+    assert dm.statistic == pytest.approx(loss.mean() / math.sqrt(loss.var(ddof=1) / 80)) and dm.interpretation.startswith("A has")
 
     w = significance.wilcoxon_signed_rank_test(df, ["k"]).first()
     e = np.round(d[np.round(d, 9) != 0], 9)
@@ -232,6 +232,13 @@ def test_paired_tests_without_evidence(spark):
         significance.diebold_mariano_test(same, ["k"], loss="cubic")
 
 
+def test_normal_tail(spark):
+    values = [0.0, 1e-9, -0.3, 1.0, 1.959963985, -3.5, 3.6, 5.0, 8.0, 20.0, 40.0, None]
+    rows = spark.createDataFrame([(z,) for z in values], "z double").select("z", significance.normal_tail("z").alias("p")).collect()
+    for r in rows:
+        assert r.p is None if r.z is None else r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), rel=1e-9, abs=1e-300)
+
+
 def test_bonferroni_and_bootstrap(spark):
     tests = spark.createDataFrame([("a", 0.01), ("b", 0.4), ("c", None)], "k string, p_value double")
     got = {r.k: (r.p_adjusted, r.significant_adjusted) for r in significance.bonferroni(tests).collect()}
