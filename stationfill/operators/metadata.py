@@ -87,17 +87,17 @@ def gap_analysis(df: DataFrame, key: str = "station_id", ts: str = "ts") -> Data
     holds a whole station.
     """
     seconds = lambda late, early: F.floor((F.unix_micros(late) - F.unix_micros(early)) / F.lit(1_000_000))
-    typed = df.select(key, F.col(ts).cast("timestamp").alias("__ts"))
-    sizes = typed.groupBy(key).agg(F.count("*").alias("total_observations"))
-    instants = (
-        typed.where(F.col("__ts").isNotNull())
-        .groupBy(key, F.to_date("__ts").alias("__day"), "__ts")
-        .agg(F.count("*").alias("__n"))
-    )
-    in_day = Window.partitionBy(key, "__day").orderBy("__ts")
+    at = F.col(ts).cast("timestamp")
+    # One shuffle serves the counts and the window. Undated reports are only counted, and spread.
+    parts = [key, "__day", "__undated"]
+    typed = df.select(
+        key, at.alias("__ts"), F.to_date(at).alias("__day"), F.when(at.isNull(), F.spark_partition_id() % 64).alias("__undated")
+    ).repartition(*parts)
+    instants = typed.groupBy(*parts, "__ts").agg(F.count("*").alias("__n"))
+    in_day = Window.partitionBy(*parts).orderBy("__ts")
     days = (
         instants.withColumn("__step", seconds(F.col("__ts"), F.lag("__ts").over(in_day)))
-        .groupBy(key, "__day")
+        .groupBy(*parts)
         .agg(
             F.min("__ts").alias("__lo"),
             F.max("__ts").alias("__hi"),
@@ -106,19 +106,22 @@ def gap_analysis(df: DataFrame, key: str = "station_id", ts: str = "ts") -> Data
             F.coalesce(F.sum("__step"), F.lit(0)).alias("__sum"),
         )
     )
-    by_day = Window.partitionBy(key).orderBy("__day")
+    # Dated days in order, undated parts after them: these have no instants, so no step reaches them.
+    by_day = Window.partitionBy(key).orderBy(F.col("__day").asc_nulls_last())
+    dated = F.when(F.col("__day").isNotNull(), F.col("__n"))
     joined = days.withColumn("__step", seconds(F.col("__lo"), F.lag("__hi").over(by_day)))
     hour = F.lit(3600.0)
     gaps = joined.groupBy(key).agg(
         F.count_if(F.col("__step") > 24 * 3600).alias("gap_count_24h"),
         (F.greatest(F.max("__longest"), F.coalesce(F.max("__step"), F.lit(0))) / hour).alias("max_gap_hours"),
-        F.try_divide((F.sum("__sum") + F.coalesce(F.sum("__step"), F.lit(0))) / hour, F.sum("__n") - 1).alias("avg_interval_hours"),
+        F.try_divide((F.sum("__sum") + F.coalesce(F.sum("__step"), F.lit(0))) / hour, F.sum(dated) - 1).alias("avg_interval_hours"),
         (F.floor(seconds(F.max("__hi"), F.min("__lo")) / hour) + 1).alias("expected_observations"),
-        F.sum("__n").alias("__dated"),
+        F.sum(dated).alias("__dated"),
+        F.sum("__n").alias("total_observations"),
     )
     several = F.coalesce(F.col("__dated"), F.lit(0)) >= 2
     zero_unless = lambda c, zero: F.when(several, F.col(c)).otherwise(F.lit(zero)).alias(c)
-    return sizes.join(gaps, key, "left").select(
+    return gaps.select(
         key,
         zero_unless("gap_count_24h", 0),
         zero_unless("max_gap_hours", 0.0),
@@ -257,16 +260,17 @@ def cluster_stats(stations: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width bins between the smallest and largest value; the last bin is closed.
 
+    Rows of one value are counted first; range and bins are both made from these counts.
     The range is one row, so attaching it copies no data.
     """
-    limits = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    limits = counted.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     position = F.least(F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("lo"), width), F.lit(0.0))), F.lit(bins - 1))
     return (
-        df.where(F.col(value).isNotNull())
-        .crossJoin(F.broadcast(limits))
+        counted.crossJoin(F.broadcast(limits))
         .groupBy(position.alias("bin"), (F.col("lo") + position * width).alias("bin_start"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("__n").alias("n"))
     )
 
 
