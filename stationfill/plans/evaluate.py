@@ -1,15 +1,13 @@
-"""Hide cells, fill them, score the result: one lazy plan per method."""
+"""Hide cells, fill them, score the result. Masks and fitted methods run jobs while the plan is made."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chained, fill, masks, score, series
+from ..operators import fill, masks, score, series
 from ..operators.blocks import nearest_points
-from ..session import checkpointed
-
-METHODS = (*fill.ALONG_TIME, "chained")
+from ..operators.imputers import CELL, IMPUTERS, Imputer
 
 
 def hide(panel: DataFrame, variables, spec: masks.MaskSpec, seed, samples: DataFrame | None = None) -> DataFrame:
@@ -18,17 +16,17 @@ def hide(panel: DataFrame, variables, spec: masks.MaskSpec, seed, samples: DataF
     return masks.apply_mask(panel, masks.synthetic_mask(samples, variables, spec, seed, panel))
 
 
-def estimate(hidden: DataFrame, methods: dict[str, str], variables, max_gap: int | None = None, **options) -> DataFrame:
+def estimate(hidden: DataFrame, methods: dict[str, str | Imputer], variables, max_gap: int | None = None, **options) -> DataFrame:
     """Add the run length of every hidden cell and one estimate column per entry of ``methods``.
 
-    ``methods`` maps column names to method names. Everything that looks along a
+    ``methods`` maps column names to names in ``IMPUTERS`` or to imputers. Everything that looks along a
     series (gap lengths and all methods along time) shares one shuffle. Only cells
     that are not hidden are seen by the methods.
     """
-    unknown = set(methods.values()) - set(METHODS)
+    unknown = {m for m in methods.values() if isinstance(m, str)} - set(IMPUTERS)
     if unknown:
-        raise ValueError(f"methods must be among {METHODS}, got {sorted(unknown)}")
-    along = {column: fill.ALONG_TIME[m] for column, m in methods.items() if m in fill.ALONG_TIME}
+        raise ValueError(f"methods must be among {sorted(IMPUTERS)}, got {sorted(unknown)}")
+    along = {column: fill.ALONG_TIME[m] for column, m in methods.items() if isinstance(m, str) and m in fill.ALONG_TIME}
     shown = F.when(~F.col("is_synthetic"), F.lit(True))
     points = {"shown": (shown, 1)}
     if along:
@@ -39,11 +37,11 @@ def estimate(hidden: DataFrame, methods: dict[str, str], variables, max_gap: int
     length = F.when(F.col("is_synthetic"), F.col("gap_length")).otherwise(F.lit(0)).cast("bigint")
     out = around.select(*hidden.columns, length.alias("gap_length"), *along)
     for column, method in methods.items():
-        if method == "chained":
-            # Fitting reads the rows several times.
-            wide = checkpointed(chained.to_wide(hidden, variables))
-            done = chained.impute_chained(wide, chained.fit_chained(wide, variables, **options)).drop("imputation")
-            out = out.join(chained.to_long(done, variables, column), ["station_id", "t", "variable"])
+        if column not in along:
+            imputer = IMPUTERS[method](**options) if isinstance(method, str) else method
+            seen = hidden.select(*CELL, "value")
+            done = imputer.fit(seen, variables).impute(seen)
+            out = out.join(done.select(*CELL, F.col("filled").alias(column)), CELL)
     return out
 
 
@@ -51,7 +49,7 @@ def evaluate(
     panel: DataFrame,
     variables,
     spec: masks.MaskSpec = masks.MaskSpec(),
-    method: str = "linear",
+    method: str | Imputer = "linear",
     seed=42,
     strata=("gap_length", "variable", "season"),
     max_gap: int | None = None,

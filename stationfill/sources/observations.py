@@ -97,8 +97,19 @@ def list_years(files: DataFrame, station_id: str | None = None) -> DataFrame:
     return rows.select("year").distinct()
 
 
-def schema_census(files: DataFrame) -> DataFrame:
-    """Column names and types of every file, from the footers only: ``(file, column, type)``."""
+# How the Python side names what Spark's schemes name.
+_SCHEMES = (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "/dbfs/"))
+
+
+def _is_corrupt(error: Exception) -> bool:
+    """A file that is no parquet file or has a broken footer, as opposed to one that could not be reached."""
+    import pyarrow as pa
+
+    return isinstance(error, pa.ArrowInvalid) or "thrift" in str(error).lower() or "magic bytes" in str(error).lower()
+
+
+def _footers(files: DataFrame) -> DataFrame:
+    """``(file, column, type, error)``: a row per column, or one with the error of a corrupt file."""
 
     def footers(batches):
         import pyarrow.fs as fs
@@ -107,23 +118,40 @@ def schema_census(files: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for file in batch["file"]:
-                system, path = fs.FileSystem.from_uri(file)
+                uri = file
+                for ours, theirs in _SCHEMES:
+                    if uri.startswith(ours):
+                        uri = theirs + uri.removeprefix(ours).lstrip("/")
                 try:
+                    system, path = fs.FileSystem.from_uri(uri)
                     schema = pq.read_schema(path, filesystem=system)
-                except Exception:  # an unreadable file is left out, as for the data itself
+                except Exception as error:
+                    if not _is_corrupt(error):
+                        raise
+                    found.append((file, None, None, str(error)))
                     continue
-                found += [(file, field.name, str(field.type)) for field in schema]
-            yield pd.DataFrame(found, columns=["file", "column", "type"])
+                found += [(file, field.name, str(field.type), None) for field in schema]
+            yield pd.DataFrame(found, columns=["file", "column", "type", "error"])
 
     spread = files.select("file").repartition(fan_out(files.sparkSession), "file")
-    return spread.mapInPandas(footers, "file string, column string, type string")
+    return spread.mapInPandas(footers, "file string, column string, type string, error string")
+
+
+def schema_census(files: DataFrame) -> DataFrame:
+    """Column names and types of every readable file, from the footers only: ``(file, column, type)``."""
+    return _footers(files).where(F.col("error").isNull()).drop("error")
+
+
+def unreadable_files(files: DataFrame) -> DataFrame:
+    """``(file, error)`` of the files that reading leaves out: those with no usable footer."""
+    return _footers(files).where(F.col("error").isNotNull()).select("file", "error")
 
 
-def _generations(files: DataFrame) -> list[list[str]]:
+def _generations(files: DataFrame, listed: DataFrame) -> list[list[str]]:
     """Paths to read together, one list per distinct schema.
 
-    A folder with a single schema is named as a whole; file names are needed only
-    for mixed folders. Hidden behind one hash per file, the census stays small.
+    A folder with a single schema is named as a whole, if all of its files (``listed``) are
+    wanted and readable; file names are needed only for the others. Hidden behind one hash per file, the census stays small.
     """
     census = schema_census(files)
     entry = F.concat_ws(" ", "column", "type")
@@ -131,7 +159,7 @@ def _generations(files: DataFrame) -> list[list[str]]:
     folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1)
     tagged = per_file.withColumn("folder", folder)
     shapes = tagged.groupBy("folder").agg(F.min("shape").alias("one"), F.count_distinct("shape").alias("n_shapes"))
-    unread = files.withColumn("folder", folder).groupBy("folder").agg(F.count("*").alias("n_listed")).join(
+    unread = listed.withColumn("folder", folder).groupBy("folder").agg(F.count("*").alias("n_listed")).join(
         tagged.groupBy("folder").agg(F.count("*").alias("n_read")), "folder"
     )
     groups: dict[str, list[str]] = defaultdict(list)
@@ -177,16 +205,17 @@ def read_observations(
     """Reports of all stations and years as one table with ``station_id, year, ts, report_type``.
 
     ``years`` selects folders, so other years are not even listed. A list of
-    stations filters by file name; a long one is given as a DataFrame.
+    stations filters by file name; a long one is given as a DataFrame. Files without a
+    usable footer are left out (``unreadable_files`` lists them); any other error is raised.
     """
-    files = list_files(spark, root, years)
+    listed = files = list_files(spark, root, years)
     if isinstance(stations, DataFrame):
         files = files.join(stations.select("station_id").distinct(), "station_id", "left_semi")
     elif stations is not None:
         files = files.where(F.col("station_id").isin(stations))
     parts = []
-    for paths in _generations(files):
-        raw = spark.read.option("pathGlobFilter", "GHCNh_*.parquet").option("ignoreCorruptFiles", "true").parquet(*paths)
+    for paths in _generations(files, listed):
+        raw = spark.read.option("pathGlobFilter", "GHCNh_*.parquet").parquet(*paths)
         path = F.col("_metadata.file_path")
         named = raw.withColumn("__station", F.regexp_extract(path, FILE_PATTERN, 1)).withColumn(
             "__year", F.regexp_extract(path, FILE_PATTERN, 2).cast("int")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationfill.operators import metadata, reports
-from stationfill.plans import preprocess
+from stationfill.plans import preprocess, station_table
 from stationfill.sources import inventory, manifest, observations, tables
 
 
@@ -121,6 +121,26 @@ def test_unreadable_file_is_left_out(spark, tmp_path):
     assert observations.read_observations(spark, f"file:{tmp_path}").count() == 1
 
 
+def test_unreadable_files_are_named_and_other_errors_raised(spark, tmp_path):
+    write(tmp_path, "OK1", 2020, pa.table({"DATE": ["2020-01-01T00:00:00"], "temperature": [1.0]}))
+    (tmp_path / "2020" / "GHCNh_BAD_2020.parquet").write_bytes(b"not parquet at all")
+    files = observations.list_files(spark, str(tmp_path))
+    bad = observations.unreadable_files(files).collect()
+    assert len(bad) == 1 and bad[0].file.endswith("GHCNh_BAD_2020.parquet") and bad[0].error
+    gone = files.withColumn("file", F.concat("file", F.lit(".gone")))
+    with pytest.raises(Exception, match="gone|No such file"):
+        observations.schema_census(gone).count()
+
+
+def test_station_table_plan(spark, archive, tmp_path):
+    whole = station_table.compute(spark, str(archive), f"{tmp_path}/stations", clean=False)
+    assert whole.count() == observations.list_stations(observations.list_files(spark, str(archive))).count()
+    again = station_table.compute(spark, str(archive), f"{tmp_path}/stations", incremental=True)
+    assert sorted(r.station_id for r in again.collect()) == sorted(r.station_id for r in whole.collect())
+    one = station_table.compute(spark, str(archive), f"{tmp_path}/one", only="usw001", years="2020:2021", clean=False)
+    assert [r.station_id for r in one.collect()] == ["USW001"]
+
+
 def test_archive_to_station_table_and_back(spark, archive, tmp_path):
     rows = observations.read_observations(spark, f"file:{archive}")
     stations = metadata.station_metadata(rows)
