@@ -84,7 +84,7 @@ pos AS (
   SELECT p.doc_id, p.i, p.n, w.item_id
   FROM (SELECT doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS phrase FROM pos) p JOIN win w USING (n, phrase)
 ), covered AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM hits) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
