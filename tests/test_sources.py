@@ -223,3 +223,23 @@ def test_variable_selection_and_missing_columns(spark):
 def test_summary_types_by_prefix_and_null(spark):
     df = spark.createDataFrame([("FM-12",), ("FM-12x",), ("AUTO",), (None,), ("new",)], "report_type string")
     assert {r.report_type for r in reports.keep_hourly(df).collect()} == {"AUTO", None, "new"}
+
+
+def test_year_and_station_filters_reach_the_files(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id % 5 station_id", "timestamp_ntz '2019-06-01 00:00:00' + make_dt_interval(cast(id * 10 as int)) ts")
+    rows.write.parquet(f"{tmp_path}/reports")
+    df = spark.read.parquet(f"{tmp_path}/reports")
+    kept = df.where(observations.in_years([2020, 2021])).where(observations.of_stations(df, ["3", "x"]))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(ts,2020-01-01" in pushed and "LessThan(ts,2022" in pushed and "IsNotNull(station_id)" in pushed
+    assert kept.count() == rows.where("year(ts) in (2020, 2021) and station_id = 3").count() > 0
+
+
+def test_gap_analysis_reads_once_and_shuffles_instants_once(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id % 5 station_id", "timestamp_ntz '2020-01-01 00:00:00' + make_dt_interval(0, cast(id as int)) ts")
+    rows.unionByName(rows.limit(7).withColumn("ts", F.lit(None).cast("timestamp_ntz"))).write.parquet(f"{tmp_path}/reports")
+    gaps = metadata.gap_analysis(spark.read.parquet(f"{tmp_path}/reports"))
+    plan = gaps._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2  # instants by day, days by station
+    assert sum(r.total_observations for r in gaps.collect()) == 107
