@@ -25,10 +25,14 @@ An empty table gives an empty one. ``__th`` orders rows of one id.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,10 +146,34 @@ def _short(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 _TOLD = "shard int, bucket int, narrow binary, wide binary"
-_SENT = "bucket int, shard int, wide boolean, keys binary, around binary, left binary, right binary, least binary"
+_SENT = "bucket int, shard int, wide boolean, n int, packed binary"
 _BACK = "shard int, bucket int, wide boolean, number binary, low binary, high binary, first binary"
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays end to end, compressed: text that is shuffled by hash compresses little in Spark's own blocks."""
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in arrays))
+
+
+def _unpacked(rows: pd.DataFrame, kinds: tuple) -> list[np.ndarray]:
+    """The arrays packed in each row, joined over the rows; ``kinds`` has type and items per record of each."""
+    unpack, parts = zstandard.ZstdDecompressor(), [[] for _ in kinds]
+    for n, data in zip(rows["n"], rows["packed"]):
+        data, at = unpack.decompress(data), 0
+        for part, (kind, width) in zip(parts, kinds):
+            size = n * width * np.dtype(kind).itemsize
+            part.append(np.frombuffer(data[at : at + size], kind))
+            at += size
+    return [np.concatenate(x) for x in parts]
+
+
+def _release() -> None:
+    """Give memory of the last group back to the system; workers are kept for many groups."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _told(told: pd.DataFrame, shard: Shard, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the shard's hashes, those said to be shared: few enough shards, and too many."""
     hashes = np.unique(shard.hash)
@@ -265,36 +293,35 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
             for b, i, j in zip(names, first, first[1:]):
                 own = named[i:j]
                 out.append(
-                    (b, False, b"", shard.around(own).tobytes(), shard.left[own].astype("u1").tobytes(),
-                     shard.right[own].astype("u1").tobytes(), shard.ids[shard.doc[own]].tobytes())
-                )
+                    (b, False, len(own), _pack(shard.around(own), shard.left[own].astype("u1"), shard.right[own].astype("u1"), shard.ids[shard.doc[own]]))
+                )
             _, doc, number, distinct = shard.windows(broad)
             if len(distinct):
                 least = np.full(len(distinct), np.iinfo(np.int64).max)
                 np.minimum.at(least, number, shard.ids[doc])
                 lead = np.frombuffer(distinct.tobytes(), ">u8").reshape(-1, 2)[:, 0].astype(np.uint64)
                 names, first = _split(lead, bits)
-                out += [(b, True, distinct[i:j].tobytes(), b"", b"", b"", least[i:j].tobytes()) for b, i, j in zip(names, first, first[1:])]
-        made = pd.DataFrame(out, columns=["bucket", "wide", "keys", "around", "left", "right", "least"])
+                out += [(b, True, j - i, _pack(distinct[i:j], least[i:j])) for b, i, j in zip(names, first, first[1:])]
+            del shard
+        _release()
+        made = pd.DataFrame(out, columns=["bucket", "wide", "n", "packed"])
         return made.assign(shard=int(rows["shard"].iloc[0]) if len(rows) else 0)[[x.split()[0] for x in _SENT.split(", ")]]
 
     def sort(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard", kind="stable").reset_index(drop=True)
-        least = [np.frombuffer(x, np.int64) for x in rows["least"]]
-        sizes = np.array([len(x) for x in least])
+        sizes = rows["n"].to_numpy(np.int64)
         of_row, number = np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.arange(n) for n in sizes])
-        least = np.concatenate(least)
-        joined = lambda c: b"".join(rows[c])
         if rows["wide"].iloc[0]:
-            _, group = np.unique(np.frombuffer(joined("keys"), "V16"), return_inverse=True)
+            keys, least = _unpacked(rows, (("V16", 1), (np.int64, 1)))
+            _, group = np.unique(keys, return_inverse=True)
             first = np.full(group.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(first, group, least)
             which = np.flatnonzero(first[group] < least)
             low = high = np.zeros(len(which), np.int64)
             first = first[group[which]]
         else:
-            around = np.frombuffer(joined("around"), np.uint8).reshape(-1, REACH + LENGTH)
-            left, right = (np.frombuffer(joined(c), np.uint8).astype(np.int64) for c in ("left", "right"))
+            around, left, right, least = _unpacked(rows, ((np.uint8, REACH + LENGTH), (np.uint8, 1), (np.uint8, 1), (np.int64, 1)))
+            around, left, right = around.reshape(-1, REACH + LENGTH), left.astype(np.int64), right.astype(np.int64)
             gram = np.ascontiguousarray(around[:, REACH : REACH + GRAM]).view("<u8")
             alike = np.concatenate((around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), axis=1)
             _, one, group = np.unique(np.ascontiguousarray(alike).view(f"V{alike.shape[1]}").ravel(), return_index=True, return_inverse=True)
@@ -317,6 +344,7 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
              high[i:j].astype("u1").tobytes(), first[i:j].astype("<i8").tobytes())
             for r, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i
         ]
+        _release()
         return pd.DataFrame(out, columns=[x.split()[0] for x in _BACK.split(", ")])
 
     def cover(rows: pd.DataFrame, told: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
