@@ -247,7 +247,7 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(fan_out(spark), -(-total // shard_bytes))
-    bits = max(4, (4 * fan_out(spark) - 1).bit_length())
+    bits = max(4, (8 * fan_out(spark) - 1).bit_length())
     rows = keyed(docs).select(
         F.pmod(F.xxhash64("__id", "__th", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"),
         "__id", "__th", "text",
