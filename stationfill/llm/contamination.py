@@ -157,20 +157,24 @@ def _phrase(lists: dict[int, np.ndarray], phrase: np.ndarray, order: np.ndarray)
 _NONE = np.zeros(0, np.int64)
 
 
-def _near(lists: dict[int, np.ndarray], terms: np.ndarray, span: int) -> np.ndarray:
-    """Positions of the rarest term that lie within ``span`` words together with all other ``terms``.
+def _near(lists: dict[int, np.ndarray], terms: np.ndarray, span: int, starts: np.ndarray) -> np.ndarray:
+    """Positions of the rarest term that lie within ``span`` words of one document together with all other ``terms``.
 
-    Of every other term only the nearest to the left and to the right can help; each way to take sides is tried.
+    Of every other term only the nearest to the left and to the right can help, if they are in the
+    same document (one begins at each of ``starts``); each way to take sides is tried.
     """
     at = lists.get(terms[0], _NONE)
+    after = np.searchsorted(starts, at, side="right")
+    begin, end = starts[after - 1], starts[np.minimum(after, len(starts) - 1)]
     gaps = []
     for term in terms[1:]:
         own = lists.get(term, _NONE)
         if not len(own) or not len(at):
             return _NONE
         after = np.searchsorted(own, at)
-        left = np.where(after > 0, at - own[np.maximum(after - 1, 0)], span)
-        right = np.where(after < len(own), own[np.minimum(after, len(own) - 1)] - at, span)
+        before, behind = own[np.maximum(after - 1, 0)], own[np.minimum(after, len(own) - 1)]
+        left = np.where((after > 0) & (before >= begin), at - before, span)
+        right = np.where((after < len(own)) & (behind < end), behind - at, span)
         gaps.append((left, right))
     near = np.zeros(len(at), bool)
     for sides in product((0, 1), repeat=len(gaps)):
@@ -193,10 +197,14 @@ def matches(index: DataFrame, test: TestSet, near: bool = True) -> DataFrame:
         for first in range(len(item) - n + 1):
             phrase = item[first : first + n]
             phrases.append((i, phrase, np.argsort(frequency[phrase], kind="stable")))
+    names = list(test.terms)
+    by_name = np.empty(len(names), np.int64)
+    by_name[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
     rarest = []
     for item in test.items:
         rare = np.unique(item)
-        rarest.append(rare[np.argsort(frequency[rare], kind="stable")][:NEAR_TERMS])
+        # Of equally rare terms the smaller ones, so the choice does not hang on the order items are read in.
+        rarest.append(rare[np.lexsort((by_name[rare], frequency[rare]))][:NEAR_TERMS])
     shared = spark.sparkContext.broadcast((phrases, rarest))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -220,7 +228,7 @@ def matches(index: DataFrame, test: TestSet, near: bool = True) -> DataFrame:
                 np.add.at(edges, found + len(phrase), -1)
                 note(hit, found, i)
         for i, rare in enumerate(rarest if near else ()):
-            note(close, _near(lists, rare, NEAR_SPAN), i)
+            note(close, _near(lists, rare, NEAR_SPAN, starts), i)
         covered = np.cumsum(edges) > 0
         keys, hashes = np.frombuffer(head["keys"], "<i8"), np.frombuffer(head["hashes"], "<i8")
         docs = range(len(keys))
@@ -269,15 +277,17 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    return overlaps(docs, benchmark, near=False).select(
+def digests(docs: DataFrame, benchmark: DataFrame, near: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``near`` also n_near_items, near_items_sha256."""
+    close = (F.size("near_items").cast("long").alias("n_near_items"), F.sha2(F.concat_ws(",", "near_items"), 256).alias("near_items_sha256"))
+    return overlaps(docs, benchmark, near).select(
         F.when(F.col("__id") != NO_ID, F.col("__id")).alias("doc_id"),
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
+        *(close if near else ()),
     )
 
 

@@ -29,6 +29,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_benchmark_decontamination, which its SQL fixes, and the items that proximity search finds."""
+    return contamination.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), near=True)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(read(spark, sf_dir, "documents"))
 
@@ -116,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_quality_classifier,
         op3_exact_dedup,
         op4_benchmark_decontamination,
+        op4_benchmark_proximity,
         op5_pii,
         op6_line_dedup,
         op7_language_id,
