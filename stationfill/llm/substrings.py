@@ -9,8 +9,8 @@ occurs twice has an anchor in common. The work is a chain of shuffles:
 2. By range of hash it is found which anchors more than one document has; shards are told.
 3. For those, shards send what is around the anchor: 34 bytes before, 50 from it on, once for
    equal surroundings, with the smallest id.
-4. By range of hash these are sorted, by what follows and, reversed, by what precedes: quicksort
-   to a shallow depth, then blind tries. Neighbours' common lengths tell which windows over an
+4. By range of hash these are sorted, by what follows and, reversed, by what precedes: level by
+   level to a shallow depth, then blind tries. Neighbours' common lengths tell which windows over an
    anchor agree, and the smallest document of each; shards are told where it is not their own.
 5. Shards cover, in each document, the windows that a smaller document has.
 

@@ -1,7 +1,7 @@
-"""Ordering many short byte strings that share long beginnings: shallow quicksort, then blind tries.
+"""Ordering many short byte strings that share long beginnings: a shallow level-wise sort, then blind tries.
 
-Multikey quicksort with a word of eight bytes as its character orders strings to a shallow depth,
-all groups of a level at once. Groups that still agree there, and do not agree to the end, are
+A level-wise numpy sort (lexsort) on words of eight bytes orders strings to a shallow depth, all
+groups of a level at once. Groups that still agree there, and do not agree to the end, are
 ordered by a blind trie each: a string goes down by the branching bytes alone, is compared in full
 with one leaf, and is inserted where it first differs.
 """
