@@ -161,6 +161,28 @@ def _(v):
     return moments.withColumns({**rounded, "missing_set": number})
 
 
+_CENTERS = dict(zip(VARIABLES, (25.0, 35000.0, 0.05, 0.04)))
+_SPREADS = dict(zip(VARIABLES, (10.0, 20000.0, 0.03, 0.02)))
+
+
+def _moments_sql() -> str:
+    wide = ", ".join(f"max(value) FILTER (variable = '{x}') AS {x}" for x in VARIABLES)
+    z = [f"coalesce(({x} - {_CENTERS[x]}::DOUBLE) / {_SPREADS[x]}::DOUBLE, 0)" for x in VARIABLES]
+    number = " + ".join(f"{1 << i} * ({x} IS NULL)::INTEGER" for i, x in enumerate(VARIABLES))
+    sums = [f"round(sum({a}), 4) AS s_{i}" for i, a in enumerate(z)]
+    sums += [f"round(sum({z[i]} * {z[j]}), 4) AS p_{i}_{j}" for i in range(len(z)) for j in range(i, len(z))]
+    return f"""WITH {MASKED}, wide AS (SELECT station_id, t, {wide} FROM hidden GROUP BY 1, 2)
+        SELECT CAST({number} AS INTEGER) AS missing_set, count(*) AS n, {", ".join(sums)} FROM wide GROUP BY 1"""
+
+
+@query("missing_set_moments_all_variables", _moments_sql())
+def _(v):
+    moments = chained.moments_by_missing_set(masked_wide(v), VARIABLES, _CENTERS, _SPREADS)
+    bits = [(F.substring("missing_set", i + 1, 1) == "1").cast("int") * (1 << i) for i in range(len(VARIABLES))]
+    rounded = {c: F.round(c, 4) for c in moments.columns if c not in ("missing_set", "n")}
+    return moments.withColumns({**rounded, "missing_set": sum(bits[1:], bits[0])})
+
+
 @query("chained_bayesian_ridge")
 def _(v):
     wide = masked_wide(v)
