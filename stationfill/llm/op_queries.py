@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, contamination, exact, language, lines, pii, quality, simhash, substrings
+from . import bpe, chat, contamination, exact, language, lines, pii, quality, simhash, substrings, whitening
 from .common import read
 
 
@@ -62,6 +62,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.text_messages(table)))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digests(read(spark, sf_dir, "embeddings"))
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -128,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_suffix_array_dedup,
         op9_bpe_encode_decode,
         op10_chat_formatting,
+        op13_embedding_whitening,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
