@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, contamination, exact, language, lines, pii, quality, simhash, substrings, whitening
+from . import bpe, chat, contamination, exact, language, lines, pii, quality, search, simhash, substrings, warc, whitening
 from .common import read
 
 
@@ -62,6 +62,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.text_messages(table)))
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(read(spark, sf_dir, "pages"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digests(read(spark, sf_dir, "embeddings"))
 
@@ -119,6 +127,51 @@ FROM l LEFT JOIN f ON l.key = f.key GROUP BY l.doc_id
 """
 
 
+# Base 32 takes five bits at a time: eight digits from every ten hexadecimal ones.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(hex, {10 * part + 1}, 10))::BIGINT >> {35 - 5 * digit}) & 31 AS INT), 1)"
+    for part in range(4)
+    for digit in range(8)
+)
+OP11_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS data, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY data) AS first FROM p)
+SELECT page_id, CAST(strlen(data) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+
+OP12_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, row_number() OVER () AS doc, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents
+), q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS term FROM benchmark)
+  GROUP BY item_id, term
+), whole AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_words FROM dw WHERE len(words) > 0
+), norm AS (
+  SELECT doc, doc_id, CAST(100 - 75 + ((75 * len(words) * n_docs) // n_words) AS BIGINT) AS m FROM dw, whole WHERE len(words) > 0
+), tf AS (
+  SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(words) AS term FROM dw) WHERE term IN (SELECT term FROM q) GROUP BY doc, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), whole
+), scored AS (
+  SELECT item_id, doc, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS score
+  FROM q JOIN weight USING (term) JOIN tf USING (term) JOIN norm USING (doc) GROUP BY item_id, doc
+), placed AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place, doc_id, CAST(score AS BIGINT) AS score
+  FROM scored JOIN norm USING (doc) WHERE score > 0
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_simhash_near_dedup,
@@ -132,10 +185,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_suffix_array_dedup,
         op9_bpe_encode_decode,
         op10_chat_formatting,
+        op11_warc_archive,
+        op12_ranked_search,
         op13_embedding_whitening,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def sql_texts() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_warc_archive": OP11_SQL, "op12_ranked_search": OP12_SQL}
