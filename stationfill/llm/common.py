@@ -45,17 +45,44 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """All columns and the key of a row."""
-    return docs.withColumns(
-        {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(text_of())}
-    )
+def spare_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, lengthened until the table has no column of that name in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def _matched(docs: DataFrame, chosen: DataFrame, how: str, *more: str) -> tuple[DataFrame, list[str]]:
+    """Columns of ``docs`` and the key of a row, joined with the keys of ``chosen`` (__id, __th)."""
+    names = spare_names(docs, "__id", "__th")
+    keys = dict(zip(names, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(text_of()))))
+    return docs.withColumns(keys).join(chosen.select("__id", "__th", *more).toDF(*names, *more), names, how), names
 
 
 def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is in ``chosen`` (columns __id, __th), all columns, one row per key."""
-    return (
-        with_key(docs).join(chosen.select("__id", "__th"), ["__id", "__th"], "left_semi")
-        .dropDuplicates(["__id", "__th"])
-        .select(*docs.columns)
-    )
+    rows, names = _matched(docs, chosen, "left_semi")
+    return rows.dropDuplicates(names).select(*own_columns(docs))
+
+
+def rows_without(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``chosen`` (columns __id, __th), all columns."""
+    rows, _ = _matched(docs, chosen, "left_anti")
+    return rows.select(*own_columns(docs))
+
+
+def rows_with(docs: DataFrame, chosen: DataFrame, column: str) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``chosen`` (__id, __th, value), all columns, ``column`` replaced by the value."""
+    value = spare_names(docs, "__id", "__th", "__value")[2]
+    found, _ = _matched(docs, chosen.withColumnRenamed("value", value), "inner", value)
+    return found.select(*[F.col(value).alias(c) if c == column else x for c, x in zip(docs.columns, own_columns(docs))])

@@ -3,7 +3,7 @@
 Alternating star contraction: neighbours larger than a node move to its smallest neighbour,
 then smaller ones do. The number of rounds grows with the logarithm of the longest path.
 Minima are combined before each shuffle; what is joined on a popular node is an equi-join,
-which adaptive execution may split. Each round ends in a checkpoint.
+which adaptive execution may split. Each round is stored, and the one before it deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from .scratch import Scratch
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -35,15 +35,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges are ignored; an empty table gives an empty one.
     """
-    now = checkpointed(
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.keep(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if mark == seen or not mark[0]:
             break
         seen = mark
-        now = checkpointed(_small_star(_large_star(now)))
+        before, now = now, scratch.keep(_small_star(_large_star(now)))
+        scratch.drop(before)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import NO_ID, bounded_batches, keyed, text_of, with_key
+from .common import NO_ID, bounded_batches, keyed, rows_without, text_of
 
 WINDOW = 13
 #: Words of one block of the test set that tasks hold at a time.
@@ -294,4 +294,4 @@ def digests(docs: DataFrame, benchmark: DataFrame, near: bool = False) -> DataFr
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that the rule clears, all columns. Only contaminated keys, few of all, take part in the join."""
     bad = overlaps(docs, benchmark, near=False).where(contaminated()).select("__id", "__th").distinct()
-    return with_key(docs).join(bad, ["__id", "__th"], "left_anti").select(*docs.columns)
+    return rows_without(docs, bad)

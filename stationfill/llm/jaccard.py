@@ -1,192 +1,114 @@
-"""Near duplicates by the Jaccard similarity of word shingles, every pair at or above the threshold.
-
-No radius of SimHash covers a similarity of 0.8 for certain: such pairs differ in about ten of
-64 bits, more or fewer by chance. So candidates are found by prefix filtering, which misses none.
-The distinct shingles of a text are put in one order for all texts. Of two texts at 0.8 or more,
-the first fifth (and one) of either meet in a shingle; only those are entered in the index. The
-order goes by frequency, rarest first, from a table of counters of fixed size (shingles share
-counters by hash, which changes the order a little and no result), so passages that many texts
-have stay out of the index unless a text has hardly anything else.
-
-Who shares an entry is compared in rounds: with one member of the entry first, drawn anew each
-round, so that a crowd of near copies becomes one component without all its pairs. What then
-shares an entry across components is listed in full. Candidates are settled on whole shingle sets.
-
+"""Near duplicates: word shingles with a Jaccard similarity of 0.8 or more, every pair of them.
+
+1. Texts with more than a fifth of shingles of their own can be similar to none and go first, by
+   exact counts (``shared_shingles``). What is left knows its rarest shared shingles.
+2. SimHash with multi-index hashing links most of the others: fingerprints of the same shingles meet
+   in segment tables, and candidates are settled on shingle sets. A crowd of near copies becomes
+   one component here.
+3. No radius of SimHash covers 0.8 for certain: such pairs differ in about ten of 64 bits, more or
+   fewer by chance. The exact remainder comes from prefix filtering: in the order of frequency,
+   rarest first, two such texts share a shingle among the first fifth (and one) of either. Where
+   texts of several components share one of those, they are compared, with one text drawn from
+   each shingle's in a first round and all of them, across components, in the second.
+
+Candidates are compared on what they share with other texts and on their sizes, which is exact.
 Null text is empty; texts of fewer words than a shingle are one shingle, texts without words are
-equal. Shingles and texts count as equal if their 64-bit hashes are. Ids may be null or repeated.
+equal. Texts count as equal if their 128-bit digests are, shingles if 56 bits are. Ids may be null
+or repeated. Stored tables are deleted once they are superseded.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-from .common import bounded_batches, keyed, rows_of
+from . import simhash
+from .common import NO_ID, keyed, rows_of
 from .components import connected_components
-from .simhash import SEED
-
-WIDTH = 5
-#: Counters of the frequency table, and how many make up one row of it.
-COUNTERS, _ROW = 1 << 20, 1 << 12
-#: Rounds with one member of each entry, and how many pairs an index row may have left before another.
-ROUNDS, PAIRS_PER_ROW = 4, 2
-#: One odd factor per place in a shingle.
-_FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text; at least one."""
-    import xxhash
-
-    words = text.encode().lower().split()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    n = min(width, len(words))
-    total = np.full(max(len(words) - n, 0) + 1, n, np.uint64)
-    for i in range(n):
-        total += hashes[i : len(words) - n + 1 + i] * _FACTORS[i]
-    return np.unique(total)
+from .scratch import Scratch
+from .shared_shingles import WIDTH, sharers
 
 
-def _slots(hashes: np.ndarray, counters: int) -> np.ndarray:
-    return (hashes >> np.uint64(20)) & np.uint64(counters - 1)
-
-
-def frequencies(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """Counters of the texts that have a shingle, by hash; ``rows`` has text."""
-    counters = COUNTERS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(counters, np.int64)
-        for batch in batches:
-            for text in batch.column("text"):
-                np.add.at(counts, _slots(shingle_set(text.as_py(), width), counters), 1)
-        table = counts.reshape(-1, _ROW)
-        some = np.flatnonzero(table.any(axis=1))
-        packed = pa.array([zlib.compress(table[i].tobytes(), 1) for i in some], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), packed], ["part", "counts"])
-
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_ROW, np.int64)
-        for x in parts["counts"]:
-            total += np.frombuffer(zlib.decompress(x), np.int64)
-        return pd.DataFrame({"part": parts["part"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    counted = rows.select("text").mapInArrow(count, "part int, counts binary")
-    table = np.zeros((counters // _ROW, _ROW), np.int64)
-    for row in counted.groupBy("part").applyInPandas(add, "part int, counts binary").toLocalIterator():
-        table[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    return table.reshape(-1)
-
-
-def index(rows: DataFrame, counts: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """Entries (h, node, n, at): the first shingles of a text, its key, shingle count and the place of each."""
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                nodes, sizes, firsts = part.column("__th").to_numpy(), [], []
-                for text in part.column("text"):
-                    own = shingle_set(text.as_py(), width)
-                    sizes.append(len(own))
-                    order = np.lexsort((own, shared.value[_slots(own, len(shared.value))]))
-                    firsts.append(own[order[: len(own) // 5 + 1]])
-                if not firsts:
-                    continue
-                each = np.array([len(x) for x in firsts])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(firsts).view(np.int64)),
-                        pa.array(np.repeat(nodes, each)),
-                        pa.array(np.repeat(np.array(sizes, np.int32), each)),
-                        pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in each])),
-                    ],
-                    ["h", "node", "n", "at"],
-                )
-
-    return rows.select("__th", "text").mapInArrow(run, "h long, node long, n int, at int")
-
-
-def verified(pairs: DataFrame, rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Those of the pairs (u, v) whose shingle sets are similar at 0.8 or more."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = pa.array([shingle_set(x.as_py(), width).tobytes() for x in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("__th"), own], ["node", "own"])
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose shingle sets are similar at 0.8 or more."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                common = len(a) + len(b) - len(np.union1d(a, b))
-                keep.append(9 * common >= 4 * (len(a) + len(b)))
+            for a, b, n in zip(batch.column("a"), batch.column("b"), batch.column("n").to_pylist()):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                keep.append(9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * n)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    named = pairs.select(F.explode(F.array("u", "v")).alias("__th")).distinct()
-    texts = rows.select("__th", "text").join(named, "__th", "left_semi").dropDuplicates(["__th"])
-    known = checkpointed(texts.mapInArrow(sets, "node long, own binary"))
-    both = pairs.join(known.toDF("u", "a"), "u").join(known.toDF("v", "b"), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(similar, "u long, v long")
+    sides = [texts.select(F.col("node").alias(x), F.col("own").alias(own), F.col("n").alias(f"n{x}")) for x, own in (("u", "a"), ("v", "b"))]
+    both = pairs.join(sides[0], "u").join(sides[1], "v")
+    # Sizes alone rule some out before sets are looked at.
+    fits = F.least("nu", "nv") * 5 >= F.greatest("nu", "nv") * 4
+    return both.where(fits).select("u", "v", "a", "b", (F.col("nu") + F.col("nv")).alias("n")).mapInArrow(similar, "u binary, v binary")
 
 
-def _candidates(both: DataFrame) -> DataFrame:
+def _pairs(met: DataFrame) -> DataFrame:
     """Pairs (u, v) of rows with node, n, at and node2, n2, at2 whose sizes and places allow 0.8.
 
     At the first shingle that two texts share, what lies behind it must suffice.
     """
     common = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
     fits = (9 * common.cast("long") >= 4 * (F.col("n").cast("long") + F.col("n2"))) & (F.col("node") != F.col("node2"))
-    return both.where(fits).select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
-
-
-def components(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """node and root for every text (__th) that is similar to another; ``rows`` has __th and text."""
-    bounded_batches(rows.sparkSession)
-    entries = checkpointed(index(rows, frequencies(rows, width), width))
-    several = entries.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("h")
-    live = checkpointed(entries.join(several, "h").distinct().withColumn("root", F.col("node")))
-    edges, roots = None, live.where("false").select("node", "root")
-    for turn in range(ROUNDS + 1):
-        sizes = live.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
-        left = sizes.agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).agg(
-            F.sum(F.col("s").cast("double") * F.col("s") - F.col("q")) / 2, F.sum("s")
-        ).first()
-        if not left[0]:
-            break
-        last = turn == ROUNDS or left[0] <= PAIRS_PER_ROW * left[1]
+    return met.where(fits).select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+
+
+def simhash_candidates(texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of texts whose fingerprints multi-index hashing links; equal ones go with their smallest node."""
+    least = texts.groupBy("fp").agg(F.min("node").alias("node"))
+    same = texts.select("node", "fp").join(least.withColumnRenamed("node", "first"), "fp").where("node <> first")
+    met = simhash.links(least.select("fp"))
+    ends = [least.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}")) for c in ("u", "v")]
+    near = met.join(ends[0], "u").join(ends[1], "v").select("node_u", "node_v")
+    return same.select(F.col("first").alias("u"), F.col("node").alias("v")).unionByName(near.toDF("u", "v"))
+
+
+def _across(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries with their component's root, of shingles that several components have."""
+    rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    return rooted.join(several, "h")
+
+
+def components(rows: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
+    """node and root for every text (node, text) that is similar to another."""
+    texts = scratch.keep(sharers(rows, width).dropDuplicates(["node"]))
+    edges = scratch.keep(verified(simhash_candidates(texts).distinct(), texts))
+    roots = scratch.keep(connected_components(edges))
+    entries = texts.select("node", "n", "alone", F.posexplode("firsts").alias("place", "h")).select(
+        "h", "node", "n", (F.col("alone") + F.col("place")).alias("at")
+    )
+    other = ("node", "n", "at", "root")
+    for last in (False, True):
+        live = scratch.keep(_across(entries, roots))
         if last:
-            other = live.select("h", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "root")])
-            both = live.join(other, "h").where("node < node2 AND root <> root2")
+            sides = live.join(live.select("h", *[F.col(c).alias(f"{c}2") for c in other]), "h").where("node < node2 AND root <> root2")
         else:
-            drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "at", "root"))
-            one = live.groupBy("h").agg(drawn.alias("one"))
-            both = live.join(one.select("h", *[F.col(f"one.{c}").alias(f"{c}2") for c in ("node", "n", "at", "root")]), "h").where("root <> root2")
-        found = checkpointed(verified(checkpointed(_candidates(both)), rows, width))
-        edges = found if edges is None else edges.unionByName(found)
-        roots = checkpointed(connected_components(edges))
-        if last:
-            break
-        joined = live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = joined.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-        live = checkpointed(joined.join(mixed, "h").select(*live.columns))
+            one = live.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", "h").alias("draw"), *other)).alias("one"))
+            sides = live.join(one.select("h", *[F.col(f"one.{c}").alias(f"{c}2") for c in other]), "h").where("root <> root2")
+        found = scratch.keep(verified(_pairs(sides), texts))
+        more = scratch.keep(edges.unionByName(found))
+        joined = scratch.keep(connected_components(more))
+        scratch.drop(live, found, edges, roots)
+        edges, roots = more, joined
+    scratch.drop(texts, edges)
     return roots
 
 
 def one_per_group(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The row with the smallest id of every component, all columns; of components without ids, one row."""
-    rows = keyed(docs)
-    roots = components(rows, width)
-    keys = rows.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "__id", "__th")
-    known = keys.join(roots, keys["__th"] == roots["node"], "left").withColumn("root", F.coalesce("root", "__th")).drop("node")
-    least = known.groupBy("root").agg(F.min("doc_id").alias("least"))
-    best = known.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    return rows_of(docs, best.groupBy("root", "__id").agg(F.min("__th").alias("__th")))
+    rows = keyed(docs).withColumn("node", F.unhex(F.md5("text")))
+    roots = components(rows, Scratch(docs.sparkSession), width)
+    keys = rows.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "__id", "__th", "node")
+    known = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("doc_id").isNull(), "__id", "__th")
+    best = known.groupBy("root").agg(F.min(order).alias("best")).select("best.*")
+    return rows_of(docs, best.select("__id", "__th"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import bounded_batches, keyed, text_of, with_key
+from .common import bounded_batches, keyed, rows_with, text_of
 
 BUCKETS = 1 << 16
 #: Bytes scored at a time, so that a long text costs no more memory than a short one.
@@ -257,7 +257,5 @@ def keep_identified(docs: DataFrame, model: TextModel, min_confidence: float = 0
     rows = keyed(docs, F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.col("source").alias("domain"))
     evidence = checkpointed(text_evidence(rows.drop("doc_id"), model))
     found = fuse(evidence, model).where((F.col("lang") != UNKNOWN) & (F.col("confidence") >= min_confidence))
-    best = found.groupBy("__id", "__th").agg(F.max_by("lang", F.struct("confidence", "lang")).alias("__lang"))
-    plus = with_key(docs).join(best, ["__id", "__th"])
-    return plus.withColumn("lang", F.col("__lang")).select(*docs.columns)
-
+    best = found.groupBy("__id", "__th").agg(F.max_by("lang", F.struct("confidence", "lang")).alias("value"))
+    return rows_with(docs, best, "lang")

@@ -1,13 +1,13 @@
 """Near duplicates by SimHash fingerprints and multi-index hashing.
 
-A fingerprint of 64 bits is cut into two segments of 32. Each segment's Hamming ball of radius
-one is enumerated while the other segment is held, and every fingerprint is entered in the
-table of (segment, other segment held) under each value of the ball. Two fingerprints that
-differ in at most two bits share an entry: bits in one segment meet halfway, a bit in each
-segment meets with one changed in either. What an entry holds is fetched, and whole distances
-are compared. An entry has at most 65 different fingerprints, whatever the data, so unlike
-tables keyed by one segment alone none of them gets crowded; members are linked to the
-smallest one of the entry and not to each other, which loses no component.
+A fingerprint of 64 bits is cut into two segments of 32. Each segment has a table of the
+fingerprints by the segment's value. Of two that differ in at most two bits, one segment differs
+in one bit at most: so the Hamming ball of radius one around each segment, 33 values, is looked up in
+its table, and complete distances of what is found are compared.
+
+Where many near copies share a segment, its value is crowded. Both sides of a crowded value are split
+by the other segment: they are entered under its ball of radius one as well, where two that are two
+bits apart meet halfway. Nothing is lost, and what meets agrees in all but three of 64 bits.
 
 Equal fingerprints are one row from the start. Null text is empty; texts without words have
 fingerprint zero and are linked like any other. Ids may be null or repeated: the smallest
@@ -29,6 +29,8 @@ from .components import connected_components
 
 SEED = 42
 MAX_DISTANCE = 2
+#: Fingerprints with one value of a segment from which on they are split by the other segment; no result depends on it.
+CROWD = 64
 _CHUNK = 1 << 16
 
 
@@ -65,13 +67,27 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, __id long, __th long, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (u, v) between different values of ``fp`` that connect whatever is within two bits."""
-    flips = F.expr("concat(array(0L), transform(sequence(0, 63), b -> shiftleft(1L, b)))")
-    entries = distinct.select("fp", F.explode(flips).alias("__flip")).select("fp", F.expr("fp ^ __flip").alias("entry"))
-    entry = Window.partitionBy("entry").orderBy("fp")
-    met = entries.withColumn("v", F.first("fp").over(entry)).where("fp <> v")
-    return met.where(F.bit_count(F.expr("fp ^ v")) <= MAX_DISTANCE).select(F.col("fp").alias("u"), "v").distinct()
+def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Edges (u, v), u < v, between different values of ``fp`` that differ in at most two bits, each of them once."""
+    spread = F.expr("transform(sequence(0, 31), b -> shiftleft(1L, b))")
+    ball = F.concat(F.array(F.lit(0).cast("long")), spread)
+    # A segment's table: number and value of the segment in one key, and the other segment.
+    low, high = F.expr("fp & 4294967295L"), F.expr("shiftrightunsigned(fp, 32)")
+    second = F.lit(1 << 32)
+    both = F.array(F.struct(low.alias("key"), high.alias("rest")), F.struct((high + second).alias("key"), low.alias("rest")))
+    table = distinct.select("fp", F.explode(both).alias("x")).select("fp", "x.key", "x.rest")
+    probes = table.select("fp", "key", "rest", F.explode(ball).alias("flip")).select("fp", "rest", F.expr("key ^ flip").alias("key"))
+    crowded = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key")
+    near = (F.bit_count(F.expr("fp ^ v")) <= MAX_DISTANCE) & (F.col("fp") < F.col("v"))
+    plain = probes.join(crowded, "key", "left_anti").join(table.select("key", F.col("fp").alias("v")), "key").where(near)
+    split = lambda side: (
+        side.join(crowded, "key", "left_semi")
+        .select("fp", "key", "rest", F.explode(ball).alias("flip"))
+        .select("fp", "key", F.expr("rest ^ flip").alias("met"))
+    )
+    close = split(probes).join(split(table).withColumnRenamed("fp", "v"), ["key", "met"]).where(near)
+    edges = plain.select("fp", "v").unionByName(close.select("fp", "v"))
+    return edges.select(F.col("fp").alias("u"), "v").distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -16,6 +16,10 @@ def sha(data) -> str:
     return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
 
 
+def md5(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def simhash(rows):
     """doc_id -> (hex, component) for (doc_id, text) rows."""
     prints = {}

@@ -41,5 +41,5 @@ def crowded(awkward):
     """Extra columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    extra = ["__id", "__th", "fp", "root", "key", "keys", "shard", "n", "u", "v", "m", "label", "score", "kind", "start", "match", "declared", "host"]
-    return awkward.withColumns({c: F.lit("x") for c in extra})
+    extra = ["__ID", "__id_", "__th", "__lang", "__value", "value", "node", "h", "own", "alone", "firsts", "place", "with.dot", "fp", "root", "key", "keys", "shard", "n", "u", "v", "m", "label", "score", "kind", "start", "match", "declared", "host"]
+    return awkward.withColumns({c: F.lit(f"own {c}") for c in extra})

@@ -9,6 +9,7 @@ import corpus_pipeline
 from stationfill.llm import op_queries
 
 from . import brute
+from .test_jaccard import kept
 
 GIVEN = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(GIVEN), reason="given tables not present")
@@ -34,16 +35,30 @@ def test_stages(spark, tmp_path):
                 first.setdefault(brute.SPACE.sub(" ", before[i] or ""), i)
             assert set(after) == set(first.values())
         if name == "simhash_near_dedup":
-            assert set(after) == {c for _, c in brute.simhash(list(before.items())).values()}
+            assert set(after) == kept(list(before.items()))
         if name == "benchmark_decontamination":
             assert set(after) == {i for i, x in brute.contamination(list(before.items()), items).items() if not x[4]}
         if name == "bpe_encoding":
             assert set(after) == set(before) and docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES[:-1]])
+def test_columns_of_the_caller_keep_their_values(spark, crowded, name):
+    """Extra columns whose names the stages use themselves come back as they were."""
+    out = dict(corpus_pipeline.STAGES)[name](spark, crowded, GIVEN)
+    assert out.columns == crowded.columns
+    assert dict(out.dtypes) == dict(crowded.dtypes)
+    rows = out.collect()
+    given = {(r.doc_id, r.text) for r in crowded.collect()}
+    assert rows and {(r.doc_id, r.text) for r in rows} <= given
+    extra = [c for c in crowded.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    assert all(r[c] == f"own {c}" for r in rows for c in extra)
+    assert dict(corpus_pipeline.STAGES)[name](spark, crowded.limit(0), GIVEN).count() == 0
+
+
 def test_run_and_registration(spark):
     names = contract.queries()
-    assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
     assert set(op_queries.sql_texts()) <= set(op_queries.queries())
     assert corpus_pipeline.run(spark, GIVEN).count() > 100
 
