@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions import reports as R
+from . import day_states as S
 
 
 def report_type_counts(df: DataFrame, key: str = "station_id", report_type: str = "report_type") -> DataFrame:
@@ -21,24 +21,12 @@ def year_counts(df: DataFrame, key: str = "station_id") -> DataFrame:
     return dated.groupBy(key, F.year("ts").alias("year")).agg(F.count("*").alias("n"))
 
 
-def _as_map(counts: DataFrame, key: str, label: str, into: str) -> DataFrame:
-    entries = F.sort_array(F.collect_list(F.struct(label, "n")))
-    return counts.groupBy(key).agg(F.map_from_entries(entries).alias(into))
-
-
-def _valid(df: DataFrame, variable: str) -> Column:
-    """Value present and, where the table has a quality code, code missing or valid."""
-    rule = F.col(variable).isNotNull()
-    code = next((n for n in df.columns if n.lower() == f"{variable}_quality_code"), None)
-    return rule if code is None else rule & R.valid_code(F.col(code), df.schema[code].dataType)
-
-
 def completeness_pct(df: DataFrame, variable: str, rows: Column | None = None) -> Column:
     """Aggregate: share of rows with a valid value; 0 without rows or without the column."""
     if variable not in {name.lower() for name in df.columns}:
         return F.lit(0.0)
     rows = F.lit(True) if rows is None else rows
-    return F.coalesce(F.try_divide(F.count_if(rows & _valid(df, variable)) * F.lit(100.0), F.count_if(rows)), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.count_if(rows & S.valid(df, variable)) * F.lit(100.0), F.count_if(rows)), F.lit(0.0))
 
 
 def variable_stats(df: DataFrame, variables, key: str = "station_id") -> DataFrame:
@@ -48,7 +36,7 @@ def variable_stats(df: DataFrame, variables, key: str = "station_id") -> DataFra
     """
     aggregates = []
     for v in variables:
-        good = F.when(_valid(df, v), F.col(v))
+        good = F.when(S.valid(df, v), F.col(v))
         aggregates.append(
             F.struct(
                 F.lit(v).alias("variable"),
@@ -82,34 +70,28 @@ def coverage(df: DataFrame, key: str = "station_id") -> DataFrame:
 def gap_analysis(df: DataFrame, key: str = "station_id", ts: str = "ts") -> DataFrame:
     """Gaps between consecutive reports of a station.
 
-    Reports of one instant are counted first. Instants then meet only within their
-    calendar day, and days meet through their first and last instant, so no task
-    holds a whole station.
+    Reports of a station and day are combined before they are shuffled. Instants meet only within
+    their day, and days meet through their first and last instant, so no task holds a whole station.
     """
-    seconds = lambda late, early: F.floor((F.unix_micros(late) - F.unix_micros(early)) / F.lit(1_000_000))
     at = F.col(ts).cast("timestamp")
-    # One shuffle serves the counts and the window. Undated reports are only counted, and spread.
-    parts = [key, "__day", "__undated"]
-    typed = df.select(
-        key, at.alias("__ts"), F.to_date(at).alias("__day"), F.when(at.isNull(), F.spark_partition_id() % 64).alias("__undated")
-    ).repartition(*parts)
-    instants = typed.groupBy(*parts, "__ts").agg(F.count("*").alias("__n"))
-    in_day = Window.partitionBy(*parts).orderBy("__ts")
-    days = (
-        instants.withColumn("__step", seconds(F.col("__ts"), F.lag("__ts").over(in_day)))
-        .groupBy(*parts)
-        .agg(
-            F.min("__ts").alias("__lo"),
-            F.max("__ts").alias("__hi"),
-            F.sum("__n").alias("__n"),
-            F.coalesce(F.max("__step"), F.lit(0)).alias("__longest"),
-            F.coalesce(F.sum("__step"), F.lit(0)).alias("__sum"),
-        )
+    days = df.groupBy(key, F.to_date(at).alias("__day")).agg(
+        F.count("*").alias("__n"), S.instants_of(F.unix_micros(at)).alias("__instants")
     )
-    # Dated days in order, undated parts after them: these have no instants, so no step reaches them.
+    own = S.steps(F.col("__instants"))
+    ends = days.select(
+        key,
+        "__day",
+        "__n",
+        F.try_element_at("__instants", F.lit(1)).alias("__lo"),
+        F.try_element_at("__instants", F.lit(-1)).alias("__hi"),
+        F.coalesce(F.array_max(own), F.lit(0)).alias("__longest"),
+        S.total(own).alias("__sum"),
+    )
+    # Dated days in order, reports without a time after them: these have no instants, so no step reaches them.
     by_day = Window.partitionBy(key).orderBy(F.col("__day").asc_nulls_last())
     dated = F.when(F.col("__day").isNotNull(), F.col("__n"))
-    joined = days.withColumn("__step", seconds(F.col("__lo"), F.lag("__hi").over(by_day)))
+    seconds = lambda late, early: F.floor((late - early) / F.lit(1_000_000))
+    joined = ends.withColumn("__step", seconds(F.col("__lo"), F.lag("__hi").over(by_day)))
     hour = F.lit(3600.0)
     gaps = joined.groupBy(key).agg(
         F.count_if(F.col("__step") > 24 * 3600).alias("gap_count_24h"),
@@ -131,14 +113,7 @@ def gap_analysis(df: DataFrame, key: str = "station_id", ts: str = "ts") -> Data
     )
 
 
-def _earliest(column: str) -> Column:
-    """Aggregate: the non-NULL value of the earliest report; undated reports come last."""
-    when = F.coalesce(F.col("ts"), F.lit("9999-12-31").cast("timestamp_ntz"))
-    value = F.col(column)
-    return F.min(F.when(value.isNotNull(), F.struct(when.alias("t"), value.alias("x"))))["x"].alias(column)
-
-
-# Layout of the station table, in writing order.
+# Layout of the station table, in writing order.
 STATION_COLUMNS = (
     "station_id",
     "country_code",
@@ -174,57 +149,45 @@ def station_metadata(reports: DataFrame, hourly_only: bool = True, computed_at:
 
     Stations whose reports are all summaries stay, with zeros and NULLs.
     """
-    hourly = R.is_hourly_report(F.col("report_type")) if hourly_only else F.lit(True)
-    present = {name.lower() for name in reports.columns}
-
-    def stats(variable, parts):
-        if variable not in present:
-            return F.struct(*[F.lit(None).cast("double").alias(p) for p in parts])
-        good = F.when(hourly & _valid(reports, variable), F.col(variable).cast("double"))
-        rule = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
-        return F.struct(*[rule[p](good).alias(p) for p in parts])
-
-    texts = {
-        "station_name": T.StringType(),
-        "latitude": T.DoubleType(),
-        "longitude": T.DoubleType(),
-        "elevation": T.DoubleType(),
-    }
-    located = [_earliest(c) if c in present else F.lit(None).cast(kind).alias(c) for c, kind in texts.items()]
-    years = F.col("year") if "year" in present else F.year("ts")
-    base = reports.groupBy("station_id").agg(
-        *located,
-        F.count("*").alias("total_records_all_types"),
-        F.count_if(~hourly).alias("records_excluded_by_filter"),
-        F.min(F.when(hourly, F.col("ts"))).alias("first_observation"),
-        F.max(F.when(hourly, F.col("ts"))).alias("last_observation"),
-        F.sort_array(F.collect_set(years.cast("int"))).alias("years_available"),
-        F.count_if(hourly).alias("total_observation_count"),
-        *[completeness_pct(reports, v, hourly).alias(f"{v}_completeness_pct") for v in C.ALL_VARIABLES],
-        stats("temperature", ("min", "max", "mean", "std")).alias("temperature_stats"),
-        stats("dew_point_temperature", ("mean", "std")).alias("dew_point_stats"),
-        stats("sea_level_pressure", ("min", "max", "mean", "std")).alias("sea_level_pressure_stats"),
-    )
-    kept = reports.where(hourly)
-    types = _as_map(report_type_counts(reports), "station_id", "report_type", "report_type_counts")
-    years_seen = _as_map(year_counts(kept), "station_id", "year", "year_counts")
-    gaps = gap_analysis(kept).select(
-        "station_id",
-        "gap_count_24h",
-        F.col("max_gap_hours").alias("max_gap_duration_hours"),
-        F.col("avg_interval_hours").alias("avg_observation_interval_hours"),
-    )
-    empty_map = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<bigint>"))
-    out = base.join(types, "station_id", "left").join(years_seen, "station_id", "left").join(gaps, "station_id", "left")
-    return out.withColumns(
+    return metadata_of_states(S.day_states(reports, hourly_only), computed_at)
+
+
+def metadata_of_states(states: DataFrame, computed_at: Column | None = None) -> DataFrame:
+    """The station table from states that have each day of a station once."""
+    whole = S.station_totals(states)
+    rows = F.col("n_hourly")
+    # Without hourly reports there is nothing to have gaps.
+    unless_none = lambda c: F.when(rows > 0, F.col(c))
+
+    def stats(variable: str, parts) -> Column:
+        m = F.col(f"moments_{variable}")
+        shown = {"min": m["min"], "max": m["max"], "mean": m["mean"], "std": F.sqrt(F.try_divide(m["m2"], F.when(m["n"] > 1, m["n"] - 1)))}
+        return F.struct(*[shown[p].alias(p) for p in parts])
+
+    return whole.withColumns(
         {
             "country_code": F.substring("station_id", 1, 2),
             "state": F.lit(None).cast("string"),
             "wmo_id": F.lit(None).cast("string"),
             "icao_code": F.lit(None).cast("string"),
-            "station_name": F.coalesce("station_name", F.lit("")),
-            "year_counts": F.coalesce("year_counts", empty_map),
-            "gap_count_24h": F.coalesce("gap_count_24h", F.lit(0)),
+            "station_name": F.coalesce(F.col("station_name.x"), F.lit("")),
+            **{c: F.col(f"{c}.x") for c in ("latitude", "longitude", "elevation")},
+            "report_type_counts": F.map_from_entries("types"),
+            "total_records_all_types": F.col("n"),
+            "records_excluded_by_filter": F.col("n") - rows,
+            "first_observation": F.col("first"),
+            "last_observation": F.col("last"),
+            "years_available": F.sort_array("years"),
+            "total_observation_count": rows,
+            **{
+                f"{v}_completeness_pct": F.coalesce(F.try_divide(F.col(f"valid_{v}") * F.lit(100.0), rows), F.lit(0.0))
+                for v in C.ALL_VARIABLES
+            },
+            "temperature_stats": stats("temperature", S.STATS["temperature"]),
+            "dew_point_stats": stats("dew_point_temperature", S.STATS["dew_point_temperature"]),
+            "sea_level_pressure_stats": stats("sea_level_pressure", S.STATS["sea_level_pressure"]),
+            "max_gap_duration_hours": unless_none("max_gap_hours"),
+            "avg_observation_interval_hours": unless_none("avg_interval_hours"),
             "metadata_computed_at": (F.current_timestamp() if computed_at is None else computed_at).cast("timestamp_ntz"),
             "metadata_schema_version": F.lit(C.METADATA_SCHEMA_VERSION),
         }

@@ -88,6 +88,11 @@ def list_files(spark: SparkSession, root: str, years: list[int] | None = None) -
     ).where(F.col("station_id") != "")
 
 
+def in_folder(path: Column) -> Column:
+    """Folder and name of a file, which are the same however its path is spelled."""
+    return F.regexp_extract(path, "([^/]+/[^/]+)$", 1)
+
+
 def list_stations(files: DataFrame) -> DataFrame:
     return files.select("station_id").distinct()
 
@@ -200,15 +205,21 @@ def normalize(df: DataFrame) -> DataFrame:
 
 
 def read_observations(
-    spark: SparkSession, root: str, years: list[int] | None = None, stations: list[str] | DataFrame | None = None
+    spark: SparkSession,
+    root: str,
+    years: list[int] | None = None,
+    stations: list[str] | DataFrame | None = None,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """Reports of all stations and years as one table with ``station_id, year, ts, report_type``.
 
     ``years`` selects folders, so other years are not even listed. A list of
     stations filters by file name; a long one is given as a DataFrame. Files without a
     usable footer are left out (``unreadable_files`` lists them); any other error is raised.
+    With ``files`` (of ``list_files``) only these are read, and reports carry ``file``, its folder and name.
     """
-    listed = files = list_files(spark, root, years)
+    listed = list_files(spark, root, years)
+    by_file, files = files is not None, listed if files is None else files
     if isinstance(stations, DataFrame):
         files = files.join(stations.select("station_id").distinct(), "station_id", "left_semi")
     elif stations is not None:
@@ -220,8 +231,10 @@ def read_observations(
         named = raw.withColumn("__station", F.regexp_extract(path, FILE_PATTERN, 1)).withColumn(
             "__year", F.regexp_extract(path, FILE_PATTERN, 2).cast("int")
         )
+        if by_file:
+            named = named.withColumn("__file", in_folder(path))
         tidy = unify_timestamps(normalize(named)).drop("date", "year", "month", "day", "hour", "minute")
-        parts.append(tidy.withColumnsRenamed({"__station": "station_id", "__year": "year"}))
+        parts.append(tidy.withColumnsRenamed({"__station": "station_id", "__year": "year", "__file": "file"}))
     if not parts:
         raise FileNotFoundError(f"no readable observation file under {root}")
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
