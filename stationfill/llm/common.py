@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,13 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def release_memory() -> None:
+    """Give a Python worker's memory of the last group back to the system; workers are kept for many groups."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tokenizer_path(name: str) -> str:
     """A public tokenizer's file; TOKENIZERS_DIR overrides the folder."""
     folder = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")

@@ -3,7 +3,7 @@
 A text can be similar to another at 0.8 only if four fifths of its distinct shingles occur in
 other texts. How often each shingle occurs is counted exactly, in two shuffles:
 
-1. Tasks read texts in chunks of a few million shingles. The distinct shingles of a chunk, with
+1. Tasks read texts in chunks of half a million shingles. The distinct shingles of a chunk, with
    their counts in it, go to buckets by range of hash; what tells them apart is packed as differences
    of sorted numbers. A shingle that a third of all texts have is one entry per chunk.
 2. A bucket adds the counts and answers every chunk, in the chunk's own order. The answers meet
@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, release_memory
 from .simhash import SEED
 
 WIDTH = 5
 #: Shingles of a chunk (or one text), and how many of the corpus a bucket gets, by length of text.
-CHUNK, BUCKET_CHARS = 1 << 21, 16 << 20
+CHUNK, BUCKET_CHARS = 1 << 19, 8 << 20
 #: Bits of a shingle's hash.
 BITS = 56
 #: One odd factor per place in a shingle.
@@ -127,6 +127,7 @@ def _chunks(rows: DataFrame, width: int, buckets: int) -> DataFrame:
                 size += len(sets[-1])
                 if size >= limit:
                     yield parts()
+                    release_memory()
                     chunk, nodes, prints, sets, size = chunk + 1, {}, [], [], 0
         if sets:
             yield parts()
@@ -146,6 +147,8 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.bincount(where, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
     totals = np.split(np.minimum(total, (1 << 32) - 1)[where], np.cumsum([len(x) for x in hashes])[:-1])
     answers = [_packed(_small(t), np.diff(h[t > 1], prepend=np.uint64(0))) for t, h in zip(totals, hashes)]
+    del parts, hashes, where, total, totals
+    release_memory()
     return pd.concat([kept, asked.assign(place=asked["chunk"], data=answers)])
 
 
@@ -171,6 +174,7 @@ def _sharers(rows: pd.DataFrame) -> pd.DataFrame:
         own = slice(cuts[i], cuts[i + 1])
         first = h[by_total[own]][: sizes[i] // 5 + 1 - alone[i]]
         out.append((nodes[i].tobytes(), sizes[i], prints[i], h[by_hash[own]].tobytes(), first.astype(np.int64), alone[i]))
+    release_memory()
     return pd.DataFrame(out, columns=["node", "n", "fp", "own", "firsts", "alone"])
 
 

@@ -25,19 +25,16 @@ An empty table gives an empty one. ``__th`` orders rows of one id.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fan_out
-from .common import NO_ID, keyed
+from .common import NO_ID, keyed, release_memory
 from .suffixes import common_prefixes, sorted_order
 
 LENGTH, GRAM = 50, 16
@@ -167,13 +164,6 @@ def _unpacked(rows: pd.DataFrame, kinds: tuple) -> list[np.ndarray]:
     return [np.concatenate(x) for x in parts]
 
 
-def _release() -> None:
-    """Give memory of the last group back to the system; workers are kept for many groups."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library can
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _told(told: pd.DataFrame, shard: Shard, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the shard's hashes, those said to be shared: few enough shards, and too many."""
     hashes = np.unique(shard.hash)
@@ -303,7 +293,7 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
                 names, first = _split(lead, bits)
                 out += [(b, True, j - i, _pack(distinct[i:j], least[i:j])) for b, i, j in zip(names, first, first[1:])]
             del shard
-        _release()
+        release_memory()
         made = pd.DataFrame(out, columns=["bucket", "wide", "n", "packed"])
         return made.assign(shard=int(rows["shard"].iloc[0]) if len(rows) else 0)[[x.split()[0] for x in _SENT.split(", ")]]
 
@@ -344,7 +334,7 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
              high[i:j].astype("u1").tobytes(), first[i:j].astype("<i8").tobytes())
             for r, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i
         ]
-        _release()
+        release_memory()
         return pd.DataFrame(out, columns=[x.split()[0] for x in _BACK.split(", ")])
 
     def cover(rows: pd.DataFrame, told: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
