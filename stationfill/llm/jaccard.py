@@ -8,10 +8,12 @@
 3. No radius of SimHash covers 0.8 for certain: such pairs differ in about ten of 64 bits, more or
    fewer by chance. The exact remainder comes from prefix filtering: in the order of frequency,
    rarest first, two such texts share a shingle among the first fifth (and one) of either. Where
-   texts of several components share one of those, they are compared, with one text drawn from
-   each shingle's in a first round and all of them, across components, in the second.
+   texts of several components share one of those, they are compared with one text drawn from the
+   shingle's, who is done then; this is repeated as long as it pays, and what is left is listed in full.
 
-Candidates are compared on what they share with other texts and on their sizes, which is exact.
+Sizes, places and parity maps of the sets rule pairs out before sets are looked at; each of these is
+a bound, so nothing is lost. Candidates are compared on what they share with other texts and on
+their sizes, which is exact.
 Null text is empty; texts of fewer words than a shingle are one shingle, texts without words are
 equal. Texts count as equal if their 128-bit digests are, shingles if 56 bits are. Ids may be null
 or repeated. Stored tables are deleted once they are superseded.
@@ -23,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import NO_ID, keyed, rows_of
+from .common import keyed, rows_of
 from .components import connected_components
 from .scratch import Scratch
-from .shared_shingles import WIDTH, sharers
+from .shared_shingles import MAP_WORDS, WIDTH, sharers
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -51,14 +53,23 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(fits).select("u", "v", "a", "b", (F.col("nu") + F.col("nv")).alias("n")).mapInArrow(similar, "u binary, v binary")
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Pairs (u, v) of rows with node, n, at and node2, n2, at2 whose sizes and places allow 0.8.
+#: What an entry carries of its text.
+_OF = ("node", "n", "alone", "at", *(f"map{i}" for i in range(MAP_WORDS)), "root")
+#: Pairs an entry may have left on average for all of them to be listed.
+PAIRS_PER_ENTRY = 2
+
 
-    At the first shingle that two texts share, what lies behind it must suffice.
-    """
-    common = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    fits = (9 * common.cast("long") >= 4 * (F.col("n").cast("long") + F.col("n2"))) & (F.col("node") != F.col("node2"))
-    return met.where(fits).select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+def _possible() -> Column:
+    """Of rows with the columns of ``_OF`` twice, the second time numbered 2: whether 0.8 is possible."""
+    both = F.col("n").cast("long") + F.col("n2")
+    # At the first shingle that two texts share, what lies behind it must suffice.
+    behind = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")).cast("long")
+    apart = sum((F.bit_count(F.col(f"map{i}").bitwiseXOR(F.col(f"map{i}2"))) for i in range(MAP_WORDS)), F.col("alone") + F.col("alone2"))
+    return (9 * behind >= 4 * both) & (9 * (both - apart) >= 8 * both) & (F.col("root") != F.col("root2"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.where(_possible()).select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
 
 
 def simhash_candidates(texts: DataFrame) -> DataFrame:
@@ -78,28 +89,43 @@ def _across(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(several, "h")
 
 
+def _pairs_left(live: DataFrame) -> tuple[float, int]:
+    """Pairs of one entry and different components, and entries' rows."""
+    sizes = live.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
+    left = sizes.agg(F.sum("k").cast("double").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+    found = left.agg(F.sum(F.col("s") * F.col("s") - F.col("q")) / 2, F.sum("s")).first()
+    return found[0] or 0.0, found[1] or 0
+
+
 def components(rows: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
     """node and root for every text (node, text) that is similar to another."""
     texts = scratch.keep(sharers(rows, width).dropDuplicates(["node"]))
     edges = scratch.keep(verified(simhash_candidates(texts).distinct(), texts))
     roots = scratch.keep(connected_components(edges))
-    entries = texts.select("node", "n", "alone", F.posexplode("firsts").alias("place", "h")).select(
-        "h", "node", "n", (F.col("alone") + F.col("place")).alias("at")
-    )
-    other = ("node", "n", "at", "root")
-    for last in (False, True):
-        live = scratch.keep(_across(entries, roots))
+    entries = texts.select(
+        "node", "n", "alone", *[c for c in _OF if c.startswith("map")], F.posexplode("firsts").alias("place", "h")
+    ).select("h", *[c for c in _OF if c not in ("at", "root")], (F.col("alone") + F.col("place")).alias("at"))
+    live, before, turn, last = scratch.keep(_across(entries, roots)), float("inf"), 0, False
+    while not last:
+        pairs, size = _pairs_left(live)
+        if not pairs:
+            break
+        last = pairs <= PAIRS_PER_ENTRY * size or pairs > before / 2
+        before, turn = pairs, turn + 1
         if last:
-            sides = live.join(live.select("h", *[F.col(c).alias(f"{c}2") for c in other]), "h").where("node < node2 AND root <> root2")
+            met = live.join(live.select("h", *[F.col(c).alias(f"{c}2") for c in _OF]), "h").where("node < node2")
+            rest = live.limit(0)
         else:
-            one = live.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", "h").alias("draw"), *other)).alias("one"))
-            sides = live.join(one.select("h", *[F.col(f"one.{c}").alias(f"{c}2") for c in other]), "h").where("root <> root2")
-        found = scratch.keep(verified(_pairs(sides), texts))
+            one = live.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", "h", F.lit(turn)).alias("draw"), *_OF)).alias("one"))
+            met = live.join(one.select("h", *[F.col(f"one.{c}").alias(f"{c}2") for c in _OF]), "h")
+            rest = met.where("node <> node2").select(*live.columns)
+        found = scratch.keep(verified(_pairs(met), texts))
         more = scratch.keep(edges.unionByName(found))
         joined = scratch.keep(connected_components(more))
+        left = scratch.keep(_across(rest.drop("root"), joined))
         scratch.drop(live, found, edges, roots)
-        edges, roots = more, joined
-    scratch.drop(texts, edges)
+        edges, roots, live = more, joined, left
+    scratch.drop(texts, edges, live)
     return roots
 
 

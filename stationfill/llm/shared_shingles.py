@@ -90,7 +90,9 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 
 _PARTS = "place long, chunk long, part int, data binary"
-_TEXTS = "node binary, n int, fp long, own binary, firsts array<long>, alone int"
+#: Words of 64 bits in the parity map of a set.
+MAP_WORDS = 4
+_TEXTS = "node binary, n int, fp long, own binary, firsts array<long>, alone int, " + ", ".join(f"map{i} long" for i in range(MAP_WORDS))
 
 
 def _chunks(rows: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -152,6 +154,15 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([kept, asked.assign(place=asked["chunk"], data=answers)])
 
 
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """A bit per slot of a hash: whether an odd number of the set's hashes fall in it.
+
+    Two sets whose maps differ in k bits differ in k elements at least.
+    """
+    odd = np.bincount((hashes % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sharers(rows: pd.DataFrame) -> pd.DataFrame:
     """Of a chunk's texts those with at most a fifth of shingles of their own."""
     rows = rows.sort_values("part")
@@ -173,16 +184,18 @@ def _sharers(rows: pd.DataFrame) -> pd.DataFrame:
     for i in np.flatnonzero(fits).tolist():
         own = slice(cuts[i], cuts[i + 1])
         first = h[by_total[own]][: sizes[i] // 5 + 1 - alone[i]]
-        out.append((nodes[i].tobytes(), sizes[i], prints[i], h[by_hash[own]].tobytes(), first.astype(np.int64), alone[i]))
+        shared = h[by_hash[own]]
+        out.append((nodes[i].tobytes(), sizes[i], prints[i], shared.tobytes(), first.astype(np.int64), alone[i], *parity_map(shared).tolist()))
     release_memory()
-    return pd.DataFrame(out, columns=["node", "n", "fp", "own", "firsts", "alone"])
+    return pd.DataFrame(out, columns=[x.split()[0] for x in _TEXTS.split(", ")])
 
 
 def sharers(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """Texts (node, 16 bytes that name it, and text) of whose shingles at least four fifths occur in other texts; equal texts may come twice.
 
     ``n`` distinct shingles, ``alone`` of them nowhere else; ``own`` the others, sorted; ``firsts``
-    of them the rarest, as many as prefix filtering needs at 0.8; ``fp`` the SimHash.
+    of them the rarest, as many as prefix filtering needs at 0.8; ``fp`` the SimHash; ``map0``, … the
+    parity map of ``own``.
     """
     spark = rows.sparkSession
     bounded_batches(spark)

@@ -55,8 +55,9 @@ def test_one_changed_word_of_a_hundred(spark):
     assert after(spark, docs) == [1, 3]
 
 
-@pytest.mark.parametrize("chunk, chars, crowd", [(1 << 21, 1 << 24, 64), (500, 900, 0)])
-def test_around_the_threshold(spark, monkeypatch, chunk, chars, crowd):
+@pytest.mark.parametrize("chunk, chars, crowd, pairs", [(1 << 21, 1 << 24, 64, 2), (500, 900, 0, 0), (1 << 21, 1 << 24, 64, 10**9)])
+def test_around_the_threshold(spark, monkeypatch, chunk, chars, crowd, pairs):
+    monkeypatch.setattr(jaccard, "PAIRS_PER_ENTRY", pairs)
     monkeypatch.setattr(shared_shingles, "CHUNK", chunk)
     monkeypatch.setattr(shared_shingles, "BUCKET_CHARS", chars)
     monkeypatch.setattr(simhash.links, "__defaults__", (crowd,))
@@ -100,6 +101,14 @@ def test_candidates_of_simhash_and_what_is_left_for_the_exact_way(spark):
     assert after(spark, docs) == expected
 
 
+def test_parity_maps_bound_the_difference():
+    draw = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (np.unique(draw.integers(0, 400, draw.integers(1, 300)).astype(np.uint64) << np.uint64(7)) for _ in range(2))
+        bits = sum((int(x) ^ int(y)).bit_count() for x, y in zip(shared_shingles.parity_map(a).view("u8"), shared_shingles.parity_map(b).view("u8")))
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_shared_shingles_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(shared_shingles, "CHUNK", 100)
     monkeypatch.setattr(shared_shingles, "BUCKET_CHARS", 300)
