@@ -101,11 +101,12 @@ def _(v):
 
 
 def masked_wide(v, variables=VARIABLES, seed=SEED):
-    hidden = masks.apply_mask(v.panel(), masks.synthetic_mask(v.samples(), VARIABLES, MCAR, seed))
-    return checkpointed(chained.to_wide(hidden.where(F.col("variable").isin(*variables)), variables))
+    """The grid with hidden cells NULL; stored, since fits read it several times."""
+    grid = masks.masked_grid(v.grid(), VARIABLES, masks.synthetic_runs(v.samples(), VARIABLES, MCAR, seed))
+    return checkpointed(grid.select("station_id", "t", *variables))
 
 
-MASKED = f"""{PANEL}, {mask_sql(MCAR)}, hidden AS (SELECT p.station_id, p.t, p.ts, p.variable, p.value AS truth, CASE WHEN m.k IS NULL THEN p.value END AS value,
+MASKED = f"""{PANEL}, {mask_sql(MCAR)}, hidden AS MATERIALIZED (SELECT p.station_id, p.t, p.ts, p.variable, p.value AS truth, CASE WHEN m.k IS NULL THEN p.value END AS value,
   m.k IS NOT NULL AS is_synthetic, m.k IS NOT NULL AND p.value IS NOT NULL AS is_eval
   FROM panel p LEFT JOIN mask m ON m.station_id = p.station_id AND m.t = p.t AND m.variable = p.variable)"""
 

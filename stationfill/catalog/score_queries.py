@@ -12,7 +12,7 @@ from .registry import query
 from .series_queries import EMPIRICAL, MCAR, SEED, mask_sql
 from .views import OBS, PANEL, VARIABLES
 
-GAP_LENGTH = """lengths AS (SELECT station_id, variable, t, count(*) OVER (PARTITION BY station_id, variable, is_synthetic, island) AS gap_length
+GAP_LENGTH = """lengths AS MATERIALIZED (SELECT station_id, variable, t, count(*) OVER (PARTITION BY station_id, variable, is_synthetic, island) AS gap_length
   FROM (SELECT *, t - row_number() OVER (PARTITION BY station_id, variable, is_synthetic ORDER BY t) AS island FROM hidden) WHERE is_synthetic)"""
 
 
@@ -40,7 +40,7 @@ def rounded(table):
 
 
 def scored(v, spec=MCAR, method="linear"):
-    hidden = plan.hide(v.panel(), VARIABLES, spec, SEED, v.samples())
+    hidden = plan.hide(v.grid(), VARIABLES, spec, SEED, v.samples())
     return plan.estimate(hidden, {"estimate": method}, VARIABLES)
 
 
@@ -54,7 +54,7 @@ def _by(name, stratum, sql=LINEAR, extra="", source="hidden_cells"):
         FROM hidden h LEFT JOIN lengths l USING (station_id, variable, t)""",
 )
 def _(v):
-    hidden = plan.hide(v.panel(), VARIABLES, MCAR, SEED, v.samples())
+    hidden = plan.hide(v.grid(), VARIABLES, MCAR, SEED, v.samples())
     return plan.estimate(hidden, {}, VARIABLES).drop("ts")
 
 
@@ -113,17 +113,17 @@ def _evaluation(sql):
 
 @query("evaluate_linear", _evaluation(LINEAR))
 def _(v):
-    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "linear", SEED, samples=v.samples()))
+    return rounded(plan.evaluate(v.grid(), VARIABLES, MCAR, "linear", SEED, samples=v.samples()))
 
 
 @query("evaluate_akima", _evaluation(AKIMA))
 def _(v):
-    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "akima", SEED, samples=v.samples()))
+    return rounded(plan.evaluate(v.grid(), VARIABLES, MCAR, "akima", SEED, samples=v.samples()))
 
 
 @query("evaluate_chained")
 def _(v):
-    return rounded(plan.evaluate(v.panel(), VARIABLES, MCAR, "chained", SEED, samples=v.samples()))
+    return rounded(plan.evaluate(v.grid(), VARIABLES, MCAR, "chained", SEED, samples=v.samples()))
 
 
 # --- paired tests -------------------------------------------------------------
@@ -133,7 +133,7 @@ errors AS (SELECT station_id, t, variable, {with_ends(LINE)} - truth AS err_a, {
 
 
 def errors(v, methods=("linear", "carry_forward")):
-    return plan.method_errors(v.panel(), VARIABLES, MCAR, methods, SEED, v.samples())
+    return plan.method_errors(v.grid(), VARIABLES, MCAR, methods, SEED, v.samples())
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import masks, metadata, ranks, scale, series, splits
 from ..plans import windows as window_plan
 from .registry import query
-from .views import OBS, PANEL, VARIABLES, WEEKS
+from .views import OBS, PANEL, VARIABLES
 
 SEED = 42
 RUNS = """marked AS (SELECT {k}, t, value, t - row_number() OVER (PARTITION BY {k}, value IS NULL ORDER BY t) AS island FROM {src}),
@@ -104,7 +104,7 @@ def _(v):
 @query(
     "sliding_windows",
     f"""WITH {PANEL} SELECT p.station_id, p.variable, p.t, p.value, CAST(s.w AS INTEGER) AS window_start, CAST(p.t - s.w AS INTEGER) AS pos
-        FROM panel p JOIN (SELECT unnest(generate_series(0, {WEEKS} - 104, 52)) AS w) s ON p.t >= s.w AND p.t < s.w + 104""",
+        FROM panel p JOIN (SELECT unnest(generate_series(lo, hi + 1 - 104, 52)) AS w FROM span) s ON p.t >= s.w AND p.t < s.w + 104""",
 )
 def _(v):
     return series.sliding_windows(v.panel(), 104, 52).select("station_id", "variable", "t", "value", "window_start", "pos")
@@ -114,10 +114,10 @@ def _(v):
     "packed_windows",
     f"""WITH {PANEL} SELECT p.station_id, p.variable, CAST(s.w AS INTEGER) AS window_start, count(*) AS n_cells,
           count(p.value) AS n_observed, round(sum(coalesce(p.value, 0.0::DOUBLE) * (p.t - s.w)), 2) AS weighted
-        FROM panel p JOIN (SELECT unnest(generate_series(0, {WEEKS} - 168, 24)) AS w) s ON p.t >= s.w AND p.t < s.w + 168 GROUP BY 1, 2, 3""",
+        FROM panel p JOIN (SELECT unnest(generate_series(lo, hi + 1 - 168, 24)) AS w FROM span) s ON p.t >= s.w AND p.t < s.w + 168 GROUP BY 1, 2, 3""",
 )
 def _(v):
-    packed = series.packed_windows(series.sliding_windows(v.panel()))
+    packed = series.window_arrays(v.panel())
     total = lambda f: F.aggregate("cells", F.lit(0.0), lambda a, c: a + f(c))
     return packed.select(
         "station_id",
@@ -129,15 +129,15 @@ def _(v):
     )
 
 
-_SEGMENT = f"CASE WHEN t < floor({WEEKS} * 0.7::DOUBLE) THEN 'train' WHEN t < floor({WEEKS} * 0.7::DOUBLE) + floor({WEEKS} * 0.15::DOUBLE) THEN 'val' ELSE 'test' END"
+_SEGMENT = "CASE WHEN t - lo < floor(n * 0.7::DOUBLE) THEN 'train' WHEN t - lo < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END"
 
 
-@query("temporal_segments", f"WITH {PANEL} SELECT station_id, variable, t, value, {_SEGMENT} AS segment FROM panel")
+@query("temporal_segments", f"WITH {PANEL} SELECT station_id, variable, t, value, {_SEGMENT} AS segment FROM panel, span")
 def _(v):
     return series.temporal_segments(v.panel()).drop("ts")
 
 
-@query("take_segment", f"WITH {PANEL} SELECT station_id, variable, t, value FROM panel WHERE {_SEGMENT} = 'val'")
+@query("take_segment", f"WITH {PANEL} SELECT station_id, variable, t, value FROM panel, span WHERE {_SEGMENT} = 'val'")
 def _(v):
     return series.take_segment(series.temporal_segments(v.panel()), "val").drop("ts", "segment")
 
@@ -228,11 +228,12 @@ def draw_int(low, high, tag, seed=SEED) -> str:
     return f"CAST({low} + floor({draw(tag, seed)} * ({high} - ({low}) + 1)) AS BIGINT)"
 
 
-def mask_sql(spec: masks.MaskSpec, seed=SEED, name: str = "mask", src: str = "panel", steps: int = WEEKS) -> str:
-    """The same draws, and one ordered count per sample in place of block sums."""
+def mask_sql(spec: masks.MaskSpec, seed=SEED, name: str = "mask", src: str = "panel") -> str:
+    """The same draws, and one ordered count per sample in place of a sweep."""
     n_var = len(VARIABLES)
-    target = int(steps * n_var * spec.missing_ratio)
-    n_candidates = -int(-target // spec.mean_gap) * spec.oversampling
+    steps = "(SELECT n FROM span)"
+    target = f"CAST(floor({steps} * {n_var} * {spec.missing_ratio}::DOUBLE) AS BIGINT)"
+    n_candidates = f"CAST(ceil({target} / {spec.mean_gap}::DOUBLE) * {spec.oversampling} AS BIGINT)"
     if spec.kind != "realistic":
         length = draw_int(spec.min_gap, spec.max_gap, "length", seed)
     elif spec.gap_distribution == "empirical":
@@ -249,7 +250,7 @@ def mask_sql(spec: masks.MaskSpec, seed=SEED, name: str = "mask", src: str = "pa
         q = spec.extreme_percentile
         p = "0.75::DOUBLE"
         if spec.kind == "mnar":
-            f, m = f"(n_extreme / {steps}::DOUBLE)", f"{spec.extreme_multiplier}::DOUBLE"
+            f, m = f"(n_extreme::DOUBLE / {steps})", f"{spec.extreme_multiplier}::DOUBLE"
             p = f"least(0.95::DOUBLE, greatest(0.05::DOUBLE, {m} * {f} / ({m} * {f} + 1.0::DOUBLE - {f})))"
         ctes += f""",
 {name}_lim AS (SELECT quantile_cont(value, {q}::DOUBLE) AS lo, quantile_cont(value, {1.0 - q}::DOUBLE) AS hi FROM {src} WHERE variable = '{spec.condition_variable}' AND value IS NOT NULL),
@@ -258,14 +259,14 @@ def mask_sql(spec: masks.MaskSpec, seed=SEED, name: str = "mask", src: str = "pa
 {name}_share AS (SELECT station_id, count(*) FILTER (ext) AS n_extreme, count(*) FILTER (NOT ext) AS n_normal FROM {name}_steps GROUP BY 1),
 {name}_want AS (SELECT c.*, n_extreme, n_normal, n_extreme > 0 AND ({draw('class', seed).replace('station_id', 'c.station_id')} < {p} OR n_normal = 0) AS ext FROM {name}_cand c JOIN {name}_share s ON s.station_id = c.station_id),
 {name}_pick AS (SELECT *, {draw_int(1, '(CASE WHEN ext THEN n_extreme ELSE n_normal END)', 'start', seed)} AS place FROM {name}_want),
-{name}_start AS (SELECT p.station_id, p.k, p.v, p.len, CAST(s.t AS BIGINT) AS start FROM {name}_pick p JOIN {name}_steps s ON s.station_id = p.station_id AND s.ext = p.ext AND s.place = p.place)"""
+{name}_start AS (SELECT p.station_id, p.k, p.v, p.len, CAST(s.t - (SELECT lo FROM span) AS BIGINT) AS start FROM {name}_pick p JOIN {name}_steps s ON s.station_id = p.station_id AND s.ext = p.ext AND s.place = p.place)"""
     else:
         ctes += f""",
-{name}_start AS (SELECT *, {draw_int(0, steps - 1, 'start', seed)} AS start FROM {name}_cand)"""
+{name}_start AS (SELECT *, {draw_int(0, f"({steps} - 1)", 'start', seed)} AS start FROM {name}_cand)"""
     names = ", ".join(f"'{v}'" for v in VARIABLES)
     return ctes + f""",
-{name}_cells AS (SELECT station_id, v, p, min(k) AS k FROM (SELECT station_id, v, k, unnest(generate_series(start, least(start + len, {steps}) - 1)) AS p FROM {name}_start) GROUP BY 1, 2, 3),
-{name} AS (SELECT station_id, CAST(p AS INTEGER) AS t, [{names}][v + 1] AS variable, k
+{name}_cells AS MATERIALIZED (SELECT station_id, v, p, min(k) AS k FROM (SELECT station_id, v, k, unnest(generate_series(start, least(start + len, {steps}) - 1)) AS p FROM {name}_start) GROUP BY 1, 2, 3),
+{name} AS MATERIALIZED (SELECT station_id, CAST((SELECT lo FROM span) + p AS INTEGER) AS t, [{names}][v + 1] AS variable, k
   FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY k, p) AS r FROM {name}_cells) WHERE r <= {target})"""
 
 
@@ -279,7 +280,7 @@ LOGNORMAL = masks.MaskSpec("realistic", 0.2, gap_distribution="lognormal")
 def _register_mask(name, spec):
     @query(name, f"WITH {PANEL}, {mask_sql(spec)} SELECT station_id, t, variable, k FROM mask")
     def _(v):
-        return masks.synthetic_mask(v.samples(), VARIABLES, spec, SEED, v.panel())
+        return masks.synthetic_mask(v.samples(), VARIABLES, spec, SEED, v.grid())
 
 
 for _name, _spec in {
@@ -294,7 +295,7 @@ for _name, _spec in {
 
 @query(
     "mask_totals",
-    f"""WITH {PANEL}, {mask_sql(MCAR)} SELECT p.station_id, {int(WEEKS * 4 * 0.2)}::BIGINT AS target, coalesce(m.n, 0) AS masked
+    f"""WITH {PANEL}, {mask_sql(MCAR)} SELECT p.station_id, CAST(floor((SELECT n FROM span) * 4 * 0.2::DOUBLE) AS BIGINT) AS target, coalesce(m.n, 0) AS masked
         FROM (SELECT DISTINCT station_id FROM panel) p LEFT JOIN (SELECT station_id, count(*) AS n FROM mask GROUP BY 1) m USING (station_id)""",
 )
 def _(v):
@@ -309,7 +310,7 @@ def _(v):
         FROM panel p LEFT JOIN mask m ON m.station_id = p.station_id AND m.t = p.t AND m.variable = p.variable""",
 )
 def _(v):
-    return masks.apply_mask(v.panel(), masks.synthetic_mask(v.samples(), VARIABLES, MCAR, SEED)).drop("ts")
+    return masks.hidden_panel(v.grid(), VARIABLES, masks.synthetic_runs(v.samples(), VARIABLES, MCAR, SEED)).drop("ts")
 
 
 @query(
@@ -355,7 +356,7 @@ _STRATEGY_CELLS = " UNION ALL ".join(
 def _(v):
     panel = v.panel()
     drawn = [
-        masks.synthetic_mask(v.samples(), VARIABLES, spec, SEED, panel).select(F.lit(name).alias("strategy"), "station_id", "variable", "t")
+        masks.synthetic_mask(v.samples(), VARIABLES, spec, SEED, v.grid()).select(F.lit(name).alias("strategy"), "station_id", "variable", "t")
         for name, spec in _STRATEGIES.items()
     ]
     hits = reduce(DataFrame.unionByName, drawn).withColumn("hit", F.lit(True))

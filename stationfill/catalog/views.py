@@ -1,6 +1,6 @@
 """The given tables in the shapes the operators take, once as DataFrames and once as SQL.
 
-* panel: weekly series per supplier with natural gaps (from lineitem);
+* panel: weekly series per supplier with natural gaps, from the first week in lineitem to the last;
 * obs: raw reports with types and codes (from events);
 * stations: a station table with duplicates and bad values (from customer, orders);
 * inventory: an official list to enrich it from (from customer, nation);
@@ -17,7 +17,6 @@ from ..session import tune
 from ..sources.inventory import tidy_inventory
 
 VARIABLES = ("quantity", "extendedprice", "discount", "tax")
-WEEKS = 357
 
 
 class Views:
@@ -28,30 +27,39 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @staticmethod
+    def _week(day):
+        return F.floor(F.datediff(day.cast("date"), F.lit("1995-01-02").cast("date")) / 7.0).cast("int")
+
     def cells(self) -> DataFrame:
         """Observed weekly means, one row per supplier and week."""
-        week = F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-02").cast("date")) / 7.0).cast("int")
         return (
             self.table("lineitem")
-            .groupBy(F.col("l_suppkey").alias("station_id"), week.alias("t"))
+            .groupBy(F.col("l_suppkey").alias("station_id"), self._week(F.col("l_shipdate")).alias("t"))
             .agg(
                 F.round(F.avg("l_quantity"), 6).alias("quantity"),
                 F.round(F.avg("l_extendedprice"), 6).alias("extendedprice"),
                 F.round(F.avg("l_discount"), 8).alias("discount"),
                 F.round(F.avg("l_tax"), 8).alias("tax"),
             )
-            .where(F.col("t").between(0, WEEKS - 1))
         )
 
     def samples(self) -> DataFrame:
-        """Every series covers the same weeks, so its size needs no look at the panel."""
-        ids = self.table("lineitem").select(F.col("l_suppkey").alias("station_id")).distinct()
-        return ids.select("station_id", F.lit(0).alias("first_t"), F.lit(WEEKS).cast("bigint").alias("n_steps"))
+        """Every series covers the weeks that lineitem covers."""
+        lines = self.table("lineitem")
+        ids = lines.select(F.col("l_suppkey").alias("station_id")).distinct()
+        first, last = self._week(F.min("l_shipdate")), self._week(F.max("l_shipdate"))
+        span = lines.agg(F.struct(first.alias("first_t"), (last - first + 1).cast("bigint").alias("n_steps"))).scalar()
+        return ids.select("station_id", span["first_t"].alias("first_t"), span["n_steps"].alias("n_steps"))
+
+    def grid(self) -> DataFrame:
+        """A row per series and week, a column per variable."""
+        ts = F.timestamp_add("DAY", F.col("t") * 7, F.lit("1995-01-02").cast("timestamp_ntz"))
+        wide = series.wide_grid(self.cells(), VARIABLES, stations=self.samples())
+        return wide.select("station_id", "t", ts.cast("timestamp_ntz").alias("ts"), *VARIABLES)
 
     def panel(self) -> DataFrame:
-        grid = series.regular_grid(self.cells(), VARIABLES, 0, WEEKS - 1, self.samples())
-        ts = F.timestamp_add("DAY", F.col("t") * 7, F.lit("1995-01-02").cast("timestamp_ntz"))
-        return grid.select("station_id", "t", ts.cast("timestamp_ntz").alias("ts"), "variable", "value")
+        return series.unfold(self.grid(), VARIABLES, ["station_id", "t", "ts"])
 
     def obs(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")
@@ -150,24 +158,23 @@ class Views:
         return found.unionByName(extra)
 
 
-CELLS = f"""cells AS (
-  SELECT * FROM (
-    SELECT l_suppkey AS station_id,
-           CAST(floor(date_diff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) / 7.0::DOUBLE) AS INTEGER) AS t,
-           round(avg(l_quantity), 6) AS quantity, round(avg(l_extendedprice), 6) AS extendedprice,
-           round(avg(l_discount), 8) AS discount, round(avg(l_tax), 8) AS tax
-    FROM lineitem GROUP BY 1, 2)
-  WHERE t BETWEEN 0 AND {WEEKS - 1})"""
+CELLS = """cells AS MATERIALIZED (
+  SELECT l_suppkey AS station_id,
+         CAST(floor(date_diff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) / 7.0::DOUBLE) AS INTEGER) AS t,
+         round(avg(l_quantity), 6) AS quantity, round(avg(l_extendedprice), 6) AS extendedprice,
+         round(avg(l_discount), 8) AS discount, round(avg(l_tax), 8) AS tax
+  FROM lineitem GROUP BY 1, 2),
+span AS MATERIALIZED (SELECT min(t) AS lo, max(t) AS hi, CAST(max(t) - min(t) + 1 AS BIGINT) AS n FROM cells)"""
 
 PANEL = (
     CELLS
-    + f""",
-panel AS (
+    + """,
+panel AS MATERIALIZED (
   SELECT g.station_id, g.t, TIMESTAMP '1995-01-02' + to_days(7 * g.t) AS ts, v.variable,
          CASE v.variable WHEN 'quantity' THEN c.quantity WHEN 'extendedprice' THEN c.extendedprice
                          WHEN 'discount' THEN c.discount ELSE c.tax END AS value
-  FROM (SELECT s.station_id, CAST(r.range AS INTEGER) AS t
-        FROM (SELECT DISTINCT station_id FROM cells) s, range({WEEKS}) r) g
+  FROM (SELECT s.station_id, CAST(r.t AS INTEGER) AS t
+        FROM (SELECT DISTINCT station_id FROM cells) s, (SELECT unnest(generate_series(lo, hi)) AS t FROM span) r) g
   CROSS JOIN (VALUES ('quantity'), ('extendedprice'), ('discount'), ('tax')) v(variable)
   LEFT JOIN cells c ON c.station_id = g.station_id AND c.t = g.t)"""
 )

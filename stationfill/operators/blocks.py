@@ -99,37 +99,35 @@ def nearest_points(
     carry = _carried(near if deep else rows, inner, points, t, whole_row, bounds)
     joined = near.join(carry, inner, "left")
     kind = dict(df.dtypes)[t]
-    lists, merged = {}, {}
+    merged = {}
     for side in sides:
         for name, (_, depth) in points.items():
-            if depth == 1:
-                outer = F.get(f"__{name}_{side}", F.lit(0))
-                for part in "tv":
-                    merged[f"{name}_{side}{part}1"] = F.coalesce(F.col(f"{name}_{side}{part}1"), outer[part])
-                continue
-            lists[f"__{name}_{side}"] = _own_then_outer(name, side, depth)
             for i in range(1, depth + 1):
                 for part in "tv":
-                    merged[f"{name}_{side}{part}{i}"] = F.get(f"__{name}_{side}", F.lit(i - 1))[part]
-    near_points = joined.withColumns(lists) if lists else joined
-    out = near_points.withColumns(merged).withColumn(t, _tied(t, kind, "__largest"))
+                    merged[f"{name}_{side}{part}{i}"] = _own_or_outer(name, side, part, i)
+    # The inputs of every column are those before any is replaced, so all are replaced at once.
+    out = joined.select(*[c for c in joined.columns if c not in merged], *[c.alias(n) for n, c in merged.items()])
+    out = out.withColumn(t, _tied(t, kind, "__largest"))
     return out.select(*columns, *merged, *(["first_t", "last_t"] if bounds else []))
 
 
+def _own_or_outer(name: str, side: str, part: str, i: int) -> Column:
+    """The i-th nearest point: the block's own, or the one carried in that follows the block's last."""
+    own = lambda k: F.col(f"{name}_{side}t{k}").isNotNull()
+    outer = lambda k: F.col(f"__{name}_{side}{part}{k}")
+    chosen = F.when(own(i), F.col(f"{name}_{side}{part}{i}"))
+    for k in range(i - 1, 0, -1):
+        chosen = chosen.when(own(k), outer(i - k))
+    return chosen.otherwise(outer(i))
+
+
 def _slots(name: str, side: str, depth: int, joint: str = "") -> Column:
     columns = [(f"{name}_{side}{joint}t{i}", f"{name}_{side}{joint}v{i}") for i in range(1, depth + 1)]
     return F.array(*[F.struct(F.col(t).alias("t"), F.col(v).alias("v")) for t, v in columns])
 
 
-def _own_then_outer(name: str, side: str, depth: int) -> Column:
-    """Points of the own block, nearest first, made up to ``depth`` with those carried in."""
-    own, outer = _slots(name, side, depth), F.coalesce(F.col(f"__{name}_{side}"), F.array())
-    short = F.slice(F.concat(F.filter(own, lambda p: p["t"].isNotNull()), outer), 1, depth)
-    return F.when(F.col(f"{name}_{side}t{depth}").isNotNull(), own).otherwise(short)
-
-
 def _carried(rows: DataFrame, inner: list[str], points, t: str, whole_row: Column, bounds: bool) -> DataFrame:
-    """One row per block: for every name and side, an array of the points that lie beyond the block."""
+    """One row per block: for every name and side, the points that lie beyond the block, nearest first."""
     aggregates = [F.max(whole_row).alias("__largest")]
     for name, (payload, depth) in points.items():
         at = F.when(payload.isNotNull(), F.col(t))
@@ -160,7 +158,14 @@ def _carried(rows: DataFrame, inner: list[str], points, t: str, whole_row: Colum
     whole = Window.partitionBy(*keys)
     known = lambda c: F.when(F.col(_PRESENT), c)
     ends = [known(F.min("__lo").over(whole)).alias("first_t"), known(F.max("__hi").over(whole)).alias("last_t")] if bounds else []
-    return summary.select(*inner, "__largest", *[f"__{name}_{side}" for name in points for side in "ba"], *ends)
+    carried = [
+        F.get(f"__{name}_{side}", F.lit(i - 1))[part].alias(f"__{name}_{side}{part}{i}")
+        for name, (_, depth) in points.items()
+        for side in "ba"
+        for part in "tv"
+        for i in range(1, depth + 1)
+    ]
+    return summary.select(*inner, "__largest", *carried, *ends)
 
 
 def running_sum(

@@ -278,20 +278,11 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def impute_chained(wide: DataFrame, model: ChainedModel, n_imputations: int = 1, posterior: bool = False, seed=0) -> DataFrame:
-    """Completed rows with a key ``imputation``; observed values are kept as they are.
-
-    ``posterior=False`` gives every imputation the same expected values.
-    ``posterior=True`` draws slopes and intercepts per imputation, and residuals per row. A
-    residual of one visit goes on into the visits after it, so cells that are missing together
-    have the joint spread that the chain gives them.
-    """
-    variables, k = model.variables, len(model.variables)
-    spark = wide.sparkSession
-    rng = np.random.default_rng(seed)
-    sets = _occurring(wide, variables)
-    tables = []
-    for m in range(n_imputations):
+def _drawn_maps(model: ChainedModel, sets: list[int], n_imputations: int, posterior: bool, seed) -> list[dict[int, tuple]]:
+    """Per imputation and set of missing variables: the completing map, and what turns normals into residuals."""
+    rng, k = np.random.default_rng(seed), len(model.variables)
+    out = []
+    for _ in range(n_imputations):
         steps = model.steps
         if posterior:
             steps = []
@@ -301,14 +292,30 @@ def impute_chained(wide: DataFrame, model: ChainedModel, n_imputations: int = 1,
                 shift = np.dot(np.asarray(slopes) - drawn, means) + rng.normal(0.0, (noise / max(n, 1.0)) ** 0.5)
                 steps.append((rnd, target, intercept + shift, drawn, noise, spread, n, means))
         roots = _noise_roots(steps, sets, k) if posterior else {}
-        for s, matrix in _replay(steps, sets, k).items():
-            tables.append((m, _name(s, k), matrix.tolist(), roots[s].tolist() if posterior else []))
+        out.append({s: (m.tolist(), roots[s].tolist() if posterior else []) for s, m in _replay(steps, sets, k).items()})
+    return out
+
+
+def _observed(model: ChainedModel) -> Column:
+    return F.array(F.lit(1.0), *[_standardised(model, v) for v in model.variables])
+
+
+def impute_chained(wide: DataFrame, model: ChainedModel, n_imputations: int = 1, posterior: bool = False, seed=0) -> DataFrame:
+    """Completed rows with a key ``imputation``; observed values are kept as they are.
+
+    ``posterior=False`` gives every imputation the same expected values.
+    ``posterior=True`` draws slopes and intercepts per imputation, and residuals per row. A
+    residual of one visit goes on into the visits after it, so cells that are missing together
+    have the joint spread that the chain gives them.
+    """
+    variables, k = model.variables, len(model.variables)
+    drawn = _drawn_maps(model, _occurring(wide, variables), n_imputations, posterior, seed)
+    tables = [(m, _name(s, k), *pair) for m, maps in enumerate(drawn) for s, pair in maps.items()]
     # A map per occurring set and imputation; Spark broadcasts them where their size allows.
-    lookup = spark.createDataFrame(
+    lookup = wide.sparkSession.createDataFrame(
         tables, "imputation int, missing_set string, maps array<array<double>>, noise array<array<double>>"
     )
-    observed = F.array(F.lit(1.0), *[_standardised(model, v) for v in variables])
-    joined = wide.select("*", _missing_set(variables), observed.alias("__x")).join(lookup, "missing_set")
+    joined = wide.select("*", _missing_set(variables), _observed(model).alias("__x")).join(lookup, "missing_set")
     if posterior:
         draw = [standard_normal(F.lit(str(seed)), F.col("imputation"), F.col("station_id"), F.col("t"), v) for v in variables]
         joined = joined.withColumn("__z", F.array(*draw))
@@ -322,6 +329,39 @@ def impute_chained(wide: DataFrame, model: ChainedModel, n_imputations: int = 1,
     return joined.select(*rest, "imputation", *[filled[v].alias(v) for v in variables])
 
 
+def impute_samples(wide: DataFrame, model: ChainedModel, n_imputations: int, posterior: bool = True, seed=0) -> DataFrame:
+    """The imputations of :func:`impute_chained` side by side: every variable an array with one value each.
+
+    A row stays a row, and is joined with the maps of its set of missing variables once, so neither
+    rows nor shuffles grow with the number of imputations. An observed value is an array of that value.
+    """
+    variables, k = model.variables, len(model.variables)
+    drawn = _drawn_maps(model, _occurring(wide, variables), n_imputations, posterior, seed)
+    sets = drawn[0] if drawn else {}
+    tables = [(_name(s, k), [maps[s][0] for maps in drawn], [maps[s][1] for maps in drawn]) for s in sets]
+    lookup = wide.sparkSession.createDataFrame(
+        tables, "missing_set string, maps array<array<array<double>>>, noise array<array<array<double>>>"
+    )
+    joined = wide.select("*", _missing_set(variables), _observed(model).alias("__x")).join(lookup, "missing_set")
+    every = F.sequence(F.lit(0), F.lit(n_imputations - 1))
+    if posterior:
+        draw = lambda m: F.array(*[standard_normal(F.lit(str(seed)), m, F.col("station_id"), F.col("t"), v) for v in variables])
+        joined = joined.withColumn("__z", F.transform(every, draw))
+
+    def value_of(i: int, v: str):
+        def value(m: Column) -> Column:
+            z = _dot(F.get(F.get("maps", m), F.lit(i)), F.col("__x"))
+            if posterior:
+                z = z + _dot(F.get(F.get("noise", m), F.lit(i)), F.get("__z", m))
+            return F.coalesce(F.col(v), z * model.spreads[v] + model.centers[v])
+
+        return value
+
+    filled = [F.transform(every, value_of(i, v)).alias(v) for i, v in enumerate(variables)]
+    rest = [c for c in wide.columns if c not in variables]
+    return joined.select(*rest, *filled)
+
+
 def _noise_roots(steps, sets, k: int) -> dict[int, np.ndarray]:
     """For each set a V × V matrix that turns V independent normals into the residuals at the end of the chain."""
     roots = {}

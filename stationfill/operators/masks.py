@@ -1,29 +1,32 @@
 """Synthetic gaps: random, condition dependent, value dependent and realistic.
 
-A sample is one series with all its variables. For every sample a list of
-candidate gaps is drawn; each cell belongs to the first candidate that covers it,
-and candidates are used in order until int(ratio · steps · variables) cells are
-masked, the last one only in part. Samples whose candidates cover too little draw
-more, in rounds that run while the plan is made. Draws depend on (seed, sample, candidate)
-alone, so the mask is the same whatever the partitioning.
-
-Samples are spread over the cluster candidate by candidate: a long one is not
-the work of a single task.
+A sample is one series with all its variables. For every sample a sequence of candidate gaps
+is drawn; each cell belongs to the first candidate that covers it, and candidates are used in
+order until int(ratio · steps · variables) cells are masked, the last one only in part. Draws
+depend on (seed, sample, candidate) alone, so the mask is the same whatever the partitioning.
+
+A sample is swept by one task, which keeps a byte per cell (an hourly century of ten variables: 9 MB)
+and draws candidates until the target is met; samples are spread over the cluster. What comes out are
+runs of cells, not cells, and no job runs while the plan is made. Runs reach a grid through one row
+per masked step, joined before variables are unfolded.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.draws import standard_normal, uniform, uniform_int
-from ..session import checkpointed
-from .blocks import BLOCK, explode_range, running_sum
-from .ranks import quantile_values
+from ..functions.draws import DRAW_RANGE
+from ..session import fan_out
+from .ranks import exact_quantiles
 
 SAMPLE = "station_id"
 
@@ -82,166 +85,200 @@ def sample_sizes(panel: DataFrame) -> DataFrame:
     )
 
 
-def _gap_length(spec: MaskSpec, seed) -> Column:
-    label = (F.lit(str(seed)), F.col(SAMPLE), F.col("k"))
-    if spec.kind != "realistic":
-        return uniform_int(spec.min_gap, spec.max_gap, *label, "length")
-    if spec.gap_distribution == "lognormal":
-        drawn = F.floor(F.exp(C.LOGNORMAL_GAP_MEAN + C.LOGNORMAL_GAP_STD * standard_normal(*label, "length")))
-        return F.least(F.greatest(drawn, F.lit(1)), F.lit(C.LONGEST_REALISTIC_GAP)).cast("bigint")
-    (first, a, b), (second, c, d), (_, e, f) = C.EMPIRICAL_GAPS
-    kind = uniform(*label, "category")
-    return (
-        F.when(kind < first, uniform_int(a, b, *label, "length"))
-        .when(kind < first + second, uniform_int(c, d, *label, "length"))
-        .otherwise(uniform_int(e, f, *label, "length"))
-    )
-
-
 def _targets(samples: DataFrame, n_variables: int, ratio: float) -> DataFrame:
     return samples.withColumn("target", F.floor(F.col("n_steps") * n_variables * ratio).cast("bigint"))
 
 
-def _candidates(counted: DataFrame, n_variables: int, spec: MaskSpec, seed) -> DataFrame:
-    """Candidates ``from_k`` to ``to_k`` - 1 of every sample."""
-    drawn = explode_range(counted, [SAMPLE], F.col("from_k"), F.col("to_k") - 1, t="k").drop("from_k", "to_k")
-    label = (F.lit(str(seed)), F.col(SAMPLE), F.col("k"))
-    return drawn.withColumn("v", uniform_int(0, n_variables - 1, *label, "variable")).withColumn(
-        "length", _gap_length(spec, seed)
-    )
+class _Draws:
+    """The draws of ``functions.draws`` for one sample; ``name`` is its id as text."""
 
+    def __init__(self, seed, name: str | None):
+        self.front = "|".join([str(seed)] if name is None else [str(seed), name])
 
-def _reached(placed: DataFrame) -> DataFrame:
-    """Cells that each sample's candidates cover, from their ends: gaps are cut into blocks and no cell is written out."""
-    last = F.least(F.col("start") + F.col("length"), F.col("n_steps")) - 1
-    block = F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("last") / BLOCK)))
-    pieces = placed.withColumn("last", last).select(SAMPLE, "v", "start", "last", block.alias("b")).select(
-        SAMPLE, "v", "b",
-        F.greatest("start", F.col("b") * BLOCK).alias("lo"),
-        F.least("last", F.col("b") * BLOCK + BLOCK - 1).alias("hi"),
-    )
-    earlier = Window.partitionBy(SAMPLE, "v", "b").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.col("hi") - F.greatest("lo", F.coalesce(F.max("hi").over(earlier) + 1, F.col("lo"))) + 1
-    return pieces.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy(SAMPLE).agg(F.sum("fresh").alias("reached"))
+    def bits(self, *labels) -> int:
+        return int(md5("|".join([self.front, *map(str, labels)]).encode()).hexdigest()[:8], 16)
 
+    def uniform(self, *labels) -> float:
+        return self.bits(*labels) / DRAW_RANGE
 
-def _enough_candidates(sized: DataFrame, n_variables: int, spec: MaskSpec, seed, place) -> DataFrame:
-    """Placed candidates that cover every sample's target, or all its cells if those are fewer.
+    def whole(self, lowest: int, highest: int, *labels) -> int:
+        return lowest + math.floor(self.uniform(*labels) * (highest - lowest + 1))
 
-    Samples that fall short draw as many again, the others nothing. Candidates come in a fixed
-    order, so more of them never change what the earlier ones cover. Cells on which no candidate
-    can fall (steps missing from the condition variable) end the rounds once draws add nothing.
-    """
-    first = F.greatest(F.ceil(F.col("target") / spec.mean_gap) * spec.oversampling, F.lit(0)).cast("bigint")
-    counted = checkpointed(sized.withColumns({"from_k": F.lit(0).cast("bigint"), "to_k": first}))
-    placed = checkpointed(place(_candidates(counted, n_variables, spec, seed)))
-    cells = F.col("n_steps") * n_variables
-    before = None
-    while True:
-        found = counted.join(_reached(placed), SAMPLE, "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
-        short = checkpointed(found.where(F.col("reached") < F.least("target", cells)))
-        mark = short.agg(F.count(F.lit(1)), F.sum("reached"), F.min(F.col("to_k") / cells)).first()
-        if not mark[0] or (mark[:2] == before and mark[2] > 20):
-            return placed
-        before = mark[:2]
-        counted = checkpointed(short.drop("reached").withColumns({"from_k": F.col("to_k"), "to_k": F.greatest(2 * F.col("to_k"), F.lit(8))}))
-        placed = checkpointed(placed.unionByName(place(_candidates(counted, n_variables, spec, seed))))
-
-
-def _uniform_starts(candidates: DataFrame, seed) -> DataFrame:
-    label = (F.lit(str(seed)), F.col(SAMPLE), F.col("k"))
-    return candidates.withColumn("start", uniform_int(F.lit(0), F.col("n_steps") - 1, *label, "start"))
+    def normal(self, *labels) -> float:
+        first = (self.bits(*labels, "radius") + 1) / DRAW_RANGE
+        return math.sqrt(-2.0 * math.log(first)) * math.cos(self.uniform(*labels, "angle") * 6.283185307179586)
 
 
-def _flagged_steps(panel: DataFrame, spec: MaskSpec) -> DataFrame:
-    """Steps of the condition variable with ``is_extreme``; thresholds are over all samples."""
-    # One variable of the panel, read several times below.
-    condition = checkpointed(panel.where(F.col("variable") == spec.condition_variable).select(SAMPLE, "t", "value"))
-    low, high = quantile_values(condition, "value", [spec.extreme_percentile, 1.0 - spec.extreme_percentile])
-    outside = F.coalesce((F.col("value") < low) | (F.col("value") > high), F.lit(False))
-    return condition.select(SAMPLE, "t", outside.alias("is_extreme"))
-
-
-def _biased_placement(panel: DataFrame, spec: MaskSpec, seed):
-    """Starts drawn from the extreme steps with a raised probability, else from the normal ones."""
-    flagged = _flagged_steps(panel, spec)
-    steps = running_sum(flagged, [SAMPLE, "is_extreme"], F.lit(1), name="place")
-    shares = flagged.groupBy(SAMPLE).agg(
-        F.count_if("is_extreme").alias("n_extreme"), F.count_if(~F.col("is_extreme")).alias("n_normal")
-    )
-    if spec.kind == "mar":
-        p = F.lit(0.75)
-    else:
-        f = F.col("n_extreme") / F.col("n_steps")
+def _gap_length(draws: _Draws, k: int, spec: MaskSpec) -> int:
+    if spec.kind != "realistic":
+        return draws.whole(spec.min_gap, spec.max_gap, k, "length")
+    if spec.gap_distribution == "lognormal":
+        drawn = math.floor(math.exp(C.LOGNORMAL_GAP_MEAN + C.LOGNORMAL_GAP_STD * draws.normal(k, "length")))
+        return min(max(drawn, 1), C.LONGEST_REALISTIC_GAP)
+    u, upto = draws.uniform(k, "category"), 0.0
+    for share, low, high in C.EMPIRICAL_GAPS[:-1]:
+        upto += share
+        if u < upto:
+            return draws.whole(low, high, k, "length")
+    return draws.whole(*C.EMPIRICAL_GAPS[-1][1:], k, "length")
+
+
+def _starts(draws: _Draws, spec: MaskSpec, n_steps: int, extreme, normal):
+    """How a candidate's start is drawn; the lists hold the steps of either kind, in order."""
+    if extreme is None:
+        return lambda k: draws.whole(0, n_steps - 1, k, "start")
+    if not len(extreme) + len(normal):
+        return None
+    p = 0.75
+    if spec.kind == "mnar":
+        f = len(extreme) / n_steps
         weighted = f * spec.extreme_multiplier
-        p = F.least(F.lit(0.95), F.greatest(F.lit(0.05), weighted / (weighted + 1.0 - f)))
-    label = (F.lit(str(seed)), F.col(SAMPLE), F.col("k"))
-    wants = (F.col("n_extreme") > 0) & ((uniform(*label, "class") < p) | (F.col("n_normal") == 0))
+        p = min(0.95, max(0.05, weighted / (weighted + 1.0 - f)))
 
-    def place(candidates: DataFrame) -> DataFrame:
-        chosen = (
-            candidates.join(shares, SAMPLE)
-            .withColumn("is_extreme", wants)
-            .withColumn("n_class", F.when(F.col("is_extreme"), F.col("n_extreme")).otherwise(F.col("n_normal")))
-            .withColumn("place", uniform_int(F.lit(1), F.col("n_class"), *label, "start"))
-        )
-        located = chosen.join(steps.select(SAMPLE, "is_extreme", "place", "t"), [SAMPLE, "is_extreme", "place"])
-        return located.select(*candidates.columns, (F.col("t") - F.col("first_t")).cast("bigint").alias("start"))
+    def start(k: int) -> int:
+        wants = len(extreme) > 0 and (draws.uniform(k, "class") < p or not len(normal))
+        steps = extreme if wants else normal
+        return int(steps[draws.whole(1, len(steps), k, "start") - 1])
 
-    return place
+    return start
 
 
-def _cells_in_order(candidates: DataFrame, sized: DataFrame, variables) -> DataFrame:
-    """Cells of the candidates, cut at each sample's target: ``(sample, t, variable, k)``.
+def _sweep(draws: _Draws, spec: MaskSpec, n_variables: int, n_steps: int, target: int, start) -> Iterator[tuple[int, int, int, int]]:
+    """Runs (k, v, first, last) of cells in the order in which candidates cover them, up to the target.
 
-    Which candidates fit is settled on one row per candidate; only inside the last
-    one are cells counted.
+    Cells on which no candidate can fall end the sweep: once a doubling of the candidates, well beyond
+    the number of cells, has brought nothing.
     """
-    last = F.least(F.col("start") + F.col("length"), F.col("n_steps")) - 1
-    covered = (
-        candidates.select(SAMPLE, "k", "v", F.explode(F.sequence(F.col("start"), last)).alias("p"))
-        .groupBy(SAMPLE, "v", "p")
-        .agg(F.min("k").alias("k"))
-    )
-    sizes = covered.groupBy(SAMPLE, "k").agg(F.count("*").alias("n"))
-    fitting = (
-        running_sum(sizes, [SAMPLE], F.col("n"), t="k", name="upto")
-        .join(sized, SAMPLE)
-        .select(SAMPLE, "k", "first_t", (F.col("target") - F.col("upto") + F.col("n")).alias("room"))
-        .where(F.col("room") > 0)
-    )
-    inside = Window.partitionBy(SAMPLE, "k").orderBy("p")
-    names = F.array(*[F.lit(v) for v in variables])
-    return (
-        covered.join(fitting, [SAMPLE, "k"])
-        .withColumn("nth", F.row_number().over(inside))
-        .where(F.col("nth") <= F.col("room"))
-        .select(
-            SAMPLE,
-            (F.col("first_t") + F.col("p")).cast("int").alias("t"),
-            F.get(names, F.col("v").cast("int")).alias("variable"),
-            "k",
-        )
-    )
+    cells, room = n_steps * n_variables, min(target, n_steps * n_variables)
+    covered = np.zeros((n_variables, n_steps), bool)
+    k, mark, left_at_mark = 0, max(20 * cells, 8), room
+    while room > 0 and start is not None:
+        v, length, first = draws.whole(0, n_variables - 1, k, "variable"), _gap_length(draws, k, spec), start(k)
+        gap = covered[v, first : first + length]
+        fresh = np.flatnonzero(~gap)[:room]
+        if len(fresh):
+            gap[fresh] = True
+            room -= len(fresh)
+            cuts = np.flatnonzero(np.diff(fresh) > 1)
+            for a, b in zip(fresh[np.append(0, cuts + 1)].tolist(), fresh[np.append(cuts, len(fresh) - 1)].tolist()):
+                yield k, v, first + a, first + b
+        k += 1
+        if k >= mark:
+            if room == left_at_mark:
+                return
+            mark, left_at_mark = 2 * mark, room
 
 
-def synthetic_mask(samples: DataFrame, variables, spec: MaskSpec, seed, panel: DataFrame | None = None) -> DataFrame:
-    """The masked cells: ``(station_id, t, variable, k)``, each once.
+def _flagged_steps(panel: DataFrame, spec: MaskSpec) -> DataFrame:
+    """Steps of the condition variable with ``is_extreme``; thresholds are over all samples."""
+    name = spec.condition_variable
+    if "variable" in panel.columns:
+        condition = panel.where(F.col("variable") == name).select(SAMPLE, "t", "value")
+    else:
+        condition = panel.select(SAMPLE, "t", F.col(name).alias("value"))
+    limits = exact_quantiles(condition, "value", [spec.extreme_percentile, 1.0 - spec.extreme_percentile])
+    limits = limits.select(F.struct("q0", "q1")).scalar()
+    outside = F.coalesce((F.col("value") < limits["q0"]) | (F.col("value") > limits["q1"]), F.lit(False))
+    return condition.select(SAMPLE, "t", outside.alias("is_extreme"))
+
 
-    ``samples`` is laid out as by :func:`sample_sizes`. The panel itself is needed
-    only for kinds whose gaps depend on values.
+def synthetic_runs(samples: DataFrame, variables, spec: MaskSpec, seed, panel: DataFrame | None = None) -> DataFrame:
+    """The masked cells as runs: ``(station_id, v, first, last, k)``, steps ``first`` to ``last`` of variable number ``v``.
+
+    ``samples`` is laid out as by :func:`sample_sizes`. The panel itself, long or a grid with a column
+    per variable, is needed only for kinds whose gaps depend on values.
     """
-    sized = _targets(samples, len(variables), spec.missing_ratio)
-    if spec.kind in ("mar", "mnar"):
+    n_variables = len(variables)
+    sized = _targets(samples, n_variables, spec.missing_ratio).withColumn("name", F.col(SAMPLE).cast("string"))
+    biased = spec.kind in ("mar", "mnar")
+    if biased:
         if spec.condition_variable not in variables:
             raise ValueError(f"condition_variable must be one of {tuple(variables)}")
         if panel is None:
             raise ValueError(f"{spec.kind} masks need the panel")
-        place = _biased_placement(panel, spec, seed)
+        chosen = lambda flag: F.array_sort(F.collect_list(F.when(F.col("is_extreme") == flag, F.col("t").cast("bigint"))))
+        steps = _flagged_steps(panel, spec).groupBy(SAMPLE).agg(chosen(True).alias("extreme"), chosen(False).alias("normal"))
+        sized = sized.join(steps, SAMPLE)
     else:
-        place = lambda candidates: _uniform_starts(candidates, seed)
-    placed = _enough_candidates(sized, len(variables), spec, seed, place)
-    return _cells_in_order(placed, sized, variables)
+        sized = sized.withColumns({c: F.lit(None).cast("array<bigint>") for c in ("extreme", "normal")})
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                draws, origin = _Draws(seed, row["name"]), row["first_t"]
+                lists = [row[c] - origin if biased else None for c in ("extreme", "normal")]
+                runs = list(_sweep(draws, spec, n_variables, row["n_steps"], row["target"], _starts(draws, spec, row["n_steps"], *lists)))
+                if runs:
+                    k, v, first, last = (np.array(x) for x in zip(*runs))
+                    yield pd.DataFrame({SAMPLE: row[SAMPLE], "v": v, "first": first + origin, "last": last + origin, "k": k})
+
+    # An explicit number of partitions: this small table stands for much work.
+    spread = sized.where(f"target > 0 AND {SAMPLE} IS NOT NULL").select(SAMPLE, "name", "first_t", "n_steps", "target", "extreme", "normal")
+    kind = dict(samples.dtypes)[SAMPLE]
+    return spread.repartition(fan_out(samples.sparkSession), SAMPLE).mapInPandas(
+        sweep, f"{SAMPLE} {kind}, v int, first bigint, last bigint, k bigint"
+    )
+
+
+def run_cells(runs: DataFrame, variables) -> DataFrame:
+    """The cells of runs: ``(station_id, t, variable, k)``."""
+    names = F.array(*[F.lit(v) for v in variables])
+    steps = F.explode(F.sequence("first", "last")).alias("t")
+    return runs.select(SAMPLE, steps, "v", "k").select(SAMPLE, F.col("t").cast("int").alias("t"), F.get(names, F.col("v")).alias("variable"), "k")
+
+
+def synthetic_mask(samples: DataFrame, variables, spec: MaskSpec, seed, panel: DataFrame | None = None) -> DataFrame:
+    """The masked cells: ``(station_id, t, variable, k)``, each once; arguments as of :func:`synthetic_runs`."""
+    return run_cells(synthetic_runs(samples, variables, spec, seed, panel), variables)
+
+
+#: Variables whose marks fit one number.
+_WORD = 62
+
+
+def hidden_steps(runs: DataFrame, n_variables: int) -> DataFrame:
+    """One row per step with a masked cell; variable v is marked by bit v % 62 of column ``hidden{v // 62}``."""
+    steps = runs.select(SAMPLE, F.explode(F.sequence("first", "last")).alias("t"), "v").withColumn("t", F.col("t").cast("int"))
+    marks = []
+    for word in range(-(-n_variables // _WORD)):
+        bit = F.when(F.floor(F.col("v") / _WORD) == word, F.expr(f"shiftleft(1L, v - {word * _WORD})"))
+        marks.append(F.bit_or(bit).alias(f"hidden{word}"))
+    return steps.groupBy(SAMPLE, "t").agg(*marks)
+
+
+def hide_in_grid(grid: DataFrame, variables, runs: DataFrame) -> DataFrame:
+    """The grid (a row per station and step, a column per variable) and marks of what ``runs`` hide, see :func:`is_hidden`."""
+    return grid.join(hidden_steps(runs, len(variables)), [SAMPLE, "t"], "left")
+
+
+def is_hidden(v: int) -> Column:
+    """Whether variable number ``v`` is masked in a row of :func:`hide_in_grid`."""
+    return F.coalesce(F.expr(f"(hidden{v // _WORD} & {1 << (v % _WORD)}L) <> 0"), F.lit(False))
+
+
+def hidden_panel(grid: DataFrame, variables, runs: DataFrame) -> DataFrame:
+    """As :func:`apply_mask` gives it, from a grid: masks are joined once per step, and variables unfolded after that."""
+    joined = hide_in_grid(grid, variables, runs)
+    keys = [c for c in grid.columns if c not in variables]
+    cells = [
+        F.struct(F.lit(name).alias("variable"), F.col(name).cast("double").alias("truth"), is_hidden(v).alias("is_synthetic"))
+        for v, name in enumerate(variables)
+    ]
+    hidden = F.col("is_synthetic")
+    return joined.select(*keys, F.inline(F.array(*cells))).select(
+        *keys,
+        "variable",
+        "truth",
+        F.when(~hidden, F.col("truth")).alias("value"),
+        "is_synthetic",
+        (hidden & F.col("truth").isNotNull()).alias("is_eval"),
+    )
+
+
+def masked_grid(grid: DataFrame, variables, runs: DataFrame) -> DataFrame:
+    """The grid with NULL where masked."""
+    values = [F.when(~is_hidden(v), F.col(name)).alias(name) for v, name in enumerate(variables)]
+    return hide_in_grid(grid, variables, runs).select(*[c for c in grid.columns if c not in variables], *values)
 
 
 def apply_mask(panel: DataFrame, mask: DataFrame) -> DataFrame:

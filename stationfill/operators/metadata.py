@@ -132,7 +132,7 @@ STATION_COLUMNS = (
     "years_available",
     "total_observation_count",
     "year_counts",
-    *[f"{v}_completeness_pct" for v in C.ALL_VARIABLES],
+    *sorted(f"{v}_completeness_pct" for v in C.ALL_VARIABLES),
     "temperature_stats",
     "dew_point_stats",
     "sea_level_pressure_stats",

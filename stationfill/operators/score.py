@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..session import checkpointed
-from .ranks import exact_quantiles, quantile_values
+from .ranks import exact_quantiles
 
 
 def metric_columns(truth: Column, estimate: Column) -> list[Column]:
@@ -84,15 +83,13 @@ def _with_extremes(cells: DataFrame, percentiles, by: str | None) -> DataFrame:
     low, high = percentiles
     if not 0 <= low < high <= 100:
         raise ValueError("percentiles must be ordered and within 0..100")
-    # The thresholds need a look at all scored cells before any can be labelled.
-    cells = checkpointed(cells)
-    probabilities = [low / 100.0, high / 100.0]
+    cuts = exact_quantiles(cells, "truth", [low / 100.0, high / 100.0], by=by)
     if by is None:
-        first, second = quantile_values(cells, "truth", probabilities)
-        joined = cells
+        cuts = cuts.select(F.struct("q0", "q1")).scalar()
+        joined, first, second = cells, cuts["q0"], cuts["q1"]
     else:
         # One row per group; Spark broadcasts it where its size allows.
-        cuts = exact_quantiles(cells, "truth", probabilities, by=by).withColumnRenamed(by, "__by")
+        cuts = cuts.withColumnRenamed(by, "__by")
         joined = cells.join(cuts, F.col(by).eqNullSafe(F.col("__by")), "left")
         first, second = F.col("q0"), F.col("q1")
     label = F.when(F.col("truth") < first, "extreme_low").when(F.col("truth") > second, "extreme_high").otherwise("normal")

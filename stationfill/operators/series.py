@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from .blocks import explode_range, nearest_points, with_bounds
+from .blocks import BLOCK, explode_range, nearest_points, with_bounds
 
 SERIES = ["station_id", "variable"]
 
@@ -37,26 +37,33 @@ def unfold(wide: DataFrame, variables, keys, name: str = "value") -> DataFrame:
     return wide.select(*keys, F.inline(F.array(*cells)))
 
 
-def regular_grid(
+def wide_grid(
     cells: DataFrame, variables, first: int | None = None, last: int | None = None, stations: DataFrame | None = None
 ) -> DataFrame:
-    """Every step of every station and variable, missing ones with a NULL value.
+    """Every step of every station, one column per variable, NULL where missing.
 
-    ``cells`` has one row per station and step and one column per variable (see
-    :func:`first_per_step`); variables are unfolded only after the join. The range
-    is the station's own, or ``first``..``last`` when given; ``stations`` then
-    names the stations if listing them from the cells is not wanted.
+    ``cells`` has one row per station and step (see :func:`first_per_step`). The range is the
+    station's own, or ``first``..``last`` when given; ``stations`` then names the stations if listing
+    them from the cells is not wanted. With columns ``first_t`` and ``n_steps`` it gives their ranges too.
     """
     if (first is None) != (last is None):
         raise ValueError("give both first and last, or neither")
-    if first is None:
+    if stations is not None and {"first_t", "n_steps"} <= set(stations.columns):
+        ends = stations.select("station_id", F.col("first_t").alias("lo"), (F.col("first_t") + F.col("n_steps") - 1).alias("hi"))
+    elif first is None:
         ends = cells.groupBy("station_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     else:
         listed = cells if stations is None else stations
         ends = listed.select("station_id").distinct().withColumn("lo", F.lit(first)).withColumn("hi", F.lit(last))
     steps = explode_range(ends, ["station_id"], F.col("lo"), F.col("hi")).select("station_id", F.col("t").cast("int").alias("t"))
-    wide = steps.join(cells.select("station_id", "t", *variables), ["station_id", "t"], "left")
-    return unfold(wide, variables, ["station_id", "t"])
+    return steps.join(cells.select("station_id", "t", *variables), ["station_id", "t"], "left")
+
+
+def regular_grid(
+    cells: DataFrame, variables, first: int | None = None, last: int | None = None, stations: DataFrame | None = None
+) -> DataFrame:
+    """Every step of every station and variable, missing ones with a NULL value: :func:`wide_grid`, unfolded after its join."""
+    return unfold(wide_grid(cells, variables, first, last, stations), variables, ["station_id", "t"])
 
 
 def gap_columns(df: DataFrame, points: str) -> DataFrame:
@@ -154,6 +161,40 @@ def packed_windows(windows: DataFrame) -> DataFrame:
     return windows.groupBy("station_id", "window_start", "variable").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
 
+def window_arrays(panel: DataFrame, window: int = 168, stride: int = 24, keys: list[str] = SERIES, width: int = BLOCK) -> DataFrame:
+    """The rows of ``packed_windows(sliding_windows(...))``: ``(keys, window_start, cells)``.
+
+    A series is cut into blocks of steps. Each block is sent once, with the first window - 1 steps of
+    what follows, and windows are sliced from its array: a cell is shuffled 1 + window / width
+    times, however many windows cover it. The panel is a grid: every step of a series is there.
+    """
+    if window < 1 or stride < 1:
+        raise ValueError("window and stride must be at least 1")
+    width = -(-max(width, window) // stride) * stride
+    p = F.col("t") - F.col("first_t")
+    own = F.floor(p / F.lit(width))
+    # A cell in the first window - 1 steps of its block belongs to windows that begin in the block before, too.
+    halo = (F.pmod(p, F.lit(width)) < window - 1) & (own > 0)
+    cell = F.struct(p.cast("int").alias("p"), F.coalesce("value", F.lit(0.0)).alias("value"), F.col("value").isNotNull().alias("mask"))
+    sent = with_bounds(panel, keys).select(
+        *keys, "first_t", "last_t", cell.alias("cell"), F.explode(F.when(halo, F.array(own - 1, own)).otherwise(F.array(own))).alias("__b")
+    )
+    packed = sent.groupBy(*keys, "first_t", "last_t", "__b").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    first = F.col("__b") * width
+    length = F.col("last_t") - F.col("first_t") + 1
+    last = F.least(first + width - 1, length - window)
+    starts = F.when(last >= first, F.sequence(first, last, F.lit(stride).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    cut = packed.select(*keys, "first_t", "__b", "cells", F.explode(starts).alias("__start"))
+    sliced = F.slice("cells", (F.col("__start") - F.col("__b") * width + 1).cast("int"), F.lit(window))
+    return cut.select(
+        *keys,
+        (F.col("first_t") + F.col("__start")).cast("int").alias("window_start"),
+        F.transform(
+            sliced, lambda c: F.struct((c["p"] - F.col("__start")).cast("int").alias("pos"), c["value"].alias("value"), c["mask"].alias("mask"))
+        ).alias("cells"),
+    )
+
+
 SEGMENTS = ("train", "val", "test")
 
 

@@ -8,11 +8,15 @@ Undefined numbers are NULL.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import uniform
+from ..functions.draws import DRAW_RANGE
 from .ranks import tie_averaged_ranks
 
 
@@ -142,11 +146,47 @@ POISSON_STEPS = [
 ]
 
 
-def poisson_weight(u: Column) -> Column:
-    weight = F.lit(0)
-    for step in POISSON_STEPS:
-        weight = weight + F.when(u >= step, 1).otherwise(0)
-    return weight
+#: Comparisons whose replicas a task sums before it hands them on.
+_HELD = 256
+
+
+def _replica_sums(sums: DataFrame, keys: list[str], replicas: int, seed) -> DataFrame:
+    """Per comparison and task: sums of every replica, as arrays of the four totals end to end."""
+    names = [f"__k{i}" for i in range(len(keys))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        weights: dict[str | None, np.ndarray] = {}
+
+        def rows() -> pd.DataFrame:
+            columns = list(zip(*held)) if names else []
+            table = {n: pd.Series(list(c), dtype=object) for n, c in zip(names, columns)}
+            return pd.DataFrame({**table, "totals": [x.tobytes() for x in held.values()]})
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                station = row[len(names)]
+                if station not in weights:
+                    if len(weights) > _HELD:
+                        weights.clear()
+                    front, back = f"{seed}|", "" if station is None else f"|{station}"
+                    draws = [int(md5(f"{front}{r}{back}".encode()).hexdigest()[:8], 16) for r in range(replicas)]
+                    weights[station] = np.searchsorted(POISSON_STEPS, np.array(draws) / DRAW_RANGE, side="right").astype(np.float64)
+                key = tuple(row[: len(names)])
+                own = np.outer(np.array(row[len(names) + 1 :], np.float64), weights[station])
+                if key in held:
+                    held[key] += own
+                else:
+                    held[key] = own
+            if len(held) > _HELD:
+                yield rows()
+                held = {}
+        if held:
+            yield rows()
+
+    schema = ", ".join([*(f"{n} string" for n in names), "totals binary"])
+    shown = [F.to_json(F.struct(F.col(k).alias("x"))).alias(n) for k, n in zip(keys, names)]
+    return sums.select(*shown, F.col("station_id").cast("string").alias("station"), "c", "s", "a", "q").mapInPandas(run, schema)
 
 
 def bootstrap_intervals(
@@ -154,8 +194,9 @@ def bootstrap_intervals(
 ) -> DataFrame:
     """Confidence limits of RMSE, MAE and bias, resampling whole stations.
 
-    Cells are summed per station first. Each replica gives a station a Poisson(1)
-    weight drawn from its label; sums per replica are partial aggregates.
+    Cells are summed per station first. Each replica gives a station a Poisson(1) weight drawn from
+    its label. Tasks add up all replicas of a comparison in arrays, so what is shuffled does not
+    grow with the number of replicas or stations: one row per task and comparison.
     """
     e = F.col(error)
     sums = (
@@ -163,22 +204,19 @@ def bootstrap_intervals(
         .groupBy(*keys, "station_id")
         .agg(F.count("*").alias("c"), F.sum(e).alias("s"), F.sum(F.abs(e)).alias("a"), F.sum(e * e).alias("q"))
     )
-    drawn = sums.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
-    w = poisson_weight(uniform(seed, F.col("replica"), F.col("station_id")))
-    totals = (
-        drawn.withColumn("w", w)
-        .where(F.col("w") > 0)
-        .groupBy(*keys, "replica")
-        .agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in "csaq"])
-        .select(
-            *keys,
-            F.sqrt(F.col("q") / F.col("c")).alias("rmse"),
-            (F.col("a") / F.col("c")).alias("mae"),
-            (F.col("s") / F.col("c")).alias("bias"),
-        )
-    )
     low, high = (1.0 - level) / 2.0, (1.0 + level) / 2.0
-    limits = []
-    for m in ("rmse", "mae", "bias"):
-        limits += [F.percentile(m, F.lit(low)).alias(f"{m}_low"), F.percentile(m, F.lit(high)).alias(f"{m}_high")]
-    return totals.groupBy(*keys).agg(F.count("*").alias("replicas"), *limits)
+    names = [f"__k{i}" for i in range(len(keys))]
+    measures = [f"{m}_{side}" for m in ("rmse", "mae", "bias") for side in ("low", "high")]
+
+    def limits(rows: pd.DataFrame) -> pd.DataFrame:
+        c, s, a, q = sum(np.frombuffer(x).reshape(4, -1) for x in rows["totals"])
+        drawn = c > 0  # a replica without any cell has no measure
+        c, s, a, q = c[drawn], s[drawn], a[drawn], q[drawn]
+        found = [np.quantile(m, p) if len(m) else None for m in (np.sqrt(q / c), a / c, s / c) for p in (low, high)]
+        return pd.DataFrame([[*(rows[n].iloc[0] for n in names), int(drawn.sum()), *found]], columns=[*names, "replicas", *measures])
+
+    schema = ", ".join([*(f"{n} string" for n in names), "replicas long", *(f"{m} double" for m in measures)])
+    done = _replica_sums(sums, keys, replicas, seed).groupBy(*names).applyInPandas(limits, schema)
+    kinds = dict(errors.dtypes)
+    back = [F.from_json(n, f"x {kinds[k]}")["x"].alias(k) for k, n in zip(keys, names)]
+    return done.select(*back, "replicas", *measures)

@@ -14,9 +14,13 @@ CSV_QUOTE = '"'
 
 
 def ordered_station_columns(stations: DataFrame) -> DataFrame:
-    """The fixed layout first, any further columns after it."""
-    known = [c for c in STATION_COLUMNS if c in stations.columns]
-    return stations.select(*known, *[c for c in stations.columns if c not in known])
+    """The fixed layout: completeness of any variable together and by name, validity last, further columns by name after it."""
+    share = "_completeness_pct"
+    front = STATION_COLUMNS[: next(i for i, c in enumerate(STATION_COLUMNS) if c.endswith(share))]
+    back = [c for c in STATION_COLUMNS if c not in front and not c.endswith(share)]
+    wanted = [*front, *sorted(c for c in stations.columns if c.endswith(share)), *back, "coord_valid"]
+    known = [c for c in wanted if c in stations.columns]
+    return stations.select(*known, *sorted(c for c in stations.columns if c not in known))
 
 
 def as_flat(df: DataFrame) -> DataFrame:
