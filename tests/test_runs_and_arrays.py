@@ -217,7 +217,7 @@ def test_evaluation_of_imputations(spark, grid):
     # The same from the arrays by SQL.
     sql = """SELECT avg(list_avg(list_transform(samples, lambda x: abs(x - truth)))
                - list_sum(list_transform(samples, lambda x: list_sum(list_transform(samples, lambda y: abs(x - y))))) / (2.0 * len(samples) * len(samples))) FROM cells"""
-    assert got.loc["all", "crps"] == pytest.approx(duckdb.sql(sql).fetchone()[0])
+    assert got.loc["all", "crps"] == pytest.approx(duckdb.sql(sql).fetchall()[0][0])
 
 
 # --- the panel's range --------------------------------------------------------
