@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import circular as G
 from ..functions import reports as R
-from ..operators import metadata, reports
+from ..operators import day_states, metadata, reports
 from ..plans import preprocess
 from ..sources import observations as O
 from .registry import query
@@ -273,6 +273,30 @@ def _(v):
     return flat_metadata(metadata.station_metadata(v.obs().withColumn("station_id", F.col("source"))))
 
 
+@query("station_metadata_from_parts", f"WITH {METADATA} SELECT * FROM meta")
+def _(v):
+    """The same table from states of four parts of the reports, merged: days and instants are in several of them."""
+    parts = day_states.day_states(v.obs(), part="source")
+    return flat_metadata(metadata.metadata_of_states(day_states.merge_parts(parts)))
+
+
+@query(
+    "station_locations",
+    """WITH located AS (
+         SELECT user_id AS station_id, ts, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+       p AS (SELECT station_id, ts, CASE WHEN k % 2 = 0 THEN 'Site ' || user_id || '/' || month(ts) END AS station_name,
+           CASE WHEN k % 7 <> 0 THEN round(30.0::DOUBLE + (user_id % 50) / 10.0::DOUBLE + month(ts) / 100.0::DOUBLE, 4) END AS latitude,
+           CASE WHEN k % 5 <> 0 THEN round(-100.0::DOUBLE - day(ts) / 100.0::DOUBLE, 4) END AS longitude,
+           CASE WHEN k % 3 <> 0 THEN (user_id % 700 + hour(ts))::DOUBLE END AS elevation FROM located)
+       SELECT station_id, coalesce(arg_min(station_name, ts) FILTER (station_name IS NOT NULL), '') AS station_name,
+         arg_min(latitude, ts) FILTER (latitude IS NOT NULL) AS latitude, arg_min(longitude, ts) FILTER (longitude IS NOT NULL) AS longitude,
+         arg_min(elevation, ts) FILTER (elevation IS NOT NULL) AS elevation FROM p GROUP BY 1""",
+)
+def _(v):
+    """Name and coordinates of a station are those of its earliest report that has them."""
+    return metadata.station_metadata(v.located_obs()).select("station_id", "station_name", "latitude", "longitude", "elevation")
+
+
 @query(
     "update_status",
     """WITH base AS (SELECT o_custkey AS station_id, max(o_orderdate) AS latest FROM orders GROUP BY 1)

@@ -58,6 +58,26 @@ def _(v):
     return plan.estimate(hidden, {}, VARIABLES).drop("ts")
 
 
+@query(
+    "hidden_cells_per_station",
+    f"""WITH {MASKED}, {GAP_LENGTH}, c AS (SELECT h.*, coalesce(l.gap_length, 0) AS gap_length FROM hidden h LEFT JOIN lengths l USING (station_id, variable, t))
+        SELECT station_id, variable, count(*) AS n, count(*) FILTER (is_synthetic) AS n_hidden, count(*) FILTER (is_eval) AS n_eval, count(value) AS n_shown,
+          sum(gap_length)::BIGINT AS gap_lengths, max(gap_length)::BIGINT AS longest, round(sum(truth) FILTER (is_eval), 2) AS hidden_truth FROM c GROUP BY 1, 2""",
+)
+def _(v):
+    """What ``hidden_cells`` holds, counted up per series."""
+    cells = plan.estimate(plan.hide(v.grid(), VARIABLES, MCAR, SEED, v.samples()), {}, VARIABLES)
+    return cells.groupBy("station_id", "variable").agg(
+        F.count("*").alias("n"),
+        F.count_if("is_synthetic").alias("n_hidden"),
+        F.count_if("is_eval").alias("n_eval"),
+        F.count("value").alias("n_shown"),
+        F.sum("gap_length").alias("gap_lengths"),
+        F.max("gap_length").alias("longest"),
+        F.round(F.sum(F.when(F.col("is_eval"), F.col("truth"))), 2).alias("hidden_truth"),
+    )
+
+
 @query("metrics_overall", f"WITH {LINEAR} SELECT {METRICS} FROM hidden_cells")
 def _(v):
     return rounded(score.all_metrics(scored(v)))
@@ -144,6 +164,23 @@ def _(v):
     return errors(v).select("station_id", "t", "variable", F.round(F.col("err_a") + 1e-9, 5).alias("err_a"), F.round(F.col("err_b") + 1e-9, 5).alias("err_b"))
 
 
+@query(
+    "method_errors_per_station",
+    f"""WITH {ERRORS} SELECT station_id, variable, count(*) AS n, round(sum(err_a) + 1e-6::DOUBLE, 3) AS sum_a, round(sum(err_b) + 1e-6::DOUBLE, 3) AS sum_b,
+          round(max(abs(err_a)) + 1e-9::DOUBLE, 4) AS most_a, round(max(abs(err_b)) + 1e-9::DOUBLE, 4) AS most_b FROM errors GROUP BY 1, 2""",
+)
+def _(v):
+    """What ``method_errors`` holds, summed up per series."""
+    a, b = F.col("err_a"), F.col("err_b")
+    return errors(v).groupBy("station_id", "variable").agg(
+        F.count("*").alias("n"),
+        F.round(F.sum(a) + 1e-6, 3).alias("sum_a"),
+        F.round(F.sum(b) + 1e-6, 3).alias("sum_b"),
+        F.round(F.max(F.abs(a)) + 1e-9, 4).alias("most_a"),
+        F.round(F.max(F.abs(b)) + 1e-9, 4).alias("most_b"),
+    )
+
+
 @query(
     "paired_t_test",
     f"""WITH {ERRORS}, s AS (SELECT variable, count(*) AS n, avg(err_a - err_b) AS d, stddev_samp(err_a - err_b) AS sd FROM errors GROUP BY 1)
@@ -196,6 +233,74 @@ def _(v):
     return tests.select("variable", "test_name", "n", "w_plus", "w_minus", "statistic", F.round("z", 6).alias("z"))
 
 
+def _tail_sql(z: str) -> str:
+    """Two-sided normal tail: the error function's series with odd double factorials, and far out the continued fraction."""
+    inverse, terms = 1.0, []
+    for n in range(81):
+        inverse /= 2 * n + 1
+        terms.append(f"{inverse!r}::DOUBLE")
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    fraction = "0.0::DOUBLE"
+    for n in range(80, 0, -1):
+        fraction = f"({n / 2.0}::DOUBLE / (x + {fraction}))"
+    return f"""(SELECT CASE WHEN x IS NULL THEN NULL WHEN x < 2.5::DOUBLE
+      THEN 1.0::DOUBLE - 2.0::DOUBLE / sqrt(pi()) * exp(-x * x) * x * list_sum(list_transform([{", ".join(terms)}], lambda c, i: c * pow(2.0::DOUBLE * x * x, i - 1)))
+      ELSE exp(-x * x) / sqrt(pi()) / (x + {fraction}) END FROM (SELECT {x} AS x))"""
+
+
+def _verdict_sql(difference: str) -> str:
+    return f"""p_value < 0.05::DOUBLE AS significant, CASE WHEN statistic IS NULL THEN 'undecided: too few pairs, or all alike'
+      WHEN p_value < 0.05::DOUBLE THEN CASE WHEN {difference} < 0 THEN 'A has the smaller errors' ELSE 'B has the smaller errors' END ELSE 'no difference shown' END AS interpretation"""
+
+
+_PER_SERIES = ["station_id", "variable"]
+
+
+def _tested(tests):
+    return tests.select(*_PER_SERIES, "n", F.round("p_value", 8).alias("p_value"), "significant", "interpretation")
+
+
+@query(
+    "paired_t_test_p_values",
+    f"""WITH {ERRORS}, s AS (SELECT station_id, variable, count(*) AS n, avg(err_a - err_c) AS d, stddev_samp(err_a - err_c) AS sd FROM errors GROUP BY 1, 2),
+        z AS (SELECT *, CASE WHEN n >= 2 AND sd > 0 THEN d / (sd / sqrt(n)) END AS statistic FROM s),
+        p AS (SELECT *, CASE WHEN statistic IS NULL THEN 1.0::DOUBLE WHEN n > 30 THEN {_tail_sql('z.statistic')} END AS p_value FROM z)
+        SELECT station_id, variable, n, round(p_value, 8) AS p_value, coalesce(significant, false) AS significant, interpretation
+        FROM (SELECT *, {_verdict_sql('d')} FROM p)""",
+)
+def _(v):
+    """One test per series, so that p-values of all sizes occur."""
+    return _tested(significance.paired_t_test(errors(v, ("linear", "akima")), _PER_SERIES))
+
+
+def _dm_p_sql(loss):
+    return f"""WITH {ERRORS}, s AS (SELECT station_id, variable, count(*) AS n, avg({loss}) AS d, var_samp({loss}) AS va FROM errors GROUP BY 1, 2),
+        z AS (SELECT *, CASE WHEN n >= 2 AND va > 0 THEN d / sqrt(va / n) END AS statistic FROM s),
+        p AS (SELECT *, coalesce({_tail_sql('z.statistic')}, 1.0::DOUBLE) AS p_value FROM z)
+        SELECT station_id, variable, n, round(p_value, 8) AS p_value, significant, interpretation FROM (SELECT *, {_verdict_sql('d')} FROM p)"""
+
+
+@query("diebold_mariano_p_values", _dm_p_sql("err_a * err_a - err_c * err_c"))
+def _(v):
+    return _tested(significance.diebold_mariano_test(errors(v, ("linear", "akima")), _PER_SERIES))
+
+
+@query(
+    "wilcoxon_p_values",
+    f"""WITH {ERRORS}, signed AS (SELECT station_id, variable, round(err_a - err_c + 1e-9::DOUBLE, 4) AS d FROM errors WHERE round(err_a - err_c + 1e-9::DOUBLE, 4) <> 0),
+        ranked AS (SELECT *, rank() OVER (PARTITION BY station_id, variable ORDER BY abs(d)) + (count(*) OVER (PARTITION BY station_id, variable, abs(d)) - 1) / 2.0::DOUBLE AS r FROM signed),
+        ties AS (SELECT station_id, variable, sum(c::DOUBLE * c * c - c) AS ties FROM (SELECT station_id, variable, count(*) AS c FROM signed GROUP BY station_id, variable, abs(d)) GROUP BY 1, 2),
+        s AS (SELECT station_id, variable, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM ranked GROUP BY 1, 2),
+        z AS (SELECT s.*, least(w_plus, w_minus) AS statistic, (w_plus - n * (n + 1) / 4.0::DOUBLE) / sqrt(nullif(n::DOUBLE * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE, 0)) AS zz
+              FROM s JOIN ties USING (station_id, variable)),
+        p AS (SELECT *, coalesce({_tail_sql('z.zz')}, 1.0::DOUBLE) AS p_value FROM z)
+        SELECT station_id, variable, n, round(p_value, 8) AS p_value, significant, interpretation FROM (SELECT *, {_verdict_sql('zz')} FROM p)""",
+)
+def _(v):
+    pairs = errors(v, ("linear", "akima")).withColumn("err_a", F.round(F.col("err_a") - F.col("err_b") + 1e-9, 4)).withColumn("err_b", F.lit(0.0))
+    return _tested(significance.wilcoxon_signed_rank_test(pairs, _PER_SERIES))
+
+
 @query("paired_tests_with_p_values")
 def _(v):
     pairs = checkpointed(errors(v, ("linear", "akima")))
@@ -282,6 +387,12 @@ def _(v):
     return table.withColumn("coverage", F.round("coverage", 6)).withColumn("mean_width", F.round("mean_width", 4))
 
 
+@query("evaluate_posterior_imputations")
+def _(v):
+    """Metrics, CRPS and coverage of ten draws of the chain per hidden cell; tests compare them with numpy and SQL."""
+    return plan.evaluate_imputations(v.grid(), VARIABLES, MCAR, 10, seed=SEED, samples=v.samples())
+
+
 # --- climate indices ----------------------------------------------------------
 
 

@@ -253,7 +253,7 @@ def _(v):
 )
 def _(v):
     labels = v.table("orders").groupBy(F.col("o_custkey").alias("station_id")).agg((F.count("*") % 5).cast("int").alias("cluster"))
-    return v.stations().select("station_id").join(labels, "station_id", "left")
+    return stations.attach_label(v.stations().select("station_id"), labels)
 
 
 @query(
@@ -265,7 +265,7 @@ def _(v):
     table = v.stations()
     left = table.where(F.col("station_id") % 2 == 0).select("station_id", "elevation")
     right = table.where(F.col("station_id") % 2 == 1).select(F.col("total_observation_count").cast("double").alias("n"), "station_id")
-    return left.unionByName(right, allowMissingColumns=True)
+    return stations.union_tables(left, right)
 
 
 @query(
@@ -273,11 +273,7 @@ def _(v):
     f"WITH {STATIONS} SELECT count(DISTINCT station_name) AS n_names, count(DISTINCT station_id) AS n_ids, count(DISTINCT country_code) AS n_countries FROM stations",
 )
 def _(v):
-    return v.stations().agg(
-        F.count_distinct("station_name").alias("n_names"),
-        F.count_distinct("station_id").alias("n_ids"),
-        F.count_distinct("country_code").alias("n_countries"),
-    )
+    return stations.distinct_counts(v.stations(), {"station_name": "n_names", "station_id": "n_ids", "country_code": "n_countries"})
 
 
 # --- splits -------------------------------------------------------------------

@@ -62,12 +62,16 @@ class Views:
         return series.unfold(self.grid(), VARIABLES, ["station_id", "t", "ts"])
 
     def obs(self) -> DataFrame:
+        return self.obs_from(self.table("events"))
+
+    @staticmethod
+    def obs_from(events: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")
         kind = F.col("event_type")
         report = (
             F.when(kind == "view", "FM-15").when(kind == "click", "AUTO").when(kind == "purchase", "FM-12").when(kind == "signup", "FM12-SYNOP")
         )
-        return self.table("events").select(
+        return events.select(
             F.col("user_id").alias("station_id"),
             F.col("ts").cast("timestamp_ntz").alias("ts"),
             report.alias("report_type"),
@@ -75,8 +79,21 @@ class Views:
             (k % 10).cast("string").alias("temperature_quality_code"),
             F.round((F.col("value") * 7.3) % 360.0, 6).alias("wind_direction"),
             F.col("event_type").alias("source"),
+            *more,
         )
 
+    def located_obs(self) -> DataFrame:
+        """The reports with name and coordinates, which change with time and are missing here and there."""
+        k = F.get_json_object("props", "$.k").cast("int")
+        user, at = F.col("user_id"), F.col("ts").cast("timestamp_ntz")
+        place = {
+            "station_name": F.when(k % 2 == 0, F.concat(F.lit("Site "), user.cast("string"), F.lit("/"), F.month(at).cast("string"))),
+            "latitude": F.when(k % 7 != 0, F.round(30.0 + (user % 50) / 10.0 + F.month(at) / 100.0, 4)),
+            "longitude": F.when(k % 5 != 0, F.round(-100.0 - F.dayofmonth(at) / 100.0, 4)),
+            "elevation": F.when(k % 3 != 0, (user % 700 + F.hour(at)).cast("double")),
+        }
+        return self.obs_from(self.table("events").withColumns(place), tuple(place))
+
     def stations(self) -> DataFrame:
         key = F.col("c_custkey")
         ordered = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -216,6 +217,34 @@ def duplicate_pair_count(stations: DataFrame, threshold: float = 0.01) -> DataFr
     return inside.unionByName(touching).unionByName(apart).agg(F.sum("n").alias("duplicate_pairs"))
 
 
+def attach_label(stations: DataFrame, labels: DataFrame, name: str = "cluster") -> DataFrame:
+    """Add the label of each station, NULL where it has none; of several the smallest, so no station is repeated."""
+    one = labels.groupBy("station_id").agg(F.min(name).alias(name))
+    return stations.drop(name).join(one, "station_id", "left")
+
+
+def union_tables(*tables: DataFrame) -> DataFrame:
+    """Rows of all tables, columns by name; a column that a table lacks is NULL, one that differs in type is refused."""
+    kinds: dict[str, str] = {}
+    for table in tables:
+        for name, kind in table.dtypes:
+            if kinds.setdefault(name, kind) != kind:
+                raise ValueError(f"column {name} is {kinds[name]} in one table and {kind} in another")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def distinct_counts(table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """How many different values columns have; ``columns`` maps them to the names of the counts. NULL is no value.
+
+    Counted in two steps, column by column, so that no task holds all values of one.
+    """
+    cells = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]
+    each = table.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()).distinct()
+    found = each.groupBy("name").agg(F.count("*").alias("n"))
+    counted = [F.coalesce(F.max(F.when(F.col("name") == c, F.col("n"))), F.lit(0)).alias(n) for c, n in columns.items()]
+    return found.agg(*counted)
+
+
 def drop_duplicates(stations: DataFrame, duplicates: DataFrame) -> DataFrame:
     return stations.join(duplicates.select("station_id").distinct(), "station_id", "left_anti")
 
