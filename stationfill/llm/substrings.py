@@ -1,19 +1,22 @@
 """Removal of repeated 50-byte strings by sorting the suffixes that can repeat.
 
-Only suffixes at anchors are sorted. An anchor is where the 16 bytes that follow have the least
+Only suffixes at anchors are sorted. An anchor is where the 32 bytes that follow have the least
 hash of some 50-byte window; equal windows have their anchors at equal places, so a string that
 occurs twice has an anchor in common. The work is a chain of shuffles:
 
 1. Documents are dealt to shards of a few megabytes. A shard tells, in 32 bits each, which
    anchors it has.
 2. By range of hash it is found which anchors more than one document has; shards are told.
-3. For those, shards send what is around the anchor: 34 bytes before, 50 from it on, once for
+3. For those, shards send what is around the anchor: 18 bytes before, 50 from it on, once for
    equal surroundings, with the smallest id.
-4. By range of hash these are sorted, by what follows and, reversed, by what precedes: level by
-   level to a shallow depth, then blind tries. Neighbours' common lengths tell which windows over an
+4. By range of hash these are sorted, by what follows and, reversed, by what precedes: multikey
+   quicksort to a shallow depth, then blind tries. Neighbours' common lengths tell which windows over an
    anchor agree, and the smallest document of each; shards are told where it is not their own.
 5. Shards cover, in each document, the windows that a smaller document has.
 
+Hashes only bring together what may be equal; anchors agree if their bytes do. There are as many
+ranges of hash as the text needs, so what a task holds does not grow with the corpus.
+
 An anchor that very many shards have, such as at the edges of a popular passage where everything
 around it differs, is not brought to one place: its windows are dealt out one by one instead, by
 digest, which meets no more rows for a window than there are shards.
@@ -37,9 +40,10 @@ from ..session import fan_out
 from .common import NO_ID, keyed, release_memory
 from .suffixes import common_prefixes, sorted_order
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 32
 REACH = LENGTH - GRAM  # bytes that a window may begin before its anchor
-SHARD_BYTES = 2 << 20
+#: Bytes of text in a shard, and for each range of hash.
+SHARD_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
 #: Shards that may have an anchor before its windows are dealt out one by one.
 WIDE = 256
 
@@ -56,13 +60,15 @@ def _extremes(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def _hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of 16 bytes, given as two numbers."""
-    h = first * _MIX[0] ^ (second + np.uint64(1)) * _MIX[1]
-    h ^= h >> np.uint64(29)
+def _hash(*words: np.ndarray) -> np.ndarray:
+    """Hashes of bytes given as numbers of eight each; never 0, which stands for no anchor."""
+    h = np.zeros(len(words[0]), np.uint64)
+    for i, word in enumerate(words):
+        h = (h ^ (word + np.uint64(i + 1)) * _MIX[1]) * _MIX[0]
+        h ^= h >> np.uint64(29)
     h *= _MIX[0]
     h ^= h >> np.uint64(32)
-    return h
+    return np.maximum(h, np.uint64(1))
 
 
 class Shard:
@@ -85,7 +91,7 @@ class Shard:
         if n < LENGTH:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         words = np.ndarray(n - 7, "<u8", np.ascontiguousarray(self.data), strides=(1,))
-        h = _hash(words[: n - GRAM + 1], words[8 : n - 7])
+        h = _hash(*(words[8 * i : n - GRAM + 1 + 8 * i] for i in range(GRAM // 8)))
         least = _extremes(h, REACH + 1, np.minimum)
         # Windows that reach beyond their document count for nothing.
         whole = np.zeros(n + 1, np.int32)
@@ -95,7 +101,7 @@ class Shard:
         least = np.where(np.cumsum(whole)[: len(least)] > 0, least, np.uint64(0))
         edge = np.zeros(REACH, np.uint64)
         most = _extremes(np.concatenate((edge, least, edge)), REACH + 1, np.maximum)
-        at = np.flatnonzero((most[: len(h)] == h) & (h != 0))
+        at = np.flatnonzero(most[: len(h)] == h)
         return at, h[at]
 
     def around(self, which: np.ndarray) -> np.ndarray:
@@ -237,7 +243,7 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(fan_out(spark), -(-total // shard_bytes))
-    bits = max(4, (8 * fan_out(spark) - 1).bit_length())
+    bits = max(4, (total // RANGE_BYTES).bit_length(), (2 * fan_out(spark) - 1).bit_length())
     rows = keyed(docs).select(
         F.pmod(F.xxhash64("__id", "__th", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"),
         "__id", "__th", "text",
@@ -312,12 +318,14 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
         else:
             around, left, right, least = _unpacked(rows, ((np.uint8, REACH + LENGTH), (np.uint8, 1), (np.uint8, 1), (np.int64, 1)))
             around, left, right = around.reshape(-1, REACH + LENGTH), left.astype(np.int64), right.astype(np.int64)
-            gram = np.ascontiguousarray(around[:, REACH : REACH + GRAM]).view("<u8")
+            gram = np.ascontiguousarray(around[:, REACH : REACH + GRAM]).view(f"V{GRAM}").ravel()
             alike = np.concatenate((around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), axis=1)
             _, one, group = np.unique(np.ascontiguousarray(alike).view(f"V{alike.shape[1]}").ravel(), return_index=True, return_inverse=True)
             lowest = np.full(len(one), np.iinfo(np.int64).max)
             np.minimum.at(lowest, group, least)
-            told = _agreement(_hash(gram[one, 0], gram[one, 1]), around[one], left[one], right[one], lowest)
+            # Anchors of one hash are told apart by their bytes.
+            _, same = np.unique(gram[one], return_inverse=True)
+            told = _agreement(same, around[one], left[one], right[one], lowest)
             # Back to the shards that sent them, wherever a smaller document than their own was found.
             members = np.argsort(group, kind="stable")
             ends = np.searchsorted(group[members], np.arange(len(one) + 1))

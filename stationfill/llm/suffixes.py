@@ -1,9 +1,10 @@
-"""Ordering many short byte strings that share long beginnings: a shallow level-wise sort, then blind tries.
+"""Ordering many short byte strings that share long beginnings: deep-shallow sorting.
 
-A level-wise numpy sort (lexsort) on words of eight bytes orders strings to a shallow depth, all
-groups of a level at once. Groups that still agree there, and do not agree to the end, are
-ordered by a blind trie each: a string goes down by the branching bytes alone, is compared in full
-with one leaf, and is inserted where it first differs.
+A multikey quicksort on words of eight bytes orders strings to a shallow depth: what is below,
+at and above a pivot word is parted three ways, and the middle goes on with the next word. Groups
+that still agree there, and do not agree to the end, are ordered by a blind trie each: a string
+goes down by the branching bytes alone, is compared in full with one leaf, and is inserted where
+it first differs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import numpy as np
 
 #: Words of eight bytes that are sorted before tries take over.
 SHALLOW = 2
+#: Strings that are few enough to be sorted at once, the usual end of a quicksort.
+FEW = 2048
 
 
 class BlindTrie:
@@ -58,25 +61,39 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(keys: np.ndarray, few: int = FEW) -> np.ndarray:
+    """The order of the rows of ``keys``, word by word."""
+    order, depth = np.arange(len(keys)), keys.shape[1]
+    parts = [(0, len(keys), 0)]
+    while parts:
+        lo, hi, at = parts.pop()
+        rows = order[lo:hi]
+        if hi - lo <= few:
+            order[lo:hi] = rows[np.lexsort(keys[rows, at:].T[::-1])] if at < depth else rows
+            continue
+        words = keys[rows, at]
+        sample = np.sort(words[:: max((hi - lo) // 9, 1)])
+        pivot = sample[len(sample) // 2]
+        below, above = words < pivot, words > pivot
+        middle = ~(below | above)
+        order[lo:hi] = np.concatenate((rows[below], rows[middle], rows[above]))
+        first, second = lo + int(below.sum()), hi - int(above.sum())
+        parts += [part for part in ((lo, first, at), (second, hi, at)) if part[1] - part[0] > 1]
+        if at + 1 < depth and second - first > 1:
+            parts.append((first, second, at + 1))
+    return order
+
+
 def sorted_order(groups: np.ndarray, data: np.ndarray) -> np.ndarray:
     """The order of rows of ``data`` (bytes, one length) by group and content."""
     n, width = data.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = data
     words = padded.view(">u8").astype(np.uint64)
-    order = np.argsort(groups, kind="stable")
+    shallow = np.column_stack((groups.astype(np.uint64), words[:, :SHALLOW]))
+    order = multikey_quicksort(shallow)
     new = np.ones(n, bool)
-    new[1:] = groups[order][1:] != groups[order][:-1]
-    for depth in range(min(SHALLOW, words.shape[1])):
-        tied = np.flatnonzero(~new | np.append(~new[1:], False))
-        if not len(tied):
-            return order
-        rank = np.cumsum(new)[tied]
-        rows = order[tied]
-        again = np.lexsort((words[rows, depth], rank))
-        order[tied] = rows[again]
-        word = words[order[tied], depth]
-        new[tied[1:]] |= (word[1:] != word[:-1]) & (rank[again][1:] == rank[again][:-1])
+    new[1:] = (shallow[order[1:]] != shallow[order[:-1]]).any(axis=1)
     deep = words[:, SHALLOW:]
     # Neighbours that differ below the shallow depth mark the groups that need a trie.
     differs = np.zeros(n, bool)
