@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from .dominance import near_pairs
 
 
 def _between(column: Column, limits) -> Column:
@@ -200,10 +204,11 @@ def duplicate_stations(stations: DataFrame, threshold: float = 0.01, strategy: s
 
 
 def duplicate_pair_count(stations: DataFrame, threshold: float = 0.01) -> DataFrame:
-    """Number of station pairs within the threshold, counted without listing them.
+    """Number of station pairs within the threshold, counted without listing or comparing them.
 
-    Pairs of one cell or of touching cells follow from the cells' counts; only
-    places two or three cells apart are compared.
+    Pairs of one cell or of touching cells follow from the cells' counts. Places two or three
+    cells apart meet by pair of cells and are counted by range (``dominance``), which takes n log² n
+    steps for n places, however many of them crowd into a cell.
     """
     celled, width = _celled(_places(stations, "prefer_longer"), threshold)
     cells = celled.groupBy("cx", "cy").agg(F.sum("n_stations").alias("c"))
@@ -212,11 +217,48 @@ def duplicate_pair_count(stations: DataFrame, threshold: float = 0.01) -> DataFr
     inside = cells.agg(total(F.col("c") * (F.col("c") - 1) / 2))
     beside = _shifted(cells, 1).where(half).select(F.col("tx").alias("cx"), F.col("ty").alias("cy"), F.col("c").alias("o_c"))
     touching = cells.join(beside, ["cx", "cy"]).agg(total(F.col("c") * F.col("o_c")))
-    outer = _within_reach_of_cell(celled, width, threshold, "n_stations").where(half)
-    apart = celled.join(outer, ["cx", "cy"]).where(_near(threshold)).agg(total(F.col("n_stations") * F.col("o_n_stations")))
+    apart = _far_cell_pairs(celled, width, threshold).agg(total("n"))
     return inside.unionByName(touching).unionByName(apart).agg(F.sum("n").alias("duplicate_pairs"))
 
 
+def _far_cell_pairs(celled: DataFrame, width: Column, threshold: float) -> DataFrame:
+    """Near pairs of places two or three cells apart, counted per task: ``n``."""
+    reach = F.lit(threshold * 1.0001)
+    far = [(dx, dy) for dx in range(4) for dy in range(-3, 4) if max(abs(dx), abs(dy)) >= 2 and (dx > 0 or dy > 0)]
+    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in far]))
+    sides = []
+    for name, sign in (("a", 1), ("b", -1)):
+        moved = celled.select("latitude", "longitude", "n_stations", "cx", "cy", steps.alias("s")).select("*", "s.dx", "s.dy")
+        other = {"tx": F.col("cx") + sign * F.col("dx"), "ty": F.col("cy") + sign * F.col("dy")}
+        # Only places that may be near some place of the other cell.
+        close = moved.withColumns(other).where(
+            F.col("latitude").between(F.col("tx") * width - reach, (F.col("tx") + 1) * width + reach)
+            & F.col("longitude").between(F.col("ty") * width - reach, (F.col("ty") + 1) * width + reach)
+        )
+        at = ("cx", "cy") if sign == 1 else ("tx", "ty")
+        sides.append(
+            close.select(F.col(at[0]).alias("gx"), F.col(at[1]).alias("gy"), "dx", "dy", F.lit(name).alias("side"), "latitude", "longitude", "n_stations")
+        )
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        rows = pd.concat(parts) if parts else None
+        if rows is None or not len(rows):
+            return
+        group = rows.groupby(["gx", "gy", "dx", "dy"]).ngroup().to_numpy()
+        direction = rows[["dx", "dy"]].to_numpy()
+        # Turned so that side b has the larger values; distances stay exactly what they are.
+        points = rows[["latitude", "longitude"]].to_numpy() * np.where(direction < 0, -1.0, 1.0)
+        is_a, weight = (rows["side"] == "a").to_numpy(), rows["n_stations"].to_numpy()
+        found = near_pairs(
+            group[is_a], points[is_a], weight[is_a], group[~is_a], points[~is_a], weight[~is_a], np.abs(direction[is_a]) >= 2, threshold
+        )
+        yield pd.DataFrame({"n": [found]})
+
+    met = sides[0].unionByName(sides[1]).repartition("gx", "gy", "dx", "dy")
+    return met.mapInPandas(count, "n bigint")
+
+
 def attach_label(stations: DataFrame, labels: DataFrame, name: str = "cluster") -> DataFrame:
     """Add the label of each station, NULL where it has none; of several the smallest, so no station is repeated."""
     one = labels.groupBy("station_id").agg(F.min(name).alias(name))
