@@ -11,8 +11,9 @@ with the span that the loss mask covers. Reading back streams the sorted segment
 and holds one segment at a time, however long a conversation is. Only the digests of a
 conversation, which are sequential by nature, see all of its segments in one task.
 
-Null texts and roles are empty. Turns with one number are ordered by role and formatted text. Unknown kinds
-of parts are refused. A null conversation id is a conversation of its own.
+Null texts and roles are empty. Turns with one number are ordered by role and formatted text. A part
+of a kind that is not known, or null, gives a placeholder of its own that stands for no tokens; its kind
+and reference are recorded as they are. A null conversation id is a conversation of its own.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ PATCH, PER_SECOND, PER_PAGE = 28, 25, 640
 OPENING = {"user": "[INST] ", "assistant": "[OUT] ", "system": "[SYS] "}
 CLOSING = {"user": " [/INST]", "assistant": " </s>", "system": " [/SYS]"}
 OTHER, OTHER_END = "[ROLE] ", " [/ROLE]"
-_NAMES = r"(?:/?s>|/?INST\]|/?OUT\]|/?SYS\]|/?ROLE\]|(?:IMG|AUD|DOC) [0-9]+\])"
+_NAMES = r"(?:/?s>|/?INST\]|/?OUT\]|/?SYS\]|/?ROLE\]|(?:IMG|AUD|DOC|ATT) [0-9]+\])"
 _CONTROL = re.compile(r"([<\[])(\\*)(?=" + _NAMES + ")")
 _ESCAPED = re.compile(r"([<\[]\\*)\\(?=" + _NAMES + ")")
 
@@ -57,11 +58,10 @@ class PartVisitor:
         self.attachments: list[dict] = []
         self.pending: list[str] = []
 
-    def visit(self, part: dict) -> None:
-        act = getattr(self, f"visit_{part['kind']}", None)
-        if act is None:
-            raise ValueError(f"unknown kind of part: {part['kind']!r}")
-        act(part)
+    def visit(self, part: dict | None) -> None:
+        part = part or {"kind": None, "ref": None}
+        acts = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        acts.get(part["kind"], self.visit_other)(part)
 
     def flush(self) -> None:
         """Escape neighbouring texts together: a control string may begin in one and end in the next."""
@@ -81,6 +81,9 @@ class PartVisitor:
     def visit_document(self, part: dict) -> None:
         self._attach("DOC", part, (part["pages"] or 1) * PER_PAGE)
 
+    def visit_other(self, part: dict) -> None:
+        self._attach("ATT", part, 0)
+
     def _attach(self, mark: str, part: dict, tokens: int) -> None:
         self.flush()
         number = len(self.attachments) + 1

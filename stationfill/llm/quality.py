@@ -16,6 +16,7 @@ kinds the score is the share of label 1 (a half if there are none). Repeated row
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -155,26 +156,31 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
         .agg(F.max("quality").cast("int").alias("label"))
     )
     share = min(1.0, max_rows / max(marked.count(), 1))
-    # The fraction keeps the sample near its bound whatever the table's size; the limit holds it there.
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_rows)
+    # The fraction keeps the sample near its bound whatever the table's size; the lowest hashes of it are the
+    # sample, so that it does not hang on the order of rows.
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
+    chosen = marked.where(draw < math.ceil(share * 1_100_000)).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(max_rows)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [inputs(t.as_py(), n) for t, n in zip(batch.column("text"), batch.column("n_chars").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), *(pa.array([x[k].tolist() for x in made], pa.list_(pa.int32() if not k else pa.float64())) for k in range(3))],
-                ["label", "bucket", "value", "statistics"],
+                [batch.column("doc_id"), batch.column("th"), batch.column("label"), *(pa.array([x[k].tolist() for x in made], pa.list_(pa.int32() if not k else pa.float64())) for k in range(3))],
+                ["doc_id", "th", "label", "bucket", "value", "statistics"],
             )
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_rows = pd.concat([pd.DataFrame({"label": [], "bucket": [], "value": [], "statistics": []}), *batches], ignore_index=True)
+        names = ("doc_id", "th", "label", "bucket", "value", "statistics")
+        # One order whatever the partitioning: the fit's steps are taken in it.
+        all_rows = pd.concat([pd.DataFrame({n: [] for n in names}), *batches], ignore_index=True).sort_values(["doc_id", "th"], ignore_index=True)
         rows = list(zip(all_rows["bucket"], all_rows["value"], all_rows["statistics"]))
         made = fit(rows, all_rows["label"].to_numpy(np.float64))
         yield pd.DataFrame({"bias": [made.bias], "weights": [made.weights.tobytes()], "factors": [made.factors.tobytes()]})
 
     # The sample's ids and labels, at most max_rows small rows, are sent to the documents.
-    own = docs.select("doc_id", text_of().alias("text"), _length(docs)).join(F.broadcast(chosen), "doc_id")
-    described = own.select("text", "n_chars", "label").mapInArrow(describe, "label int, bucket array<int>, value array<double>, statistics array<double>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("th"), text_of().alias("text"), _length(docs))
+    own = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "th", "text", "n_chars", "label")
+    described = own.mapInArrow(describe, "doc_id long, th long, label int, bucket array<int>, value array<double>, statistics array<double>")
     model = described.repartition(1).mapInPandas(learn, "bias double, weights binary, factors binary").first()
     return Machine(model["bias"], np.frombuffer(model["weights"]), np.frombuffer(model["factors"]).reshape(-1, RANK))
 

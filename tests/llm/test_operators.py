@@ -261,8 +261,7 @@ def test_chat_parts():
     assert text == "[OUT] look: [\\INST] [IMG 1][AUD 2][DOC 3] </s>" and text[start:end] == text[6:-5]
     assert [(f["ref"], f["tokens"]) for f in files] == [("a.png", 3), ("b.wav", 38), ("c.pdf", 1280)]
     assert chat.read_back(text) == ("assistant", "look: [INST] [IMG 1][AUD 2][DOC 3]")
-    with pytest.raises(ValueError):
-        chat.segment("user", [{"kind": "smell"}])
+    assert chat.segment("user", [{"kind": "smell", "ref": "r"}])[3] == [{"number": 1, "kind": "smell", "ref": "r", "tokens": 0}]
 
 
 def test_quality_pairs_in_linear_time():

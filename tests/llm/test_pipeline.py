@@ -77,3 +77,23 @@ def test_same_as_sql(spark, name):
     got = op_queries.queries()[name](spark, GIVEN).toPandas()
     assert sorted(got.columns) == sorted(expected.columns)
     pd.testing.assert_frame_equal(comparable(got), comparable(expected), check_dtype=False)
+
+
+def test_training_does_not_hang_on_the_order_of_rows(spark):
+    from stationfill.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{GIVEN}/{t}.parquet") for t in ("documents", "labels"))
+    first = quality.train(docs, labels, max_rows=60)
+    second = quality.train(docs.repartition(7), labels.orderBy(labels.doc_id.desc()), max_rows=60)
+    assert first.bias == second.bias and (first.weights == second.weights).all() and (first.factors == second.factors).all()
+
+
+def test_unknown_parts_get_a_placeholder(spark):
+    from stationfill.llm import chat
+
+    part = lambda kind, text=None, ref=None: (kind, text, ref, None, None, None, None)
+    rows = [(1, 0, "user", [part("text", "see [ATT 1] "), part("video", None, "r1"), part(None, "x", "r2"), None, part("text", "end")])]
+    made = chat.formatted(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")).first()
+    assert [(a.number, a.kind, a.ref, a.tokens) for a in made.attachments] == [(1, "video", "r1", 0), (2, None, "r2", 0), (3, None, None, 0)]
+    assert chat.read_back(made.segment) == ("user", "see [ATT 1] [ATT 1][ATT 2][ATT 3]end")
+    assert "see [\\ATT 1] [ATT 1]" in made.segment
