@@ -1,13 +1,13 @@
 """Removal of repeated 50-byte strings by sorting the suffixes that can repeat.
 
-Only suffixes at anchors are sorted. An anchor is where the 32 bytes that follow have the least
+Only suffixes at anchors are sorted. An anchor is where the 16 bytes that follow have the least
 hash of some 50-byte window; equal windows have their anchors at equal places, so a string that
 occurs twice has an anchor in common. The work is a chain of shuffles:
 
 1. Documents are dealt to shards of a few megabytes. A shard tells, in 32 bits each, which
    anchors it has.
 2. By range of hash it is found which anchors more than one document has; shards are told.
-3. For those, shards send what is around the anchor: 18 bytes before, 50 from it on, once for
+3. For those, shards send what is around the anchor: 34 bytes before, 50 from it on, once for
    equal surroundings, with the smallest id.
 4. By range of hash these are sorted, by what follows and, reversed, by what precedes: multikey
    quicksort to a shallow depth, then blind tries. Neighbours' common lengths tell which windows over an
@@ -40,10 +40,10 @@ from ..session import fan_out
 from .common import NO_ID, keyed, release_memory
 from .suffixes import common_prefixes, sorted_order
 
-LENGTH, GRAM = 50, 32
+LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM  # bytes that a window may begin before its anchor
 #: Bytes of text in a shard, and for each range of hash.
-SHARD_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
+SHARD_BYTES, RANGE_BYTES = 2 << 20, 2 << 20
 #: Shards that may have an anchor before its windows are dealt out one by one.
 WIDE = 256
 
