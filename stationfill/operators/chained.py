@@ -5,9 +5,10 @@ variables is completed by an affine map of its observed values, the same for all
 rows with that set, so the cross products every regression needs follow from one
 table of moments per set. The data is read once to get those moments, whatever
 the number of rounds; the maps, each V × V, are then applied as a join on the set
-of missing variables. Moments and maps exist for sets that occur in the data, and
-these are what the driver holds: any number of variables, as long as the sets they
-are missing in are not as many as the rows.
+of missing variables. Moments and maps exist for sets that occur in the data. Up to
+``MAX_SETS`` of them are held by the driver; more stay on the executors, in a table that carries each
+set's moments and map, and the driver gets one sum a task for every regression (``chained_sets``).
+The arithmetic is the same, so the choice changes no result beyond rounding.
 
 The forest predictor cannot be reduced that way: it fits with Spark ML and writes
 each round to the checkpoint folder. Its model is a list of forests, kept apart from
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import standard_normal
 from ..session import checkpointed
+from . import chained_sets
 from .series import unfold
 
+
 def to_wide(panel: DataFrame, variables, value: str = "value") -> DataFrame:
     """One row per station and step, one column per variable."""
     return panel.groupBy("station_id", "t").pivot("variable", list(variables)).agg(F.first(value))
@@ -49,8 +52,14 @@ def _name(bits: int, k: int) -> str:
     return format(bits, f"0{k}b")[::-1]
 
 
-def _occurring(wide: DataFrame, variables) -> list[int]:
-    return sorted(_bits(r[0]) for r in wide.select(_missing_set(variables)).distinct().collect())
+#: Sets of missing variables whose maps the driver holds; with 20 variables about 14 MB.
+MAX_SETS = 4096
+
+
+def _occurring(wide: DataFrame, variables) -> list[int] | None:
+    """The sets that occur, or None if they are more than the driver should hold."""
+    found = wide.select(_missing_set(variables)).distinct().limit(MAX_SETS + 1).collect()
+    return sorted(_bits(r[0]) for r in found) if len(found) <= MAX_SETS else None
 
 
 def moments_by_missing_set(wide: DataFrame, variables, centers: dict[str, float], spreads: dict[str, float]) -> DataFrame:
@@ -193,28 +202,16 @@ def fit_chained(
     centers = {v: basic[f"m_{i}"] for i, v in enumerate(variables)}
     spreads = {v: basic[f"d_{i}"] or 1.0 for i, v in enumerate(variables)}
     # V² numbers per set of missing variables that occurs, whatever the number of rows.
-    moments = moments_by_missing_set(wide, variables, centers, spreads).collect()
+    moments = moments_by_missing_set(wide, variables, centers, spreads)
     k = len(variables)
-    grams = {}
-    for row in moments:
-        g = np.zeros((k + 1, k + 1))
-        g[0, 0] = row["n"]
-        for i in range(k):
-            g[0, i + 1] = g[i + 1, 0] = row[f"s_{i}"]
-            for j in range(i, k):
-                g[i + 1, j + 1] = g[j + 1, i + 1] = row[f"p_{i}_{j}"]
-        grams[_bits(row["missing_set"])] = g
     order = sorted(range(k), key=lambda i: (-basic[f"c_{i}"], i))
+    sets = _occurring(wide, variables)
+    totals = _DriverTotals(moments, k) if sets is not None else chained_sets.SpreadTotals(moments, k)
     steps = []
-    maps = _start_maps(grams, k)
     for rnd in range(rounds):
         for target in order:
             others = [i for i in range(k) if i != target]
-            total = np.zeros((k + 1, k + 1))
-            for s, g in grams.items():
-                if not s >> target & 1:
-                    full = np.vstack([np.eye(1, k + 1), maps[s]])
-                    total += full @ g @ full.T
+            total = totals.of(target)
             n = total[0, 0]
             mean = total[0, 1:] / n
             centred = total[1:, 1:] - n * np.outer(mean, mean)
@@ -223,23 +220,63 @@ def fit_chained(
             )
             intercept = mean[target] - coef @ mean[others]
             steps.append((rnd, target, float(intercept), list(coef), float(noise), spread.tolist(), float(n), mean[others].tolist()))
-            for s, m in maps.items():
-                if s >> target & 1:
-                    row = coef @ m[others]
-                    row[0] += intercept
-                    m[target] = row
+            totals.visited(steps[-1])
+        totals.end_round()
     model = ChainedModel(variables, centers, spreads, steps, predictor)
     if tolerance > 0:
         largest = max(basic[f"x_{i}"] for i in range(k))
-        model.steps = _until_stable(wide, model, rounds, tolerance * largest, sorted(grams))
+        if sets is None:
+            changes = chained_sets.round_changes(wide, model, rounds)
+        else:
+            changes = _round_changes(wide, model, rounds, sets)
+        for r, change in enumerate(changes):
+            if (change or 0.0) < tolerance * largest:
+                model.steps = [step for step in model.steps if step[0] <= r]
+                break
     return model
 
 
-def _until_stable(wide: DataFrame, model: ChainedModel, rounds: int, limit: float, sets: list[int]):
-    """Drop the rounds after the first whose largest change stays below ``limit``.
+class _DriverTotals:
+    """Cross products over all rows where a variable is observed, from moments and maps per set."""
+
+    def __init__(self, moments: DataFrame, k: int):
+        self.k, self.grams = k, {}
+        for row in moments.collect():
+            g = np.zeros((k + 1, k + 1))
+            g[0, 0] = row["n"]
+            for i in range(k):
+                g[0, i + 1] = g[i + 1, 0] = row[f"s_{i}"]
+                for j in range(i, k):
+                    g[i + 1, j + 1] = g[j + 1, i + 1] = row[f"p_{i}_{j}"]
+            self.grams[_bits(row["missing_set"])] = g
+        self.maps = _start_maps(self.grams, k)
+
+    def of(self, target: int) -> np.ndarray:
+        total = np.zeros((self.k + 1, self.k + 1))
+        for s, g in self.grams.items():
+            if not s >> target & 1:
+                full = np.vstack([np.eye(1, self.k + 1), self.maps[s]])
+                total += full @ g @ full.T
+        return total
+
+    def visited(self, step: tuple) -> None:
+        _, target, intercept, slopes, *_ = step
+        others = [i for i in range(self.k) if i != target]
+        for s, m in self.maps.items():
+            if s >> target & 1:
+                row = np.asarray(slopes) @ m[others]
+                row[0] += intercept
+                m[target] = row
+
+    def end_round(self) -> None:
+        pass
+
+
+def _round_changes(wide: DataFrame, model: ChainedModel, rounds: int, sets: list[int]) -> list[float]:
+    """The largest change of a row in every round, all rounds in one pass.
 
-    The change of a row is the sum over its cells. One pass finds the largest row
-    change of every round at once.
+    The change of a row is the sum over its cells; the rounds after the first whose largest change
+    stays below the limit are dropped.
     """
     k = len(model.variables)
     per_round = [len([s for s in model.steps if s[0] <= r]) for r in range(rounds)]
@@ -264,10 +301,7 @@ def _until_stable(wide: DataFrame, model: ChainedModel, rounds: int, limit: floa
     )
     sizes = F.transform("changes", size)
     largest = moved.select(sizes.alias("c")).agg(*[F.max(F.get("c", F.lit(r))).alias(f"r{r}") for r in range(rounds)]).first()
-    for r in range(rounds):
-        if (largest[f"r{r}"] or 0.0) < limit:
-            return model.steps[: per_round[r]]
-    return model.steps
+    return [largest[f"r{r}"] for r in range(rounds)]
 
 
 def _standardised(model: ChainedModel, v: str) -> Column:
@@ -278,10 +312,9 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _drawn_maps(model: ChainedModel, sets: list[int], n_imputations: int, posterior: bool, seed) -> list[dict[int, tuple]]:
-    """Per imputation and set of missing variables: the completing map, and what turns normals into residuals."""
-    rng, k = np.random.default_rng(seed), len(model.variables)
-    out = []
+def _drawn_steps(model: ChainedModel, n_imputations: int, posterior: bool, seed) -> list[list[tuple]]:
+    """The regressions of every imputation, with drawn slopes and intercepts for ``posterior``."""
+    rng, out = np.random.default_rng(seed), []
     for _ in range(n_imputations):
         steps = model.steps
         if posterior:
@@ -291,6 +324,14 @@ def _drawn_maps(model: ChainedModel, sets: list[int], n_imputations: int, poster
                 # The intercept goes with the slopes through the centre of the data, itself uncertain.
                 shift = np.dot(np.asarray(slopes) - drawn, means) + rng.normal(0.0, (noise / max(n, 1.0)) ** 0.5)
                 steps.append((rnd, target, intercept + shift, drawn, noise, spread, n, means))
+        out.append(steps)
+    return out
+
+
+def _drawn_maps(drawn: list[list[tuple]], sets: list[int], k: int, posterior: bool) -> list[dict[int, tuple]]:
+    """Per imputation and set of missing variables: the completing map, and what turns normals into residuals."""
+    out = []
+    for steps in drawn:
         roots = _noise_roots(steps, sets, k) if posterior else {}
         out.append({s: (m.tolist(), roots[s].tolist() if posterior else []) for s, m in _replay(steps, sets, k).items()})
     return out
@@ -309,7 +350,14 @@ def impute_chained(wide: DataFrame, model: ChainedModel, n_imputations: int = 1,
     have the joint spread that the chain gives them.
     """
     variables, k = model.variables, len(model.variables)
-    drawn = _drawn_maps(model, _occurring(wide, variables), n_imputations, posterior, seed)
+    sets = _occurring(wide, variables)
+    if sets is None:
+        rows = impute_samples(wide, model, n_imputations, posterior, seed)
+        each = F.arrays_zip(*[F.col(v) for v in variables])
+        rest = [c for c in wide.columns if c not in variables]
+        long = rows.select(*rest, F.posexplode(each).alias("imputation", "__one"))
+        return long.select(*rest, "imputation", *[F.col("__one")[v].alias(v) for v in variables])
+    drawn = _drawn_maps(_drawn_steps(model, n_imputations, posterior, seed), sets, k, posterior)
     tables = [(m, _name(s, k), *pair) for m, maps in enumerate(drawn) for s, pair in maps.items()]
     # A map per occurring set and imputation; Spark broadcasts them where their size allows.
     lookup = wide.sparkSession.createDataFrame(
@@ -336,17 +384,20 @@ def impute_samples(wide: DataFrame, model: ChainedModel, n_imputations: int, pos
     rows nor shuffles grow with the number of imputations. An observed value is an array of that value.
     """
     variables, k = model.variables, len(model.variables)
-    drawn = _drawn_maps(model, _occurring(wide, variables), n_imputations, posterior, seed)
-    sets = drawn[0] if drawn else {}
+    every = F.sequence(F.lit(0), F.lit(n_imputations - 1))
+    normals = lambda m: F.array(*[standard_normal(F.lit(str(seed)), m, F.col("station_id"), F.col("t"), v) for v in variables])
+    drawn_steps, sets = _drawn_steps(model, n_imputations, posterior, seed), _occurring(wide, variables)
+    if sets is None:
+        z = F.transform(every, normals) if posterior else F.lit(None).cast("array<array<double>>")
+        return chained_sets.samples(wide, model, drawn_steps, z)
+    drawn = _drawn_maps(drawn_steps, sets, k, posterior)
     tables = [(_name(s, k), [maps[s][0] for maps in drawn], [maps[s][1] for maps in drawn]) for s in sets]
     lookup = wide.sparkSession.createDataFrame(
         tables, "missing_set string, maps array<array<array<double>>>, noise array<array<array<double>>>"
     )
     joined = wide.select("*", _missing_set(variables), _observed(model).alias("__x")).join(lookup, "missing_set")
-    every = F.sequence(F.lit(0), F.lit(n_imputations - 1))
     if posterior:
-        draw = lambda m: F.array(*[standard_normal(F.lit(str(seed)), m, F.col("station_id"), F.col("t"), v) for v in variables])
-        joined = joined.withColumn("__z", F.transform(every, draw))
+        joined = joined.withColumn("__z", F.transform(every, normals))
 
     def value_of(i: int, v: str):
         def value(m: Column) -> Column:
