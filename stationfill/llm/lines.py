@@ -10,7 +10,7 @@ meets the exact counts, so a filter's false positives never drop a line.
 
 A key is a 128-bit digest of the line without white space at its ends and with A-Z lowered.
 Counts are combined before they are shuffled; documents of a frequent line are spread by
-document first. Filters are sent to the tasks in blocks of at most ``FILTER_BYTES``.
+document first. Filters never pass through the driver: they meet references by shard.
 
 Null and empty texts are one empty line. Rows with one id are one document, null ids are one,
 smaller than all others. An empty table gives an empty one.
@@ -22,7 +22,6 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -37,8 +36,8 @@ MIN_LENGTH = 40
 MIN_DOCUMENTS = 5
 #: Frequent keys that one shard's filter is meant for.
 SHARD_KEYS = 50_000
-#: Bytes of filters that tasks hold at a time.
-FILTER_BYTES = 64 << 20
+#: References of one shard that are tested in one group.
+PART_ROWS = 200_000
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -152,36 +151,25 @@ def _updated(filters: DataFrame, moved: DataFrame, frequent: DataFrame, shards:
 
 
 def screened(refs: DataFrame, store: LineStore) -> DataFrame:
-    """The rows of ``refs`` whose key may be frequent, by the filters alone."""
-    sizes = store.filters.select("shard", F.length("filter").alias("size")).orderBy("shard").collect()
-    blocks, total = [[]], 0
-    for row in sizes:
-        if blocks[-1] and total + row["size"] > FILTER_BYTES:
-            blocks.append([])
-            total = 0
-        blocks[-1].append(row["shard"])
-        total += row["size"]
-    return reduce(DataFrame.unionByName, [_screen(refs, store, block) for block in blocks])
-
-
-def _screen(refs: DataFrame, store: LineStore, block: list[int]) -> DataFrame:
-    held = {r["shard"]: bytes(r["filter"]) for r in store.filters.where(F.col("shard").isin(block or [-1])).collect()}
-    shared = refs.sparkSession.sparkContext.broadcast(held)
+    """The rows of ``refs`` whose key may be frequent, by the filters alone.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {k: CuckooFilter.from_bytes(v) for k, v in shared.value.items()}
-        for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            keys = as_numbers(batch.column("key").to_pylist())
-            maybe = pd.Series(False, index=range(len(shard))).to_numpy().copy()
-            for k, one in filters.items():
-                mine = shard == k
-                if mine.any():
-                    maybe[mine] = one.has(keys[mine])
-            yield batch.filter(pa.array(maybe)).select(["key", "__id", "n"])
+    References meet their shard's filter on Spark. A shard's references are dealt to parts of
+    about ``PART_ROWS``, by document, and each part gets a copy of the filter, so a line that a
+    third of all documents have is not one task's work.
+    """
+    rows = refs.withColumn("shard", shard_of(store.shards))
+    sizes = rows.groupBy("shard").agg((1 + F.floor(F.count(F.lit(1)) / PART_ROWS)).cast("int").alias("parts"))
+    dealt = rows.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("__id", "key"), F.col("parts")).cast("int"))
+    copies = store.filters.join(sizes, "shard").select("shard", "filter", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+
+    def test(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        own = own[["key", "__id", "n"]]
+        if not len(own) or not len(held):
+            return own.iloc[:0]
+        return own[CuckooFilter.from_bytes(held["filter"].iloc[0]).has(as_numbers(list(own["key"])))]
 
-    rows = refs.withColumn("shard", shard_of(store.shards)).where(F.col("shard").isin(block or [-1]))
-    return rows.select("key", "__id", "n", "shard").mapInArrow(run, "key binary, __id long, n long")
+    parts = dealt.select("key", "__id", "n", "shard", "part").groupBy("shard", "part")
+    return parts.cogroup(copies.groupBy("shard", "part")).applyInPandas(test, "key binary, __id long, n long")
 
 
 def dropped_keys(store: LineStore, refs: DataFrame | None = None) -> DataFrame:
@@ -217,6 +205,6 @@ def cleaned(docs: DataFrame, store: LineStore) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, text string, n_lines long, n_dropped long")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256."""
-    return cleaned(docs, store_of(docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+def digests(docs: DataFrame, store: LineStore | None = None) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256; by default with the store of the documents themselves."""
+    return cleaned(docs, store or store_of(docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, contamination, exact, language, lines, pii, quality, search, simhash, substrings, warc, whitening
 from .common import read
@@ -42,6 +43,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same result from a store that has been changed: all pages are inserted as documents, and deleted again."""
+    docs = read(spark, sf_dir, "documents")
+    pages = read(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("doc_id"), F.col("html").alias("text"))
+    store = lines.store_of(docs.select("doc_id", "text")).insert(pages).delete(pages.select("doc_id"))
+    return lines.digests(docs, store)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit_text_model(read(spark, sf_dir, "documents"))
     return language.identify_pages(read(spark, sf_dir, "pages"), model)
@@ -181,6 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_benchmark_proximity,
         op5_pii,
         op6_line_dedup,
+        op6_line_dedup_after_changes,
         op7_language_id,
         op8_suffix_array_dedup,
         op9_bpe_encode_decode,
@@ -193,4 +203,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql_texts() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_warc_archive": OP11_SQL, "op12_ranked_search": OP12_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op6_line_dedup_after_changes": OP6_SQL, "op11_warc_archive": OP11_SQL, "op12_ranked_search": OP12_SQL}

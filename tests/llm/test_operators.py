@@ -155,7 +155,7 @@ def test_lines(docs):
 
 def test_lines_are_reversible(named, monkeypatch):
     monkeypatch.setattr(lines, "SHARD_KEYS", 1)
-    monkeypatch.setattr(lines, "FILTER_BYTES", 64)
+    monkeypatch.setattr(lines, "PART_ROWS", 3)
     some, rest = named.where("doc_id % 4 <> 1"), named.where("doc_id % 4 = 1")
     first = lines.store_of(some)
     both = first.insert(rest)
