@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import metadata, stations
 from ..sources import inventory as lists
@@ -48,15 +49,20 @@ def compute(
     """
     wanted_years, wanted = observations.parse_years(years), observations.parse_stations(only)
     inventory = lists.read_inventory(spark, inventory_path) if inventory_path else None
-    reports = observations.read_observations(spark, root, wanted_years, wanted)
     if not incremental:
-        table = build(reports, inventory, **options)
+        table = build(observations.read_observations(spark, root, wanted_years, wanted), inventory, **options)
     else:
         existing, _ = tables.load_stations(spark, path)
         files = observations.list_files(spark, root, wanted_years)
+        files = files if wanted is None else files.where(F.col("station_id").isin(wanted))
         stale = metadata.update_status(files, files, existing).where("status <> 'unchanged'")
-        fresh = build(stations.restrict_to(reports, stale), inventory, clean=False, **options)
-        table = metadata.merge_metadata(existing, fresh)
+        # Other stations' files are not opened, not even their footers.
+        chosen = files.join(stale.select("station_id"), "station_id", "left_semi")
+        if chosen.isEmpty():
+            table = existing
+        else:
+            reports = observations.read_observations(spark, root, wanted_years, files=chosen).drop("file")
+            table = metadata.merge_metadata(existing, build(reports, inventory, **options | {"clean": False}))
         path = f"{path}-updated"
     tables.save_stations(table, path, csv_path, mode)
     return spark.read.parquet(path)

@@ -141,3 +141,26 @@ def test_one_scan_and_one_shuffle_of_instants(spark, tmp_path):
     assert plan.count("FileScan") == 1 and "Join" not in plan
     # Days by station and day, combined before; then days by station without their instants.
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_an_incremental_station_table_opens_stale_files_only(spark, archive, tmp_path, monkeypatch):
+    from stationfill.plans import station_table
+
+    station_table.compute(spark, str(archive), f"{tmp_path}/table", clean=False, computed_at=F.current_timestamp())
+    seen, read = [], observations.read_observations
+
+    def watched(*args, **kwargs):
+        out = read(*args, **kwargs)
+        seen.append(read_files(out))
+        return out
+
+    monkeypatch.setattr(observations, "read_observations", watched)
+    same = station_table.compute(spark, str(archive), f"{tmp_path}/table", incremental=True)
+    assert seen == [] and same.count() == 3
+    write(archive, "CAB", 2020, 91, n=75)
+    later = dt.datetime.now() + dt.timedelta(days=2)
+    os.utime(archive / "2020" / "GHCNh_CAB_2020.parquet", (later.timestamp(), later.timestamp()))
+    got = station_table.compute(spark, str(archive), f"{tmp_path}/table-updated", incremental=True, computed_at=F.lit(AT))
+    assert [sorted(x) for x in seen] == [[f"GHCNh_CAB_{y}.parquet" for y in (2019, 2020, 2021)]]
+    assert rows(got.where("station_id = 'CAB'")) == {"CAB": rows(whole(spark, archive))["CAB"]}
+    assert got.count() == 3
