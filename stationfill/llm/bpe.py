@@ -299,19 +299,25 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the caches hold no cycles, and walking them over and over takes long
         own = encoder(path)
-        for batch in batches:
-            n, coded, back = [], [], []
-            for text in batch.column("text"):
-                ids = own.encode(text.as_py())
-                n.append(len(ids))
-                coded.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                back.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        gc.disable()  # the caches hold no cycles, and walking them over and over takes long
+        try:
+            for batch in batches:
+                yield coded(own, batch)
+        finally:
+            gc.enable()  # workers go on to other work
+
+    def coded(own, batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, ids_digests, texts = [], [], []
+        for text in batch.column("text"):
+            ids = own.encode(text.as_py())
+            n.append(len(ids))
+            ids_digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
+            texts.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(texts, pa.string())],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +34,10 @@ def release_memory() -> None:
 
 
 def tokenizer_path(name: str) -> str:
-    """A public tokenizer's file; TOKENIZERS_DIR overrides the folder."""
-    folder = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-    return os.path.join(folder, name)
+    """A public tokenizer's file, where the package that brings it has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def text_of(name: str = "text") -> Column:

@@ -38,7 +38,7 @@ from .common import NO_ID, bounded_batches, keyed, rows_without, text_of
 
 WINDOW = 13
 #: Words of one block of the test set that tasks hold at a time.
-MAX_TEST_WORDS = 4_000_000
+MAX_TEST_WORDS = 250_000
 #: Bytes of text in a shard.
 SHARD_BYTES = 8 << 20
 #: Rarest terms of an item that proximity asks for, and the span they must lie in.
@@ -205,10 +205,10 @@ def matches(index: DataFrame, test: TestSet, near: bool = True) -> DataFrame:
         rare = np.unique(item)
         # Of equally rare terms the smaller ones, so the choice does not hang on the order items are read in.
         rarest.append(rare[np.lexsort((by_name[rare], frequency[rare]))][:NEAR_TERMS])
-    shared = spark.sparkContext.broadcast((phrases, rarest))
+    shared = spark.sparkContext.broadcast((phrases, rarest, test.ids))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        phrases, rarest = shared.value
+        phrases, rarest, ids = shared.value
         head = rows[rows["term"] < 0].iloc[0]
         starts = np.frombuffer(head["positions"], "<i8")
         width = "<i8" if starts[-1] >= 2**31 else "<i4"
@@ -238,13 +238,13 @@ def matches(index: DataFrame, test: TestSet, near: bool = True) -> DataFrame:
                 "__th": hashes,
                 "n_words": np.diff(starts) - 1,
                 "hits": [np.flatnonzero(covered[starts[d] : starts[d + 1]]).tolist() if d in hit else [] for d in docs],
-                "items": [sorted(hit.get(d, ())) for d in docs],
-                "near_items": [sorted(close.get(d, ())) for d in docs],
+                "items": [sorted(ids[i] for i in hit.get(d, ())) for d in docs],
+                "near_items": [sorted(ids[i] for i in close.get(d, ())) for d in docs],
             }
         )
 
     return index.groupBy("shard", "part").applyInPandas(
-        run, "__id long, __th long, n_words long, hits array<int>, items array<int>, near_items array<int>"
+        run, "__id long, __th long, n_words long, hits array<int>, items array<string>, near_items array<string>"
     )
 
 
@@ -253,15 +253,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, near: bool = True) -> DataFr
     rows = keyed(docs)
     blocks = []
     for test in test_blocks(benchmark):
-        names = F.array(*[F.lit(x) for x in test.ids]) if test.ids else F.array().cast("array<string>")
         found = matches(checkpointed(positional_index(rows, test)), test, near)
         blocks.append(
-            found.select(
-                "__id", "__th", "n_words", "hits",
-                *[F.array_sort(F.transform(c, lambda i: F.get(names, i))).alias(c) for c in ("items", "near_items")],
-                F.lit(len(blocks)).alias("__block"),
-            )
-        )
+            found.select("__id", "__th", "n_words", "hits", "items", "near_items", F.lit(len(blocks)).alias("__block"))
+        )
     if len(blocks) == 1:
         return blocks[0].withColumn("n_hit", F.size("hits").cast("long"))
     every = reduce(DataFrame.unionByName, blocks)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import bounded_batches, keyed
+from .common import bounded_batches, keyed, release_memory
 from .cuckoo import CuckooFilter, as_numbers
 
 MIN_LENGTH = 40
@@ -37,7 +37,7 @@ MIN_DOCUMENTS = 5
 #: Frequent keys that one shard's filter is meant for.
 SHARD_KEYS = 50_000
 #: References of one shard that are tested in one group.
-PART_ROWS = 200_000
+PART_ROWS = 50_000
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -162,14 +162,17 @@ def screened(refs: DataFrame, store: LineStore) -> DataFrame:
     dealt = rows.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("__id", "key"), F.col("parts")).cast("int"))
     copies = store.filters.join(sizes, "shard").select("shard", "filter", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
 
-    def test(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        own = own[["key", "__id", "n"]]
-        if not len(own) or not len(held):
-            return own.iloc[:0]
-        return own[CuckooFilter.from_bytes(held["filter"].iloc[0]).has(as_numbers(list(own["key"])))]
+    def test(own: pa.Table, held: pa.Table) -> pa.Table:
+        own = own.select(["key", "__id", "n"])
+        if not own.num_rows or not held.num_rows:
+            return own.slice(0, 0)
+        keys = as_numbers(own.column("key").to_pylist())
+        kept = own.filter(pa.array(CuckooFilter.from_bytes(held.column("filter")[0].as_py()).has(keys)))
+        release_memory()
+        return kept
 
     parts = dealt.select("key", "__id", "n", "shard", "part").groupBy("shard", "part")
-    return parts.cogroup(copies.groupBy("shard", "part")).applyInPandas(test, "key binary, __id long, n long")
+    return parts.cogroup(copies.groupBy("shard", "part")).applyInArrow(test, "key binary, __id long, n long")
 
 
 def dropped_keys(store: LineStore, refs: DataFrame | None = None) -> DataFrame:
