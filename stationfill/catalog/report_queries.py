@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import circular as G
 from ..functions import reports as R
 from ..operators import day_states, metadata, reports
-from ..plans import preprocess
+from ..plans import file_states, preprocess
+from ..session import ensure_checkpoint_dir
+from ..sources import archive_source
 from ..sources import observations as O
 from .registry import query
 from .views import OBS
@@ -280,6 +284,65 @@ def _(v):
     return flat_metadata(metadata.metadata_of_states(day_states.merge_parts(parts)))
 
 
+def archived(v):
+    """The reports as an archive of files in the shared folder; gives its root."""
+    ensure_checkpoint_dir(v.spark)
+    root = f"{v.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/archive-{uuid.uuid4().hex}"
+    archive_source.write_archive(v.obs(), root).agg(F.sum("n")).first()
+    return root
+
+
+def _as_number(table):
+    return table.withColumn("station_id", F.col("station_id").cast("bigint"))
+
+
+@query("station_metadata_from_archive", f"WITH {METADATA} SELECT * FROM meta")
+def _(v):
+    """The same table from files, one per station and year, through the archive data source."""
+    rows = archive_source.read_archive(v.spark, archived(v), variables=["temperature", "wind_direction"])
+    return _as_number(flat_metadata(metadata.station_metadata(rows)))
+
+
+@query("station_metadata_from_file_states", f"WITH {METADATA} SELECT * FROM meta")
+def _(v):
+    """The same table from states per file, added in two runs: the first knows half of the years only."""
+    root = archived(v)
+    years = sorted(r[0] for r in O.list_years(O.list_files(v.spark, root)).collect())
+    states = f"{root}-states"
+    file_states.add_states(v.spark, root, states, years[: len(years) // 2 + 1])
+    return _as_number(flat_metadata(file_states.station_table(v.spark, root, states)))
+
+
+@query(
+    "reports_of_years_from_archive",
+    f"""WITH {OBS} SELECT station_id, CAST(year(ts) AS INTEGER) AS year, count(*) AS n, count(temperature) AS n_temperature, round(sum(temperature) + 1e-7::DOUBLE, 4) AS total, min(ts) AS first
+        FROM obs WHERE station_id % 3 = 0 AND year(ts) = (SELECT min(year(ts)) FROM obs) GROUP BY 1, 2""",
+)
+def _(v):
+    """Files of a third of the stations in the first year, chosen by their names."""
+    root = archived(v)
+    listed = O.list_files(v.spark, root)
+    year = listed.agg(F.min("year")).first()[0]
+    ids = O.list_stations(listed).where(F.col("station_id").cast("bigint") % 3 == 0)
+    rows = O.read_observations(v.spark, root, [year], ids)
+    return _as_number(rows).groupBy("station_id", "year").agg(
+        F.count("*").alias("n"), F.count("temperature").alias("n_temperature"), F.round(F.sum("temperature") + 1e-7, 4).alias("total"), F.min("ts").alias("first")
+    )
+
+
+@query(
+    "archive_census",
+    f"""WITH {OBS}, f AS (SELECT DISTINCT station_id, year(ts) AS year FROM obs), c AS (SELECT unnest(['STATION', 'DATE', 'temperature_Report_Type', 'temperature',
+          'temperature_quality_code', 'wind_direction', 'source']) AS "column")
+        SELECT "column", CASE "column" WHEN 'STATION' THEN 'int64' WHEN 'DATE' THEN 'timestamp[us]' WHEN 'temperature' THEN 'double' WHEN 'wind_direction' THEN 'double' ELSE 'string' END AS type,
+          count(*) AS n_files, count(DISTINCT station_id) AS n_stations FROM f, c GROUP BY 1, 2""",
+)
+def _(v):
+    """Columns and types of all files, from their footers."""
+    report = archive_source.file_report(v.spark, archived(v)).where(F.col("error").isNull())
+    return report.groupBy("column", "type").agg(F.count("*").alias("n_files"), F.count_distinct("station_id").alias("n_stations"))
+
+
 @query(
     "station_locations",
     """WITH located AS (

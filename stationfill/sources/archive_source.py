@@ -60,9 +60,13 @@ def columns() -> list[str]:
 
 
 def schema_of(names) -> T.StructType:
-    """Numbers as doubles, all else as text; what tells the file comes first."""
+    """Numbers as doubles, the date as a time, all else as text; what tells the file comes first."""
     fields = [T.StructField("station_id", T.StringType()), T.StructField("file_year", T.IntegerType())]
-    return T.StructType(fields + [T.StructField(n, T.DoubleType() if n in _NUMERIC else T.StringType()) for n in names])
+    kinds = {"date": T.TimestampNTZType(), **{n: T.DoubleType() for n in _NUMERIC}}
+    return T.StructType(fields + [T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+
+
+_ARROW = {T.DoubleType: pa.float64(), T.StringType: pa.string(), T.TimestampNTZType: pa.timestamp("us")}
 
 
 def _number(column: pa.Array) -> pa.Array:
@@ -86,24 +90,33 @@ def _text(column: pa.Array, code: bool) -> pa.Array:
         if not code or not column.type.num_fields:
             return pa.nulls(len(column), pa.string())
         return _text(pc.struct_field(column, [(whole or [0])[0]]), code)
-    if pa.types.is_timestamp(column.type):
-        return pc.strftime(column, format="%Y-%m-%dT%H:%M:%S").cast(pa.string()) if column.type.unit == "s" else _text(column.cast(pa.timestamp("s"), safe=False), code)
     if pa.types.is_nested(column.type):
         return pa.nulls(len(column), pa.string())
     return column.cast(pa.string())
 
 
-def unified(batch: pa.RecordBatch, wanted: list[tuple[str, bool]]) -> list[pa.Array]:
+def _time(column: pa.Array) -> pa.Array:
+    """Date and time from text to the second, or from a typed column as it is; zoned ones in UTC."""
+    if pa.types.is_timestamp(column.type):
+        return column.cast(pa.timestamp("us", column.type.tz), safe=False).cast(pa.timestamp("us"))
+    if pa.types.is_date(column.type):
+        return column.cast(pa.timestamp("us"))
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return pc.strptime(column.cast(pa.string()), format="%Y-%m-%dT%H:%M:%S", unit="us", error_is_null=True)
+    return pa.nulls(len(column), pa.timestamp("us"))
+
+
+def unified(batch: pa.RecordBatch, wanted: list[tuple[str, pa.DataType]]) -> list[pa.Array]:
     """The wanted columns of a batch of any generation; of several spellings the first value that is not null."""
     spellings: dict[str, list[str]] = {}
     for name in batch.schema.names:
         spellings.setdefault(lowered(name), []).append(name)
     out = []
-    for name, numeric in wanted:
-        kind = pa.float64() if numeric else pa.string()
+    for name, kind in wanted:
         variants = [batch.column(n) for n in spellings.get(name, [])]
         code = name.endswith("_quality_code")
-        found = [_number(v) if numeric else _text(v, code) for v in variants]
+        made = {pa.float64(): _number, pa.timestamp("us"): _time}.get(kind, lambda v: _text(v, code))  # noqa: B023
+        found = [made(v) for v in variants]
         out.append(pc.coalesce(*found) if len(found) > 1 else found[0] if found else pa.nulls(batch.num_rows, kind))
     return out
 
@@ -148,10 +161,40 @@ def _system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def write_archive(reports: DataFrame, root: str) -> DataFrame:
+    """Lay reports out as an archive under ``root``; gives file, station_id, year and n of every file written.
+
+    A file holds one station's year, in the order of time: that is what one task holds. Reports without a
+    time go to year 0000. ``ts`` becomes the date, ``report_type`` that of the temperature; all other
+    columns keep their names. A file appears whole or not at all, and a task that is run again
+    writes the same file again. The result has to be read for the files to be written.
+    """
+    rows = reports.drop("year").withColumn("__year", F.coalesce(F.year("ts"), F.lit(0)))
+
+    def write(table: pa.Table) -> pa.Table:
+        import uuid
+
+        import pyarrow.parquet as pq
+
+        station, year = table.column("station_id")[0].as_py(), table.column("__year")[0].as_py()
+        ordered = table.sort_by([(c, "ascending") for c in ("ts", "report_type") if c in table.column_names]).drop_columns(["__year"])
+        spelled = {"ts": "DATE", "report_type": "temperature_Report_Type", "station_id": "STATION"}
+        out = ordered.rename_columns([spelled.get(c, c) for c in ordered.column_names])
+        system, folder = _system(f"{root.rstrip('/')}/{year:04d}")
+        system.create_dir(folder, recursive=True)
+        name, draft = f"{folder}/GHCNh_{station}_{year:04d}.parquet", f"{folder}/.{uuid.uuid4().hex}"
+        with system.open_output_stream(draft) as stream:
+            pq.write_table(out, stream)
+        system.move(draft, name)
+        return pa.table({"file": [name], "station_id": [str(station)], "year": pa.array([year], pa.int32()), "n": [table.num_rows]})
+
+    return rows.groupBy("station_id", "__year").applyInArrow(write, "file string, station_id string, year int, n bigint")
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.names = schema.fieldNames()
-        self.wanted = [(f.name, isinstance(f.dataType, T.DoubleType)) for f in schema.fields if f.name not in ("station_id", "file_year")]
+        self.wanted = [(f.name, _ARROW.get(type(f.dataType))) for f in schema.fields if f.name not in ("station_id", "file_year")]
         self.root, self.shares = options["path"], int(options.get("shares", 8))
         self.report = options.get("report", "rows")
         if self.report not in ("rows", "files"):
@@ -168,7 +211,7 @@ class ArchiveReader(DataSourceReader):
             system, path = _system(self.root)
             folders = system.get_file_info(fs.FileSelector(path))
             years = sorted(int(x.base_name) for x in folders if x.type == fs.FileType.Directory and re.fullmatch(r"\d{4}", x.base_name))
-        return [Share(f"{self.root.rstrip('/')}/{y}", i, self.shares) for y in years if self.files.has_year(y) for i in range(self.shares)]
+        return [Share(f"{self.root.rstrip('/')}/{y:04d}", i, self.shares) for y in years if self.files.has_year(y) for i in range(self.shares)]
 
     def read(self, share: Share | None) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as fs

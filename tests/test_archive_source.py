@@ -59,7 +59,7 @@ def test_awkward_columns(spark, tmp_path):
     struct = pa.array([{"a": "t", "b": 4.5}, None], pa.struct([("a", pa.string()), ("b", pa.float64())]))
     codes = pa.array([{"x": "u", "n": 7}, {"x": "v", "n": None}], pa.struct([("x", pa.string()), ("n", pa.int8())]))
     table = {
-        "DATE": pa.array([dt.datetime(2020, 1, 1, 2, 3, 4), None], pa.timestamp("us")),
+        "DATE": pa.array([dt.datetime(2020, 1, 1, 2, 3, 4, 567), None], pa.timestamp("us")),
         "Temperature": pa.array([None, 5], pa.int16()),
         "temperature": pa.array(["1e1", "7"], pa.string()),
         "wind_speed": struct,
@@ -70,7 +70,7 @@ def test_awkward_columns(spark, tmp_path):
     }
     write(tmp_path, "A", 2020, pa.table(table))
     first, second = archive_source.read_archive(spark, str(tmp_path)).orderBy(F.desc_nulls_last("ts")).collect()
-    assert (first.ts, second.ts) == (dt.datetime(2020, 1, 1, 2, 3, 4), None)
+    assert (first.ts, second.ts) == (dt.datetime(2020, 1, 1, 2, 3, 4, 567), None)
     assert (first.temperature, second.temperature) == (10.0, 5.0)
     assert (first.wind_speed, second.wind_speed, first.wind_speed_quality_code, second.wind_speed_quality_code) == (4.5, None, "7", None)
     assert first.visibility is None and first.precipitation is None and first.station_name is None
@@ -98,3 +98,23 @@ def test_filters_reach_the_names(spark, archive):  # noqa: F811
         assert df.where("temperature > 5").count() == 2
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_written_archives_are_read_back(spark, tmp_path):
+    rows = [
+        ("A", dt.datetime(2020, 1, 1, 0, 0, 0, 5), "FM-15", 1.5, "1", 40.0),
+        ("A", dt.datetime(2021, 5, 1), None, None, None, None),
+        ("A", None, "AUTO", 2.0, "3", 41.0),
+        ("B", dt.datetime(2020, 2, 1), "FM-12", -1.0, None, None),
+        ("B", dt.datetime(2020, 2, 1), "FM-12", -1.0, None, None),
+    ]
+    reports = spark.createDataFrame(rows, "station_id string, ts timestamp_ntz, report_type string, temperature double, temperature_quality_code string, latitude double")
+    for _ in range(2):  # a repeated run writes the same files
+        written = archive_source.write_archive(reports, f"file:{tmp_path}/archive").collect()
+        assert sorted((r.station_id, r.year, r.n) for r in written) == [("A", 0, 1), ("A", 2020, 1), ("A", 2021, 1), ("B", 2020, 2)]
+    back = archive_source.read_archive(spark, f"{tmp_path}/archive").select(*reports.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, reports.collect()))
+    plain = observations.read_observations(spark, f"{tmp_path}/archive").select(*reports.columns)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, reports.collect()))
+    assert not [p for p in (tmp_path / "archive").rglob("*") if p.is_file() and not p.name.startswith("GHCNh_") and not p.name.endswith(".crc")]
+    assert archive_source.write_archive(reports.limit(0), f"{tmp_path}/none").count() == 0
