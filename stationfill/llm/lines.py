@@ -38,6 +38,8 @@ MIN_DOCUMENTS = 5
 SHARD_KEYS = 50_000
 #: References of one shard that are tested in one group.
 PART_ROWS = 50_000
+#: Shards whose sizes are sent to all tasks, in some 16 MB; more of them are many enough to be joined.
+MAX_SENT_SHARDS = 1 << 20
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -159,6 +161,9 @@ def screened(refs: DataFrame, store: LineStore) -> DataFrame:
     """
     rows = refs.withColumn("shard", shard_of(store.shards))
     sizes = rows.groupBy("shard").agg((1 + F.floor(F.count(F.lit(1)) / PART_ROWS)).cast("int").alias("parts"))
+    if store.shards <= MAX_SENT_SHARDS:
+        # A row per shard: without it, few shards would bring all references to as few tasks just to be dealt out.
+        sizes = F.broadcast(sizes)
     dealt = rows.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("__id", "key"), F.col("parts")).cast("int"))
     copies = store.filters.join(sizes, "shard").select("shard", "filter", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
 
