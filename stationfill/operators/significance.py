@@ -146,6 +146,13 @@ POISSON_STEPS = [
 ]
 
 
+def replica_weights(seed, station: str | None, replicas: int) -> np.ndarray:
+    """A Poisson(1) weight of the station for every replica, drawn from labels alone."""
+    back = "" if station is None else f"|{station}"
+    draws = [int(md5(f"{seed}|{r}{back}".encode()).hexdigest()[:8], 16) for r in range(replicas)]
+    return np.searchsorted(POISSON_STEPS, np.array(draws) / DRAW_RANGE, side="right").astype(np.float64)
+
+
 #: Comparisons whose replicas a task sums before it hands them on.
 _HELD = 256
 
@@ -169,9 +176,7 @@ def _replica_sums(sums: DataFrame, keys: list[str], replicas: int, seed) -> Data
                 if station not in weights:
                     if len(weights) > _HELD:
                         weights.clear()
-                    front, back = f"{seed}|", "" if station is None else f"|{station}"
-                    draws = [int(md5(f"{front}{r}{back}".encode()).hexdigest()[:8], 16) for r in range(replicas)]
-                    weights[station] = np.searchsorted(POISSON_STEPS, np.array(draws) / DRAW_RANGE, side="right").astype(np.float64)
+                    weights[station] = replica_weights(seed, station, replicas)
                 key = tuple(row[: len(names)])
                 own = np.outer(np.array(row[len(names) + 1 :], np.float64), weights[station])
                 if key in held:

@@ -56,6 +56,7 @@ def test_only_iterative_fits_lack_sql():
         "chained_coefficients",
         "chained_random_forest",
         "evaluate_chained",
+        "evaluate_posterior_imputations",
         "paired_tests_with_p_values",
     }
     assert set(SQL) <= set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())

@@ -250,10 +250,10 @@ def test_bonferroni_and_bootstrap(spark):
     assert r.bias_high - r.bias_low == pytest.approx(2 * 1.96 / math.sqrt(500), rel=0.25)
 
 
-def test_poisson_weights(spark):
-    counts = spark.range(20000).select(significance.poisson_weight(significance.uniform(1, F.col("id"))).alias("w"))
-    mean, variance = counts.select(F.avg("w"), F.var_pop("w")).first()
-    assert mean == pytest.approx(1, abs=0.03) and variance == pytest.approx(1, abs=0.05)
+def test_poisson_weights():
+    drawn = np.concatenate([significance.replica_weights(1, f"s{i}", 1000) for i in range(20)])
+    assert drawn.mean() == pytest.approx(1, abs=0.03) and drawn.var() == pytest.approx(1, abs=0.05)
+    assert (significance.replica_weights(1, "s3", 1000) == drawn[3000:4000]).all()
 
 
 def test_ensemble_scores(spark):
