@@ -5,11 +5,12 @@ One more pattern proposes spans of further kinds. For every span five labelers v
 nothing: a strict pattern, a gazetteer, the words before it, the words after it and its shape.
 Votes are counted by pattern of votes over all documents, and expectation-maximisation on these
 counts estimates how reliable each labeler is for each kind and how likely each vote pattern is
-right. Those likelihoods train the final classifier of spans, a logistic model over votes and
-shape; further kinds are kept where it says at least ``KEEP``.
+right. Those likelihoods train the final classifier of spans, a logistic model over the votes and
+over what no labeler looks at: length, make-up of digits and separators, and the word before,
+hashed. Further kinds are kept where it says at least ``KEEP``.
 
-What is collected are counts per vote and shape pattern, a few thousand rows at most by
-construction. Positions come from cutting a text at its matches: a span starts where the pieces
+What is collected are counts per pattern of votes and features; how many patterns there can be is
+fixed, and thousands occur. Positions come from cutting a text at its matches: a span starts where the pieces
 and matches before it end, counted in code points; the running sum goes over rows of matches.
 
 Null and empty texts have no spans. Every row has a result, repeated rows and null ids included.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ PATTERNS = {
 _HINTS = {"email": "@", "ip": ".", "phone": "+"}
 _PROPOSED = {
     "secret": r"AKIA[0-9A-Z]{16}|(?i:password|passwd|pwd|secret|token|api_?key)\x20?[=:]\x20?\"?[A-Za-z0-9_/+-]{6,64}+\"?",
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "spelled_email": r"(?<![A-Za-z0-9._])[A-Za-z0-9._]{1,40}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,40}+\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,10}",
     "local_phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -63,17 +65,43 @@ _STRICT = {
     "handle": r"[0-9_]",
     "person": r"\.\x20[A-Z][a-z]+\x20[A-Z]",
 }
+# Common given names of the corpus's languages.
+GIVEN_NAMES = (
+    "Alice Anna Anne Antoine Barbara Beatriz Carlos Carmen Charles Charlotte Christian Christine Claire Claudia Daniel David "
+    "Diego Elena Elizabeth Emily Emma Eva Fernando Florian Francisco Franz Friedrich George Hans Heinrich Helen Henri Isabel "
+    "Jack James Jan Javier Jean Jennifer John Jorge Joseph Juan Julia Karl Katharina Klaus Laura Linda Lisa Louis Lucas Luis "
+    "Lukas Manuel Marc Margaret Maria Marie Mario Mark Martin Mary Matthias Max Michael Michel Miguel Monika Nicolas Nina "
+    "Olivier Pablo Patricia Paul Pedro Peter Petra Philippe Pierre Rafael Richard Robert Sabine Sandra Sarah Sofia Sophie "
+    "Stefan Susan Thomas Ursula Werner William Wolfgang"
+).split()
+# Characters of an account number after the country's code.
+ACCOUNT_LENGTHS = {
+    "AT": 18, "BE": 14, "CH": 19, "CZ": 22, "DE": 20, "DK": 16, "ES": 22, "FI": 16, "FR": 25, "GB": 20, "GR": 25, "HU": 26,
+    "IE": 20, "IT": 25, "LU": 18, "NL": 16, "PL": 26, "PT": 23, "SE": 22, "SK": 22,
+}
+# Country codes of telephone numbers, by their first digits.
+CALLING_CODES = (
+    "1 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 7 81 82 84 86 90 91 "
+    "92 93 94 95 98 212 213 216 218 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 380 381 385 386 420 421"
+).split()
+# Generic domains and those of countries that the corpus's languages are spoken in, and their neighbours.
+DOMAINS = "com org net edu gov int mil info biz io dev app ai co me tv eu de at ch fr be lu es mx ar cl pe uk ie us ca au nz it pt nl pl cz dk se no fi gr".split()
+# Beginnings of issued keys, and names that stand before secrets.
+SECRET_BEGINNINGS = "AKIA password passwd pwd secret token api_key apikey api-key".split()
+
 _GAZETTEER = {
-    "email": r"\.(?:com|org|net|edu|gov|io|info|de|fr|es|eu|uk)$",
-    "ip": r"^(?!0\.|127\.|255\.|169\.254\.)",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
-    "phone": r"^\+(?:1|3[0-469]|4[0-9]|7|81|86|91)",
-    "secret": r"^(?:AKIA|password|token|secret)",
-    "account": r"^(?:AT|BE|CH|DE|ES|FR|GB|IT|NL|PL|PT)",
-    "spelled_email": r"(?:com|org|net|de|fr|es)$",
-    "local_phone": r"^\(?(?:2[0-9]{2}|3[0-9]{2}|4[0-9]{2}|5[0-9]{2}|6[0-9]{2}|7[0-9]{2}|8[0-9]{2}|9[0-8][0-9])",
-    "person": r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)\.",
+    "email": rf"(?i)\.(?:{'|'.join(DOMAINS)})$",
+    "ip": r"^(?!0\.|127\.|255\.|169\.254\.|22[4-9]\.|2[3-5][0-9]\.)",
+    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|4[4-9]|5|2))",
+    "phone": rf"^\+(?:{'|'.join(CALLING_CODES)})",
+    "secret": rf"(?i)^(?:{'|'.join(SECRET_BEGINNINGS)})",
+    "account": "^(?:" + "|".join(f"{c}(?:\\x20?[A-Z0-9]){{{n}}}" for c, n in ACCOUNT_LENGTHS.items()) + ")$",
+    "spelled_email": rf"(?i)(?:{'|'.join(DOMAINS)})$",
+    "local_phone": r"^\(?[2-9](?!11)[0-9]{2}\)?[\x20.-][2-9](?!11)",
+    "person": rf"\x20(?:{'|'.join(GIVEN_NAMES)})(?:\x20|$)",
 }
+#: Kinds that a gazetteer cannot speak against: no list of names is whole.
+_OPEN = ("person",)
 _BEFORE = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|address)[^A-Za-z]{0,3}(?:to|at|us)?\W*$",
     "ip": r"(?i)(?:ip|host|server|address|from)\W*$",
@@ -170,21 +198,27 @@ def _lookup(table: dict[str, str], text: Column, kind: Column, no: int = -1) ->
 
 
 LABELERS = ("strict", "gazetteer", "before", "after", "shape")
+#: What the classifier sees besides votes: length in eights, tenths of digits, separators, and the word before in so many classes.
+FEATURES, WORDS = ("long", "digits", "separators", "word"), 16
 
 
 def votes(spans: DataFrame) -> DataFrame:
-    """Add a column per labeler: 1 yes, -1 no, 0 nothing; and the shape the classifier looks at."""
+    """Add a column per labeler: 1 yes, -1 no, 0 nothing; and the features the classifier looks at."""
     kind, match = F.col("kind"), F.col("match")
     digits = F.length(F.regexp_replace(match, "[^0-9]", "")) / F.greatest(F.length(match), F.lit(1))
     numeric = kind.isin("ip", "card", "phone", "local_phone", "number")
+    word = F.lower(F.regexp_extract("before", r"([A-Za-z]+)[^A-Za-z]*$", 1))
     return spans.withColumns(
         {
             "strict": _lookup(_STRICT, match, kind),
-            "gazetteer": _lookup(_GAZETTEER, match, kind),
+            "gazetteer": F.greatest(_lookup(_GAZETTEER, match, kind), F.when(kind.isin(*_OPEN), 0).otherwise(-1)),
             "before": F.when(F.col("before").rlike(_AGAINST), -1).otherwise(_lookup(_BEFORE, F.col("before"), kind, 0)),
             "after": F.when(F.col("after").rlike(r"^[A-Za-z0-9_@/=]"), -1).when(F.col("after").rlike(r"^(?:[\s,;:.)!?]|$)"), 1).otherwise(0),
             "shape": F.when(numeric, F.when(digits >= 0.6, 1).otherwise(-1)).when(kind.isin("secret", "account"), F.when(digits >= 0.15, 1).otherwise(-1)).otherwise(0),
             "long": F.least(F.floor(F.length(match) / 8), F.lit(5)).cast("int"),
+            "digits": F.floor(digits * 10).cast("int"),
+            "separators": F.least(F.length(F.regexp_replace(match, "[A-Za-z0-9]", "")), F.lit(6)),
+            "word": F.when(word != "", F.pmod(F.xxhash64(word), F.lit(WORDS)).cast("int")).otherwise(F.lit(WORDS)),
         }
     )
 
@@ -225,34 +259,36 @@ def estimate(counts: list[tuple[str, tuple[int, ...], int]]) -> dict[tuple[str,
     return posterior
 
 
-def _features(kind: str, v: tuple[int, ...], long: int) -> dict[str, float]:
-    named = {f"{name}:{vote}": 1.0 for name, vote in zip(LABELERS, v) if vote}
-    return {"bias": 1.0, f"kind:{kind}": 1.0, f"long:{long}": 1.0} | named
+def _described(kind: str, v: tuple[int, ...], features: tuple[int, ...]) -> list[str]:
+    votes = [f"{name}:{vote}" for name, vote in zip(LABELERS, v) if vote]
+    return ["bias", f"kind:{kind}", *votes, *(f"{name}:{x}" for name, x in zip(FEATURES, features))]
 
 
-def classifier(rows: list[tuple[str, tuple[int, ...], int, int, float]]) -> dict[str, float]:
-    """Weights of a logistic model trained on (kind, votes, length class, count, likelihood), by damped gradient steps."""
-    described = [(_features(k, v, long), math.log1p(n), p) for k, v, long, n, p in rows]
-    weights = {f: 0.0 for x, _, _ in described for f in x}
-    total = sum(n for _, n, _ in described) or 1.0
+def classifier(rows: list[tuple[str, tuple[int, ...], tuple[int, ...], int, float]]) -> dict[str, float]:
+    """Weights of a logistic model trained on (kind, votes, features, count, likelihood), by damped gradient steps."""
+    described = [_described(k, v, x) for k, v, x, _, _ in rows]
+    names = sorted({f for x in described for f in x})
+    place = {f: i for i, f in enumerate(names)}
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in described])
+    column = np.array([place[f] for x in described for f in x], np.int64)
+    weight = np.log1p([n for *_, n, _ in rows])
+    target = np.array([p for *_, p in rows])
+    weights, total = np.zeros(len(names)), weight.sum() or 1.0
     for _ in range(STEPS):
-        slope = {f: 1e-3 * w for f, w in weights.items()}
-        for x, n, p in described:
-            error = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights[f] for f in x))))) - p
-            for f in x:
-                slope[f] += n * error / total
-        weights = {f: w - 2.0 * slope[f] for f, w in weights.items()}
-    return weights
+        z = np.bincount(row, weights[column], len(rows))
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight / total
+        weights -= 2.0 * (np.bincount(column, error[row], len(names)) + 1e-3 * weights)
+    return dict(zip(names, weights.tolist()))
 
 
 def score(weights: dict[str, float]) -> Column:
     """The classifier as a column over what ``votes`` adds."""
-    at = {"kind": F.col("kind"), "long": F.col("long").cast("string")} | {x: F.col(x).cast("string") for x in LABELERS}
     total = F.lit(weights.get("bias", 0.0))
-    for feature, weight in sorted(weights.items()):
-        if feature != "bias":
-            name, _, value = feature.partition(":")
-            total = total + F.when(at[name] == value, F.lit(weight)).otherwise(0.0)
+    for name in ("kind", *LABELERS, *FEATURES):
+        own = {f.partition(":")[2]: w for f, w in weights.items() if f.startswith(f"{name}:")}
+        if own:
+            table = F.create_map(*[F.lit(x) for pair in sorted(own.items()) for x in pair])
+            total = total + F.coalesce(F.try_element_at(table, F.col(name).cast("string")), F.lit(0.0))
     return 1 / (1 + F.exp(-total))
 
 
@@ -262,13 +298,13 @@ def find(docs: DataFrame) -> DataFrame:
     # A match that fails its check loses its kind and not its row: the text still has a result.
     checked = found.withColumn("kind", F.when(_valid(F.col("kind"), F.col("match")), F.col("kind")))
     voted = checkpointed(votes(checked.withColumn("base", F.col("kind").isin(*KINDS))))
-    counted = voted.where("kind IS NOT NULL").groupBy("kind", *LABELERS, "long").agg(F.count(F.lit(1)).alias("n")).collect()
-    rows = sorted((r["kind"], tuple(r[x] for x in LABELERS), r["long"], r["n"]) for r in counted)
+    counted = voted.where("kind IS NOT NULL").groupBy("kind", *LABELERS, *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = sorted((r["kind"], tuple(r[x] for x in LABELERS), tuple(r[x] for x in FEATURES), r["n"]) for r in counted)
     patterns: dict[tuple[str, tuple[int, ...]], int] = {}
     for kind, v, _, n in rows:
         patterns[kind, v] = patterns.get((kind, v), 0) + n
     likely = estimate([(k, v, n) for (k, v), n in sorted(patterns.items())])
-    weights = classifier([(k, v, long, n, likely[k, v]) for k, v, long, n in rows])
+    weights = classifier([(k, v, x, n, likely[k, v]) for k, v, x, n in rows])
     return voted.withColumn("score", score(weights)).select("doc_id", "__row", "kind", "start", "end", "base", "score")
 
 

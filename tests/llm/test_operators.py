@@ -145,7 +145,7 @@ def test_labelers_are_told_apart():
     counts = [("x", (1, 1, 1, 1, -1), 90), ("x", (-1, -1, -1, -1, 1), 60), ("x", (1, 1, 1, -1, 1), 5), ("x", (0, 0, 0, 0, 0), 3)]
     likely = pii.estimate(counts)
     assert likely["x", (1, 1, 1, 1, -1)] > 0.9 > 0.2 > likely["x", (-1, -1, -1, -1, 1)]
-    weights = pii.classifier([(k, v, 1, n, likely[k, v]) for k, v, n in counts])
+    weights = pii.classifier([(k, v, (1,), n, likely[k, v]) for k, v, n in counts])
     assert weights["strict:1"] > 0 > weights["strict:-1"]
 
 
