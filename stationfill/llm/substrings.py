@@ -183,6 +183,15 @@ def _told(told: pd.DataFrame, shard: Shard, bits: int) -> tuple[np.ndarray, np.n
     return narrow, wide
 
 
+def _numbered(grams: np.ndarray) -> np.ndarray:
+    """A number for every different row of bytes: anchors of one hash are told apart by what they are."""
+    words = np.ascontiguousarray(grams).view("<u8")
+    order = np.lexsort(words.T)
+    number = np.zeros(len(words), np.int64)
+    number[order[1:]] = np.cumsum((words[order[1:]] != words[order[:-1]]).any(axis=1))
+    return number
+
+
 def _agreement(h: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray, least: np.ndarray):
     """For each record, all different, and run of window offsets, the smallest document of equal windows.
 
@@ -318,14 +327,11 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
         else:
             around, left, right, least = _unpacked(rows, ((np.uint8, REACH + LENGTH), (np.uint8, 1), (np.uint8, 1), (np.int64, 1)))
             around, left, right = around.reshape(-1, REACH + LENGTH), left.astype(np.int64), right.astype(np.int64)
-            gram = np.ascontiguousarray(around[:, REACH : REACH + GRAM]).view(f"V{GRAM}").ravel()
             alike = np.concatenate((around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), axis=1)
             _, one, group = np.unique(np.ascontiguousarray(alike).view(f"V{alike.shape[1]}").ravel(), return_index=True, return_inverse=True)
             lowest = np.full(len(one), np.iinfo(np.int64).max)
             np.minimum.at(lowest, group, least)
-            # Anchors of one hash are told apart by their bytes.
-            _, same = np.unique(gram[one], return_inverse=True)
-            told = _agreement(same, around[one], left[one], right[one], lowest)
+            told = _agreement(_numbered(around[one][:, REACH : REACH + GRAM]), around[one], left[one], right[one], lowest)
             # Back to the shards that sent them, wherever a smaller document than their own was found.
             members = np.argsort(group, kind="stable")
             ends = np.searchsorted(group[members], np.arange(len(one) + 1))

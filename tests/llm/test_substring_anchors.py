@@ -49,9 +49,11 @@ def test_anchors_of_one_hash_are_told_apart_by_their_bytes():
     width = substrings.REACH + substrings.LENGTH
     around = draw.integers(97, 99, (300, width)).astype(np.uint8)
     around[::2] = around[0]
-    gram = np.ascontiguousarray(around[:, substrings.REACH : substrings.REACH + substrings.GRAM]).view(f"V{substrings.GRAM}").ravel()
-    _, group = np.unique(gram, return_inverse=True)
+    grams = around[:, substrings.REACH : substrings.REACH + substrings.GRAM]
+    group = substrings._numbered(grams)
     assert len(set(group[::2])) == 1 and len(set(group)) > 100
+    assert len(set(group)) == len({g.tobytes() for g in grams}) == len({(n, g.tobytes()) for n, g in zip(group, grams)})
+    assert substrings._numbered(grams[:0]).tolist() == []
 
 
 @pytest.mark.parametrize("few", [1, 3, 50, 10_000])
