@@ -299,9 +299,9 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        gc.disable()  # the caches hold no cycles, and walking them over and over takes long
+        gc.disable()  # the tables and caches hold no cycles, and walking them over and over takes long
         try:
+            own = encoder(path)
             for batch in batches:
                 yield coded(own, batch)
         finally:
