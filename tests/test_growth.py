@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stationfill.operators import fill, masks, series, significance
+from stationfill.functions.draws import standard_normal
+from stationfill.operators import chained, chained_sets, fill, masks, scale, series, significance
 
 
 def panel(spark, n=3000):
@@ -56,3 +57,31 @@ def test_runs_do_not_depend_on_how_many_are_handed_on_at_a_time(spark, monkeypat
     assert all(5 * s <= first <= last < 5 * s + 60 for s, _, first, last, _ in whole)
     table = masks._run_table([(4, 10, np.array([[0, 1, 2, 3]])), (6, 20, np.array([[0, 0, 1, 1], [1, 1, 5, 6]]))])
     assert table.values.tolist() == [[4, 1, 12, 13, 0], [6, 0, 21, 21, 0], [6, 1, 25, 26, 1]]
+
+
+def test_only_missing_cells_are_drawn_and_as_the_functions_draw_them(spark):
+    missing = np.array([[True, False], [False, False], [True, True]])
+    got = chained_sets._normals(7, ["a", None, "b"], [3, 4, 5], 2, ["x", "y"], missing)
+    rows = spark.createDataFrame([("a", 3, 0), (None, 4, 1), ("b", 5, 2)], "s string, t int, row int").crossJoin(spark.range(2).withColumnRenamed("id", "m"))
+    draws = [standard_normal(F.lit("7"), F.col("m"), F.col("s"), F.col("t"), v).alias(v) for v in ("x", "y")]
+    for r in rows.select("row", "m", *draws).collect():
+        for c, v in enumerate(("x", "y")):
+            assert got[r["row"], r["m"], c] == (pytest.approx(r[v], abs=1e-12) if missing[r["row"], c] else 0.0)
+
+
+def test_a_forest_completes_its_own_table_without_a_second_replay(spark, monkeypatch):
+    rows = [("a", t, float(t), None if t % 3 == 0 else 2.0 * t) for t in range(60)]
+    wide = spark.createDataFrame(rows, "station_id string, t int, x double, y double")
+    key = lambda df: {r.t: (r.x, r.y) for r in df.collect()}
+    replayed = key(chained.fit_forest(wide, ("x", "y"), 2, 3, 3).impute(wide))
+    monkeypatch.setattr(chained.ForestModel, "impute", None)
+    assert key(chained.forest_chained(wide, ("x", "y"), 2, 3, 3)) == replayed
+
+
+def test_the_panel_is_not_shuffled_by_variable_for_its_scale(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_of(scale.normalize_variables(panel(spark).withColumn("variable", F.expr("if(t % 2 = 0, 'x', 'y')")), "minmax")[0])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
