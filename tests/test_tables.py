@@ -287,3 +287,19 @@ def test_clusters(spark):
     assert all(got[f"s{i}"] == got[f"s{i % 3}"] for i in range(30))
     with pytest.raises(ValueError):
         cluster.cluster_stations(df, ["a"])
+
+
+def test_tasks_of_a_k_means_step_go_by_stations(spark, monkeypatch):
+    seen, fit = [], cluster.KMeans.fit
+    monkeypatch.setattr(cluster.KMeans, "fit", lambda self, rows: (seen.append(rows.rdd.getNumPartitions()), fit(self, rows))[1])
+    near = lambda i: float(i % 3) * 10 + i / 1000
+    df = spark.createDataFrame([(i, near(i), float(i % 3) * -5) for i in range(90)], "station_id int, a double, b double").repartition(40)
+    got = {r.station_id: r.cluster for r in cluster.cluster_stations(df, ["a", "b"], k=3, starts=3).collect()}
+    assert len(seen) == 3 and max(seen) <= spark.sparkContext.defaultParallelism
+    assert len(got) == 90 and len(set(got.values())) == 3 and all(got[i] == got[i % 3] for i in range(90))
+    seen.clear()
+    monkeypatch.setattr(cluster, "ROWS_PER_TASK", 10)
+    cluster.cluster_stations(df, ["a", "b"], k=3, starts=1)
+    assert seen == [9]
+    with pytest.raises(ValueError, match="fewer than 91"):
+        cluster.cluster_stations(df, ["a", "b"], k=91)
