@@ -11,7 +11,8 @@ Only the columns that a query needs are asked of a file, once the schema is narr
 Options: ``path``; ``years`` ("2010,2012:2015") names folders, without it they are listed;
 ``stations`` ("USW1,CAX"); ``shares`` (8), tasks per folder; ``report`` ("rows"): with "files" there is
 one row per file instead, with its columns and types, or the error of a file that is not readable as parquet.
-Such files give no rows; any other error, an unreachable store say, is raised. ``pushdown`` ("false"):
+Such files give no rows; any other error, an unreachable store say, is raised. With "listing" there is a row per
+file with its size and the milliseconds of its last change, and nothing is opened. ``pushdown`` ("false"):
 where ``spark.sql.python.filterPushdown.enabled`` is set, "true" lets filters on ``station_id`` and
 ``file_year`` decide which names are opened; ``read_archive`` sets it by itself.
 
@@ -43,6 +44,9 @@ NAME = "station_archive"
 TIME_PARTS = ("date", "year", "month", "day", "hour", "minute")
 _NUMERIC = {name.lower() for name in C.NUMERIC_COLUMNS}
 FILES_SCHEMA = "station_id string, year int, file string, column string, type string, error string"
+LISTING_SCHEMA = "file string, station_id string, year int, size bigint, modified_ms bigint"
+#: Files in a batch of the listing.
+LISTED_AT_ONCE = 1 << 14
 
 
 def lowered(name: str) -> str:
@@ -197,13 +201,15 @@ class ArchiveReader(DataSourceReader):
         self.wanted = [(f.name, _ARROW.get(type(f.dataType))) for f in schema.fields if f.name not in ("station_id", "file_year")]
         self.root, self.shares = options["path"], int(options.get("shares", 8))
         self.report = options.get("report", "rows")
-        if self.report not in ("rows", "files"):
-            raise ValueError("report must be rows or files")
+        if self.report not in ("rows", "files", "listing"):
+            raise ValueError("report must be rows, files or listing")
         years, stations = parse_years(options.get("years")), parse_stations(options.get("stations"))
         self.given = years
         self.files = _Names(None if years is None else set(years), None if stations is None else set(stations))
 
     def partitions(self) -> list[Share]:
+        if self.report == "listing":
+            return [Share(f"{self.root.rstrip('/')}/{name}", i, self.shares) for name in self._folders() for i in range(self.shares)]
         years = self.given
         if years is None:
             import pyarrow.fs as fs
@@ -213,12 +219,39 @@ class ArchiveReader(DataSourceReader):
             years = sorted(int(x.base_name) for x in folders if x.type == fs.FileType.Directory and re.fullmatch(r"\d{4}", x.base_name))
         return [Share(f"{self.root.rstrip('/')}/{y:04d}", i, self.shares) for y in years if self.files.has_year(y) for i in range(self.shares)]
 
+    def _folders(self) -> list[str]:
+        """Names of the folders to list: those of the years, or all."""
+        if self.given is not None:
+            return list(dict.fromkeys(name for y in self.given for name in (f"{y:04d}", str(y))))
+        import pyarrow.fs as fs
+
+        system, path = _system(self.root)
+        found = system.get_file_info(fs.FileSelector(path))
+        return sorted(x.base_name for x in found if x.type == fs.FileType.Directory and not x.base_name.startswith((".", "_")))
+
+    def _listing(self, share: Share) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as fs
+
+        system, path = _system(share.folder)
+        rows = []
+        for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            name = re.fullmatch(FILE_PATTERN, info.base_name)
+            if name and info.type == fs.FileType.File and crc32(info.base_name.encode()) % share.shares == share.share:
+                rows.append((f"{share.folder}/{info.base_name}", name[1], int(name[2]), info.size, (info.mtime_ns or 0) // 1_000_000))
+        kinds = {"file": pa.string(), "station_id": pa.string(), "year": pa.int32(), "size": pa.int64(), "modified_ms": pa.int64()}
+        for at in range(0, len(rows), LISTED_AT_ONCE):
+            made = [pa.array(list(values), kind) for values, kind in zip(zip(*rows[at : at + LISTED_AT_ONCE]), kinds.values())]
+            yield pa.RecordBatch.from_arrays(made, list(kinds))
+
     def read(self, share: Share | None) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as fs
         import pyarrow.parquet as pq
 
         if share is None:  # what Spark gives where there is no partition
             return
+        if self.report == "listing":
+            yield from self._listing(share)
+            return
         system, path = _system(share.folder)
         for info in sorted(system.get_file_info(fs.FileSelector(path, allow_not_found=True)), key=lambda x: x.base_name):
             name = re.search(FILE_PATTERN, info.base_name)
@@ -280,7 +313,7 @@ class ArchiveSource(DataSource):
         return NAME
 
     def schema(self):
-        return FILES_SCHEMA if self.options.get("report") == "files" else schema_of(columns())
+        return {"files": FILES_SCHEMA, "listing": LISTING_SCHEMA}.get(self.options.get("report")) or schema_of(columns())
 
     def reader(self, schema: T.StructType) -> ArchiveReader:
         kind = PushingReader if self.options.get("pushdown") == "true" else ArchiveReader
@@ -325,3 +358,10 @@ def read_archive(
 def file_report(spark: SparkSession, root: str, years: list[int] | None = None, stations: list[str] | None = None, shares: int = 8) -> DataFrame:
     """Columns and types of every file from its footer, and the error of every file that has no usable one."""
     return _load(spark, root, years, stations, shares=shares, report="files").load()
+
+
+def listing(spark: SparkSession, root: str, years: list[int] | None = None, shares: int = 8) -> DataFrame:
+    """``file, station_id, year, size, modified_ms`` of every file, listed by tasks; paths as Spark spells them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return _load(spark, path, years, None, shares=shares, report="listing", pushdown="false").load()

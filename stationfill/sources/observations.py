@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import reports as R
 from ..operators.reports import unify_timestamps
-from ..session import fan_out
+from ..session import fan_out, setting
 
 # Fixed value: how a file name gives station and year.
 FILE_PATTERN = r"GHCNh_([^/]+)_(\d{4})\.parquet$"
@@ -74,18 +74,12 @@ def of_stations(df: DataFrame, ids: list[str] | None, station: str = "station_id
 
 
 def list_files(spark: SparkSession, root: str, years: list[int] | None = None) -> DataFrame:
-    """``file, station_id, year, size, modified_at``; contents are not read."""
-    # Alternatives in one glob: years without a folder are skipped.
-    folders = "*" if years is None else "{" + ",".join(str(year) for year in years) + "}"
-    found = spark.read.format("binaryFile").load(f"{root}/{folders}/GHCNh_*.parquet")
-    name = F.col("path")
-    return found.select(
-        name.alias("file"),
-        F.regexp_extract(name, FILE_PATTERN, 1).alias("station_id"),
-        F.regexp_extract(name, FILE_PATTERN, 2).cast("int").alias("year"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("modified_at"),
-    ).where(F.col("station_id") != "")
+    """``file, station_id, year, size, modified_at``; contents are not read, and tasks list shares of a folder."""
+    from .archive_source import listing
+
+    found = listing(spark, root, years)
+    modified = F.timestamp_millis("modified_ms").cast("timestamp_ntz").alias("modified_at")
+    return found.select("file", "station_id", "year", "size", modified)
 
 
 def in_folder(path: Column) -> Column:
@@ -162,18 +156,23 @@ def _generations(files: DataFrame, listed: DataFrame) -> list[list[str]]:
     entry = F.concat_ws(" ", "column", "type")
     per_file = census.groupBy("file").agg(F.md5(F.array_join(F.sort_array(F.collect_list(entry)), ";")).alias("shape"))
     folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1)
-    tagged = per_file.withColumn("folder", folder)
-    shapes = tagged.groupBy("folder").agg(F.min("shape").alias("one"), F.count_distinct("shape").alias("n_shapes"))
-    unread = listed.withColumn("folder", folder).groupBy("folder").agg(F.count("*").alias("n_listed")).join(
-        tagged.groupBy("folder").agg(F.count("*").alias("n_read")), "folder"
-    )
     groups: dict[str, list[str]] = defaultdict(list)
-    status = shapes.join(unread, "folder").withColumn("whole", (F.col("n_shapes") == 1) & (F.col("n_listed") == F.col("n_read")))
-    for row in status.where("whole").select("folder", "one").collect():
-        groups[row["one"]].append(row["folder"])
-    mixed = tagged.join(status.where(~F.col("whole")).select("folder"), "folder", "left_semi")
-    for row in mixed.select("file", "shape").toLocalIterator():
-        groups[row["shape"]].append(row["file"])
+    # Footers are read once, for folders and names.
+    tagged = per_file.withColumn("folder", folder).persist()
+    try:
+        shapes = tagged.groupBy("folder").agg(F.min("shape").alias("one"), F.count_distinct("shape").alias("n_shapes"), F.count("*").alias("n_read"))
+        in_folders = listed.withColumn("folder", folder).groupBy("folder").agg(F.count("*").alias("n_listed"))
+        whole = (F.col("n_shapes") == 1) & (F.col("n_listed") == F.col("n_read"))
+        status = shapes.join(in_folders, "folder").select("folder", "one", whole.alias("whole")).collect()
+        for row in status:
+            if row["whole"]:
+                groups[row["one"]].append(row["folder"])
+        mixed = [row["folder"] for row in status if not row["whole"]]
+        if mixed:
+            for row in tagged.where(F.col("folder").isin(mixed)).select("file", "shape").collect():
+                groups[row["shape"]].append(row["file"])
+    finally:
+        tagged.unpersist()
     return list(groups.values())
 
 
@@ -226,7 +225,9 @@ def read_observations(
         files = files.where(F.col("station_id").isin(stations))
     parts = []
     for paths in _generations(files, listed):
-        raw = spark.read.option("pathGlobFilter", "GHCNh_*.parquet").parquet(*paths)
+        # Spark lists many paths in a task each, unless told otherwise.
+        with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", fan_out(spark)):
+            raw = spark.read.option("pathGlobFilter", "GHCNh_*.parquet").parquet(*paths)
         path = F.col("_metadata.file_path")
         named = raw.withColumn("__station", F.regexp_extract(path, FILE_PATTERN, 1)).withColumn(
             "__year", F.regexp_extract(path, FILE_PATTERN, 2).cast("int")

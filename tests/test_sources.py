@@ -243,3 +243,45 @@ def test_gap_analysis_reads_once_and_shuffles_instants_once(spark, tmp_path):
     plan = gaps._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2  # instants by day, days by station
     assert sum(r.total_observations for r in gaps.collect()) == 107
+
+
+def jobs_of(spark, work):
+    """The tasks of every job's stages that ``work`` runs."""
+    spark.sparkContext.setJobGroup(f"watched-{id(work)}", "")
+    try:
+        work()
+        tracker = spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"watched-{id(work)}")]
+        stages = [tracker.getStageInfo(s) for j in jobs for s in j.stageIds]
+        return [s.numTasks for s in stages if s is not None]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_files_are_listed_by_shares_of_a_folder(spark, tmp_path):
+    """Neither the listing nor a choice among the files of a folder takes a task a file."""
+    for i in range(90):
+        write(tmp_path, f"S{i}", 2020, pa.table({"DATE": ["2020-01-01T00:00:00"], "temperature": [float(i)]}))
+    (tmp_path / "2020" / "GHCNh_DIR_2020.parquet").mkdir()
+    assert jobs_of(spark, lambda: observations.list_files(spark, str(tmp_path))) == []
+    files = observations.list_files(spark, f"file:{tmp_path}")
+    assert files.rdd.getNumPartitions() <= 8
+    listed = {r.file: r for r in files.collect()}
+    seen = spark.read.format("binaryFile").load(f"{tmp_path}/2020/GHCNh_S*.parquet").selectExpr("path", "length", "cast(modificationTime as timestamp_ntz) as at")
+    assert {f: (r.size, r.modified_at) for f, r in listed.items()} == {r.path: (r.length, r.at) for r in seen.collect()}
+    odd = [f"S{i}" for i in range(90) if i % 2]
+    kept = []
+    tasks = jobs_of(spark, lambda: kept.append(observations.read_observations(spark, str(tmp_path), [2020], odd)))
+    assert max(tasks) <= 8 < len(odd)
+    assert sorted(r.temperature for r in kept[0].collect()) == [float(i) for i in range(90) if i % 2]
+    assert len(kept[0].inputFiles()) == 45
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+def test_the_listing_passes_over_folders_that_are_not_there(spark, tmp_path):
+    write(tmp_path, "A", "0000", pa.table({"DATE": [None], "temperature": [1.0]}))
+    write(tmp_path, "B", 2020, pa.table({"DATE": ["2020-01-01T00:00:00"], "temperature": [2.0]}))
+    names = lambda years: {r.station_id for r in observations.list_files(spark, str(tmp_path), years).collect()}
+    assert (names(None), names([0]), names([1999, 2020]), names([1999]), names([])) == ({"A", "B"}, {"A"}, {"B"}, set(), set())
+    with pytest.raises(FileNotFoundError):
+        observations.read_observations(spark, str(tmp_path), [1999])
