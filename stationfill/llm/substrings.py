@@ -7,8 +7,8 @@ occurs twice has an anchor in common. The work is a chain of shuffles:
 1. Documents are dealt to shards of a few megabytes. A shard tells, in 32 bits each, which
    anchors it has.
 2. By range of hash it is found which anchors more than one document has; shards are told.
-3. For those, shards send what is around the anchor: 34 bytes before, 50 from it on, once for
-   equal surroundings, with the smallest id.
+3. For those, shards send what is around the anchor, as far as windows go whose first least hash
+   it has: 34 bytes before at most, 50 from it on, once for equal surroundings, with the smallest id.
 4. By range of hash these are sorted, by what follows and, reversed, by what precedes: multikey
    quicksort to a shallow depth, then blind tries. Neighbours' common lengths tell which windows over an
    anchor agree, and the smallest document of each; shards are told where it is not their own.
@@ -17,9 +17,10 @@ occurs twice has an anchor in common. The work is a chain of shuffles:
 Hashes only bring together what may be equal; anchors agree if their bytes do. There are as many
 ranges of hash as the text needs, so what a task holds does not grow with the corpus.
 
-An anchor that very many shards have, such as at the edges of a popular passage where everything
+An anchor that very many documents have, such as at the edges of a popular passage where everything
 around it differs, is not brought to one place: its windows are dealt out one by one instead, by
-digest, which meets no more rows for a window than there are shards.
+digest, which meets no more rows for a window than there are shards. That sends some nine times the
+bytes, so it is left to anchors that are too many for a task.
 
 Documents go through one exchange that all steps read. Rows with a null id come before all others,
 rows with equal ids do not remove each other's strings. Null and empty texts have no bytes.
@@ -44,8 +45,8 @@ LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM  # bytes that a window may begin before its anchor
 #: Bytes of text in a shard, and for each range of hash.
 SHARD_BYTES, RANGE_BYTES = 2 << 20, 2 << 20
-#: Shards that may have an anchor before its windows are dealt out one by one.
-WIDE = 256
+#: Documents that may have an anchor before its windows are dealt out one by one: what a task holds of one hash.
+WIDE = 1 << 15
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -81,15 +82,17 @@ class Shard:
         self.ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
         self.starts = self.ends - [len(t) for t in texts]
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.at, self.hash = self._anchors()
+        self.at, self.hash, self.left, self.right = self._anchors()
         self.doc = np.searchsorted(self.ends, self.at, side="right")
-        self.left = np.minimum(self.at - self.starts[self.doc], REACH) if len(self.at) else self.at
-        self.right = np.minimum(self.ends[self.doc] - self.at, LENGTH) if len(self.at) else self.at
 
-    def _anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.data)
+    def _anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places and hashes of anchors, and how far their own windows go to the left and to the right of them.
+
+        A window is its first least hash's own, so it is told of at one anchor, and equal windows at equal ones.
+        """
+        n, none = len(self.data), np.zeros(0, np.int64)
         if n < LENGTH:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return none, np.zeros(0, np.uint64), none, none
         words = np.ndarray(n - 7, "<u8", np.ascontiguousarray(self.data), strides=(1,))
         h = _hash(*(words[8 * i : n - GRAM + 1 + 8 * i] for i in range(GRAM // 8)))
         least = _extremes(h, REACH + 1, np.minimum)
@@ -102,7 +105,35 @@ class Shard:
         edge = np.zeros(REACH, np.uint64)
         most = _extremes(np.concatenate((edge, least, edge)), REACH + 1, np.maximum)
         at = np.flatnonzero(most[: len(h)] == h)
-        return at, h[at]
+        # Windows in a row with one least hash have one anchor, as a rule.
+        start = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        end = np.append(start[1:], len(least)) - 1
+        some = least[start] > 0
+        start, end = start[some], end[some]
+
+        def owners(window: np.ndarray) -> np.ndarray:
+            """The first place in each window that has its least hash; all such places are anchors."""
+            owner = np.searchsorted(at, window)
+            late = np.flatnonzero(h[at[owner]] != least[window])
+            while len(late):
+                owner[late] += 1
+                late = late[h[at[owner[late]]] != least[window[late]]]
+            return owner
+
+        owner = owners(start)
+        several = end > at[owner]  # the hash is there again, in windows that begin after its first place
+        if several.any():
+            size = (end - start + 1)[several]
+            window = np.repeat(start[several] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            own = owners(window)
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            last = np.append(first[1:], len(window)) - 1
+            start, end = np.append(start[~several], window[first]), np.append(end[~several], window[last])
+            owner = np.append(owner[~several], own[first])
+            order = np.argsort(start)
+            start, end, owner = start[order], end[order], owner[order]
+        at = at[owner]
+        return at, h[at], at - start, end + LENGTH - at
 
     def around(self, which: np.ndarray) -> np.ndarray:
         """Bytes around anchors, REACH before and LENGTH from there on; zero outside of the document."""
@@ -271,17 +302,16 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
                 "bucket": names,
                 "shard": int(rows["shard"].iloc[0]),
                 "hashes": [_short(hashes[i:j], bits).tobytes() for i, j in zip(first, first[1:])],
-                "several": [np.packbits(n[i:j] > 1).tobytes() for i, j in zip(first, first[1:])],
+                "documents": [np.minimum(n[i:j], 255).astype("u1").tobytes() for i, j in zip(first, first[1:])],
             }
         )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         lists = [np.frombuffer(x, "<u4") for x in rows["hashes"]]
-        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) for x, y in zip(rows["several"], lists)]
-        found, where, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        inside = np.zeros(len(found), np.int64)
-        np.add.at(inside, where, np.concatenate(several))
-        is_wide, is_shared = n > wide, (n > 1) | (inside > 0)
+        documents = np.concatenate([np.frombuffer(x, "u1") for x in rows["documents"]])
+        found, where = np.unique(np.concatenate(lists), return_inverse=True)
+        n = np.bincount(where, documents, len(found))
+        is_wide, is_shared = n > wide, n > 1
         cuts = np.cumsum([len(x) for x in lists])[:-1]
         chosen = lambda flag: [x[f].tobytes() for x, f in zip(lists, np.split(flag[where], cuts))]
         return pd.DataFrame(
@@ -410,7 +440,7 @@ def repeated(docs: DataFrame, shard_bytes: int = SHARD_BYTES, wide: int = WIDE)
         )
 
     by_shard = lambda df: df.groupBy("shard")
-    have = by_shard(rows).applyInPandas(tell, "bucket int, shard int, hashes binary, several binary")
+    have = by_shard(rows).applyInPandas(tell, "bucket int, shard int, hashes binary, documents binary")
     told = have.groupBy("bucket").applyInPandas(compare, _TOLD)
     sent = by_shard(rows).cogroup(by_shard(told)).applyInPandas(send, _SENT)
     back = sent.groupBy("bucket", "wide").applyInPandas(sort, _BACK)

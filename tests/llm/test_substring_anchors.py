@@ -85,3 +85,28 @@ def test_many_shards_and_ranges(spark, monkeypatch):
     rows = [(i, prose(10 + i, 20) + " " + (passage if i % 3 else passage[: 40 + i]) + prose(50 + i, 4)) for i in range(30)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
     assert by_id(substrings.repeated(docs, shard_bytes=500)) == {i: x[:3] for i, x in brute.substrings(rows).items()}
+
+
+@pytest.mark.parametrize("constant", [0, 7])
+def test_a_window_is_told_of_at_one_anchor(monkeypatch, constant):
+    """Equal windows at equal places, so nothing is sent twice and nothing is missed."""
+    if constant:
+        monkeypatch.setattr(substrings, "_hash", lambda *w: np.full(len(w[0]), constant, np.uint64))
+    common = prose(7, 30)
+    texts = ["\0" * 70, "x" * 50, "y" * 49, "", prose(1, 40) + common, common + prose(2, 9), "ab" * 60]
+    shard = substrings.Shard(pd.DataFrame({"__id": range(7), "__th": 0, "text": texts}))
+    told = [(a - back, back) for a, left, right in zip(shard.at, shard.left, shard.right) for back in range(substrings.LENGTH - right, left + 1)]
+    windows = [p for start, end in zip(shard.starts, shard.ends) for p in range(start, end - substrings.LENGTH + 1)]
+    assert sorted(p for p, _ in told) == windows and all(0 <= back <= substrings.REACH for _, back in told)
+    places: dict[bytes, set[int]] = {}
+    for p, back in told:
+        places.setdefault(shard.data[p : p + substrings.LENGTH].tobytes(), set()).add(back)
+    assert all(len(x) == 1 for x in places.values())
+
+
+@pytest.mark.parametrize("wide", [4, 15])
+def test_crowds_of_documents_are_dealt_out_alike(spark, wide):
+    passage = prose(3, 30)
+    rows = [(i, prose(10 + i, 20) + " " + (passage if i % 3 else passage[: 40 + i]) + prose(50 + i, 4)) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    assert by_id(substrings.repeated(docs, wide=wide)) == {i: x[:3] for i, x in brute.substrings(rows).items()}
