@@ -15,15 +15,22 @@ SPACES = "[\\x20\\x09-\\x0D]"
 NO_ID = -(2**63)
 #: Text bytes of one Arrow batch, so that a task's Python side stays small whatever the row count.
 BATCH_BYTES = 16 << 20
+#: Rows that a Parquet reader holds at a time where whole texts are read.
+READ_ROWS = 512
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Arrow batches bounded by bytes: long texts must not meet by the thousand in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def bounded_reads(spark: SparkSession) -> None:
+    """Fewer rows in a reader's vectors: with long texts they are a task's largest arrays, and the heap grows by them."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
 
 
 def release_memory() -> None:

@@ -6,8 +6,10 @@ every pair of inputs, the product of their low-rank factors; the sum over pairs
 time as half of (square of the sum minus sum of the squares), factor by factor.
 
 Weights are learned in one task from at most ``max_rows`` labelled rows chosen by id hash, by
-stochastic gradient steps on the logistic loss; the model (a few hundred kilobytes, fixed by
-``BUCKETS`` and ``RANK``) goes to every task. Scoring is row by row, nothing is shuffled.
+stochastic gradient steps on the logistic loss; a row comes there with one value per bucket, so that
+its size is bounded whatever its text's. The model (a few hundred kilobytes, fixed by ``BUCKETS`` and
+``RANK``) goes to every task. Scoring is row by row, nothing is shuffled; a task holds the inputs of
+``CHUNK`` words at a time (or of one row), not those of an Arrow batch.
 
 Null and empty texts have no words and are scored from the other inputs; a null length is the
 text's own. Conflicting labels of one id count as the larger one. Without labelled rows of both
@@ -23,18 +25,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, bounded_reads, text_of
 
 BUCKETS, RANK = 1 << 12, 8
 #: Labelled rows that are learned from, at most.
 MAX_ROWS = 12_000
 EPOCHS, BATCH, RATE, SHRINK = 6, 128, 0.02, 1e-5
 THRESHOLD = 0.3
+#: Inputs that are described or scored at once; results do not depend on it.
+CHUNK = 1 << 16
+#: Text bytes of one Arrow batch here: its inputs take a multiple of it.
+TEXT_BYTES = 4 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -79,6 +84,37 @@ def inputs(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray, np.n
     return bucket, value, np.clip(statistics, 0.0, 3.0)
 
 
+def merged(bucket: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One value per bucket: the sum of its words' values, as the fit takes it."""
+    used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
+    return used, np.bincount(bucket, value, BUCKETS)[used]
+
+
+def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """The inputs of a batch's texts, in order: where each chunk begins, and its rows (the last row passes CHUNK)."""
+    rows, size, begin = [], 0, 0
+    for at, (text, n_chars) in enumerate(zip(batch.column("text"), batch.column("n_chars").to_pylist())):
+        rows.append(inputs(text.as_py(), n_chars))
+        size += len(rows[-1][0]) + STATISTICS
+        if size >= CHUNK:
+            yield begin, rows
+            rows, size, begin = [], 0, at + 1
+    if rows:
+        yield begin, rows
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """A list per array, without Python objects for the entries."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), kind))
+
+
+def _slices(lists: pa.ListArray) -> list[np.ndarray]:
+    """An array per list, all of them views of the batch."""
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().to_pylist()])
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
 @dataclass(frozen=True)
 class Machine:
     """Bias, a weight and RANK factors per input: hashed words first, then statistics."""
@@ -149,7 +185,8 @@ def _length(docs: DataFrame):
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
     """Learn from labelled rows outside the held-out fold."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, TEXT_BYTES)
+    bounded_reads(docs.sparkSession)
     marked = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id")
@@ -163,38 +200,43 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [inputs(t.as_py(), n) for t, n in zip(batch.column("text"), batch.column("n_chars").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), batch.column("label"), *(pa.array([x[k].tolist() for x in made], pa.list_(pa.int32() if not k else pa.float64())) for k in range(3))],
-                ["doc_id", "th", "label", "bucket", "value", "statistics"],
-            )
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("doc_id", "th", "label", "bucket", "value", "statistics")
+            for begin, rows in chunks(batch):
+                own = batch.slice(begin, len(rows))
+                buckets, values = zip(*(merged(b, v) for b, v, _ in rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*(own.column(c) for c in ("doc_id", "th", "label")), _lists(buckets, pa.int32()), _lists(values, pa.float64()), _lists([s for _, _, s in rows], pa.float64())],
+                    ["doc_id", "th", "label", "bucket", "value", "statistics"],
+                )
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, keys = [], []
+        for batch in batches:
+            rows.extend(zip(*(_slices(batch.column(c)) for c in ("bucket", "value", "statistics"))))
+            keys.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "label")])
+        ids, hashes, marks = (np.concatenate(x) for x in zip(*keys)) if keys else [np.zeros(0, np.int64)] * 3
         # One order whatever the partitioning: the fit's steps are taken in it.
-        all_rows = pd.concat([pd.DataFrame({n: [] for n in names}), *batches], ignore_index=True).sort_values(["doc_id", "th"], ignore_index=True)
-        rows = list(zip(all_rows["bucket"], all_rows["value"], all_rows["statistics"]))
-        made = fit(rows, all_rows["label"].to_numpy(np.float64))
-        yield pd.DataFrame({"bias": [made.bias], "weights": [made.weights.tobytes()], "factors": [made.factors.tobytes()]})
+        order = np.lexsort((hashes, ids))
+        made = fit([rows[i] for i in order], marks[order].astype(np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([made.bias]), pa.array([made.weights.tobytes()]), pa.array([made.factors.tobytes()])], ["bias", "weights", "factors"])
 
     # The sample's ids and labels, at most max_rows small rows, are sent to the documents.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("th"), text_of().alias("text"), _length(docs))
     own = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "th", "text", "n_chars", "label")
     described = own.mapInArrow(describe, "doc_id long, th long, label int, bucket array<int>, value array<double>, statistics array<double>")
-    model = described.repartition(1).mapInPandas(learn, "bias double, weights binary, factors binary").first()
+    model = described.repartition(1).mapInArrow(learn, "bias double, weights binary, factors binary").first()
     return Machine(model["bias"], np.frombuffer(model["weights"]), np.frombuffer(model["factors"]).reshape(-1, RANK))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, TEXT_BYTES)
+    bounded_reads(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            rows = [inputs(t.as_py(), n) for t, n in zip(batch.column("text"), batch.column("n_chars").to_pylist())]
-            score = own.scores(rows) if rows else np.zeros(0)
+            score = np.concatenate([np.zeros(0), *(own.scores(rows) for _, rows in chunks(batch))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],

@@ -290,6 +290,52 @@ def test_quality_of_awkward_rows(spark, awkward, crowded):
     assert quality.scored(awkward.limit(0), machine).count() == 0
 
 
+def test_quality_holds_few_inputs_at_a_time(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    from pyspark import SparkContext
+
+    texts = [" ".join(f"w{(i * 7 + j) % 20_000}" for j in range(i % 200)) for i in range(3_000)]
+    texts[5] = " ".join(f"v{j}" for j in range(9_000))
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").coalesce(1)
+
+    class Wary(quality.Machine):
+        def scores(self, rows):
+            assert sum(len(b) for b, _, _ in rows) <= 1 << 17, "a whole batch is scored at once"
+            return quality.Machine.scores(self, rows)
+
+    # A class of this test goes to the tasks with the function, not by a broadcast.
+    monkeypatch.setattr(SparkContext, "broadcast", lambda _, value: SimpleNamespace(value=value))
+    draw = np.random.default_rng(1)
+    width = quality.BUCKETS + quality.STATISTICS
+    machine = Wary(0.1, draw.normal(0, 0.1, width), draw.normal(0, 0.1, (width, quality.RANK)))
+    rows = [quality.inputs(t, len(t)) for t in texts]
+    whole = quality.Machine(machine.bias, machine.weights, machine.factors).scores(rows)
+    got = {r.doc_id: r.score for r in quality.scored(docs, machine).collect()}
+    assert len(got) == len(texts) and all(got[i] == x for i, x in enumerate(whole))
+
+
+def test_quality_training_takes_a_value_per_bucket(spark):
+    import zlib
+
+    import numpy as np
+
+    texts = ["", *(" ".join(f"w{(i * 11 + j) % 9_000}" for j in range(i)) for i in range(1, 60)), " ".join(f"v{j}" for j in range(9_000))]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    learned = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    assert len(texts) - 1 in learned
+    made, plain = quality.train(docs, labels), quality.fit([quality.inputs(texts[i], len(texts[i])) for i in learned], np.array([float(i % 2) for i in learned]))
+    # Matrix products of a task, on one thread, may differ from this process's in the last digits.
+    assert made.bias == pytest.approx(plain.bias) and np.allclose(made.weights, plain.weights, atol=1e-9) and np.allclose(made.factors, plain.factors, atol=1e-9)
+    bucket, value, _ = quality.inputs(texts[-1], None)
+    own, summed = quality.merged(bucket, value)
+    dense = np.zeros(quality.BUCKETS)
+    np.add.at(dense, bucket, value)
+    assert len(own) == len(set(bucket)) < len(bucket) and (dense[own] == summed).all() and dense.sum() == pytest.approx(summed.sum())
+
+
 @given_only
 def test_quality_on_held_out_rows(spark):
     folder = GIVEN.replace("0.001", "0.1")
