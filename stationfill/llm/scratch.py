@@ -1,33 +1,5 @@
 """Tables in the shared folder that are deleted as soon as nothing needs them."""
 
-from __future__ import annotations
+from ..session import Scratch
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from ..session import ensure_checkpoint_dir
-
-
-class Scratch:
-    """Cuts lineage like a checkpoint, but what has been superseded does not wait for the end of the session."""
-
-    def __init__(self, spark: SparkSession):
-        ensure_checkpoint_dir(spark)
-        self.spark = spark
-        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """The rows, written as a table and read from it."""
-        path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        stored = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(stored)] = path
-        return stored
-
-    def drop(self, *stored: DataFrame) -> None:
-        """Delete tables that ``keep`` gave; whoever still reads them fails."""
-        for df in stored:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(df)))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch"]
