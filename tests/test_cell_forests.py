@@ -111,3 +111,10 @@ def test_five_variables_go_by_spark_ml(spark):
     x[rng.random(x.shape) < 0.1] = np.nan
     done = filled(chained.forest_chained(table(spark, x, "abcde"), tuple("abcde"), 1, 2, 3), "abcde")
     assert np.array_equal(done[~np.isnan(x)], x[~np.isnan(x)]) and not np.isnan(done).any()
+
+
+@pytest.mark.parametrize("odd", [None, float("inf"), float("nan")])
+def test_what_no_forest_can_learn_from_is_refused(spark, odd):
+    df = spark.createDataFrame([("a", 1, 1.0, odd), ("a", 2, 2.0, odd), ("a", 3, 3.0, None)], "station_id string, t int, x double, y double")
+    with pytest.raises(ValueError, match="'y'"):
+        chained.fit_forest(df, ("x", "y"), rounds=1, trees=2, depth=2)
